@@ -7,7 +7,8 @@ cleaned frame is one lazy projection over its input: no join, no shuffle.
 
 Order of the steps matters and follows the reference: quartiles are taken
 after imputation. Money columns stay DECIMAL(18,4); a capped money value is
-the bound rounded to 4 places, so downstream sums stay exact.
+the bound rounded half away from zero to 4 places (the bound itself is
+computed exactly in decimal), so downstream sums stay exact.
 """
 
 from __future__ import annotations
@@ -41,9 +42,9 @@ def _lit_like(value, dtype) -> Column:
     if value is None:
         return F.lit(None).cast(dtype)
     if isinstance(dtype, DecimalType):
+        exact = value if isinstance(value, Decimal) else Decimal(repr(float(value)))
         q = Decimal(1).scaleb(-dtype.scale)
-        d = Decimal(repr(float(value))).quantize(q, rounding=ROUND_HALF_UP)
-        return F.lit(d).cast(dtype)
+        return F.lit(exact.quantize(q, rounding=ROUND_HALF_UP)).cast(dtype)
     return F.lit(value).cast(dtype)
 
 
@@ -125,7 +126,8 @@ def iqr_bounds(df: DataFrame, cols: list[str], k: float = IQR_K) -> dict[str, tu
             out[c] = (None, None, None, None)
             continue
         iqr = q3 - q1
-        out[c] = (q1, q3, q1 - k * iqr, q3 + k * iqr)
+        kk = Decimal(repr(k)) if isinstance(iqr, Decimal) else k
+        out[c] = (q1, q3, q1 - kk * iqr, q3 + kk * iqr)
     return out
 
 

@@ -13,13 +13,15 @@ a single task holding every distinct value. The functions here never do that:
 * ``column_modes`` counts values per column with partial aggregation and keeps
   the top value with a TakeOrderedAndProject (top-1 per partition).
 
-Results are small Python values; callers fold them into plans as literals.
+Results are small Python values (``Decimal`` for decimal columns, exact);
+callers fold them into plans as literals.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +31,21 @@ FINAL_LIMIT = 200_000
 MAX_ROUNDS = 12
 
 
-def _num(v) -> float | None:
-    if v is None:
-        return None
-    return float(v) if not isinstance(v, float) else v
+def _num(v):
+    """Decimals stay exact; every other numeric becomes a float."""
+    if v is None or isinstance(v, (Decimal, float)):
+        return v
+    return float(v)
 
 
-def interpolate(lo: float, hi: float, frac: float) -> float:
+def interpolate(lo, hi, frac: float):
     """Linear interpolation between neighbouring order statistics
-    (pandas ``quantile`` default, SQL ``percentile_cont``)."""
+    (pandas ``quantile`` default, SQL ``percentile_cont``). Exact for
+    decimals: ``frac`` is a multiple of p, a short binary fraction."""
     if frac == 0.0:
         return lo
+    if isinstance(lo, Decimal):
+        return lo + (hi - lo) * Decimal(frac)
     return lo + (hi - lo) * frac
 
 

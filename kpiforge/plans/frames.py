@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.clean import CleaningStats, prepare
 from ..sources.tables import sales_fact
@@ -42,3 +43,24 @@ def prepared_fact(spark: SparkSession, sf_dir: str, columns: Iterable[str] | Non
     st = cleaning_stats(spark, sf_dir, extra_parts, spec)
     return prepare(sales_fact(spark, sf_dir, columns, spec), spec,
                    extra_parts=extra_parts, stats=st)
+
+
+# Fault injection for the imputation queries: the driver tables are complete,
+# so gaps are made with a deterministic rule on the keys (the SQL oracle
+# applies the same rule). Every row is kept; only values become null.
+GAP_RULES = {
+    "quantity": ("product_id", 17),
+    "discount": ("customer_id", 11),
+    "sales": ("order_id", 23),
+    "segment": ("order_id", 13),
+    "ship_mode": ("customer_id", 19),
+}
+
+
+def with_gaps(df: DataFrame) -> DataFrame:
+    out = df
+    for col, (key, m) in GAP_RULES.items():
+        if col in df.columns:
+            out = out.withColumn(col, F.when(F.col(key) % m == 0, F.lit(None))
+                                 .otherwise(F.col(col)))
+    return out

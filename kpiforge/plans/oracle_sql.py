@@ -13,6 +13,7 @@ from __future__ import annotations
 from ..sources.tables import FACT_SQL
 
 CAPPED = ("sales", "profit", "quantity", "discount")
+MONEY_COLS = ("sales", "profit")
 KEY_TEXT = ("ship_mode", "segment", "region", "state", "category", "sub_category")
 
 
@@ -42,7 +43,20 @@ def _prepared_ctes(extra_parts: bool = False) -> str:
     quarter(order_date) AS order_quarter, isodow(order_date) - 1 AS order_dayofweek,
     year(ship_date) AS ship_year, month(ship_date) AS ship_month,
     quarter(ship_date) AS ship_quarter, isodow(ship_date) - 1 AS ship_dayofweek"""
-    med = ",\n    ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS med_{c}" for c in CAPPED)
+    def lists(src: str) -> str:
+        return ", ".join(f"count({c}) AS n_{c}, list_sort(list({c}) FILTER (WHERE {c} IS NOT NULL)) AS l_{c}"
+                         for c in MONEY_COLS) + f" FROM {src}"
+
+    def quant(c: str, p: float) -> str:
+        if c not in MONEY_COLS:
+            return f"quantile_cont(CAST({c} AS DOUBLE), {p})"
+        # exact decimal interpolation between the two order statistics
+        h = f"((n_{c} - 1) * {p})"
+        lo = f"l_{c}[CAST(floor({h}) AS BIGINT) + 1]"
+        hi = f"l_{c}[CAST(ceil({h}) AS BIGINT) + 1]"
+        return f"({lo} + ({hi} - {lo}) * CAST({h} - floor({h}) AS DECIMAL(10,4)))"
+
+    med = ",\n    ".join(f"{quant(c, 0.5)} AS med_{c}" for c in CAPPED)
     modes = ",\n    ".join(
         f"(SELECT {c} FROM dated WHERE {c} IS NOT NULL GROUP BY {c} "
         f"ORDER BY count(*) DESC, {c} LIMIT 1) AS mode_{c}" for c in KEY_TEXT)
@@ -50,8 +64,7 @@ def _prepared_ctes(extra_parts: bool = False) -> str:
         [f"COALESCE({c}, CAST(med_{c} AS {'DECIMAL(18,4)' if c in ('sales', 'profit') else 'DOUBLE'})) AS {c}"
          for c in CAPPED] + [f"COALESCE({c}, mode_{c}) AS {c}" for c in KEY_TEXT])
     quart = ",\n    ".join(
-        f"quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1_{c}, "
-        f"quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3_{c}" for c in CAPPED)
+        f"{quant(c, 0.25)} AS q1_{c}, {quant(c, 0.75)} AS q3_{c}" for c in CAPPED)
     bounds = ",\n    ".join(
         f"q1_{c} - 1.5 * (q3_{c} - q1_{c}) AS lo_{c}, q3_{c} + 1.5 * (q3_{c} - q1_{c}) AS hi_{c}"
         for c in CAPPED)
@@ -64,14 +77,16 @@ def _prepared_ctes(extra_parts: bool = False) -> str:
     capped = ",\n    ".join(cap(c) for c in CAPPED)
     return f"""WITH fact AS ({FACT_SQL}),
 dated AS (SELECT *{parts} FROM fact),
+dlists AS (SELECT {lists('dated')}),
 fills AS (SELECT
     {med},
     {modes}
-  FROM dated),
-imputed AS (SELECT * REPLACE (
+  FROM dated, dlists GROUP BY ALL),
+imputed AS (SELECT * EXCLUDE ({', '.join([f'med_{c}' for c in CAPPED] + [f'mode_{c}' for c in KEY_TEXT])}) REPLACE (
     {fill}) FROM dated, fills),
+ilists AS (SELECT {lists('imputed')}),
 quartiles AS (SELECT
-    {quart} FROM imputed),
+    {quart} FROM imputed, ilists GROUP BY ALL),
 bounds AS (SELECT
     {bounds} FROM quartiles),
 prepared AS (SELECT * EXCLUDE ({', '.join(f'lo_{c}, hi_{c}' for c in CAPPED)}) REPLACE (
@@ -79,6 +94,27 @@ prepared AS (SELECT * EXCLUDE ({', '.join(f'lo_{c}, hi_{c}' for c in CAPPED)}) R
 """
 
 
+# Deterministic gaps injected into the (complete) driver data to exercise the
+# imputation; the same rule is applied by ``plans.frames.with_gaps``.
+GAPS = {
+    "quantity": "product_id % 17 = 0",
+    "discount": "customer_id % 11 = 0",
+    "sales": "order_id % 23 = 0",
+    "segment": "order_id % 13 = 0",
+    "ship_mode": "customer_id % 19 = 0",
+}
+
+
+def _gapped() -> str:
+    rep = ",\n    ".join(f"CASE WHEN {cond} THEN NULL ELSE {c} END AS {c}"
+                          for c, cond in GAPS.items())
+    return f"""WITH fact AS ({FACT_SQL}),
+gapped AS (SELECT * REPLACE (
+    {rep}) FROM fact)
+"""
+
+
+GAPPED = _gapped()
 PREPARED = _prepared_ctes(False)
 PREPARED_X = _prepared_ctes(True)
 RAW = f"WITH fact AS ({FACT_SQL})\n"

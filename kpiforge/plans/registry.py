@@ -12,10 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kpi
+from ..functions.dates import date_parts, day_lag
+from ..functions.measures import dsum
+from ..operators import clean, kpi, stats
+from ..sources.tables import fact_columns
 from ..spec import DEFAULT_SPEC as S
 from . import oracle_sql as O
-from .frames import prepared_fact, raw_fact
+from .frames import cleaning_stats, prepared_fact, raw_fact, with_gaps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +46,153 @@ def q_sales_fact(spark, sf):
     return raw_fact(spark, sf)
 
 
+# ---------------------------------------------------------------------------
+# Profiling and cleaning
+# ---------------------------------------------------------------------------
+
+def _null_profile_sql() -> str:
+    parts = " UNION ALL\n".join(
+        f"SELECT '{c}' AS column, CAST(count_if({c} IS NULL) AS BIGINT) AS null_count FROM gapped"
+        for c in fact_columns())
+    return O.GAPPED + f"SELECT * FROM ({parts}) WHERE null_count > 0"
+
+
+@register("null_profile", _null_profile_sql())
+def q_null_profile(spark, sf):
+    return stats.null_profile(with_gaps(raw_fact(spark, sf)))
+
+
+def _median_sql() -> str:
+    h = "((count(sales) - 1) * 0.5)"
+    lst = "list_sort(list(sales) FILTER (WHERE sales IS NOT NULL))"
+    med_sales = (f"{lst}[CAST(floor({h}) AS BIGINT) + 1] + ({lst}[CAST(ceil({h}) AS BIGINT) + 1]"
+                 f" - {lst}[CAST(floor({h}) AS BIGINT) + 1]) * CAST({h} - floor({h}) AS DECIMAL(10,4))")
+    return O.GAPPED + f"""
+, med AS (SELECT quantile_cont(quantity, 0.5) AS mq, quantile_cont(discount, 0.5) AS md,
+                 {med_sales} AS ms FROM gapped)
+SELECT row_id, COALESCE(quantity, mq) AS quantity, COALESCE(discount, md) AS discount,
+       COALESCE(sales, CAST(ms AS DECIMAL(18,4))) AS sales
+FROM gapped, med"""
+
+
+@register("median_impute", _median_sql())
+def q_median_impute(spark, sf):
+    cols = [S.row_id, S.order_id, S.customer_id, S.product_id, S.quantity, S.discount, S.sales]
+    filled = clean.impute(with_gaps(raw_fact(spark, sf, cols)))
+    return filled.select(S.row_id, S.quantity, S.discount, S.sales)
+
+
+@register("mode_impute", O.GAPPED + """
+, m AS (SELECT
+   (SELECT segment FROM gapped WHERE segment IS NOT NULL GROUP BY segment
+    ORDER BY count(*) DESC, segment LIMIT 1) AS ms,
+   (SELECT ship_mode FROM gapped WHERE ship_mode IS NOT NULL GROUP BY ship_mode
+    ORDER BY count(*) DESC, ship_mode LIMIT 1) AS mm)
+SELECT row_id, COALESCE(segment, ms) AS segment, COALESCE(ship_mode, mm) AS ship_mode
+FROM gapped, m""")
+def q_mode_impute(spark, sf):
+    cols = [S.row_id, S.order_id, S.customer_id, S.segment, S.ship_mode]
+    filled = clean.impute(with_gaps(raw_fact(spark, sf, cols)))
+    return filled.select(S.row_id, S.segment, S.ship_mode)
+
+
+@register("iqr_bounds", O.on_prepared("""
+SELECT * FROM (
+  SELECT 'sales' AS column, CAST(q1_sales AS DOUBLE) AS q1, CAST(q3_sales AS DOUBLE) AS q3,
+         CAST(q3_sales - q1_sales AS DOUBLE) AS iqr, CAST(lo_sales AS DOUBLE) AS lower_bound,
+         CAST(hi_sales AS DOUBLE) AS upper_bound FROM quartiles, bounds
+  UNION ALL SELECT 'profit', CAST(q1_profit AS DOUBLE), CAST(q3_profit AS DOUBLE),
+         CAST(q3_profit - q1_profit AS DOUBLE), CAST(lo_profit AS DOUBLE),
+         CAST(hi_profit AS DOUBLE) FROM quartiles, bounds
+  UNION ALL SELECT 'quantity', q1_quantity, q3_quantity, q3_quantity - q1_quantity,
+         lo_quantity, hi_quantity FROM quartiles, bounds
+  UNION ALL SELECT 'discount', q1_discount, q3_discount, q3_discount - q1_discount,
+         lo_discount, hi_discount FROM quartiles, bounds)"""))
+def q_iqr_bounds(spark, sf):
+    st = cleaning_stats(spark, sf)
+    rows = [(c, *[None if v is None else float(v) for v in
+                  (q1, q3, None if q1 is None else q3 - q1, lo, hi)])
+            for c, (q1, q3, lo, hi) in st.bounds.items()]
+    return spark.createDataFrame(
+        rows, "column string, q1 double, q3 double, iqr double, lower_bound double, "
+              "upper_bound double")
+
+
+def _capped_totals_sql() -> str:
+    parts = []
+    for c in O.CAPPED:
+        t = "DECIMAL(18,4)" if c in O.MONEY_COLS else "DOUBLE"
+        parts.append(f"""SELECT '{c}' AS column,
+    CAST(count_if(i.{c} < CAST(lo_{c} AS {t})) AS BIGINT) AS n_capped_low,
+    CAST(count_if(i.{c} > CAST(hi_{c} AS {t})) AS BIGINT) AS n_capped_high,
+    CAST(SUM(CAST(i.{c} AS DECIMAL(18,4))) AS DOUBLE) AS total_before,
+    CAST(SUM(CAST(CASE WHEN i.{c} < CAST(lo_{c} AS {t}) THEN CAST(lo_{c} AS {t})
+                       WHEN i.{c} > CAST(hi_{c} AS {t}) THEN CAST(hi_{c} AS {t})
+                       ELSE i.{c} END AS DECIMAL(18,4))) AS DOUBLE) AS total_after
+  FROM imputed i, bounds""")
+    return O.on_prepared("SELECT * FROM (" + "\nUNION ALL ".join(parts) + ")")
+
+
+@register("iqr_capped_totals", _capped_totals_sql())
+def q_iqr_capped_totals(spark, sf):
+    st = cleaning_stats(spark, sf)
+    cols = list(S.capped)
+    imputed = clean.impute(raw_fact(spark, sf, cols), stats=st)
+    types = {f.name: f.dataType for f in imputed.schema.fields}
+    aggs = []
+    for c in cols:
+        lo, hi = st.bounds[c][2], st.bounds[c][3]
+        lo_l, hi_l = clean._lit_like(lo, types[c]), clean._lit_like(hi, types[c])
+        capped = clean.cap_expr(c, types[c], lo, hi)
+        aggs.append(F.struct(
+            F.lit(c).alias("column"),
+            F.count_if(F.col(c) < lo_l).cast("bigint").alias("n_capped_low"),
+            F.count_if(F.col(c) > hi_l).cast("bigint").alias("n_capped_high"),
+            dsum(c).cast("double").alias("total_before"),
+            dsum(capped).cast("double").alias("total_after")).alias(c))
+    row = imputed.agg(*aggs)
+    return row.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("r")).select("r.*")
+
+
+@register("prepared_totals", O.on_prepared(f"""
+SELECT category, COUNT(*) AS line_count, {M('sales')} AS sales, {M('profit')} AS profit,
+       {M('quantity')} AS quantity,
+       CAST(SUM(CAST(discount AS DECIMAL(18,4))) AS DOUBLE) / CAST(COUNT(discount) AS DOUBLE)
+         AS avg_discount
+FROM prepared GROUP BY category"""))
+def q_prepared_totals(spark, sf):
+    from ..functions.measures import dmean, money_sum
+    p = prepared_fact(spark, sf, [S.category, S.sales, S.profit, S.quantity, S.discount])
+    return p.groupBy(S.category).agg(
+        F.count(F.lit(1)).cast("bigint").alias("line_count"),
+        money_sum(S.sales).alias("sales"), money_sum(S.profit).alias("profit"),
+        money_sum(S.quantity).alias("quantity"), dmean(S.discount).alias("avg_discount"))
+
+
+@register("date_features", O.on_raw("""
+SELECT row_id, year(order_date) AS order_year, month(order_date) AS order_month,
+       quarter(order_date) AS order_quarter, isodow(order_date) - 1 AS order_dayofweek,
+       day(order_date) AS order_dayofmonth, weekofyear(order_date) AS order_weekofyear,
+       year(ship_date) AS ship_year, month(ship_date) AS ship_month,
+       quarter(ship_date) AS ship_quarter, isodow(ship_date) - 1 AS ship_dayofweek,
+       CAST(date_diff('day', order_date, ship_date) AS BIGINT) AS ship_lag
+FROM fact"""))
+def q_date_features(spark, sf):
+    f = raw_fact(spark, sf, [S.row_id, S.order_date, S.ship_date])
+    return f.select(S.row_id, *date_parts(S.order_date, "order", extra=True),
+                    *date_parts(S.ship_date, "ship"),
+                    day_lag(S.ship_date, S.order_date).alias("ship_lag"))
+
+
+@register("ship_lag_profile", O.on_raw("""
+SELECT CAST(date_diff('day', order_date, ship_date) AS BIGINT) AS ship_lag,
+       COUNT(*) AS line_count FROM fact GROUP BY 1 ORDER BY 1"""))
+def q_ship_lag_profile(spark, sf):
+    f = raw_fact(spark, sf, [S.order_date, S.ship_date])
+    return (f.groupBy(day_lag(S.ship_date, S.order_date).alias("ship_lag"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("line_count")).orderBy("ship_lag"))
+
+
 # ---------------------------------------------------------------------------
 # KPI tables on the prepared frame
 # ---------------------------------------------------------------------------

@@ -77,7 +77,11 @@ def _fact_columns(spec: SalesSpec) -> dict[str, tuple[Column, set[str]]]:
 
 
 def fact_columns(spec: SalesSpec = DEFAULT_SPEC) -> list[str]:
-    return list(_fact_columns(spec))
+    """Output column names of ``sales_fact`` in order (no Spark needed)."""
+    return [spec.row_id, spec.order_id, spec.order_date, spec.ship_date, spec.ship_mode,
+            spec.customer_id, spec.customer_name, spec.segment, spec.region, spec.state,
+            spec.product_id, spec.product_name, spec.category, spec.sub_category,
+            spec.quantity, spec.discount, spec.sales, spec.profit]
 
 
 def sales_fact(spark: SparkSession, sf_dir: str,
