@@ -58,12 +58,16 @@ def with_date_features(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
     for d in spec.dates:
         if d in out.columns:
             out = out.withColumn(d, parse_date(d, out.schema[d].dataType, dates))
+    # extra_parts: False = analysis variant, True = forecaster variant,
+    # "all" = both (used to fit statistics shared by the two variants)
+    forecast = bool(extra_parts)
+    analysis = extra_parts is False or extra_parts == "all"
     parts = []
     if spec.order_date in out.columns:
-        parts += date_parts(spec.order_date, "order", extra=extra_parts)
-    if spec.ship_date in out.columns and not extra_parts:
+        parts += date_parts(spec.order_date, "order", extra=forecast)
+    if spec.ship_date in out.columns and analysis:
         parts += date_parts(spec.ship_date, "ship")
-    if extra_parts and spec.ship_date in out.columns and spec.order_date in out.columns:
+    if forecast and spec.ship_date in out.columns and spec.order_date in out.columns:
         parts.append(day_lag(spec.ship_date, spec.order_date).alias("ship_lag"))
     return out.select("*", *parts) if parts else out
 

@@ -19,7 +19,7 @@ from ..operators.clean import CleaningStats, prepare
 from ..sources.tables import sales_fact
 from ..spec import DEFAULT_SPEC, SalesSpec
 
-_FITTED: dict[tuple[str, bool], CleaningStats] = {}
+_FITTED: dict[str, CleaningStats] = {}
 
 
 def raw_fact(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None,
@@ -29,11 +29,13 @@ def raw_fact(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = N
 
 def cleaning_stats(spark: SparkSession, sf_dir: str, extra_parts: bool = False,
                    spec: SalesSpec = DEFAULT_SPEC) -> CleaningStats:
-    key = (sf_dir.rstrip("/"), extra_parts)
+    """Fitted once per folder over the fact with every date part of both
+    variants; each variant then uses the columns it has."""
+    key = sf_dir.rstrip("/")
     if key not in _FITTED:
         st = CleaningStats()
         prepare(sales_fact(spark, sf_dir, None, spec), spec, dates="strict",
-                extra_parts=extra_parts, stats=st)
+                extra_parts="all", stats=st)
         _FITTED[key] = st
     return _FITTED[key]
 

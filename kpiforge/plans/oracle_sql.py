@@ -126,3 +126,95 @@ def on_prepared(body: str, extra_parts: bool = False) -> str:
 
 def on_raw(body: str) -> str:
     return RAW + body
+
+
+# ---------------------------------------------------------------------------
+# Monthly series and features (forecaster's prepared frame)
+# ---------------------------------------------------------------------------
+
+def monthly_cte(keys: tuple[str, ...] = ()) -> str:
+    k = "".join(f"{c}, " for c in keys)
+    nn = "".join(f" AND {c} IS NOT NULL" for c in keys)
+    return f"""
+, ms AS (SELECT {k}year(order_date) AS year, month(order_date) AS month,
+    make_date(year(order_date), month(order_date), 1) AS date,
+    COALESCE(SUM(CAST(sales AS DECIMAL(18,4))), 0) AS sales_dec,
+    CAST(COALESCE(SUM(CAST(sales AS DECIMAL(18,4))), 0) AS DOUBLE) AS sales,
+    CAST(COALESCE(SUM(CAST(profit AS DECIMAL(18,4))), 0) AS DOUBLE) AS profit,
+    CAST(COALESCE(SUM(CAST(quantity AS DECIMAL(18,4))), 0) AS DOUBLE) AS quantity,
+    CAST(SUM(CAST(discount AS DECIMAL(18,4))) AS DOUBLE)
+      / NULLIF(CAST(COUNT(discount) AS DOUBLE), 0) AS avg_discount,
+    COUNT(order_id) AS order_count
+  FROM prepared WHERE order_date IS NOT NULL{nn}
+  GROUP BY {k}year(order_date), month(order_date))
+"""
+
+
+def features_cte(keys: tuple[str, ...], lags, measures, windows, with_std: bool) -> str:
+    """ms -> feat (all columns, nulls where the series is too short) ->
+    feat_clean (incomplete rows dropped)."""
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    cols = []
+    for k in lags:
+        for c in measures:
+            cols.append(f"CASE WHEN n > {k} THEN lag({c}, {k}) OVER (w) END AS {c}_lag_{k}")
+    for win in windows:
+        fr = f"(w ROWS BETWEEN {win} PRECEDING AND 1 PRECEDING)"
+        full = f"n > {win} AND count(sales) OVER {fr} = {win}"
+        cols.append(f"CASE WHEN {full} THEN CAST(SUM(sales_dec) OVER {fr} AS DOUBLE) / {win}.0 END"
+                    f" AS sales_rolling_mean_{win}")
+        if with_std:
+            cols.append(f"CASE WHEN {full} THEN stddev_samp(sales) OVER {fr} END"
+                        f" AS sales_rolling_std_{win}")
+    cols.append("sin(2 * pi() * month / 12) AS month_sin")
+    cols.append("cos(2 * pi() * month / 12) AS month_cos")
+    need = []
+    for k in lags:
+        for c in measures:
+            need.append(f"({c}_lag_{k} IS NOT NULL OR n <= {k})")
+    for win in windows:
+        need.append(f"(sales_rolling_mean_{win} IS NOT NULL OR n <= {win})")
+        if with_std:
+            need.append(f"(sales_rolling_std_{win} IS NOT NULL OR n <= {win})")
+    base_cols = ["year", "month", "date", "sales", "profit", "quantity", "avg_discount",
+                 "order_count"]
+    need += [f"{c} IS NOT NULL" for c in list(keys) + base_cols]
+    join_n = (f"JOIN (SELECT {', '.join(keys)}, count(*) AS n FROM ms GROUP BY ALL) USING ({', '.join(keys)})"
+              if keys else ", (SELECT count(*) AS n FROM ms)")
+    return f"""
+, feat AS (SELECT ms.*, n,
+    {(','+chr(10)+'    ').join(cols)}
+  FROM ms {join_n}
+  WINDOW w AS ({part}ORDER BY date))
+, feat_clean AS (SELECT * FROM feat WHERE {' AND '.join(need)})
+"""
+
+
+GLOBAL_FEAT = monthly_cte() + features_cte((), (1, 2, 3, 6, 12), ("sales", "profit", "quantity"),
+                                           (3, 6, 12), True)
+CATEGORY_FEAT = monthly_cte(("category",)) + features_cte(
+    ("category",), (1, 2, 3), ("sales", "profit"), (3, 6), False)
+
+
+def global_feature_list() -> list[str]:
+    out = ["avg_discount"]
+    out += [f"{c}_lag_{k}" for k in (1, 2, 3, 6, 12) for c in ("sales", "profit", "quantity")]
+    out += [f"sales_rolling_{s}_{w}" for w in (3, 6, 12) for s in ("mean", "std")]
+    return out + ["month_sin", "month_cos"]
+
+
+def category_feature_list() -> list[str]:
+    out = ["avg_discount"]
+    out += [f"{c}_lag_{k}" for k in (1, 2, 3) for c in ("sales", "profit")]
+    out += [f"sales_rolling_mean_{w}" for w in (3, 6)]
+    return out + ["month_sin", "month_cos"]
+
+
+def rounded(col: str) -> str:
+    """Compare precision for values whose last bits depend on the engine's
+    algorithm (sample std: 2 places, sin/cos: 10 places)."""
+    if "_std_" in col:
+        return f"round({col}, 2) AS {col}"
+    if col in ("month_sin", "month_cos"):
+        return f"round({col}, 10) + 0.0 AS {col}"   # + 0.0: no -0.0
+    return col

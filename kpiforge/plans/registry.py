@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_parts, day_lag
 from ..functions.measures import dsum
-from ..operators import clean, kpi, stats
+from ..operators import clean, kpi, series, stats
 from ..sources.tables import fact_columns
 from ..spec import DEFAULT_SPEC as S
 from . import oracle_sql as O
@@ -471,6 +471,187 @@ def q_chart_segment_long(spark, sf):
     return kpi.to_long(s, [S.segment], ["sales_per_customer", "profit_per_customer"])
 
 
+# ---------------------------------------------------------------------------
+# Monthly series, windows, features, folds, horizon rows
+# ---------------------------------------------------------------------------
+
+_SERIES_COLS = [S.order_date, S.sales, S.profit, S.quantity, S.discount, S.order_id]
+_BASE = ["year", "month", "date", "sales", "profit", "quantity", "avg_discount", "order_count"]
+
+
+def _fc_frame(spark, sf, keys=()):
+    """The forecaster's prepared frame (extra date parts), narrowed."""
+    return prepared_fact(spark, sf, list(keys) + _SERIES_COLS, extra_parts=True)
+
+
+def _cmp(df: DataFrame) -> DataFrame:
+    """Round engine-dependent last bits for comparison (see oracle_sql.rounded)."""
+    out = []
+    for c in df.columns:
+        if "_std_" in c:
+            out.append(F.round(c, 2).alias(c))
+        elif c in ("month_sin", "month_cos"):
+            out.append((F.round(c, 10) + F.lit(0.0)).alias(c))  # + 0.0: no -0.0
+        else:
+            out.append(F.col(c))
+    return df.select(*out)
+
+
+def _sel(cols):
+    return ", ".join(O.rounded(c) for c in cols)
+
+
+@register("monthly_series", O.on_prepared(O.monthly_cte() + f"SELECT {_sel(_BASE)} FROM ms",
+                                          extra_parts=True))
+def q_monthly_series(spark, sf):
+    return series.public(series.monthly_series(_fc_frame(spark, sf)))
+
+
+@register("category_monthly_panel", O.on_prepared(
+    O.monthly_cte(("category",)) + f"SELECT category, {_sel(_BASE)} FROM ms", extra_parts=True))
+def q_category_monthly_panel(spark, sf):
+    return series.public(series.monthly_series(_fc_frame(spark, sf, [S.category]), [S.category]))
+
+
+_GLAGS = [f"{c}_lag_{k}" for k in series.GLOBAL_LAGS for c in series.GLOBAL_LAG_MEASURES]
+_CLAGS = [f"{c}_lag_{k}" for k in series.CATEGORY_LAGS for c in series.CATEGORY_LAG_MEASURES]
+_GROLL = [f"sales_rolling_{s}_{w}" for w in series.GLOBAL_WINDOWS for s in ("mean", "std")]
+_CROLL = [f"sales_rolling_mean_{w}" for w in series.CATEGORY_WINDOWS]
+
+
+@register("monthly_lags", O.on_prepared(O.GLOBAL_FEAT + f"SELECT date, {_sel(_GLAGS)} FROM feat",
+                                        extra_parts=True))
+def q_monthly_lags(spark, sf):
+    m = series.monthly_series(_fc_frame(spark, sf))
+    m = series.add_lags(m, series.GLOBAL_LAGS, series.GLOBAL_LAG_MEASURES)
+    return m.select("date", *_GLAGS)
+
+
+@register("category_lags", O.on_prepared(
+    O.CATEGORY_FEAT + f"SELECT category, date, {_sel(_CLAGS)} FROM feat", extra_parts=True))
+def q_category_lags(spark, sf):
+    k = [S.category]
+    m = series.monthly_series(_fc_frame(spark, sf, k), k)
+    m = series.add_lags(m, series.CATEGORY_LAGS, series.CATEGORY_LAG_MEASURES, k)
+    return m.select(S.category, "date", *_CLAGS)
+
+
+@register("monthly_rolling", O.on_prepared(
+    O.GLOBAL_FEAT + f"SELECT date, {_sel(_GROLL)} FROM feat", extra_parts=True))
+def q_monthly_rolling(spark, sf):
+    m = series.monthly_series(_fc_frame(spark, sf))
+    return _cmp(series.add_rolling(m, series.GLOBAL_WINDOWS, True).select("date", *_GROLL))
+
+
+@register("category_rolling", O.on_prepared(
+    O.CATEGORY_FEAT + f"SELECT category, date, {_sel(_CROLL)} FROM feat", extra_parts=True))
+def q_category_rolling(spark, sf):
+    k = [S.category]
+    m = series.monthly_series(_fc_frame(spark, sf, k), k)
+    return series.add_rolling(m, series.CATEGORY_WINDOWS, False, k).select(S.category, "date",
+                                                                            *_CROLL)
+
+
+@register("cyclical_month", O.on_prepared(
+    O.GLOBAL_FEAT + f"SELECT date, month, {_sel(['month_sin', 'month_cos'])} FROM feat",
+    extra_parts=True))
+def q_cyclical_month(spark, sf):
+    m = series.add_cyclical(series.monthly_series(_fc_frame(spark, sf)))
+    return _cmp(m.select("date", "month", "month_sin", "month_cos"))
+
+
+_GFEAT_COLS = _BASE + _GLAGS + _GROLL + ["month_sin", "month_cos"]
+_CFEAT_COLS = ["category"] + _BASE + _CLAGS + _CROLL + ["month_sin", "month_cos"]
+
+
+@register("monthly_features", O.on_prepared(
+    O.GLOBAL_FEAT + f"SELECT {_sel(_GFEAT_COLS)} FROM feat_clean", extra_parts=True))
+def q_monthly_features(spark, sf):
+    return _cmp(series.public(series.monthly_features(_fc_frame(spark, sf))))
+
+
+@register("category_features", O.on_prepared(
+    O.CATEGORY_FEAT + f"SELECT {_sel(_CFEAT_COLS)} FROM feat_clean", extra_parts=True))
+def q_category_features(spark, sf):
+    return _cmp(series.public(series.category_features(_fc_frame(spark, sf, [S.category]))))
+
+
+@register("ts_folds", O.on_prepared(O.GLOBAL_FEAT + """
+, f AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS rn, count(*) OVER () AS n
+        FROM feat_clean)
+, x AS (SELECT f.*, fold, n // 6 AS t, n - (5 - fold) * (n // 6) AS start
+        FROM f, range(0, 5) r(fold) WHERE n // 6 >= 1)
+SELECT date, fold, CASE WHEN rn < start THEN 'train' ELSE 'test' END AS role,
+       start AS train_size, t AS test_size
+FROM x WHERE rn < start + t""", extra_parts=True))
+def q_ts_folds(spark, sf):
+    return series.ts_folds(series.monthly_features(_fc_frame(spark, sf)))
+
+
+@register("future_dates", O.on_prepared(O.GLOBAL_FEAT + """
+, last AS (SELECT max(date) AS d FROM feat_clean)
+SELECT i AS step, CAST(d + INTERVAL (30 * i) DAY AS DATE) AS date,
+       CAST(d + INTERVAL (i) MONTH AS DATE) AS calendar_date
+FROM last, range(1, 7) r(i)""", extra_parts=True))
+def q_future_dates(spark, sf):
+    f = series.monthly_features(_fc_frame(spark, sf))
+    last = f.agg(F.max("date").alias("d"))
+    return last.select(F.posexplode(F.arrays_zip(
+        series.future_dates(F.col("d"), 6, "30d").alias("date"),
+        series.future_dates(F.col("d"), 6, "month").alias("calendar_date"))).alias("i", "z")) \
+        .select((F.col("i") + 1).cast("bigint").alias("step"), "z.date", "z.calendar_date")
+
+
+def _future_sql(keys, lags, measures, windows, with_std, full_window, src) -> str:
+    k = "".join(f"{c}, " for c in keys)
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    aggs = ["max(date) AS last_date", "avg(avg_discount) AS avg_discount"]
+    for lag in lags:
+        for c in measures:
+            aggs.append(f"COALESCE(max(CASE WHEN rd = {lag} THEN {c} END), 0.0) AS {c}_lag_{lag}")
+    feats = [f"{c}_lag_{lag}" for lag in lags for c in measures]
+    for w in windows:
+        full = f"count(CASE WHEN rd <= {w} THEN 1 END) = {w}"
+        dflt = "0.0" if full_window else "NULL"
+        aggs.append(f"CASE WHEN {full} THEN CAST(SUM(CASE WHEN rd <= {w} THEN sales_dec END)"
+                    f" AS DOUBLE) / {w}.0 ELSE {dflt} END AS sales_rolling_mean_{w}")
+        feats.append(f"sales_rolling_mean_{w}")
+        if with_std:
+            aggs.append(f"CASE WHEN {full} THEN stddev_samp(CASE WHEN rd <= {w} THEN sales END)"
+                        f" ELSE {dflt} END AS sales_rolling_std_{w}")
+            feats.append(f"sales_rolling_std_{w}")
+    grp = f"GROUP BY {', '.join(keys)}" if keys else ""
+    return f"""
+, r AS (SELECT *, row_number() OVER ({part}ORDER BY date DESC) AS rd FROM {src})
+, last AS (SELECT {k}{', '.join(aggs)} FROM r {grp})
+, steps AS (SELECT last.*, i AS step, CAST(last_date + INTERVAL (30 * i) DAY AS DATE) AS date
+            FROM last, range(1, 7) r(i))
+SELECT {k}step, date, year(date) AS year, month(date) AS month, avg_discount,
+       {', '.join(O.rounded(f) for f in feats)},
+       round(sin(2 * pi() * month(date) / 12), 10) + 0.0 AS month_sin,
+       round(cos(2 * pi() * month(date) / 12), 10) + 0.0 AS month_cos
+FROM steps"""
+
+
+@register("future_features", O.on_prepared(O.GLOBAL_FEAT + _future_sql(
+    (), series.GLOBAL_LAGS, series.GLOBAL_LAG_MEASURES, series.GLOBAL_WINDOWS, True, False,
+    "feat_clean"), extra_parts=True))
+def q_future_features(spark, sf):
+    f = series.monthly_features(_fc_frame(spark, sf))
+    return _cmp(series.future_features(f, 6))
+
+
+@register("category_future_features", O.on_prepared(O.CATEGORY_FEAT + _future_sql(
+    ("category",), series.CATEGORY_LAGS, series.CATEGORY_LAG_MEASURES, series.CATEGORY_WINDOWS,
+    False, True, "feat_clean"), extra_parts=True))
+def q_category_future_features(spark, sf):
+    k = [S.category]
+    f = series.category_features(_fc_frame(spark, sf, k))
+    return _cmp(series.future_features(
+        f, 6, k, series.CATEGORY_LAGS, series.CATEGORY_LAG_MEASURES, series.CATEGORY_WINDOWS,
+        with_std=False, require_full_window=True))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
