@@ -1,0 +1,159 @@
+"""NumPy fits for tiny per-group training sets (a monthly series per key).
+
+Used inside ``groupBy(...).applyInPandas``: Spark partitions the work by
+(series key, model, fold) and every task fits one model on a few dozen rows.
+Regression trees are exact-greedy CART on the squared error (thresholds at
+midpoints between neighbouring values, like the common Python learners), so
+small-sample results do not depend on histogram binning.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def _best_split(X: np.ndarray, y: np.ndarray, min_leaf: int):
+    """(feature, threshold, gain) maximizing the squared-error reduction."""
+    n, p = X.shape
+    total = y.sum()
+    base = total * total / n
+    best = (None, None, 0.0)
+    for j in range(p):
+        order = np.argsort(X[:, j], kind="stable")
+        xs, ys = X[order, j], y[order]
+        left_n = np.arange(1, n)
+        left_s = np.cumsum(ys)[:-1]
+        right_n = n - left_n
+        right_s = total - left_s
+        valid = (xs[1:] > xs[:-1]) & (left_n >= min_leaf) & (right_n >= min_leaf)
+        if not valid.any():
+            continue
+        score = left_s * left_s / left_n + right_s * right_s / right_n - base
+        score = np.where(valid, score, -np.inf)
+        i = int(np.argmax(score))
+        if score[i] > best[2] + 1e-12 * abs(base):
+            best = (j, (xs[i] + xs[i + 1]) / 2.0, float(score[i]))
+    return best
+
+
+def fit_tree(X: np.ndarray, y: np.ndarray, max_depth: int | None, min_leaf: int = 1):
+    """Regression tree as parallel arrays (feature, threshold, left, right,
+    value, gain); gain is the node's squared-error reduction."""
+    feat, thr, left, right, val, gains = [], [], [], [], [], []
+
+    def grow(idx: np.ndarray, depth: int) -> int:
+        node = len(feat)
+        feat.append(-1), thr.append(0.0), left.append(-1), right.append(-1)
+        val.append(float(y[idx].mean())), gains.append(0.0)
+        if (max_depth is not None and depth >= max_depth) or len(idx) < 2 * min_leaf \
+                or np.all(y[idx] == y[idx][0]):
+            return node
+        j, t, gain = _best_split(X[idx], y[idx], min_leaf)
+        if j is None or gain <= 0:
+            return node
+        go_left = X[idx, j] <= t
+        feat[node], thr[node], gains[node] = j, t, gain
+        left[node] = grow(idx[go_left], depth + 1)
+        right[node] = grow(idx[~go_left], depth + 1)
+        return node
+
+    grow(np.arange(len(y)), 0)
+    return (np.array(feat), np.array(thr), np.array(left), np.array(right), np.array(val),
+            np.array(gains))
+
+
+def tree_importance(tree, n_features: int) -> np.ndarray:
+    """Total squared-error reduction per feature (not normalized)."""
+    feat, gains = tree[0], tree[5]
+    inner = feat >= 0
+    return np.bincount(feat[inner], weights=gains[inner], minlength=n_features)
+
+
+def _normalized(v: np.ndarray) -> np.ndarray:
+    s = v.sum()
+    return v / s if s > 0 else v
+
+
+def predict_tree(tree, X: np.ndarray) -> np.ndarray:
+    feat, thr, left, right, val = tree[:5]
+    node = np.zeros(len(X), dtype=int)
+    while True:
+        inner = feat[node] >= 0
+        if not inner.any():
+            return val[node]
+        rows = np.nonzero(inner)[0]
+        f = feat[node[rows]]
+        go_left = X[rows, f] <= thr[node[rows]]
+        node[rows] = np.where(go_left, left[node[rows]], right[node[rows]])
+
+
+class GradientBoosting:
+    """Squared-loss boosting: start at the mean, add shrunken depth-limited
+    trees fitted to the residuals."""
+
+    def __init__(self, n_estimators=100, learning_rate=0.1, max_depth=3):
+        self.n, self.lr, self.depth = n_estimators, learning_rate, max_depth
+
+    def fit(self, X, y):
+        self.init = float(y.mean())
+        f = np.full(len(y), self.init)
+        self.trees = []
+        for _ in range(self.n):
+            t = fit_tree(X, y - f, self.depth)
+            f = f + self.lr * predict_tree(t, X)
+            self.trees.append(t)
+        return self
+
+    def predict(self, X):
+        out = np.full(len(X), self.init)
+        for t in self.trees:
+            out = out + self.lr * predict_tree(t, X)
+        return out
+
+    def importances(self, n_features):
+        return _normalized(sum(tree_importance(t, n_features) for t in self.trees))
+
+
+class RandomForest:
+    """Bootstrap-aggregated full-depth trees, every feature tried at a split."""
+
+    def __init__(self, n_estimators=100, seed=42, max_depth=None):
+        self.n, self.seed, self.depth = n_estimators, seed, max_depth
+
+    def fit(self, X, y):
+        rng = np.random.default_rng(self.seed)
+        self.trees = []
+        for _ in range(self.n):
+            b = rng.integers(0, len(y), len(y))
+            self.trees.append(fit_tree(X[b], y[b], self.depth))
+        return self
+
+    def predict(self, X):
+        return np.mean([predict_tree(t, X) for t in self.trees], axis=0)
+
+    def importances(self, n_features):
+        return _normalized(np.mean([_normalized(tree_importance(t, n_features))
+                                    for t in self.trees], axis=0))
+
+
+class LinearLeastSquares:
+    """Ordinary least squares with intercept; minimum-norm solution when the
+    system is underdetermined (more features than rows)."""
+
+    def fit(self, X, y):
+        xm, ym = X.mean(axis=0), y.mean()
+        self.coef, *_ = np.linalg.lstsq(X - xm, y - ym, rcond=None)
+        self.intercept = ym - xm @ self.coef
+        return self
+
+    def predict(self, X):
+        return X @ self.coef + self.intercept
+
+    importances = None  # a linear model has no impurity importances
+
+
+MODELS = {
+    "random_forest": lambda: RandomForest(100, 42),
+    "gradient_boosting": lambda: GradientBoosting(100, 0.1, 3),
+    "linear_regression": lambda: LinearLeastSquares(),
+}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_parts, day_lag
 from ..functions.measures import dsum
-from ..operators import clean, kpi, series, stats
+from ..operators import clean, kpi, ml, series, stats
 from ..sources.tables import fact_columns
 from ..spec import DEFAULT_SPEC as S
 from . import oracle_sql as O
@@ -652,6 +652,175 @@ def q_category_future_features(spark, sf):
         with_std=False, require_full_window=True))
 
 
+# ---------------------------------------------------------------------------
+# Models: split, scaling, encoding, metrics (exact) and fits (rows-only)
+# ---------------------------------------------------------------------------
+
+_MODEL_NUM = ["quantity", "discount", "order_year", "order_month", "order_quarter",
+              "order_dayofweek", "ship_year", "ship_month", "ship_quarter", "ship_dayofweek"]
+_MODEL_CAT = ["ship_mode", "segment", "region", "state", "category", "sub_category"]
+_TEST = ("CAST(('0x' || substr(md5(CAST(row_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5 = 0")
+
+
+@register("train_test_split", O.on_raw(f"SELECT row_id, {_TEST} AS is_test FROM fact"))
+def q_train_test_split(spark, sf):
+    f = raw_fact(spark, sf, [S.row_id])
+    return f.select(S.row_id, ml.is_test_row(S.row_id).alias("is_test"))
+
+
+def _std_sql() -> str:
+    parts = []
+    for c in _MODEL_NUM:
+        x = f"CAST({c} AS DECIMAL(18,4))"
+        parts.append(f"""SELECT '{c}' AS feature,
+    CAST(SUM({x}) AS DOUBLE) / CAST(COUNT({x}) AS DOUBLE) AS mean,
+    COALESCE(NULLIF(sqrt(CAST(COUNT({x}) * SUM({x} * {x}) - SUM({x}) * SUM({x}) AS DOUBLE)
+         / CAST(COUNT({x}) AS DOUBLE) / CAST(COUNT({x}) AS DOUBLE)), 0), 1.0) AS std
+  FROM prepared WHERE NOT ({_TEST})""")
+    return O.on_prepared("SELECT feature, mean, round(std, 9) AS std FROM (\n"
+                         + "\nUNION ALL ".join(parts) + ")")
+
+
+@register("standardized_features", _std_sql())
+def q_standardized_features(spark, sf):
+    p = prepared_fact(spark, sf, [S.row_id, S.quantity, S.discount, S.order_date, S.ship_date])
+    train = p.where(~ml.is_test_row(S.row_id))
+    params = ml.standardize_params(train, _MODEL_NUM)
+    rows = [(c, params[c][0], params[c][1]) for c in _MODEL_NUM]
+    return spark.createDataFrame(rows, "feature string, mean double, std double").select(
+        "feature", "mean", F.round("std", 9).alias("std"))
+
+
+def _one_hot_sql() -> str:
+    parts = " UNION ALL\n".join(
+        f"SELECT '{c}' AS feature, {c} AS level, COUNT(*) AS rows FROM prepared "
+        f"WHERE {c} IS NOT NULL AND NOT ({_TEST}) GROUP BY {c}" for c in _MODEL_CAT)
+    return O.on_prepared(f"""
+, l AS ({parts})
+SELECT feature, level, row_number() OVER (PARTITION BY feature ORDER BY level) - 1 AS slot, rows
+FROM l""")
+
+
+@register("one_hot_counts", _one_hot_sql())
+def q_one_hot_counts(spark, sf):
+    p = prepared_fact(spark, sf, [S.row_id] + _MODEL_CAT)
+    return ml.one_hot_levels(p.where(~ml.is_test_row(S.row_id)), _MODEL_CAT)
+
+
+@register("regression_metrics", O.on_prepared(O.GLOBAL_FEAT + """
+, e AS (SELECT sales - sales_lag_1 AS e, sales FROM feat_clean)
+SELECT COUNT(*) AS n, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse,
+       round(1.0 - sum(e * e) / (var_pop(sales) * COUNT(*)), 9) AS r2
+FROM e""", extra_parts=True))
+def q_regression_metrics(spark, sf):
+    """Scores the naive last-month forecast (prediction = sales_lag_1)."""
+    f = series.monthly_features(_fc_frame(spark, sf))
+    m = ml.regression_metrics(f, "sales", "sales_lag_1")
+    return m.select("n", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"),
+                    F.round("r2", 9).alias("r2"))
+
+
+_FITS: dict[tuple, object] = {}
+
+
+def _memo(key, make):
+    if key not in _FITS:
+        _FITS[key] = make()
+    return _FITS[key]
+
+
+def _sales_model(spark, sf):
+    return _memo(("sales_model", sf.rstrip("/")),
+                 lambda: ml.fit_sales_model(prepared_fact(spark, sf)))
+
+
+@register("sales_model_metrics")
+def q_sales_model_metrics(spark, sf):
+    return _sales_model(spark, sf).metrics
+
+
+@register("sales_model_importance")
+def q_sales_model_importance(spark, sf):
+    return _sales_model(spark, sf).importance.orderBy(F.col("importance").desc(), "feature")
+
+
+_CANDIDATES = ["random_forest", "gradient_boosting", "linear_regression"]
+
+
+def _global_fits(spark, sf):
+    """Monthly features (checkpointed) and every fit of the three candidates:
+    5 CV folds each plus a refit scoring the 6-step horizon."""
+    def make():
+        f = ml.materialize(series.monthly_features(_fc_frame(spark, sf)))
+        fut = series.future_features(f, 6)
+        return f, ml.materialize(ml.grouped_fits(f, fut, [], _CANDIDATES))
+    return _memo(("global_fits", sf.rstrip("/")), make)
+
+
+def _category_fits(spark, sf):
+    """Per-category gradient boosting: folds with < 5 train or < 2 test rows
+    are skipped; a category without a scored fold gets no model."""
+    def make():
+        k = [S.category]
+        f = ml.materialize(series.category_features(_fc_frame(spark, sf, k)))
+        fut = series.future_features(
+            f, 6, k, series.CATEGORY_LAGS, series.CATEGORY_LAG_MEASURES,
+            series.CATEGORY_WINDOWS, with_std=False, require_full_window=True)
+        fits = ml.grouped_fits(f, fut, k, ["gradient_boosting"], min_train=5, min_test=2)
+        return f, ml.materialize(fits)
+    return _memo(("category_fits", sf.rstrip("/")), make)
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    return ml.cv_summary(_global_fits(spark, sf)[1])
+
+
+@register("model_cv_scores")
+def q_model_cv_scores(spark, sf):
+    fits = _global_fits(spark, sf)[1]
+    return fits.where(F.col("fold") >= 0).select("model", "fold", "train_size", "test_size",
+                                                  "rmse")
+
+
+@register("forecast_feature_importance")
+def q_forecast_feature_importance(spark, sf):
+    imp = ml.selected_importance(_global_fits(spark, sf)[1])
+    return imp.orderBy(F.col("importance").desc(), "feature")
+
+
+@register("category_model_scores")
+def q_category_model_scores(spark, sf):
+    f, fits = _category_fits(spark, sf)
+    s = ml.cv_summary(fits, [S.category]).drop("selected", "model")
+    cats = f.select(S.category).distinct()
+    return (cats.join(s, S.category, "left")
+            .select(S.category, F.coalesce("folds_scored", F.lit(0)).alias("folds_scored"),
+                    "mean_rmse", (F.coalesce("folds_scored", F.lit(0)) > 0).alias("has_model")))
+
+
+@register("sales_forecast")
+def q_sales_forecast(spark, sf):
+    return ml.selected_forecast(_global_fits(spark, sf)[1])
+
+
+@register("category_forecast")
+def q_category_forecast(spark, sf):
+    return ml.selected_forecast(_category_fits(spark, sf)[1], [S.category])
+
+
+@register("history_plus_forecast")
+def q_history_plus_forecast(spark, sf):
+    f, fits = _global_fits(spark, sf)
+    return ml.history_plus_forecast(f, ml.selected_forecast(fits))
+
+
+@register("category_history_plus_forecast")
+def q_category_history_plus_forecast(spark, sf):
+    f, fits = _category_fits(spark, sf)
+    return ml.history_plus_forecast(f, ml.selected_forecast(fits, [S.category]), [S.category])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
