@@ -48,16 +48,22 @@ def _lit_like(value, dtype) -> Column:
     return F.lit(value).cast(dtype)
 
 
+def parse_dates(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC, dates: str = "strict") -> DataFrame:
+    """Order/ship date columns as DATE (text parsed, timestamps truncated)."""
+    out = df
+    for d in spec.dates:
+        if d in out.columns:
+            out = out.withColumn(d, parse_date(d, out.schema[d].dataType, dates))
+    return out
+
+
 def with_date_features(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
                        dates: str = "strict", extra_parts: bool = False) -> DataFrame:
     """Parse the order/ship dates and add their date parts.
 
     ``extra_parts`` adds day of month, ISO week and the order-to-ship lag in
     days (the forecaster's variant)."""
-    out = df
-    for d in spec.dates:
-        if d in out.columns:
-            out = out.withColumn(d, parse_date(d, out.schema[d].dataType, dates))
+    out = parse_dates(df, spec, dates)
     # extra_parts: False = analysis variant, True = forecaster variant,
     # "all" = both (used to fit statistics shared by the two variants)
     forecast = bool(extra_parts)

@@ -32,7 +32,10 @@ def _best_split(X: np.ndarray, y: np.ndarray, min_leaf: int):
         score = np.where(valid, score, -np.inf)
         i = int(np.argmax(score))
         if score[i] > best[2] + 1e-12 * abs(base):
-            best = (j, (xs[i] + xs[i + 1]) / 2.0, float(score[i]))
+            t = (xs[i] + xs[i + 1]) / 2.0
+            if t >= xs[i + 1]:  # neighbours one ulp apart: the midpoint rounds up
+                t = xs[i]
+            best = (j, t, float(score[i]))
     return best
 
 
