@@ -29,7 +29,7 @@ def parse_date(col: str | Column, dtype=None, mode: str = "strict") -> Column:
         return c.cast("date")
     if dtype is not None and not isinstance(dtype, StringType):
         raise TypeError(f"cannot parse dates from {dtype}")
-    tried = F.coalesce(*[F.try_to_date(c, F.lit(f)) for f in DATE_FORMATS])
+    tried = F.coalesce(*[F.try_to_date(c, f) for f in DATE_FORMATS])
     if mode == "coerce":
         return tried
     if mode != "strict":

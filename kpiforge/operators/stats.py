@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 20000
 FINAL_LIMIT = 200_000
-MAX_ROUNDS = 12
+MAX_ROUNDS = 30
 
 
 def _num(v):
@@ -58,13 +58,15 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
 
 
 class _Target:
-    """One (column, rank) to find; keeps the current bracket [a, b]."""
+    """One (column, rank) to find; keeps the current bracket of values
+    (open or closed at either end) and the number of rows below it."""
 
     def __init__(self, col: str, rank: int):
         self.col, self.rank = col, rank
-        self.a = self.b = None      # bracket values (None = open end)
-        self.below = 0              # rows with value < a
-        self.inside = None          # rows with a <= value <= b
+        self.a = self.b = None      # bracket ends (None = unbounded)
+        self.a_open = self.b_open = False
+        self.below = 0              # rows with a value below the bracket
+        self.inside = None          # rows inside the bracket
         self.distinct = None        # approx distinct values inside
         self.value = None
         self.done = False
@@ -73,9 +75,9 @@ class _Target:
         c = F.col(self.col)
         cond = c.isNotNull()
         if self.a is not None:
-            cond = cond & (c >= F.lit(self.a))
+            cond = cond & ((c > F.lit(self.a)) if self.a_open else (c >= F.lit(self.a)))
         if self.b is not None:
-            cond = cond & (c <= F.lit(self.b))
+            cond = cond & ((c < F.lit(self.b)) if self.b_open else (c <= F.lit(self.b)))
         return cond
 
 
@@ -147,7 +149,7 @@ def exact_quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
                     F.count_if(base & (c <= F.lit(a))).alias(f"lea{i}"),
                     F.count_if(base & (c < F.lit(b))).alias(f"ltb{i}"),
                     F.count_if(base & (c <= F.lit(b))).alias(f"leb{i}"),
-                    F.approx_count_distinct(F.when(base & (c >= F.lit(a)) & (c <= F.lit(b)), c))
+                    F.approx_count_distinct(F.when(base & (c > F.lit(a)) & (c < F.lit(b)), c))
                     .alias(f"d{i}")]
         crow = df.agg(*cnt).first()
         for i, t in enumerate(active):
@@ -155,16 +157,20 @@ def exact_quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
             lta, lea = int(crow[f"lta{i}"]), int(crow[f"lea{i}"])
             ltb, leb = int(crow[f"ltb{i}"]), int(crow[f"leb{i}"])
             r = t.rank - t.below           # rank inside the current bracket
-            if lta <= r < leb:             # sketch bracket confirmed
-                t.a, t.b, t.below, t.inside = a, b, t.below + lta, leb - lta
+            if lta <= r < lea:             # the rank holds the sketch value a
+                t.value, t.done = a, True
+            elif ltb <= r < leb:           # ... or b
+                t.value, t.done = b, True
+            elif lea <= r < ltb:           # strictly between: (a, b)
+                t.a, t.a_open, t.b, t.b_open = a, True, b, True
+                t.below, t.inside = t.below + lea, ltb - lea
                 t.distinct = int(crow[f"d{i}"])
-            elif r < lta:                  # left of the sketch: [old a, a]
-                t.b, t.inside, t.distinct = a, lea, None
-            else:                          # right of the sketch: [b, old b]
-                t.a, t.below, t.inside, t.distinct = b, t.below + ltb, t.inside - ltb, None
-            if t.a is not None and t.b is not None and t.a == t.b:
-                t.value, t.done = t.a, True
-            elif t.distinct is not None and t.distinct <= final_limit:
+            elif r < lta:                  # below a: keep the lower end, cut at a
+                t.b, t.b_open, t.inside, t.distinct = a, True, lta, None
+            else:                          # above b: cut at b, keep the upper end
+                t.a, t.a_open = b, True
+                t.below, t.inside, t.distinct = t.below + leb, t.inside - leb, None
+            if not t.done and t.distinct is not None and t.distinct <= final_limit:
                 t.done = True  # ready for the exact pass
         proposals = {}
     if any(not t.done for t in tlist):

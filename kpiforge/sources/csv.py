@@ -16,8 +16,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DoubleType, LongType, StringType, StructField,
-                               StructType)
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 ENCODINGS = ("UTF-8", "ISO-8859-1")
 REPLACEMENT = "�"
@@ -43,17 +42,16 @@ def _reader(spark: SparkSession, encoding: str, multi_line: bool):
 
 def _read(spark, path, encoding, multi_line) -> DataFrame:
     header = _reader(spark, encoding, multi_line).csv(path).columns
-    schema = StructType([StructField(c, NUMERIC_COLUMNS.get(snake(c), StringType()), True)
-                         for c in header])
+    schema = StructType([StructField(c, StringType(), True) for c in header])
     raw = _reader(spark, encoding, multi_line).schema(schema).csv(path)
     out = []
-    for f in raw.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, StringType):
-            c = F.when(F.trim(c).isin(list(NA_TOKENS)), F.lit(None)).otherwise(c)
-        elif isinstance(f.dataType, DoubleType):
-            c = F.when(F.isnan(c), F.lit(None)).otherwise(c)  # NaN is missing, as NULL
-        out.append(c.alias(snake(f.name)))
+    for name in header:
+        c = F.col(f"`{name}`")
+        c = F.when(F.trim(c).isin(list(NA_TOKENS)), F.lit(None)).otherwise(c)
+        typ = NUMERIC_COLUMNS.get(snake(name))
+        if typ is not None:
+            c = c.cast(typ)  # ANSI cast: a malformed number is an error, not a null
+        out.append(c.alias(snake(name)))
     return raw.select(*out)
 
 
