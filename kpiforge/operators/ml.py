@@ -148,7 +148,7 @@ class SalesModel:
 
 
 def fit_sales_model(prepared: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
-                    num_trees: int = 100, max_depth: int = 10, seed: int = 42,
+                    num_trees: int = 100, max_depth: int = 8, seed: int = 42,
                     test_buckets: int = 5) -> SalesModel:
     """Random forest on the cleaned order lines: hash 80/20 split on the row
     id, numerics standardized with train statistics, categoricals one-hot

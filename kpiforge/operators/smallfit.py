@@ -13,30 +13,32 @@ import numpy as np
 
 
 def _best_split(X: np.ndarray, y: np.ndarray, min_leaf: int):
-    """(feature, threshold, gain) maximizing the squared-error reduction."""
+    """(feature, threshold, gain) maximizing the squared-error reduction,
+    all features scored at once; ties go to the lower feature index, then to
+    the lower threshold."""
     n, p = X.shape
     total = y.sum()
     base = total * total / n
-    best = (None, None, 0.0)
-    for j in range(p):
-        order = np.argsort(X[:, j], kind="stable")
-        xs, ys = X[order, j], y[order]
-        left_n = np.arange(1, n)
-        left_s = np.cumsum(ys)[:-1]
-        right_n = n - left_n
-        right_s = total - left_s
-        valid = (xs[1:] > xs[:-1]) & (left_n >= min_leaf) & (right_n >= min_leaf)
-        if not valid.any():
-            continue
-        score = left_s * left_s / left_n + right_s * right_s / right_n - base
-        score = np.where(valid, score, -np.inf)
-        i = int(np.argmax(score))
-        if score[i] > best[2] + 1e-12 * abs(base):
-            t = (xs[i] + xs[i + 1]) / 2.0
-            if t >= xs[i + 1]:  # neighbours one ulp apart: the midpoint rounds up
-                t = xs[i]
-            best = (j, t, float(score[i]))
-    return best
+    order = np.argsort(X, axis=0, kind="stable")
+    xs = np.take_along_axis(X, order, axis=0)
+    left_s = np.cumsum(y[order], axis=0)[:-1]
+    left_n = np.arange(1, n, dtype=float)[:, None]
+    right_n = n - left_n
+    right_s = total - left_s
+    valid = (xs[1:] > xs[:-1]) & (left_n >= min_leaf) & (right_n >= min_leaf)
+    if not valid.any():
+        return None, None, 0.0
+    score = np.where(valid, left_s * left_s / left_n + right_s * right_s / right_n - base,
+                     -np.inf)
+    flat = int(np.argmax(score.T))          # feature-major: lower feature wins a tie
+    j, i = divmod(flat, n - 1)
+    gain = float(score[i, j])
+    if not gain > 1e-12 * abs(base):
+        return None, None, 0.0
+    t = (xs[i, j] + xs[i + 1, j]) / 2.0
+    if t >= xs[i + 1, j]:  # neighbours one ulp apart: the midpoint rounds up
+        t = xs[i, j]
+    return j, t, gain
 
 
 def fit_tree(X: np.ndarray, y: np.ndarray, max_depth: int | None, min_leaf: int = 1):

@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.clean import CleaningStats, prepare
+from ..operators.clean import CleaningStats, impute, iqr_bounds, prepare, with_date_features
 from ..sources.tables import sales_fact
 from ..spec import DEFAULT_SPEC, SalesSpec
 
@@ -29,13 +29,22 @@ def raw_fact(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = N
 
 def cleaning_stats(spark: SparkSession, sf_dir: str, extra_parts: bool = False,
                    spec: SalesSpec = DEFAULT_SPEC) -> CleaningStats:
-    """Fitted once per folder over the fact with every date part of both
-    variants; each variant then uses the columns it has."""
+    """Fitted once per folder; each date-part variant uses the columns it has.
+
+    One pass over the full fact (every date part of both variants) finds the
+    columns with gaps and their fill values; the quartiles of the capped
+    measures then run on the narrowest fact that has them (line items and
+    parts only), since every statistic is column-wise.
+    """
     key = sf_dir.rstrip("/")
     if key not in _FITTED:
         st = CleaningStats()
-        prepare(sales_fact(spark, sf_dir, None, spec), spec, dates="strict",
-                extra_parts="all", stats=st)
+        full = with_date_features(sales_fact(spark, sf_dir, None, spec), spec, "strict", "all")
+        impute(full, spec, st)
+        st.fitted = True  # reuse the fills below instead of recomputing them
+        capped = list(spec.capped)
+        narrow = impute(sales_fact(spark, sf_dir, capped, spec), spec, st)
+        st.bounds = iqr_bounds(narrow, capped)
         _FITTED[key] = st
     return _FITTED[key]
 

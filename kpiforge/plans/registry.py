@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_parts, day_lag
 from ..functions.measures import dsum
-from ..operators import clean, kpi, ml, series, stats
+from ..operators import clean, kpi, ml, profile, series, stats
 from ..sources.tables import fact_columns
 from ..spec import DEFAULT_SPEC as S
 from . import oracle_sql as O
@@ -62,6 +62,29 @@ def q_null_profile(spark, sf):
     return stats.null_profile(with_gaps(raw_fact(spark, sf)))
 
 
+@register("table_shape", O.on_raw("SELECT COUNT(*) AS rows, CAST(18 AS BIGINT) AS columns FROM fact"))
+def q_table_shape(spark, sf):
+    return profile.shape(raw_fact(spark, sf))
+
+
+def _profile_sql() -> str:
+    cols = fact_columns()
+    types = ["string", "bigint", "date", "date", "string", "bigint", "string", "string",
+             "string", "string", "bigint", "string", "string", "string", "double", "double",
+             "decimal(18,4)", "decimal(18,4)"]
+    parts = " UNION ALL\n".join(
+        f"SELECT '{c}' AS column, CAST({i} AS BIGINT) AS position, '{t}' AS dtype, "
+        f"COUNT({c}) AS non_null, COUNT(*) - COUNT({c}) AS nulls FROM gapped"
+        for i, (c, t) in enumerate(zip(cols, types)))
+    return O.GAPPED + parts
+
+
+@register("column_profile", _profile_sql())
+def q_column_profile(spark, sf):
+    """Type and completeness of every order-line column (with injected gaps)."""
+    return profile.column_profile(with_gaps(raw_fact(spark, sf)))
+
+
 def _median_sql() -> str:
     h = "((count(sales) - 1) * 0.5)"
     lst = "list_sort(list(sales) FILTER (WHERE sales IS NOT NULL))"
