@@ -51,6 +51,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            # a machine-local folder would vanish with the executor that wrote it
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         path = tempfile.mkdtemp(prefix="kpiforge-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
