@@ -213,6 +213,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small intermediate table: reliable checkpoint to
     the shared checkpoint folder, one partition (a feature table is a few
     hundred rows per series)."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)  # the cluster's shared folder (set if unset locally)
     return df.coalesce(1).checkpoint(eager=True)
 
 
