@@ -16,7 +16,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 ENCODINGS = ("UTF-8", "ISO-8859-1")
 REPLACEMENT = "�"
@@ -24,8 +24,9 @@ REPLACEMENT = "�"
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
              "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
              "nan", "null")
-# Known numeric columns of an order-line export (snake_case names).
-NUMERIC_COLUMNS = {"row_id": LongType(), "sales": DoubleType(), "quantity": DoubleType(),
+# Known numeric measures of an order-line export (snake_case names); other
+# columns, identifiers included, stay text.
+NUMERIC_COLUMNS = {"sales": DoubleType(), "quantity": DoubleType(),
                    "discount": DoubleType(), "profit": DoubleType()}
 
 
