@@ -6,10 +6,11 @@ a single task holding every distinct value. The functions here never do that:
 
 * ``exact_quantiles`` is a distributed selection. A bounded-size sketch
   (``percentile_approx``) brackets each wanted rank, exact ``count_if`` passes
-  confirm the bracket, and only the distinct values inside a confirmed bracket
-  (bounded by ``final_limit``, checked with a HyperLogLog estimate first) are
-  counted exactly. Each pass is one scan with map-side partial aggregation; a
-  hot value holding a third of all rows collapses to one (value, count) pair.
+  confirm the bracket (or find the rank on one of its ends), and only the
+  values inside a bracket of at most ``final_limit`` rows are counted exactly.
+  Brackets exclude their ends once those are known not to hold the rank, so a
+  hot value holding a third of all rows is cut off in one round. Each pass is
+  one scan with map-side partial aggregation.
 * ``column_modes`` counts values per column with partial aggregation and keeps
   the top value with a TakeOrderedAndProject (top-1 per partition).
 
@@ -67,7 +68,6 @@ class _Target:
         self.a_open = self.b_open = False
         self.below = 0              # rows with a value below the bracket
         self.inside = None          # rows inside the bracket
-        self.distinct = None        # approx distinct values inside
         self.value = None
         self.done = False
 
@@ -96,12 +96,14 @@ def exact_quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
     # Pass 1: non-null counts and a first sketch bracket around every p.
     first = []
     for i, c in enumerate(cols):
-        first.append(F.count(F.col(c)).alias(f"n{i}"))
-        for j, p in enumerate(targets[c]):
+        probs = []
+        for p in targets[c]:
             if not 0.0 <= p <= 1.0:
                 raise ValueError(f"probability out of range: {p}")
-            first.append(F.percentile_approx(
-                F.col(c), [max(0.0, p - eps), min(1.0, p + eps)], accuracy).alias(f"s{i}_{j}"))
+            probs += [max(0.0, p - eps), min(1.0, p + eps)]
+        # one sketch per column serves all of its probabilities
+        first += [F.count(F.col(c)).alias(f"n{i}"),
+                  F.percentile_approx(F.col(c), probs, accuracy).alias(f"s{i}")]
     row0 = df.agg(*first).first()
 
     # (column, rank) -> target; probabilities needing the same rank share it
@@ -120,7 +122,7 @@ def exact_quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
                 if (c, r) not in wanted:
                     t = wanted[(c, r)] = _Target(c, r)
                     t.inside = n
-                    proposals[id(t)] = tuple(row0[f"s{i}_{j}"])
+                    proposals[id(t)] = tuple(row0[f"s{i}"][2 * j:2 * j + 2])
     tlist = list(wanted.values())
 
     for _ in range(MAX_ROUNDS):
@@ -148,9 +150,7 @@ def exact_quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
             cnt += [F.count_if(base & (c < F.lit(a))).alias(f"lta{i}"),
                     F.count_if(base & (c <= F.lit(a))).alias(f"lea{i}"),
                     F.count_if(base & (c < F.lit(b))).alias(f"ltb{i}"),
-                    F.count_if(base & (c <= F.lit(b))).alias(f"leb{i}"),
-                    F.approx_count_distinct(F.when(base & (c > F.lit(a)) & (c < F.lit(b)), c))
-                    .alias(f"d{i}")]
+                    F.count_if(base & (c <= F.lit(b))).alias(f"leb{i}")]
         crow = df.agg(*cnt).first()
         for i, t in enumerate(active):
             a, b = proposals[id(t)]
@@ -164,14 +164,13 @@ def exact_quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
             elif lea <= r < ltb:           # strictly between: (a, b)
                 t.a, t.a_open, t.b, t.b_open = a, True, b, True
                 t.below, t.inside = t.below + lea, ltb - lea
-                t.distinct = int(crow[f"d{i}"])
             elif r < lta:                  # below a: keep the lower end, cut at a
-                t.b, t.b_open, t.inside, t.distinct = a, True, lta, None
+                t.b, t.b_open, t.inside = a, True, lta
             else:                          # above b: cut at b, keep the upper end
                 t.a, t.a_open = b, True
-                t.below, t.inside, t.distinct = t.below + leb, t.inside - leb, None
-            if not t.done and t.distinct is not None and t.distinct <= final_limit:
-                t.done = True  # ready for the exact pass
+                t.below, t.inside = t.below + leb, t.inside - leb
+            if not t.done and t.inside <= final_limit:
+                t.done = True  # few enough rows (hence values) for the exact pass
         proposals = {}
     if any(not t.done for t in tlist):
         raise RuntimeError("exact quantile selection did not converge")
@@ -184,12 +183,16 @@ def exact_quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
         by_type.setdefault(df.schema[t.col].dataType.simpleString(), []).append(i)
     rows: dict[int, list[tuple[object, int]]] = {}
     for idx in by_type.values():
-        u = None
+        # one scan per value type: each row contributes (target, value) for
+        # every bracket it falls in
+        tagged = F.array(*[F.when(pending[i].cond(), F.struct(
+            F.lit(i).alias("t"), F.col(pending[i].col).alias("v"))) for i in idx])
+        anyb = None
         for i in idx:
-            t = pending[i]
-            part = (df.where(t.cond()).groupBy(F.col(t.col).alias("v")).count()
-                    .select(F.lit(i).alias("t"), "v", "count"))
-            u = part if u is None else u.unionByName(part)
+            anyb = pending[i].cond() if anyb is None else anyb | pending[i].cond()
+        u = (df.where(anyb)
+             .select(F.explode(F.filter(tagged, lambda x: x.isNotNull())).alias("p"))
+             .groupBy("p.t", "p.v").count())
         for r in u.collect():
             rows.setdefault(r["t"], []).append((r["v"], int(r["count"])))
     for i, t in enumerate(pending):
