@@ -133,6 +133,23 @@ def sales_fact(spark: SparkSession, sf_dir: str,
     return lines.select(*[exprs[c][0].alias(c) for c in wanted])
 
 
+def orphan_counts(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """Rows that the inner star join would drop, per foreign key (all zero
+    when the join pruning of ``sales_fact`` is exact). A diagnostic: each
+    count is an anti join over the full tables."""
+    t = {n: read_table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "part",
+                                                   "nation", "region")}
+    checks = {
+        "lineitem.l_orderkey": (t["lineitem"], t["orders"], "l_orderkey", "o_orderkey"),
+        "lineitem.l_partkey": (t["lineitem"], t["part"], "l_partkey", "p_partkey"),
+        "orders.o_custkey": (t["orders"], t["customer"], "o_custkey", "c_custkey"),
+        "customer.c_nationkey": (t["customer"], t["nation"], "c_nationkey", "n_nationkey"),
+        "nation.n_regionkey": (t["nation"], t["region"], "n_regionkey", "r_regionkey"),
+    }
+    return {name: child.join(parent, child[ck] == parent[pk], "left_anti").count()
+            for name, (child, parent, ck, pk) in checks.items()}
+
+
 # SQL text of the same fact for DuckDB oracles (full six-table inner join).
 FACT_SQL = """
 SELECT

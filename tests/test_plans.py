@@ -66,3 +66,12 @@ def test_filters_pushed_to_scan(spark):
         F.col("ship_date") >= F.lit("2000-01-01").cast("date"))
     p = plan(df)
     assert "PushedFilters" in p and "l_shipdate" in p.split("PushedFilters")[1].split("\n")[0]
+
+
+def test_join_pruning_is_exact_on_driver_tables(spark):
+    from kpiforge.sources.tables import orphan_counts
+    assert set(orphan_counts(spark, SF_SMALL).values()) == {0}
+    cols = ["category", "sales", "profit", "quantity", "order_id"]
+    pruned = kpi.category_performance(sales_fact(spark, SF_SMALL, cols)).collect()
+    full = kpi.category_performance(sales_fact(spark, SF_SMALL, cols, strict=True)).collect()
+    assert pruned == full
