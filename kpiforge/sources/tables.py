@@ -39,14 +39,41 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def sized_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """``broadcast(df)`` if its estimated size is under ``limit``, else df."""
-    size = estimated_bytes(df)
+def _type_width(t) -> int:
+    """Bytes per value as Catalyst's size estimates count them."""
+    name = t.typeName()
+    if name in ("string", "binary"):
+        return 20
+    if name == "decimal":
+        return 8 if t.precision <= 18 else 16
+    return {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "date": 4,
+            "float": 4}.get(name, 8)
+
+
+def _row_width(df: DataFrame) -> int:
+    return max(1, sum(_type_width(f.dataType) for f in df.schema.fields))
+
+
+def sized_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES,
+                    size: int | None = None) -> DataFrame:
+    """``broadcast(df)`` if its size (given, or Catalyst's estimate) is under
+    ``limit``, else df unchanged."""
+    size = estimated_bytes(df) if size is None else size
     if size is not None and size <= limit:
         return F.broadcast(df)
     return df
 
 
+def fk_join_size(many: DataFrame, joined: DataFrame) -> int | None:
+    """Size bound of ``many`` joined to a table on that table's primary key:
+    at most one output row per row of ``many``, each as wide as ``joined``'s
+    row (Catalyst's own estimate of a join is the product of its inputs)."""
+    base = estimated_bytes(many)
+    if base is None:
+        return None
+    return base * _row_width(joined) // _row_width(many)
+
+
 def _fact_columns(spec: SalesSpec) -> dict[str, tuple[Column, set[str]]]:
     """Output column -> (expression, dimension tables it needs)."""
     li = lambda c: F.col(c)  # noqa: E731  (readability of the table below)
@@ -121,9 +148,12 @@ def sales_fact(spark: SparkSession, sf_dir: str,
                         .drop("n_nationkey"))
             # Attach customers to orders before the (larger) line items meet
             # them, so the line items are shuffled by order key only.
-            orders = orders.join(sized_broadcast(cust),
-                                 orders.o_custkey == cust.c_custkey)
-        lines = lines.join(sized_broadcast(orders),
+            joined = orders.join(sized_broadcast(cust), orders.o_custkey == cust.c_custkey)
+            bound = fk_join_size(orders, joined)
+            orders = joined
+        else:
+            bound = None
+        lines = lines.join(sized_broadcast(orders, size=bound),
                            lines.l_orderkey == orders.o_orderkey)
     if "part" in needs:
         part = read_table(spark, sf_dir, "part").select(

@@ -75,3 +75,16 @@ def test_join_pruning_is_exact_on_driver_tables(spark):
     pruned = kpi.category_performance(sales_fact(spark, SF_SMALL, cols)).collect()
     full = kpi.category_performance(sales_fact(spark, SF_SMALL, cols, strict=True)).collect()
     assert pruned == full
+
+
+def test_line_items_are_never_the_broadcast_side(spark):
+    """Orders with their customers are broadcast only under a size bound
+    derived from the orders table (a foreign-key join adds no rows), and the
+    line items always stream."""
+    from kpiforge.sources.tables import estimated_bytes, fk_join_size, read_table
+    orders = read_table(spark, SF_SMALL, "orders")
+    cust = read_table(spark, SF_SMALL, "customer")
+    joined = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    assert fk_join_size(orders, joined) >= estimated_bytes(orders)
+    p = plan(registry.QUERIES["segment_performance"](spark, SF_SMALL))
+    assert "BuildLeft" not in p
