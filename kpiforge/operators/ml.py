@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from ..functions.dates import month_label
 from ..spec import DEFAULT_SPEC, SalesSpec
 from . import series
 
@@ -370,7 +371,7 @@ def selected_forecast(fits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     best = cv_summary(fits, keys).where("selected").select(*keys, "model")
     preds = fits.where((F.col("fold") == -1) & F.col("step").isNotNull())
     return (preds.join(best, keys + ["model"], "left_semi")
-            .select(*keys, "model", "step", "date",
+            .select(*keys, "model", "step", "date", month_label("date").alias("label"),
                     F.col("prediction").alias("forecasted_sales")))
 
 

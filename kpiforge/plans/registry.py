@@ -746,14 +746,17 @@ def q_regression_metrics(spark, sf):
 _FITS: dict[tuple, object] = {}
 
 
-def _memo(key, make):
+def _memo(spark, key, make):
+    """Fits are reused by the queries that read them, within one application
+    (the cached frames point at that application's checkpoint files)."""
+    key = (spark.sparkContext.applicationId, *key)
     if key not in _FITS:
         _FITS[key] = make()
     return _FITS[key]
 
 
 def _sales_model(spark, sf):
-    return _memo(("sales_model", sf.rstrip("/")),
+    return _memo(spark, ("sales_model", sf.rstrip("/")),
                  lambda: ml.fit_sales_model(prepared_fact(spark, sf)))
 
 
@@ -777,7 +780,7 @@ def _global_fits(spark, sf):
         f = ml.materialize(series.monthly_features(_fc_frame(spark, sf)))
         fut = series.future_features(f, 6)
         return f, ml.materialize(ml.grouped_fits(f, fut, [], _CANDIDATES))
-    return _memo(("global_fits", sf.rstrip("/")), make)
+    return _memo(spark, ("global_fits", sf.rstrip("/")), make)
 
 
 def _category_fits(spark, sf):
@@ -791,7 +794,7 @@ def _category_fits(spark, sf):
             series.CATEGORY_WINDOWS, with_std=False, require_full_window=True)
         fits = ml.grouped_fits(f, fut, k, ["gradient_boosting"], min_train=5, min_test=2)
         return f, ml.materialize(fits)
-    return _memo(("category_fits", sf.rstrip("/")), make)
+    return _memo(spark, ("category_fits", sf.rstrip("/")), make)
 
 
 @register("model_comparison")
