@@ -34,9 +34,9 @@ def parse_date(col: str | Column, dtype=None, mode: str = "strict") -> Column:
         return tried
     if mode != "strict":
         raise ValueError(f"unknown date mode {mode!r}")
-    return (F.when(c.isNull(), F.lit(None).cast("date"))
-            .when(tried.isNotNull(), tried)
-            .otherwise(F.to_date(c, DATE_FORMATS[0])))
+    # raise explicitly, whatever the session's ANSI setting
+    return (F.when(c.isNull() | tried.isNotNull(), tried)
+            .otherwise(F.raise_error(F.concat(F.lit("unparseable date: "), c)).cast("date")))
 
 
 def month_key(d: str | Column) -> Column:

@@ -51,7 +51,9 @@ def _read(spark, path, encoding, multi_line) -> DataFrame:
         c = F.when(F.trim(c).isin(list(NA_TOKENS)), F.lit(None)).otherwise(c)
         typ = NUMERIC_COLUMNS.get(snake(name))
         if typ is not None:
-            c = c.cast(typ)  # ANSI cast: a malformed number is an error, not a null
+            # a malformed number is an error, not a null (in any ANSI mode)
+            c = F.when(c.isNull() | c.try_cast(typ).isNotNull(), c.try_cast(typ)).otherwise(
+                F.raise_error(F.concat(F.lit(f"not a number in {name}: "), c)).cast(typ))
         out.append(c.alias(snake(name)))
     return raw.select(*out)
 

@@ -268,3 +268,28 @@ def test_exact_quantiles_match_pandas_with_heavy_ties(spark):
     got = stats.exact_quantiles(df, {"x": probs}, accuracy=50, final_limit=3)["x"]
     want = pd.Series(vals).quantile(probs).tolist()
     assert [got[p] for p in probs] == pytest.approx(want, abs=0, rel=1e-12)
+
+
+def test_malformed_number_in_csv_raises(spark):
+    d = tempfile.mkdtemp(prefix="csvm-", dir="/tmp")
+    p = os.path.join(d, "m.csv")
+    _write(p, b"Category,Sales\nA,12x\n")
+    with pytest.raises(Exception, match="not a number"):
+        read_sales_csv(spark, p).collect()
+
+
+def test_strict_dates_raise_without_ansi(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        df = spark.createDataFrame([("13/45/2016",)], "d string")
+        with pytest.raises(Exception, match="unparseable date"):
+            df.select(parse_date("d", df.schema["d"].dataType, "strict")).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_margin_consistent_with_sums(spark):
+    df = lines(spark, [dict(category="A", sales=10, profit=2), dict(category="A", sales=30, profit=-1),
+                       dict(category="B", sales=5, profit=5)])
+    for r in kpi.category_performance(df).collect():
+        assert r["profit_margin"] == pytest.approx(100.0 * r["profit"] / r["sales"])
