@@ -210,13 +210,14 @@ def fit_sales_model(prepared: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
 # Monthly forecasters
 # --------------------------------------------------------------------------
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small intermediate table: reliable checkpoint to
-    the shared checkpoint folder, one partition (a feature table is a few
-    hundred rows per series)."""
+def materialize(df: DataFrame, single: bool = False) -> DataFrame:
+    """Cut the lineage of an intermediate table: reliable checkpoint to the
+    shared checkpoint folder. ``single`` packs it into one partition (for a
+    single series, a few hundred rows); a panel of many series keeps its
+    partitioning."""
     from ..session import checkpoint_dir
     checkpoint_dir(df.sparkSession)  # the cluster's shared folder (set if unset locally)
-    return df.coalesce(1).checkpoint(eager=True)
+    return (df.coalesce(1) if single else df).checkpoint(eager=True)
 
 
 def fold_bounds(n: int, n_splits: int = series.N_SPLITS) -> list[tuple[int, int, int]]:

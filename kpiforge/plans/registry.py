@@ -777,9 +777,9 @@ def _global_fits(spark, sf):
     """Monthly features (checkpointed) and every fit of the three candidates:
     5 CV folds each plus a refit scoring the 6-step horizon."""
     def make():
-        f = ml.materialize(series.monthly_features(_fc_frame(spark, sf)))
+        f = ml.materialize(series.monthly_features(_fc_frame(spark, sf)), single=True)
         fut = series.future_features(f, 6)
-        return f, ml.materialize(ml.grouped_fits(f, fut, [], _CANDIDATES))
+        return f, ml.materialize(ml.grouped_fits(f, fut, [], _CANDIDATES), single=True)
     return _memo(spark, ("global_fits", sf.rstrip("/")), make)
 
 
