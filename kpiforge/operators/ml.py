@@ -160,6 +160,8 @@ def fit_sales_model(prepared: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
     every feature is tried at each split, as there.
     """
     spark = prepared.sparkSession
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)  # node-id caches are checkpointed to the shared folder
     num, cat = model_inputs(prepared, spec)
     label = spec.sales
     data = prepared.select(*num, *cat, F.col(label).cast("double").alias("label"),
@@ -177,7 +179,10 @@ def fit_sales_model(prepared: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
     stages += [VectorAssembler(inputCols=[f"{c}__z" for c in num] + ohe, outputCol="features"),
                RandomForestRegressor(labelCol="label", featuresCol="features",
                                      numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                     featureSubsetStrategy="all", subsamplingRate=1.0)]
+                                     featureSubsetStrategy="all", subsamplingRate=1.0,
+                                     # keep each row's current node per tree instead
+                                     # of re-walking the trees at every level
+                                     cacheNodeIds=True, checkpointInterval=10)]
     z = standardized(num, scaling, "__z")
     train_z = train.select("*", *z)
     parallelism = spark.sparkContext.defaultParallelism
