@@ -22,7 +22,7 @@ from pyspark.sql.types import DecimalType, NumericType, StringType
 
 from ..functions.dates import date_parts, day_lag, parse_date
 from ..spec import DEFAULT_SPEC, SalesSpec
-from .stats import column_modes, exact_quantiles
+from .stats import column_modes, quantiles
 
 IQR_K = 1.5
 
@@ -89,7 +89,7 @@ def text_columns(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC) -> list[str]:
 
 
 def impute(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
-           stats: CleaningStats | None = None) -> DataFrame:
+           stats: CleaningStats | None = None, method: str = "exact") -> DataFrame:
     """Fill nulls: numeric columns with their median, text and identifier
     columns with their mode. Only columns that have nulls are touched, so a
     complete table costs one counting pass."""
@@ -101,7 +101,7 @@ def impute(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
         num = [c for c in numeric_columns(df, spec) if c in gaps]
         txt = [c for c in text_columns(df, spec) if c in gaps]
         if num:
-            q = exact_quantiles(df, {c: [0.5] for c in num})
+            q = quantiles(df, {c: [0.5] for c in num}, method)
             stats.medians = {c: q[c][0.5] for c in num}
         if txt:
             stats.modes = column_modes(df, txt)
@@ -126,9 +126,11 @@ def impute(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
     return df.select(*out)
 
 
-def iqr_bounds(df: DataFrame, cols: list[str], k: float = IQR_K) -> dict[str, tuple]:
-    """column -> (q1, q3, lower, upper) with lower = q1 - k*iqr, upper = q3 + k*iqr."""
-    q = exact_quantiles(df, {c: [0.25, 0.75] for c in cols})
+def iqr_bounds(df: DataFrame, cols: list[str], k: float = IQR_K,
+               method: str = "exact") -> dict[str, tuple]:
+    """column -> (q1, q3, lower, upper) with lower = q1 - k*iqr, upper = q3 + k*iqr.
+    ``method="approx"`` trades exactness for a single sketch pass."""
+    q = quantiles(df, {c: [0.25, 0.75] for c in cols}, method)
     out = {}
     for c in cols:
         q1, q3 = q[c][0.25], q[c][0.75]
@@ -150,14 +152,14 @@ def cap_expr(col: str, dtype, lower, upper) -> Column:
 
 
 def cap_outliers(df: DataFrame, cols: list[str], k: float = IQR_K,
-                 stats: CleaningStats | None = None) -> DataFrame:
+                 stats: CleaningStats | None = None, method: str = "exact") -> DataFrame:
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
     if stats is not None and stats.fitted:
         b = stats.bounds
     else:
-        b = iqr_bounds(df, cols, k)
+        b = iqr_bounds(df, cols, k, method)
         if stats is not None:
             stats.bounds = b
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -166,11 +168,12 @@ def cap_outliers(df: DataFrame, cols: list[str], k: float = IQR_K,
 
 
 def prepare(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC, dates: str = "strict",
-            extra_parts: bool = False, stats: CleaningStats | None = None) -> DataFrame:
+            extra_parts: bool = False, stats: CleaningStats | None = None,
+            quantile_method: str = "exact") -> DataFrame:
     """Dates -> date parts -> impute -> IQR cap (the reference's order)."""
     out = with_date_features(df, spec, dates, extra_parts)
-    out = impute(out, spec, stats)
-    out = cap_outliers(out, list(spec.capped), IQR_K, stats)
+    out = impute(out, spec, stats, quantile_method)
+    out = cap_outliers(out, list(spec.capped), IQR_K, stats, quantile_method)
     if stats is not None:
         stats.fitted = True
     return out

@@ -218,6 +218,33 @@ def exact_quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
     return out
 
 
+def approx_quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
+                     accuracy: int = 100_000) -> dict[str, dict[float, float | None]]:
+    """One-pass quantiles from bounded sketches (rank error <= n / accuracy),
+    for when a few extra scans of a very large column are not worth exactness.
+    Returns actual column values (no interpolation)."""
+    cols = list(targets)
+    if not cols:
+        return {}
+    row = df.agg(*[F.percentile_approx(F.col(c), list(targets[c]), accuracy).alias(f"q{i}")
+                   for i, c in enumerate(cols)]).first()
+    out = {}
+    for i, c in enumerate(cols):
+        vals = row[f"q{i}"]
+        out[c] = {p: (None if vals is None else _num(vals[j]))
+                  for j, p in enumerate(targets[c])}
+    return out
+
+
+def quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
+              method: str = "exact") -> dict[str, dict[float, float | None]]:
+    if method == "exact":
+        return exact_quantiles(df, targets)
+    if method == "approx":
+        return approx_quantiles(df, targets)
+    raise ValueError(f"unknown quantile method {method!r}")
+
+
 def exact_medians(df: DataFrame, cols: Iterable[str], **kw) -> dict[str, float | None]:
     q = exact_quantiles(df, {c: [0.5] for c in cols}, **kw)
     return {c: q[c][0.5] for c in q}

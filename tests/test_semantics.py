@@ -293,3 +293,14 @@ def test_margin_consistent_with_sums(spark):
                        dict(category="B", sales=5, profit=5)])
     for r in kpi.category_performance(df).collect():
         assert r["profit_margin"] == pytest.approx(100.0 * r["profit"] / r["sales"])
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    rng = np.random.default_rng(3)
+    vals = rng.normal(size=20000)
+    df = spark.createDataFrame(pd.DataFrame({"x": vals}))
+    a = stats.approx_quantiles(df, {"x": [0.25, 0.75]})["x"]
+    e = stats.exact_quantiles(df, {"x": [0.25, 0.75]})["x"]
+    for p in (0.25, 0.75):
+        rank = (vals < a[p]).mean()
+        assert abs(rank - p) <= 1.0 / len(vals) + 1.0 / 100_000 and abs(a[p] - e[p]) < 1e-3
