@@ -67,6 +67,12 @@ def q_table_shape(spark, sf):
     return profile.shape(raw_fact(spark, sf))
 
 
+@register("sample_rows")
+def q_sample_rows(spark, sf):
+    """A peek at five order lines (which five is up to the engine: rows-only)."""
+    return profile.sample_rows(raw_fact(spark, sf), 5)
+
+
 def _profile_sql() -> str:
     cols = fact_columns()
     types = ["string", "bigint", "date", "date", "string", "bigint", "string", "string",
@@ -855,4 +861,4 @@ def oracle() -> dict[str, str]:
     return dict(ORACLE)
 
 
-__all__ = ["QUERIES", "ORACLE", "queries", "oracle", "F"]
+__all__ = ["QUERIES", "ORACLE", "queries", "oracle"]

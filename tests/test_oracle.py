@@ -24,7 +24,8 @@ def test_every_query_has_rows_or_is_model(spark):
     assert models == {
         "sales_model_metrics", "sales_model_importance", "model_comparison", "model_cv_scores",
         "forecast_feature_importance", "category_model_scores", "sales_forecast",
-        "category_forecast", "history_plus_forecast", "category_history_plus_forecast"}
+        "category_forecast", "history_plus_forecast", "category_history_plus_forecast",
+        "sample_rows"}
 
 
 def test_entry_smoke(spark):
