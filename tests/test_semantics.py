@@ -304,3 +304,14 @@ def test_approx_quantiles_close_to_exact(spark):
     for p in (0.25, 0.75):
         rank = (vals < a[p]).mean()
         assert abs(rank - p) <= 1.0 / len(vals) + 1.0 / 100_000 and abs(a[p] - e[p]) < 1e-3
+
+
+def test_scaler_population_std_and_constant_column(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0), (6.0, 5.0)], "a double, c double")
+    p = ml.standardize_params(df, ["a", "c"])
+    vals = np.array([1.0, 2.0, 3.0, 6.0])
+    assert p["a"][0] == pytest.approx(vals.mean()) and p["a"][1] == pytest.approx(vals.std(ddof=0))
+    assert p["c"] == (5.0, 1.0)
+    z = df.select(*ml.standardized(["a", "c"], p)).collect()
+    assert [r["c"] for r in z] == [0.0] * 4
+    assert sum(r["a"] for r in z) == pytest.approx(0.0)
