@@ -28,6 +28,14 @@ def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df if cond is None else df.where(cond)
 
 
+def distinct_count(col: str, exact: bool = True) -> Column:
+    """Distinct non-null values: exact (a (group, value) aggregate, shuffles
+    one row per distinct pair) or HyperLogLog++ (one pass, a fixed-size
+    sketch per group, ~1% relative error) for very large id spaces."""
+    c = F.count_distinct(col) if exact else F.approx_count_distinct(col, 0.01)
+    return c.cast("bigint")
+
+
 def _money(spec: SalesSpec) -> list[Column]:
     return [money_sum(spec.sales).alias("sales"),
             money_sum(spec.profit).alias("profit")]
@@ -82,28 +90,31 @@ def recent_growth(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC, n: int = 5) ->
 # Category, segment, region, ship mode (A3-A10)
 # --------------------------------------------------------------------------
 
-def category_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC) -> DataFrame:
+def category_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
+                         exact: bool = True) -> DataFrame:
     out = (keyed(df, [spec.category]).groupBy(spec.category)
            .agg(*_money(spec), money_sum(spec.quantity).alias("quantity"),
-                F.count_distinct(spec.order_id).cast("bigint").alias("order_count"))
+                distinct_count(spec.order_id, exact).alias("order_count"))
            .withColumn("profit_margin", margin_pct()))
     return sort_desc(out, "sales", [spec.category])
 
 
-def subcategory_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC) -> DataFrame:
+def subcategory_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
+                            exact: bool = True) -> DataFrame:
     keys = [spec.category, spec.sub_category]
     out = (keyed(df, keys).groupBy(*keys)
            .agg(*_money(spec), money_sum(spec.quantity).alias("quantity"),
-                F.count_distinct(spec.order_id).cast("bigint").alias("order_count"))
+                distinct_count(spec.order_id, exact).alias("order_count"))
            .withColumn("profit_margin", margin_pct()))
     return sort_desc(out, "sales", keys)
 
 
-def segment_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC) -> DataFrame:
+def segment_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
+                        exact: bool = True) -> DataFrame:
     out = (keyed(df, [spec.segment]).groupBy(spec.segment)
            .agg(*_money(spec),
-                F.count_distinct(spec.customer_id).cast("bigint").alias("customer_count"),
-                F.count_distinct(spec.order_id).cast("bigint").alias("order_count"))
+                distinct_count(spec.customer_id, exact).alias("customer_count"),
+                distinct_count(spec.order_id, exact).alias("order_count"))
            .withColumn("profit_margin", margin_pct())
            .withColumn("sales_per_customer", ratio("sales", "customer_count"))
            .withColumn("profit_per_customer", ratio("profit", "customer_count")))
@@ -117,11 +128,12 @@ def category_ratio(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC) -> DataFrame:
             .orderBy(spec.category))
 
 
-def regional_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC) -> DataFrame:
+def regional_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
+                         exact: bool = True) -> DataFrame:
     keys = [spec.region, spec.state]
     out = (keyed(df, keys).groupBy(*keys)
            .agg(*_money(spec),
-                F.count_distinct(spec.order_id).cast("bigint").alias("order_count"))
+                distinct_count(spec.order_id, exact).alias("order_count"))
            .withColumn("profit_margin", margin_pct()))
     return sort_desc(out, "sales", keys)
 
@@ -132,10 +144,11 @@ def state_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC) -> DataFram
             .orderBy(spec.state))
 
 
-def shipping_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC) -> DataFrame:
+def shipping_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
+                         exact: bool = True) -> DataFrame:
     return (keyed(df, [spec.ship_mode]).groupBy(spec.ship_mode)
             .agg(*_money(spec),
-                 F.count_distinct(spec.order_id).cast("bigint").alias("order_count"))
+                 distinct_count(spec.order_id, exact).alias("order_count"))
             .withColumn("profit_margin", margin_pct())
             .withColumn("avg_order_value", ratio("sales", "order_count"))
             .orderBy(spec.ship_mode))
@@ -271,27 +284,29 @@ def dash_state_margin(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
 
 
 def _calendar_metrics(df: DataFrame, name: Column, ordinal: Column, label: str,
-                      spec: SalesSpec) -> DataFrame:
+                      spec: SalesSpec, exact: bool = True) -> DataFrame:
     d = df.where(F.col(spec.order_date).isNotNull()).select(
         name.alias(label), ordinal.cast("bigint").alias(f"{label}_ordinal"),
         spec.sales, spec.profit, spec.order_id)
     return (d.groupBy(label, f"{label}_ordinal")
             .agg(*_money(spec),
-                 F.count_distinct(spec.order_id).cast("bigint").alias("order_count"))
+                 distinct_count(spec.order_id, exact).alias("order_count"))
             .withColumn("profit_margin", margin_pct())
             .orderBy(f"{label}_ordinal"))
 
 
-def dash_day_of_week(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC) -> DataFrame:
+def dash_day_of_week(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
+                     exact: bool = True) -> DataFrame:
     """Weekday metrics, Monday first (ordinal 0 = Monday)."""
     d = F.col(spec.order_date)
-    return _calendar_metrics(df, day_name(d), weekday0(d), "day_of_week", spec)
+    return _calendar_metrics(df, day_name(d), weekday0(d), "day_of_week", spec, exact)
 
 
-def dash_month_of_year(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC) -> DataFrame:
+def dash_month_of_year(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
+                       exact: bool = True) -> DataFrame:
     """Month-of-year metrics pooled over years, January first."""
     d = F.col(spec.order_date)
-    return _calendar_metrics(df, month_name(d), F.month(d), "month_of_year", spec)
+    return _calendar_metrics(df, month_name(d), F.month(d), "month_of_year", spec, exact)
 
 
 # --------------------------------------------------------------------------

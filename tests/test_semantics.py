@@ -315,3 +315,11 @@ def test_scaler_population_std_and_constant_column(spark):
     z = df.select(*ml.standardized(["a", "c"], p)).collect()
     assert [r["c"] for r in z] == [0.0] * 4
     assert sum(r["a"] for r in z) == pytest.approx(0.0)
+
+
+def test_approximate_distinct_counts_are_close(spark):
+    rows = [dict(category="A", order_id=f"o{i % 997}") for i in range(3000)]
+    df = lines(spark, rows)
+    exact = kpi.category_performance(df).first()["order_count"]
+    approx = kpi.category_performance(df, exact=False).first()["order_count"]
+    assert exact == 997 and abs(approx - exact) / exact < 0.05
