@@ -388,3 +388,28 @@ def selected_importance(fits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     imp = fits.where((F.col("fold") == -1) & F.col("feature").isNotNull())
     return imp.join(best, keys + ["model"], "left_semi").select(*keys, "model", "feature",
                                                                 "importance")
+
+
+def forecast_series(features: DataFrame, horizon: int = 3, keys: Sequence[str] = (),
+                    models: Sequence[str] | None = None, step: str = "30d",
+                    spec: SalesSpec = DEFAULT_SPEC) -> tuple[DataFrame, DataFrame]:
+    """One call from a feature table to (model summary, forecast).
+
+    Global series: the three candidates are cross-validated and the best one
+    forecasts. Keyed panel (``keys=[category]``): one gradient-boosting model
+    per key, folds with < 5 train / < 2 test rows skipped. Lazy: nothing runs
+    until the results are used (materialize the features first when both
+    results are read)."""
+    keys = list(keys)
+    if keys:
+        fut = series.future_features(features, horizon, keys, series.CATEGORY_LAGS,
+                                     series.CATEGORY_LAG_MEASURES, series.CATEGORY_WINDOWS,
+                                     with_std=False, require_full_window=True, step=step)
+        fits = grouped_fits(features, fut, keys, list(models or ["gradient_boosting"]),
+                            min_train=5, min_test=2)
+    else:
+        fut = series.future_features(features, horizon, step=step)
+        fits = grouped_fits(features, fut, [], list(models or ["random_forest",
+                                                              "gradient_boosting",
+                                                              "linear_regression"]))
+    return cv_summary(fits, keys), selected_forecast(fits, keys)

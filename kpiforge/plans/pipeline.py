@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import ml, series
 from ..operators.clean import CleaningStats, parse_dates, prepare
 from ..session import scratch_path
-from ..sources.csv import read_sales_csv
+from ..sources import read_sales
 from ..sources.sinks import catalog, dataset_path, write_table
-from ..sources.tables import sales_fact
 from ..spec import DEFAULT_SPEC, SalesSpec
 from .charts import analysis_datasets, dashboard_datasets, top_features
 
@@ -66,13 +65,7 @@ class Run:
 
 def load(spark: SparkSession, source: str, kind: str = "star",
          spec: SalesSpec = DEFAULT_SPEC) -> DataFrame:
-    if kind == "star":
-        return sales_fact(spark, source, None, spec)
-    if kind == "csv":
-        return read_sales_csv(spark, source)
-    if kind == "parquet":
-        return spark.read.parquet(source)
-    raise ValueError(f"unknown source kind {kind!r}")
+    return read_sales(spark, source, kind, spec)
 
 
 def run_pipeline(spark: SparkSession, source: str, out_dir: str, kind: str = "star",
@@ -153,3 +146,16 @@ def run_pipeline(spark: SparkSession, source: str, out_dir: str, kind: str = "st
 
 
 _CANDIDATES = ("random_forest", "gradient_boosting", "linear_regression")
+
+
+def run_analysis(spark: SparkSession, source: str, out_dir: str, kind: str = "star",
+                 **kw) -> tuple[DataFrame, DataFrame]:
+    """KPI tables and the row-level sales model."""
+    return run_pipeline(spark, source, out_dir, kind, stages=("analysis", "sales_model"), **kw)
+
+
+def run_forecast(spark: SparkSession, source: str, out_dir: str, kind: str = "star",
+                 horizon: int = 6, **kw) -> tuple[DataFrame, DataFrame]:
+    """Global and per-category forecasts."""
+    return run_pipeline(spark, source, out_dir, kind, horizon=horizon,
+                        stages=("forecast", "category_forecast"), **kw)

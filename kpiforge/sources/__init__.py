@@ -1,0 +1,32 @@
+"""Order-line sources and dataset sinks."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..spec import DEFAULT_SPEC, SalesSpec
+
+
+def read_sales(spark: SparkSession, path: str, kind: str = "auto",
+               spec: SalesSpec = DEFAULT_SPEC) -> DataFrame:
+    """Order lines from a star-schema folder, a CSV export or a flat Parquet
+    table (``kind="auto"`` decides from the path)."""
+    from .csv import read_sales_csv
+    from .tables import sales_fact
+    if kind == "auto":
+        if os.path.exists(os.path.join(path, "lineitem.parquet")):
+            kind = "star"
+        elif path.lower().endswith(".csv") or (
+                os.path.isdir(path) and any(f.lower().endswith(".csv") for f in os.listdir(path))):
+            kind = "csv"
+        else:
+            kind = "parquet"
+    if kind == "star":
+        return sales_fact(spark, path, None, spec)
+    if kind == "csv":
+        return read_sales_csv(spark, path)
+    if kind == "parquet":
+        return spark.read.parquet(path)
+    raise ValueError(f"unknown source kind {kind!r}")

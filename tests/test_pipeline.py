@@ -160,3 +160,14 @@ def test_csv_export_gives_same_reports(spark):
     want_dow = {r["day_of_week"]: r["sales"]
                 for r in registry.QUERIES["dash_day_of_week"](spark, SF_SMALL).collect()}
     assert got_dow == want_dow
+
+
+def test_one_call_forecast_and_source_detection(spark):
+    from kpiforge.operators import ml, series
+    from kpiforge.sources import read_sales
+    assert read_sales(spark, SF_SMALL).columns[:2] == ["row_id", "order_id"]
+    f = ml.materialize(series.monthly_features(prepared_fact(
+        spark, SF_SMALL, ["order_date", "sales", "profit", "quantity", "discount", "order_id"],
+        extra_parts=True)), single=True)
+    summary, fc = ml.forecast_series(f, horizon=3)
+    assert fc.count() == 3 and summary.where("selected").count() == 1
