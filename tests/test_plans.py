@@ -88,3 +88,29 @@ def test_line_items_are_never_the_broadcast_side(spark):
     assert fk_join_size(orders, joined) >= estimated_bytes(orders)
     p = plan(registry.QUERIES["segment_performance"](spark, SF_SMALL))
     assert "BuildLeft" not in p
+
+
+def test_bucketed_line_items_join_orders_without_shuffling(spark):
+    """With line items and orders bucketed by order key, the big join keeps
+    both sides in place even when nothing is broadcast."""
+    import kpiforge.sources.tables as T
+    src = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    limit = T.BROADCAST_LIMIT_BYTES
+    T.BROADCAST_LIMIT_BYTES = -1
+    try:
+        base = registry.QUERIES["monthly_sales"](spark, src).collect()
+        T.bucket_star(spark, src, 4)
+        df = registry.QUERIES["monthly_sales"](spark, src)
+        buf = io.StringIO()
+        with redirect_stdout(buf):
+            df.explain()
+        p = buf.getvalue()
+        join = p.index("SortMergeJoin [l_orderkey")
+        scan = p.index("FileScan parquet spark_catalog.default.kpiforge_lineitem_")
+        assert join < scan and "Exchange" not in p[join:scan], p
+        assert df.collect() == base
+    finally:
+        T.BROADCAST_LIMIT_BYTES = limit
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        T._BUCKETED.clear()
