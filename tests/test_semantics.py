@@ -323,3 +323,22 @@ def test_approximate_distinct_counts_are_close(spark):
     exact = kpi.category_performance(df).first()["order_count"]
     approx = kpi.category_performance(df, exact=False).first()["order_count"]
     assert exact == 997 and abs(approx - exact) / exact < 0.05
+
+
+def test_exact_quantiles_property(spark):
+    """Random columns with heavy ties, forced through several narrowing
+    rounds (tiny sketch, tiny final limit), always equal numpy's linear
+    interpolation."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.integers(min_value=-5, max_value=40), min_size=1, max_size=300),
+           st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]), min_size=1,
+                    max_size=3, unique=True))
+    def check(vals, probs):
+        df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+        got = stats.exact_quantiles(df, {"x": probs}, accuracy=10, final_limit=2)["x"]
+        want = np.percentile(np.array(vals, dtype=float), [p * 100 for p in probs])
+        assert [got[p] for p in probs] == pytest.approx(list(want), rel=1e-12, abs=1e-12)
+    check()
