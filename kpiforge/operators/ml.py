@@ -166,37 +166,40 @@ def fit_sales_model(prepared: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
     label = spec.sales
     data = prepared.select(*num, *cat, F.col(label).cast("double").alias("label"),
                            is_test_row(spec.row_id, test_buckets).alias("_is_test"))
-    train = data.where(~F.col("_is_test"))
-    test = data.where(F.col("_is_test"))
-    scaling = standardize_params(train, num)
-    idx = [f"{c}__idx" for c in cat]
-    ohe = [f"{c}__ohe" for c in cat]
-    stages = []
-    if cat:
-        stages += [StringIndexer(inputCols=cat, outputCols=idx, handleInvalid="keep",
-                                 stringOrderType="alphabetAsc"),
-                   OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]
-    stages += [VectorAssembler(inputCols=[f"{c}__z" for c in num] + ohe, outputCol="features"),
-               RandomForestRegressor(labelCol="label", featuresCol="features",
-                                     numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                     featureSubsetStrategy="all", subsamplingRate=1.0,
-                                     # keep each row's current node per tree instead
-                                     # of re-walking the trees at every level
-                                     cacheNodeIds=True, checkpointInterval=10)]
-    z = standardized(num, scaling, "__z")
-    train_z = train.select("*", *z)
     parallelism = spark.sparkContext.defaultParallelism
-    if train_z.rdd.getNumPartitions() < parallelism:
+    if data.rdd.getNumPartitions() < parallelism:
         # a few large input splits would train on a few cores; at scale the
         # input already has many partitions and this shuffle is skipped
-        train_z = train_z.repartition(parallelism)
-    train_z = train_z.persist()
+        data = data.repartition(parallelism)
+    # one evaluation of the star join and cleaning feeds the scaling
+    # statistics, the indexers, every tree level and the hold-out scoring
+    data = data.persist()
     try:
-        model = Pipeline(stages=stages).fit(train_z)
+        train = data.where(~F.col("_is_test"))
+        test = data.where(F.col("_is_test"))
+        scaling = standardize_params(train, num)
+        idx = [f"{c}__idx" for c in cat]
+        ohe = [f"{c}__ohe" for c in cat]
+        stages = []
+        if cat:
+            stages += [StringIndexer(inputCols=cat, outputCols=idx, handleInvalid="keep",
+                                     stringOrderType="alphabetAsc"),
+                       OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]
+        stages += [VectorAssembler(inputCols=[f"{c}__z" for c in num] + ohe,
+                                   outputCol="features"),
+                   RandomForestRegressor(labelCol="label", featuresCol="features",
+                                         numTrees=num_trees, maxDepth=max_depth, seed=seed,
+                                         featureSubsetStrategy="all", subsamplingRate=1.0,
+                                         # keep each row's current node per tree instead
+                                         # of re-walking the trees at every level
+                                         cacheNodeIds=True, checkpointInterval=10)]
+        z = standardized(num, scaling, "__z")
+        model = Pipeline(stages=stages).fit(train.select("*", *z))
+        pred = model.transform(test.select("*", *z))
+        m = regression_metrics(pred, "label", "prediction").first()
     finally:
-        train_z.unpersist()
-    pred = model.transform(test.select("*", *z))
-    metrics = regression_metrics(pred, "label", "prediction")
+        data.unpersist()
+    metrics = spark.createDataFrame([tuple(m)], "n bigint, mae double, rmse double, r2 double")
 
     # Named importances: numeric name, or "<column>_<level>" per one-hot slot.
     names = list(num)
