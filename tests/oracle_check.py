@@ -2,8 +2,9 @@
 
     python tests/oracle_check.py [sf_dir] [name ...]
 
-Comparison: same column names, same row count, and the same multiset of rows
-with values compared exactly (doubles bit for bit, NaN == NaN, None == None).
+Comparison: same column names and types, same row count, and the same
+multiset of rows with values compared exactly (doubles bit for bit, NaN == NaN,
+None == None).
 """
 
 from __future__ import annotations
@@ -52,6 +53,15 @@ def _norm(v):
     return (4, str(v))
 
 
+def _spark_type(t: str) -> str:
+    return {"float": "double", "int": "integer"}.get(t, t)
+
+
+def _duck_type(t) -> str:
+    t = str(t).lower()
+    return {"varchar": "string", "float": "double"}.get(t, t)
+
+
 def rows_of(records, cols):
     return sorted(tuple(_norm(r[c]) for c in cols) for r in records)
 
@@ -72,6 +82,12 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if scols != dcols:
         res.update(ok=False, why=f"columns {scols} != {dcols}")
         return res
+    stypes = {f.name: _spark_type(f.dataType.simpleString()) for f in sdf.schema.fields}
+    dtypes = {c: _duck_type(t) for c, t in zip(rel.columns, rel.types)}
+    bad = {c: (stypes[c], dtypes[c]) for c in scols if stypes[c] != dtypes[c]}
+    if bad:
+        res.update(ok=False, why=f"column types differ: {bad}")
+        return res
     a, b = rows_of(srows, scols), rows_of(drows, dcols)
     if len(a) != len(b):
         res.update(ok=False, why="row count")
