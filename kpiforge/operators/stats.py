@@ -252,12 +252,26 @@ def exact_medians(df: DataFrame, cols: Iterable[str], **kw) -> dict[str, float |
 
 def column_modes(df: DataFrame, cols: Iterable[str]) -> dict[str, object]:
     """Most frequent non-null value per column; ties -> smallest value
-    (pandas ``mode()[0]``). One partially aggregated count per column."""
-    out = {}
+    (pandas ``mode()[0]``).
+
+    One scan per value type: rows are exploded to (column, value) pairs,
+    counted with partial aggregation, and each column's winner is a
+    ``min_by`` over (-count, value) - also partially aggregated, so neither a
+    hot value nor a high-cardinality column is gathered in one task."""
+    cols = list(cols)
+    by_type: dict[str, list[str]] = {}
     for c in cols:
-        top = (df.where(F.col(c).isNotNull()).groupBy(c).count()
-               .orderBy(F.col("count").desc(), F.col(c).asc()).limit(1).collect())
-        out[c] = top[0][c] if top else None
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    out: dict[str, object] = {c: None for c in cols}
+    for group in by_type.values():
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v"))
+                                    for c in group])).alias("p")
+        counts = (df.select(pairs).select("p.c", "p.v").where(F.col("v").isNotNull())
+                  .groupBy("c", "v").count())
+        best = counts.groupBy("c").agg(
+            F.min_by("v", F.struct((-F.col("count")).alias("n"), F.col("v"))).alias("mode"))
+        for r in best.collect():
+            out[r["c"]] = r["mode"]
     return out
 
 

@@ -342,3 +342,10 @@ def test_exact_quantiles_property(spark):
         want = np.percentile(np.array(vals, dtype=float), [p * 100 for p in probs])
         assert [got[p] for p in probs] == pytest.approx(list(want), rel=1e-12, abs=1e-12)
     check()
+
+
+def test_modes_of_several_columns_and_types(spark):
+    df = spark.createDataFrame(
+        [("x", "p", 10), ("y", "q", 9), ("y", "p", 10), ("x", None, 9), (None, "q", None)],
+        "a string, b string, n bigint")
+    assert stats.column_modes(df, ["a", "b", "n"]) == {"a": "x", "b": "p", "n": 9}
