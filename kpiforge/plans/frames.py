@@ -27,9 +27,10 @@ def raw_fact(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = N
     return sales_fact(spark, sf_dir, columns, spec)
 
 
-def cleaning_stats(spark: SparkSession, sf_dir: str, extra_parts: bool = False,
+def cleaning_stats(spark: SparkSession, sf_dir: str,
                    spec: SalesSpec = DEFAULT_SPEC) -> CleaningStats:
-    """Fitted once per folder; each date-part variant uses the columns it has.
+    """Fitted once per folder; both date-part variants (analysis and
+    forecaster) use the columns they have.
 
     One pass over the full fact (every date part of both variants) finds the
     columns with gaps and their fill values; the quartiles of the capped
@@ -51,7 +52,7 @@ def cleaning_stats(spark: SparkSession, sf_dir: str, extra_parts: bool = False,
 
 def prepared_fact(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None,
                   extra_parts: bool = False, spec: SalesSpec = DEFAULT_SPEC) -> DataFrame:
-    st = cleaning_stats(spark, sf_dir, extra_parts, spec)
+    st = cleaning_stats(spark, sf_dir, spec)
     return prepare(sales_fact(spark, sf_dir, columns, spec), spec,
                    extra_parts=extra_parts, stats=st)
 
