@@ -171,3 +171,12 @@ def test_one_call_forecast_and_source_detection(spark):
         extra_parts=True)), single=True)
     summary, fc = ml.forecast_series(f, horizon=3)
     assert fc.count() == 3 and summary.where("selected").count() == 1
+
+
+def test_sales_model_is_deterministic(spark):
+    from kpiforge.operators import ml
+    p = prepared_fact(spark, SF_SMALL)
+    a = ml.fit_sales_model(p, num_trees=10, max_depth=4)
+    b = ml.fit_sales_model(p, num_trees=10, max_depth=4)
+    assert a.importance.collect() == b.importance.collect()
+    assert a.metrics.collect() == b.metrics.collect()
