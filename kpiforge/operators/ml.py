@@ -287,8 +287,11 @@ def _fit_group_fn(feats: list[str], label: str, keys: list[str]):
             rows = [dict(base, test_size=len(other), rmse=float(np.sqrt(np.mean(err ** 2))),
                          step=None, date=None, prediction=None)]
         else:
-            pred = model.predict(other[use].fillna(0.0).to_numpy(dtype=float)) \
-                if len(other) else []
+            # a horizon row missing a model feature (a rolling window longer
+            # than the remaining history) cannot be scored: like the original,
+            # that series gets no forecast rather than a guessed input
+            complete = len(other) > 0 and not other[use].isna().to_numpy().any()
+            pred = model.predict(other[use].to_numpy(dtype=float)) if complete else []
             rows = [dict(base, test_size=0, rmse=None, step=int(s), date=d, prediction=float(p))
                     for s, d, p in zip(other["step"], other["date"], pred)]
             if model.importances is not None:

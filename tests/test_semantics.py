@@ -349,3 +349,13 @@ def test_modes_of_several_columns_and_types(spark):
         [("x", "p", 10), ("y", "q", 9), ("y", "p", 10), ("x", None, 9), (None, "q", None)],
         "a string, b string, n bigint")
     assert stats.column_modes(df, ["a", "b", "n"]) == {"a": "x", "b": "p", "n": 9}
+
+
+@pytest.mark.parametrize("n,expected", [(20, 0), (30, 3)])
+def test_forecast_needs_full_trailing_windows(spark, n, expected):
+    """20 months leave 8 feature rows: the 12-month rolling input of the
+    horizon cannot be formed, so no forecast; 30 months leave 18."""
+    months = [(2000 + i // 12, i % 12 + 1) for i in range(n)]
+    f = series.monthly_features(_series_frame(spark, months))
+    fits = ml.grouped_fits(f, series.future_features(f, 3), [], ["linear_regression"])
+    assert ml.selected_forecast(fits).count() == expected
