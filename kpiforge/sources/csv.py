@@ -69,10 +69,43 @@ def has_replacement_chars(df: DataFrame) -> bool:
     return df.where(cond).limit(1).count() > 0
 
 
+def infer_numeric(df: DataFrame, keep_text: tuple[str, ...] = ()) -> DataFrame:
+    """Type text columns whose every non-null value is a number (bigint if
+    all are integers, else double), like a CSV reader's type inference; one
+    aggregate pass over the candidate columns. Columns in ``keep_text``
+    (identifiers) and date-like text stay strings."""
+    cands = [f.name for f in df.schema.fields
+             if isinstance(f.dataType, StringType) and f.name not in keep_text]
+    if not cands:
+        return df
+    aggs = []
+    for i, c in enumerate(cands):
+        col = F.col(c)
+        aggs += [F.count(col).alias(f"n{i}"), F.count(col.try_cast("double")).alias(f"d{i}"),
+                 F.count(col.try_cast("bigint")).alias(f"l{i}")]
+    r = df.agg(*aggs).first()
+    types = {}
+    for i, c in enumerate(cands):
+        n = r[f"n{i}"]
+        if n and r[f"l{i}"] == n:
+            types[c] = "bigint"
+        elif n and r[f"d{i}"] == n:
+            types[c] = "double"
+    if not types:
+        return df
+    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c)
+                       for c in df.columns])
+
+
 def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = False,
-                   encodings=ENCODINGS) -> DataFrame:
+                   encodings=ENCODINGS, infer_types: bool = True,
+                   keep_text: tuple[str, ...] = ("row_id", "order_id", "customer_id",
+                                                 "product_id", "order_date", "ship_date")
+                   ) -> DataFrame:
     """Order-line CSV -> DataFrame with snake_case columns, known measures
-    typed, NA tokens and NaN as null; dates stay text for ``prepare``."""
+    typed, other all-numeric columns typed by inference (identifiers and
+    dates excepted), NA tokens and NaN as null; dates stay text for
+    ``prepare``."""
     errors = []
     for enc in encodings:
         try:
@@ -83,5 +116,5 @@ def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = False,
         if enc.upper().replace("-", "") == "UTF8" and has_replacement_chars(df):
             errors.append(f"{enc}: undecodable bytes")
             continue
-        return df
+        return infer_numeric(df, keep_text) if infer_types else df
     raise ValueError(f"could not read {path} with any encoding ({'; '.join(errors)})")

@@ -359,3 +359,14 @@ def test_forecast_needs_full_trailing_windows(spark, n, expected):
     f = series.monthly_features(_series_frame(spark, months))
     fits = ml.grouped_fits(f, series.future_features(f, 3), [], ["linear_regression"])
     assert ml.selected_forecast(fits).count() == expected
+
+
+def test_csv_infers_numeric_extra_columns(spark):
+    d = tempfile.mkdtemp(prefix="csvi-", dir="/tmp")
+    p = os.path.join(d, "i.csv")
+    _write(p, b"Row ID,Postal Code,City,Score,Sales\n1,42420,Henderson,1.5,2\n"
+              b"2,90036,Los Angeles,NA,3\n")
+    df = read_sales_csv(spark, p)
+    types = dict(df.dtypes)
+    assert types["postal_code"] == "bigint" and types["score"] == "double"
+    assert types["city"] == "string" and types["row_id"] == "string"
