@@ -358,7 +358,14 @@ def grouped_fits(features: DataFrame, future: DataFrame | None, keys: Sequence[s
     rows = rows.withColumn("_model", F.explode(F.array(*[F.lit(m) for m in models])))
     key_schema = ", ".join(f"{k} string" for k in keys)
     schema = (key_schema + ", " if keys else "") + GROUPED_SCHEMA
-    return (rows.groupBy(*keys, "_model", "_fold")
+    # The rows are few but every group is a model fit: spread the groups over
+    # an explicit number of partitions (AQE would coalesce a small shuffle into
+    # one task and run every fit serially). groupBy reuses this partitioning.
+    spark = features.sparkSession
+    n = max(spark.sparkContext.defaultParallelism,
+            int(spark.conf.get("spark.sql.shuffle.partitions")))
+    group = [*keys, "_model", "_fold"]
+    return (rows.repartition(n, *group).groupBy(*group)
             .applyInPandas(_fit_group_fn(feats, label, keys), schema))
 
 

@@ -180,3 +180,18 @@ def test_sales_model_is_deterministic(spark):
     b = ml.fit_sales_model(p, num_trees=10, max_depth=4)
     assert a.importance.collect() == b.importance.collect()
     assert a.metrics.collect() == b.metrics.collect()
+
+
+def test_many_series_fit_without_driver_loops(spark):
+    """80 series x 30 months: every fit is a task, the driver only plans."""
+    from pyspark.sql import Row
+    from kpiforge.operators import ml, series
+    rows = [Row(category=f"c{k:03d}", order_date=dt.date(2000 + m // 12, m % 12 + 1, 1),
+                sales=100.0 + k + m, profit=10.0, quantity=1.0, discount=0.0, order_id=m)
+            for k in range(80) for m in range(30)]
+    df = spark.createDataFrame(rows).withColumn("sales", F.col("sales").cast("decimal(18,4)")) \
+        .withColumn("profit", F.col("profit").cast("decimal(18,4)"))
+    f = ml.materialize(series.category_features(df))
+    summary, fc = ml.forecast_series(f, horizon=3, keys=["category"])
+    assert summary.where("selected").count() == 80
+    assert fc.count() == 240
