@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_parts, day_lag
-from ..functions.measures import dsum
+from ..functions.measures import currency, dsum
 from ..operators import clean, kpi, ml, profile, series, stats
 from ..sources.tables import fact_columns
 from ..spec import DEFAULT_SPEC as S
@@ -805,7 +805,8 @@ def _category_fits(spark, sf):
 
 @register("model_comparison")
 def q_model_comparison(spark, sf):
-    return ml.cv_summary(_global_fits(spark, sf)[1])
+    s = ml.cv_summary(_global_fits(spark, sf)[1])
+    return s.withColumn("mean_rmse_text", currency("mean_rmse"))
 
 
 @register("model_cv_scores")
