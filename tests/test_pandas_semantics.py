@@ -147,3 +147,47 @@ def test_future_rows_carry_the_last_values(spark, prepared):
     assert np.allclose(fut["avg_discount"], f["avg_discount"].mean(), rtol=1e-12)
     step = pd.to_datetime(last["date"]) + pd.to_timedelta(30 * fut["step"], unit="D")
     assert list(pd.to_datetime(fut["date"])) == list(step)
+
+
+def test_iqr_bounds_are_pandas_quartiles(spark, raw):
+    got = by(Q["iqr_bounds"](spark, SF_SMALL).toPandas(), "column")
+    for c in ("sales", "profit", "quantity", "discount"):
+        q1, q3 = raw[c].quantile(0.25), raw[c].quantile(0.75)
+        assert got.loc[c, "q1"] == pytest.approx(q1, rel=1e-12)
+        assert got.loc[c, "upper_bound"] == pytest.approx(q3 + 1.5 * (q3 - q1), rel=1e-12)
+
+
+def test_calendar_dashboards_order_and_values(spark, raw):
+    days = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+    d = raw.assign(day=raw["order_date"].dt.day_name()).groupby("day").agg(
+        sales=("sales", "sum"), order_count=("order_id", pd.Series.nunique))
+    got = Q["dash_day_of_week"](spark, SF_SMALL).toPandas()
+    assert list(got["day_of_week"]) == [x for x in days if x in d.index]
+    got = got.set_index("day_of_week")
+    assert np.allclose(got["sales"], d.loc[got.index, "sales"], rtol=1e-10)
+    assert (got["order_count"] == d.loc[got.index, "order_count"]).all()
+    months = Q["dash_month_of_year"](spark, SF_SMALL).toPandas()
+    assert list(months["month_of_year_ordinal"]) == sorted(months["month_of_year_ordinal"])
+
+
+def test_hierarchy_weighted_profit(spark, prepared):
+    got = Q["category_hierarchy"](spark, SF_SMALL).toPandas()
+    leaf = prepared.groupby(["category", "sub_category"]).apply(
+        lambda g: pd.Series({"sales": g["sales"].sum(),
+                             "wp": (g["profit"] * g["sales"]).sum() / g["sales"].sum()}),
+        include_groups=False)
+    top = prepared.groupby("category").apply(
+        lambda g: (g["profit"] * g["sales"]).sum() / g["sales"].sum(), include_groups=False)
+    sub = got[got.level == "sub_category"].set_index(["category", "sub_category"]).sort_index()
+    assert np.allclose(sub["weighted_profit"], leaf.loc[sub.index, "wp"], rtol=1e-9)
+    cat = got[got.level == "category"].set_index("category").sort_index()
+    assert np.allclose(cat["weighted_profit"], top.loc[cat.index], rtol=1e-9)
+
+
+def test_top_subcategories_and_shares(spark, raw):
+    s = raw.groupby("sub_category")["sales"].sum().sort_values(ascending=False).head(10)
+    got = Q["dash_top_subcategory_sales"](spark, SF_SMALL).toPandas()
+    assert list(got["sub_category"]) == list(s.index)
+    share = Q["dash_category_share"](spark, SF_SMALL).toPandas().set_index("category")
+    tot = raw.groupby("category")["sales"].sum()
+    assert np.allclose(share["share_pct"], (tot / tot.sum() * 100).loc[share.index], rtol=1e-10)
