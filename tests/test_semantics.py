@@ -370,3 +370,26 @@ def test_csv_infers_numeric_extra_columns(spark):
     types = dict(df.dtypes)
     assert types["postal_code"] == "bigint" and types["score"] == "double"
     assert types["city"] == "string" and types["row_id"] == "string"
+
+
+def test_exact_decimal_quantiles_property(spark):
+    """Decimal columns: exact interpolation (no float rounding), with ties and
+    forced narrowing rounds."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.integers(min_value=-300, max_value=300), min_size=1, max_size=200))
+    def check(ints):
+        vals = [Decimal(i).scaleb(-2) for i in ints]          # two decimal places
+        df = spark.createDataFrame([(v,) for v in vals], "x decimal(18,4)")
+        probs = [0.1, 0.25, 0.5, 0.75]
+        got = stats.exact_quantiles(df, {"x": probs}, accuracy=10, final_limit=2)["x"]
+        s = sorted(vals)
+        for p in probs:
+            h = (len(s) - 1) * p
+            lo = int(h)
+            frac = Decimal(h - lo)
+            want = s[lo] if frac == 0 else s[lo] + (s[min(lo + 1, len(s) - 1)] - s[lo]) * frac
+            assert got[p] == want
+    check()
