@@ -195,3 +195,18 @@ def test_many_series_fit_without_driver_loops(spark):
     summary, fc = ml.forecast_series(f, horizon=3, keys=["category"])
     assert summary.where("selected").count() == 80
     assert fc.count() == 240
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import subprocess
+    import sys as _sys
+    env = dict(os.environ, BENCH_SF_DIR=SF_SMALL, BENCH_CPUS="2")
+    out = subprocess.run([_sys.executable, "bench.py", "category_performance", "monthly_sales"],
+                         cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
+                         env=env, capture_output=True, text=True, timeout=600)
+    lines = [x for x in out.stdout.splitlines() if x.strip()]
+    assert len(lines) == 1, out.stdout
+    d = json.loads(lines[0])
+    assert d["unit"] == "sec" and set(d["queries"]) == {"category_performance", "monthly_sales"}
+    assert d["sf"] == 0.001 and "failed" not in d
