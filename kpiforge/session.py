@@ -29,6 +29,11 @@ DEFAULT_CONF = {
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "kpiforge", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the bench (UI off, AQE on, UTC)."""
+    # Python workers import this package; on a cluster it is shipped instead
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.environ.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join([root] + [path] * bool(path))
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
