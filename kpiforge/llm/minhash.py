@@ -46,7 +46,8 @@ from .graph import components
 WORDS_PER_SHINGLE = 4
 PERCENT = 80
 BANDS, ROWS = 32, 5
-CHUNK_MEMBERS = 128
+# Texts of two chunks meet in one task; larger chunks copy fewer texts.
+CHUNK_MEMBERS = 512
 MEMO_WORDS = 300_000
 _STEP = 2048
 _ODD = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
@@ -174,7 +175,9 @@ def _verify_chunks(per: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.select(["rep", "label", "chunk", "text", "bands", "band"]).to_pylist()
         sets = [shingle_set(words_of(r["text"]), per) for r in rows]
-        bands = [r["bands"] for r in rows]
+        size = np.array([len(s) for s in sets])
+        keys = np.array([r["bands"] for r in rows], np.int64)
+        chunk = np.array([r["chunk"] for r in rows])
         left, right, band = table["i"][0].as_py(), table["j"][0].as_py(), rows[0]["band"]
         parent: dict = {}
 
@@ -184,21 +187,20 @@ def _verify_chunks(per: int, percent: int):
             return x
 
         out_u, out_v = [], []
-        for a, ra in enumerate(rows):
-            if ra["chunk"] != left:
-                continue
-            for b, rb in enumerate(rows):
-                if rb["chunk"] != right or (left == right and b <= a):
-                    continue
-                u, v = root(ra["label"]), root(rb["label"])
-                if u == v or not similar(sets[a], sets[b], percent):
-                    continue
-                # another band may have made this comparison already
-                if next(x for x, y in zip(bands[a], bands[b]) if x == y) != band:
-                    continue
-                parent[max(u, v)] = min(u, v)
-                out_u.append(ra["rep"])
-                out_v.append(rb["rep"])
+        for a in np.flatnonzero(chunk == left):
+            # not smaller than allowed, and not compared in an earlier band
+            ok = (chunk == right) & (100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a]))
+            if left == right:
+                ok[:a + 1] = False
+            b = np.flatnonzero(ok)
+            earlier = int(np.argmax(keys[a] == band))
+            b = b[~(keys[b, :earlier] == keys[a, :earlier]).any(axis=1)]
+            for k in b:
+                u, v = root(rows[a]["label"]), root(rows[k]["label"])
+                if u != v and similar(sets[a], sets[k], percent):
+                    parent[max(u, v)] = min(u, v)
+                    out_u.append(rows[a]["rep"])
+                    out_v.append(rows[k]["rep"])
         kind = table.schema.field("rep").type
         return pa.table({"u": pa.array(out_u, kind), "v": pa.array(out_v, kind)})
     return run
