@@ -12,7 +12,7 @@ columns of ``documents``; the last returns the encoded corpus.
 Defined results: null texts are empty texts (they score by the classifier's
 bias, are exact copies of each other, have no shingles, no words to mix and so
 end with stage 4); empty tables give empty tables with the stage's columns;
-extra columns pass through, except those named like a stage's own.
+extra columns pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,15 +31,29 @@ from kpiforge.session import checkpoint_dir
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with extra columns under names that no operator uses."""
+    own = ("doc_id", "text", "source")
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in own else f"extra{k}")
+                         for k, c in enumerate(docs.columns)])
+
+
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows with the columns of ``docs``."""
+    own = ("doc_id", "text", "source")
+    return rows.select(*[F.col(c if c in own else f"extra{k}").alias(c)
+                         for k, c in enumerate(docs.columns)])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 1").select(*_columns(docs))
+    scored = quality.quality_scores(_aside(docs), table(spark, sf_dir, "labels"))
+    return _back(scored.filter("predicted = 1"), docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the smallest doc_id."""
-    return exact_dedup.exact_dedup(docs).filter("kept").select(*_columns(docs))
+    return _back(exact_dedup.exact_dedup(_aside(docs)).filter("kept"), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +64,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    return mixing.repeated(mixing.mix_sources(docs)).select(*_columns(docs))
+    return _back(mixing.repeated(mixing.mix_sources(_aside(docs))), docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +80,6 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
                        whole.alias("round_trip"))
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_stage), ("exact_dedup", exact_stage),
     ("minhash_near_dedup", near_stage), ("mixing", mixing_stage), ("bpe_encoding", encoding_stage)]

@@ -7,8 +7,8 @@
 3. A target is whole copies of the source plus a remaining budget. Per source,
    the remaining budget is fitted on the length counts alone: every length
    first gives its proportional share of documents, then a bounded-knapsack
-   (subset-sum) dynamic program over the counts that are left comes as close
-   below the budget as any subset can.
+   (subset-sum) dynamic program over the counts that are left comes as close to
+   the budget as any subset can (ties: below it).
 4. The number of documents that a length gives is turned into a threshold on a
    seeded hash of the identifier: within a (source, length) group the documents
    with the smallest (hash, identifier) are taken. The threshold is found from
@@ -98,7 +98,7 @@ def with_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS,
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their sizes sum as
-    close below ``budget`` as the method gets (see module docstring)."""
+    close to ``budget`` as the method gets (see module docstring)."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
@@ -118,14 +118,13 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     if rest <= 0 or rest > DP_SUMS:
         return take
     # bounded knapsack: items are lengths times powers of two; bit s of a row
-    # says that sum s can be reached with the items so far
-    full = (1 << (rest + 1)) - 1
+    # says that sum s can be reached with the items so far. Sums above twice the
+    # rest are further away than no document at all.
+    full = (1 << (2 * rest + 1)) - 1
     rows, items, reach = [1], [], 1
     for i in np.argsort(lengths, kind="stable"):
         length, n, size = int(lengths[i]), int(left[i]), 1
-        if length > rest or not n:
-            continue
-        n = min(n, rest // length)
+        n = min(n, 2 * rest // length)
         while n > 0 and not reach >> rest & 1:
             k = min(size, n)
             n -= k
@@ -137,7 +136,11 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
                 reach = grown
         if reach >> rest & 1:
             break
-    at = reach.bit_length() - 1
+    at = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = reach >> (rest + 1)
+    if above:
+        over = (above & -above).bit_length()
+        at = rest + over if over < rest - at else at
     for (i, k), before in zip(reversed(items), reversed(rows[:-1])):
         if not before >> at & 1:
             take[i] += k
