@@ -15,12 +15,13 @@ gives empty bytes; ids outside the vocabulary raise an error.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.broadcast import Broadcast
@@ -29,9 +30,9 @@ from pyspark.sql import types as T
 
 from .common import added, append, text_slices, without
 
-# Pre-tokens remembered per Python worker; a full memory is emptied (results
-# do not depend on it).
-MEMO_WORDS = 400_000
+# Pre-tokens remembered per Python worker and generation (results do not depend
+# on it).
+MEMO_WORDS = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -108,7 +109,6 @@ class Encoder:
         self.table = [b""] * (max(self.ids, default=-1) + 1)
         for t, i in ranks.items():
             self.table[i] = t
-        self.known = set(self.ids)
         self.worker = None  # made on first use in each Python worker
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
@@ -120,60 +120,84 @@ class Encoder:
         return self.merge(word)
 
     def merge(self, word: bytes) -> tuple[int, ...]:
-        """Merge the lowest-ranked neighbouring pair until none is a token."""
+        """Merge the lowest-ranked neighbouring pair until none is a token.
+
+        A heap entry packs (rank, start, end) into one number; it is stale when
+        the parts at its start no longer reach from there to its end."""
         n, get = len(word), self.ranks.get
-        end = list(range(1, n + 1))        # end of the part that starts here
-        prev = list(range(-1, n - 1))      # start of the part before
+        bits = n.bit_length()
+        low, both = (1 << bits) - 1, 2 * bits
+        end = list(range(1, n + 1))        # end of the part that starts here, 0 if none does
+        before = list(range(-1, n))        # start of the part that ends at this place
         heap = []
         for i in range(n - 1):
             r = get(word[i:i + 2])
             if r is not None:
-                heap.append((r, i, i + 2))
+                heap.append(r << both | i << bits | i + 2)
         heapify(heap)
-        alive = bytearray(b"\x01") * n
         while heap:
-            _, i, stop = heappop(heap)
-            # stale if either part has been merged since
-            if not alive[i]:
-                continue
+            entry = heappop(heap)
+            stop, i = entry & low, entry >> bits & low
             mid = end[i]
-            if mid >= n or mid >= stop or end[mid] != stop:
+            if not mid or mid >= stop or end[mid] != stop:
                 continue
-            alive[mid] = 0
-            end[i] = stop
+            end[i], end[mid], before[stop] = stop, 0, i
             if stop < n:
-                prev[stop] = i
-                r = get(word[i:end[stop]])
+                last = end[stop]
+                r = get(word[i:last])
                 if r is not None:
-                    heappush(heap, (r, i, end[stop]))
-            p = prev[i]
-            if p >= 0:
-                r = get(word[p:stop])
+                    heappush(heap, r << both | i << bits | last)
+            if i:
+                first = before[i]
+                r = get(word[first:stop])
                 if r is not None:
-                    heappush(heap, (r, p, stop))
-        out, i = [], 0
+                    heappush(heap, r << both | first << bits | stop)
+        ranks, out, i = self.ranks, [], 0
         while i < n:
-            out.append(self.ranks[word[i:end[i]]])
+            out.append(ranks[word[i:end[i]]])
             i = end[i]
         return tuple(out)
 
 
+class _Memo(dict):
+    """Pre-token -> its ids as int32 bytes; a miss is encoded and kept. Words of
+    the older generation are taken over when met again."""
+
+    def __init__(self, enc: Encoder, older: dict):
+        self.enc, self.older = enc, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("i", self.enc.encode_word(word.encode())).tobytes()
+        self[word] = ids
+        return ids
+
+
 class _Worker:
-    """Per Python worker: compiled pattern and remembered pre-tokens."""
+    """Per Python worker: compiled pattern, remembered pre-tokens, and the
+    vocabulary's bytes end to end for decoding."""
 
     def __init__(self, enc: Encoder):
-        self.enc, self.words, self.memo = enc, regex.compile(enc.pattern), {}
+        self.enc, self.words = enc, regex.compile(enc.pattern)
+        self.memo = _Memo(enc, {})
+        self.lens = np.array([len(t) for t in enc.table], np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.bytes = np.frombuffer(b"".join(enc.table), np.uint8)
 
     def encode(self, text: str) -> np.ndarray:
-        memo, words = self.memo, self.words.findall(text)
-        missing = set(words).difference(memo)
-        if len(memo) + len(missing) > MEMO_WORDS:
-            memo.clear()
-            missing = set(words)
-        encode = self.enc.encode_word
-        for w in missing:
-            memo[w] = encode(w.encode())
-        return np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.int32)
+        if len(self.memo) > MEMO_WORDS:
+            self.memo = _Memo(self.enc, dict(self.memo))
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.words.findall(text))), np.int32)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids end to end, length of each id's bytes)."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lens) or not self.lens[ids].all()):
+            raise ValueError("token id outside the vocabulary")
+        lens = self.lens[ids]
+        at = np.repeat(self.starts[ids] - (np.cumsum(lens) - lens), lens)
+        at += np.arange(len(at))
+        return self.bytes[at], lens
 
 
 def _worker(encoder: Broadcast) -> _Worker:
@@ -216,17 +240,19 @@ def decode_bpe(df: DataFrame, encoder: Broadcast, ids_col: str = "token_ids",
     rows = without(df, {out_col} - {ids_col})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _worker(encoder).enc
-        table, known = enc.table, enc.known
+        work = _worker(encoder)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out = []
-                for ids in part.column(part.schema.get_field_index(ids_col)):
-                    ids = (ids.values.to_pylist() if ids.is_valid else [])
-                    if not known.issuperset(ids):
-                        raise ValueError("token id outside the vocabulary")
-                    out.append(b"".join(map(table.__getitem__, ids)))
-                yield append(part, **{out_col: pa.array(out, pa.binary())})
+                col = part.column(part.schema.get_field_index(ids_col))
+                flat = col.flatten()
+                if flat.null_count:
+                    raise ValueError("token id outside the vocabulary")
+                found, lens = work.decode(flat.to_numpy(zero_copy_only=False))
+                sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(sizes)])]
+                out = pa.Array.from_buffers(pa.binary(), len(sizes), [
+                    None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(found)])
+                yield append(part, **{out_col: out})
 
     return rows.mapInArrow(run, added(rows, (out_col, T.BinaryType())))

@@ -131,7 +131,10 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules=RULES, order: int = O
     urls = materialise(
         judged.filter(F.length(F.col(url_col)) > 0)
         .groupBy(F.col(url_col).alias("__url"), F.col("verdict").alias("ruled"))
-        .agg(F.count("*").alias("rows")).withColumn("id", F.monotonically_increasing_id())
+        .agg(F.count("*").alias("rows"))
+        # a url becomes some fifty n-grams: spread the few bytes of urls first
+        .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__url")
+        .withColumn("id", F.monotonically_increasing_id())
         .withColumn("held", F.pmod(F.xxhash64(F.lit(5), "__url"), F.lit(HOLD_OUT)) == 0), "urls")
     grams = urls.select("id", "ruled", "held", "rows",
                         F.explode(ngrams(F.col("__url"), order)).alias("gram"))
