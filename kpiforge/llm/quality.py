@@ -144,18 +144,18 @@ def fit_quality(labelled: DataFrame, text_col: str = "text", label_col: str = "q
                 ["o", "y", "idx", "val"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = [(o, y, np.frombuffer(i, np.int32), np.frombuffer(v, np.float32).astype(float))
+        data = [(o, y, np.frombuffer(i, np.int32), np.frombuffer(v, np.float32))
                 for b in batches for o, y, i, v in zip(*(c.to_pylist() for c in b.columns))]
         data.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
         model = Ftrl()
         for _ in range(epochs):
             for _, y, i, v in data:
-                model.learn(i, v, y)
+                model.learn(i, v.astype(float), y)
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], ["w"])
 
     made = (rows.mapInArrow(featurise, "o long, y int, idx binary, val binary")
-            .coalesce(1).mapInArrow(learn, "w binary").first())
+            .repartition(1).mapInArrow(learn, "w binary").first())
     return np.frombuffer(made["w"], np.float32).astype(float)
 
 
