@@ -72,8 +72,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     the text's bytes."""
     import public_tokenizers
     encoder = bpe.make_encoder(docs, bpe.read_ranks(vocabulary(RANKS_FILE)), public_tokenizers.PATTERN)
-    coded = bpe.encode_bpe(docs.select("doc_id", "source", "text"), encoder)
-    back = bpe.decode_bpe(coded, encoder)
+    back = bpe.encode_bpe(docs.select("doc_id", "source", "text"), encoder, decoded_col="decoded")
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return back.select("doc_id", "source", "token_ids",
                        F.size("token_ids").cast("long").alias("n_tokens"),

@@ -32,7 +32,8 @@ from .common import added, append, text_slices, without
 
 # Pre-tokens remembered per Python worker and generation (results do not depend
 # on it).
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
+ENCODE_BYTES = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -220,18 +221,33 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def encode_bpe(df: DataFrame, encoder: Broadcast, text_col: str = "text",
-               out_col: str = "token_ids") -> DataFrame:
-    """``df`` with the token ids of every text (array<int>)."""
-    rows = without(df, {out_col} - {text_col})
+               out_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
+    """``df`` with the token ids of every text (array<int>). With
+    ``decoded_col`` also the bytes that those ids decode to, in the same pass."""
+    more = [(out_col, T.ArrayType(T.IntegerType()))]
+    more += [(decoded_col, T.BinaryType())] if decoded_col else []
+    rows = without(df, {n for n, _ in more} - {text_col})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = _worker(encoder)
-        for part in text_slices(batches, text_col):
+        for part in text_slices(batches, text_col, ENCODE_BYTES):
             texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-            yield append(part, **{out_col: list_array([work.encode(t or "") for t in texts],
-                                                      pa.int32())})
+            ids = list_array([work.encode(t or "") for t in texts], pa.int32())
+            back = {decoded_col: _decoded(work, ids)} if decoded_col else {}
+            yield append(part, **{out_col: ids}, **back)
 
-    return rows.mapInArrow(run, added(rows, (out_col, T.ArrayType(T.IntegerType()))))
+    return rows.mapInArrow(run, added(rows, *more))
+
+
+def _decoded(work: _Worker, ids: pa.ListArray) -> pa.Array:
+    flat = ids.flatten()
+    if flat.null_count:
+        raise ValueError("token id outside the vocabulary")
+    found, lens = work.decode(flat.to_numpy(zero_copy_only=False))
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(sizes)])]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [
+        None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(found)])
 
 
 def decode_bpe(df: DataFrame, encoder: Broadcast, ids_col: str = "token_ids",
@@ -244,15 +260,7 @@ def decode_bpe(df: DataFrame, encoder: Broadcast, ids_col: str = "token_ids",
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                col = part.column(part.schema.get_field_index(ids_col))
-                flat = col.flatten()
-                if flat.null_count:
-                    raise ValueError("token id outside the vocabulary")
-                found, lens = work.decode(flat.to_numpy(zero_copy_only=False))
-                sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
-                ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(sizes)])]
-                out = pa.Array.from_buffers(pa.binary(), len(sizes), [
-                    None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(found)])
-                yield append(part, **{out_col: out})
+                ids = part.column(part.schema.get_field_index(ids_col))
+                yield append(part, **{out_col: _decoded(work, ids)})
 
     return rows.mapInArrow(run, added(rows, (out_col, T.BinaryType())))

@@ -20,7 +20,7 @@ from ..session import checkpoint_dir
 # White space of the word and text contracts: space, tab, newline, VT, FF, CR.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

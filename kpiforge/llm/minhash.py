@@ -48,7 +48,7 @@ PERCENT = 80
 BANDS, ROWS = 32, 5
 # Texts of two chunks meet in one task; larger chunks copy fewer texts.
 CHUNK_MEMBERS = 512
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 _STEP = 2048
 _ODD = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
                                     0xA0761D6478BD642F))

@@ -35,7 +35,7 @@ from .common import added, append, text_slices, without
 BITS = 18
 SAMPLE_ROWS = 12_000
 EPOCHS = 4
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 _SAME = np.uint64(0x9E3779B97F4A7C15)
 _ODD = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 

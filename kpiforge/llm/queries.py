@@ -49,8 +49,7 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     import public_tokenizers
     ranks = bpe.read_ranks(ranks_path or vocabulary(RANKS_FILE))
     encoder = bpe.make_encoder(docs, ranks, public_tokenizers.PATTERN)
-    ids = bpe.encode_bpe(docs.select("doc_id", "text"), encoder).drop("text")
-    return bpe.decode_bpe(ids, encoder)
+    return bpe.encode_bpe(docs.select("doc_id", "text"), encoder, decoded_col="decoded").drop("text")
 
 
 def op5_bpe(spark: SparkSession, sf: str) -> DataFrame:
