@@ -6,7 +6,6 @@ Layout:
   functions/  column expressions (dates, measures)
   operators/  cleaning, statistics, KPI tables, monthly series, ML
   plans/      chart datasets, registered queries, end-to-end pipelines
-  streaming/  incremental monthly KPIs over a growing order-line folder
 """
 
 from .spec import DEFAULT_SPEC, SalesSpec

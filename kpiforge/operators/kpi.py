@@ -19,6 +19,9 @@ from ..functions.measures import MONEY, dsum, growth_pct, margin_pct, money_sum,
 from ..spec import DEFAULT_SPEC, SalesSpec
 
 
+ORDER_SALTS = 16
+
+
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Drop rows whose group key is null (pandas ``groupby`` default)."""
     cond = None
@@ -111,8 +114,12 @@ def subcategory_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
 
 def segment_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
                         exact: bool = True) -> DataFrame:
-    out = (keyed(df, [spec.segment]).groupBy(spec.segment)
-           .agg(*_money(spec),
+    # one row per order first: the two distinct counts expand these, not the lines
+    per_order = (keyed(df, [spec.segment]).groupBy(spec.segment, spec.customer_id, spec.order_id)
+                 .agg(dsum(spec.sales).alias(spec.sales), dsum(spec.profit).alias(spec.profit)))
+    out = (per_order.groupBy(spec.segment)
+           .agg(F.sum(spec.sales).cast("double").alias("sales"),
+                F.sum(spec.profit).cast("double").alias("profit"),
                 distinct_count(spec.customer_id, exact).alias("customer_count"),
                 distinct_count(spec.order_id, exact).alias("order_count"))
            .withColumn("profit_margin", margin_pct())
@@ -156,16 +163,17 @@ def shipping_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
 
 def category_hierarchy(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC) -> DataFrame:
     """Treemap nodes: (category) and (category, sub_category) with total sales
-    and the sales-weighted mean profit. One GROUPING SETS aggregate (one scan,
-    one shuffle) instead of two group-bys; no grand-total node."""
+    and the sales-weighted mean profit. Lines are aggregated to the leaves once;
+    the grouping sets roll the leaves up. No grand-total node."""
     cat, sub = spec.category, spec.sub_category
     s = F.col(spec.sales).cast(MONEY)
     # decimal(18,4) x decimal(19,4) keeps the product exact in both engines
     weighted = F.col(spec.profit).cast(MONEY) * F.col(spec.sales).cast("decimal(19,4)")
-    g = (keyed(df, [cat, sub])
-         .groupingSets([[cat], [cat, sub]], cat, sub)
-         .agg(F.coalesce(F.sum(s), F.lit(0).cast(MONEY)).alias("_s"),
-              F.sum(weighted).alias("_w"),
+    leaves = (keyed(df, [cat, sub]).groupBy(cat, sub)
+              .agg(F.sum(s).alias("_ls"), F.sum(weighted).alias("_lw")))
+    g = (leaves.groupingSets([[cat], [cat, sub]], cat, sub)
+         .agg(F.coalesce(F.sum("_ls"), F.lit(0).cast(MONEY)).alias("_s"),
+              F.sum("_lw").alias("_w"),
               F.grouping_id().alias("_gid")))
     return (g.select(
         F.when(F.col("_gid") == 1, F.lit("category")).otherwise(F.lit("sub_category"))
@@ -255,10 +263,15 @@ def dash_segment_aov(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC) -> DataFrame
     """Average order value per segment: order totals first, then their mean.
 
     Level one is keyed by (segment, order); lines with a null order id drop
-    out there, as in pandas."""
-    orders = (keyed(df, [spec.segment, spec.order_id])
-              .groupBy(spec.segment, spec.order_id)
-              .agg(dsum(spec.sales).alias("_order_sales")))
+    out there, as in pandas. Lines are summed by (segment, order, salt) first:
+    a hot order is spread, and the exchange lets adaptive execution split the
+    order join below."""
+    salted = (keyed(df, [spec.segment, spec.order_id])
+              .groupBy(spec.segment, spec.order_id,
+                       F.pmod(F.xxhash64(spec.sales), F.lit(ORDER_SALTS)).alias("_salt"))
+              .agg(dsum(spec.sales).alias("_part")))
+    orders = (salted.groupBy(spec.segment, spec.order_id)
+              .agg(F.sum("_part").alias("_order_sales")))
     return (orders.groupBy(spec.segment)
             .agg(F.try_divide(F.sum("_order_sales").cast("double"),
                               F.count(F.lit(1)).cast("double"))

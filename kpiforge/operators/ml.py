@@ -149,56 +149,51 @@ class SalesModel:
 
 
 def fit_sales_model(prepared: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
-                    num_trees: int = 100, max_depth: int = 8, seed: int = 42,
-                    test_buckets: int = 5) -> SalesModel:
+                    num_trees: int = 100, max_depth: int = 30, seed: int = 42,
+                    test_buckets: int = 5, partitions: int = 64,
+                    max_bins: int = 256,
+                    categorical: Sequence[str] | None = None) -> SalesModel:
     """Random forest on the cleaned order lines: hash 80/20 split on the row
     id, numerics standardized with train statistics, categoricals one-hot
     encoded (all levels kept, an unseen level encodes as all zeros).
 
-    Trees are depth-limited (``max_depth``, Spark allows at most 30; level-wise
-    training cost grows with 2^depth) where the reference grows them fully;
-    every feature is tried at each split, as there.
+    Trees grow to ``max_depth`` (30 is the most that Spark allows; level-wise
+    training cost grows with the depth, lower values are the caller's choice);
+    every feature is tried at each split. Bagging is seeded per partition, so
+    rows are dealt by the hash of their id into ``partitions`` parts and ordered
+    in them: the model depends neither on cores nor on file splits. Only
+    ``categorical`` columns (default: the spec's roles) are one-hot encoded, so
+    a free-text column's vocabulary never comes to the driver.
     """
     spark = prepared.sparkSession
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)  # node-id caches are checkpointed to the shared folder
     num, cat = model_inputs(prepared, spec)
+    declared = spec.model_categoricals() if categorical is None else categorical
+    cat = [c for c in cat if c in declared]
     label = spec.sales
-    data = prepared.select(*num, *cat, F.col(label).cast("double").alias("label"),
-                           is_test_row(spec.row_id, test_buckets).alias("_is_test"))
-    parallelism = spark.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < parallelism:
-        # a few large input splits would train on a few cores; at scale the
-        # input already has many partitions and this shuffle is skipped
-        data = data.repartition(parallelism)
-    # one evaluation of the star join and cleaning feeds the scaling
-    # statistics, the indexers, every tree level and the hold-out scoring
-    data = data.persist()
-    try:
-        train = data.where(~F.col("_is_test"))
-        test = data.where(F.col("_is_test"))
-        scaling = standardize_params(train, num)
-        idx = [f"{c}__idx" for c in cat]
-        ohe = [f"{c}__ohe" for c in cat]
-        stages = []
-        if cat:
-            stages += [StringIndexer(inputCols=cat, outputCols=idx, handleInvalid="keep",
-                                     stringOrderType="alphabetAsc"),
-                       OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]
-        stages += [VectorAssembler(inputCols=[f"{c}__z" for c in num] + ohe,
-                                   outputCol="features"),
-                   RandomForestRegressor(labelCol="label", featuresCol="features",
-                                         numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                         featureSubsetStrategy="all", subsamplingRate=1.0,
-                                         # keep each row's current node per tree instead
-                                         # of re-walking the trees at every level
-                                         cacheNodeIds=True, checkpointInterval=10)]
-        z = standardized(num, scaling, "__z")
-        model = Pipeline(stages=stages).fit(train.select("*", *z))
-        pred = model.transform(test.select("*", *z))
-        m = regression_metrics(pred, "label", "prediction").first()
-    finally:
-        data.unpersist()
+    data = materialize(
+        prepared.select(spec.row_id, *num, *cat, F.col(label).cast("double").alias("label"),
+                        is_test_row(spec.row_id, test_buckets).alias("_is_test"))
+        .repartition(partitions, F.col(spec.row_id)).sortWithinPartitions(spec.row_id))
+    train = data.where(~F.col("_is_test"))
+    test = data.where(F.col("_is_test"))
+    scaling = standardize_params(train, num)
+    idx = [f"{c}__idx" for c in cat]
+    ohe = [f"{c}__ohe" for c in cat]
+    stages = []
+    if cat:
+        stages += [StringIndexer(inputCols=cat, outputCols=idx, handleInvalid="keep",
+                                 stringOrderType="alphabetAsc"),
+                   OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]
+    stages += [VectorAssembler(inputCols=[f"{c}__z" for c in num] + ohe,
+                               outputCol="features"),
+               RandomForestRegressor(labelCol="label", featuresCol="features",
+                                     numTrees=num_trees, maxDepth=max_depth, seed=seed,
+                                     maxBins=max_bins,
+                                     featureSubsetStrategy="all", subsamplingRate=1.0)]
+    z = standardized(num, scaling, "__z")
+    model = Pipeline(stages=stages).fit(train.select("*", *z))
+    pred = model.transform(test.select("*", *z))
+    m = regression_metrics(pred, "label", "prediction").first()
     metrics = spark.createDataFrame([tuple(m)], "n bigint, mae double, rmse double, r2 double")
 
     # Named importances: numeric name, or "<column>_<level>" per one-hot slot.
@@ -238,9 +233,12 @@ def fold_bounds(n: int, n_splits: int = series.N_SPLITS) -> list[tuple[int, int,
 
 def history_plus_forecast(history: DataFrame, fc: DataFrame,
                           keys: Sequence[str] = ()) -> DataFrame:
-    """History and forecast in one table, flagged (chart input)."""
+    """History and forecast in one table, flagged (chart input). In a panel
+    only series with a forecast are kept."""
     h = history.select(*keys, "date", F.col("sales").cast("double").alias("sales"),
                        F.lit(False).alias("forecast"))
+    if keys:
+        h = h.join(fc.select(*keys).distinct(), list(keys), "left_semi")
     f = fc.select(*keys, "date", F.col("forecasted_sales").alias("sales"),
                   F.lit(True).alias("forecast"))
     return h.unionByName(f)
@@ -252,7 +250,7 @@ def history_plus_forecast(history: DataFrame, fc: DataFrame,
 
 GROUPED_SCHEMA = ("model string, fold int, train_size int, test_size int, rmse double, "
                   "step bigint, date date, prediction double, feature string, "
-                  "importance double")
+                  "importance double, error string")
 
 
 def _fit_group_fn(feats: list[str], label: str, keys: list[str]):
@@ -267,7 +265,27 @@ def _fit_group_fn(feats: list[str], label: str, keys: list[str]):
     cloudpickle.register_pickle_by_value(smallfit)
     MODELS = smallfit.MODELS
 
+    cols = keys + ["model", "fold", "train_size", "test_size", "rmse", "step", "date",
+                   "prediction", "feature", "importance", "error"]
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return fit_one(pdf)
+        except Exception as e:  # one series' failure must not end the others
+            head = {k: pdf[k].iloc[0] for k in keys}
+            row = dict.fromkeys(cols) | head | {
+                "model": pdf["_model"].iloc[0], "fold": int(pdf["_fold"].iloc[0]),
+                "train_size": int((pdf["_role"] == "train").sum()), "test_size": 0,
+                "error": f"{type(e).__name__}: {e}"[:500]}
+            return typed(pd.DataFrame([row], columns=cols))
+
+    def typed(out: pd.DataFrame) -> pd.DataFrame:
+        for c in ("rmse", "prediction", "importance"):
+            out[c] = out[c].astype("float64")
+        out["step"] = out["step"].astype("Int64")
+        return out
+
+    def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
         train = pdf[pdf["_role"] == "train"].sort_values("date")
         other = pdf[pdf["_role"] != "train"].sort_values(["step", "date"])
         # a feature never observed for this series (too short for that lag)
@@ -280,7 +298,7 @@ def _fit_group_fn(feats: list[str], label: str, keys: list[str]):
         fold = int(pdf["_fold"].iloc[0])
         base = dict(head, model=pdf["_model"].iloc[0], fold=fold, train_size=len(train),
                     test_size=0, rmse=None, step=None, date=None, prediction=None,
-                    feature=None, importance=None)
+                    feature=None, importance=None, error=None)
         if fold >= 0:
             pred = model.predict(other[use].to_numpy(dtype=float))
             err = other[label].to_numpy(dtype=float) - pred
@@ -299,13 +317,7 @@ def _fit_group_fn(feats: list[str], label: str, keys: list[str]):
                 rows += [dict(base, test_size=0, rmse=None, step=None, date=None,
                               prediction=None, feature=c, importance=float(v))
                          for c, v in zip(use, imp)]
-        cols = keys + ["model", "fold", "train_size", "test_size", "rmse", "step", "date",
-                       "prediction", "feature", "importance"]
-        out = pd.DataFrame(rows, columns=cols)
-        for c in ("rmse", "prediction", "importance"):
-            out[c] = out[c].astype("float64")
-        out["step"] = out["step"].astype("Int64")
-        return out
+        return typed(pd.DataFrame(rows, columns=cols))
     return fit
 
 
@@ -326,7 +338,7 @@ def grouped_fits(features: DataFrame, future: DataFrame | None, keys: Sequence[s
     base = features.select(*keys, "date", *feats, F.col(label).cast("double").alias(label),
                            (F.row_number().over(w) - 1).alias("_rn"),
                            F.count(F.lit(1)).over(whole).alias("_n"))
-    t = F.floor(F.col("_n") / F.lit(n_splits + 1))
+    t = series.fold_size(F.col("_n"), n_splits, keys)
     cv = base.withColumn("_t", t).where(F.col("_t") >= 1).withColumn(
         "_fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     start = F.col("_n") - (F.lit(n_splits) - F.col("_fold")) * F.col("_t")

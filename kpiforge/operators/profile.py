@@ -31,6 +31,6 @@ def column_profile(df: DataFrame) -> DataFrame:
             .select("p.*", (F.col("_rows") - F.col("p.non_null")).cast("bigint").alias("nulls")))
 
 
-def sample_rows(df: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` rows (a peek, like ``head``)."""
-    return df.limit(n)
+def sample_rows(df: DataFrame, n: int = 5, order: str | None = None) -> DataFrame:
+    """``n`` rows (a peek, like ``head``): the first by ``order`` if given."""
+    return (df if order is None else df.orderBy(order)).limit(n)

@@ -167,6 +167,16 @@ def public(features: DataFrame) -> DataFrame:
 # Time-series cross-validation folds (expanding window, TimeSeriesSplit)
 # --------------------------------------------------------------------------
 
+def fold_size(n: Column, n_splits: int, keys: Sequence[str]) -> Column:
+    """Rows per test fold. A single series too short for its folds is an error;
+    in a keyed panel such a series has no folds (it gets no model)."""
+    t = F.floor(n / F.lit(n_splits + 1))
+    if keys:
+        return t
+    return F.when(t >= 1, t).otherwise(F.raise_error(F.concat(
+        n.cast("string"), F.lit(f" rows cannot make {n_splits} time-series folds"))).cast("bigint"))
+
+
 def ts_folds(features: DataFrame, keys: Sequence[str] = (), n_splits: int = N_SPLITS,
              min_train: int = 0, min_test: int = 0) -> DataFrame:
     """Row -> fold assignment for ``n_splits`` expanding folds per series.
@@ -174,15 +184,15 @@ def ts_folds(features: DataFrame, keys: Sequence[str] = (), n_splits: int = N_SP
     With n rows and t = n // (n_splits + 1), fold k tests rows
     [n - (n_splits - k) * t, + t) and trains on every row before. Output: keys,
     date, fold, role ('train'/'test'), train_size, test_size. Folds below
-    ``min_train``/``min_test`` are dropped (the per-category rule). A series
-    with fewer than n_splits + 1 rows has no folds.
+    ``min_train``/``min_test`` are dropped (the per-category rule). A single
+    series with fewer than n_splits + 1 rows raises, one of a panel has no folds.
     """
     w = _w(keys)
     whole = Window.partitionBy(*keys)
     r = features.select(*keys, "date",
                         (F.row_number().over(w) - 1).alias("_rn"),
                         F.count(F.lit(1)).over(whole).alias("_n"))
-    t = F.floor(F.col("_n") / F.lit(n_splits + 1))
+    t = fold_size(F.col("_n"), n_splits, keys)
     r = r.withColumn("_t", t).where(F.col("_t") >= 1)
     r = r.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     start = F.col("_n") - (F.lit(n_splits) - F.col("fold")) * F.col("_t")

@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 20000
-FINAL_LIMIT = 200_000
-MAX_ROUNDS = 30
+# (value, count) pairs per wanted rank that the last step may bring to the driver
+FINAL_LIMIT = 4_096
 
 
 def _num(v):
@@ -125,10 +125,16 @@ def exact_quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
                     proposals[id(t)] = tuple(row0[f"s{i}"][2 * j:2 * j + 2])
     tlist = list(wanted.values())
 
-    for _ in range(MAX_ROUNDS):
+    before = None
+    while True:
         active = [t for t in tlist if not t.done]
         if not active:
             break
+        # every round must narrow some bracket
+        state = [(t.inside, t.below) for t in active]
+        if state == before:
+            raise RuntimeError("exact quantile selection did not converge")
+        before = state
         if any(id(t) not in proposals for t in active):
             # Sketch again inside the current brackets, at the relative rank.
             sk = []
@@ -172,9 +178,6 @@ def exact_quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
             if not t.done and t.inside <= final_limit:
                 t.done = True  # few enough rows (hence values) for the exact pass
         proposals = {}
-    if any(not t.done for t in tlist):
-        raise RuntimeError("exact quantile selection did not converge")
-
     # Final exact pass: distinct values with their counts inside each bracket
     # (at most ``final_limit`` rows per target reach the driver).
     pending = [t for t in tlist if t.value is None]

@@ -3,23 +3,33 @@
 * ``raw_fact``: order lines as read (the dashboards' input).
 * ``prepared_fact``: cleaned order lines (KPI tables and models' input).
 
-Cleaning statistics are column-wise, so they are fitted once per folder on
-the full fact and then applied to whatever column subset a query reads; the
-subset keeps the star joins and the scans as narrow as the query allows.
+Cleaning statistics are column-wise: fitted on the full fact, applied to
+whatever columns a query reads. Fits are kept on the caller's session, by spec
+and by the files (path, length, modification time) they came from, so changed
+files are fitted again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import CleaningStats, impute, iqr_bounds, prepare, with_date_features
-from ..sources.tables import sales_fact
+from ..sources.tables import file_listing, sales_fact
+from ..session import scratch_path
 from ..spec import DEFAULT_SPEC, SalesSpec
 
-_FITTED: dict[str, CleaningStats] = {}
+
+def fitted_once(spark: SparkSession, sf_dir: str, what: tuple, make):
+    """``make()``, remembered on ``spark`` for the same files."""
+    kept = spark.__dict__.setdefault("_kpiforge_fits", {})
+    files = file_listing(spark, sf_dir)
+    if kept.get(what, (None,))[0] != files:
+        kept[what] = (files, make())
+    return kept[what][1]
 
 
 def raw_fact(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None,
@@ -27,27 +37,27 @@ def raw_fact(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = N
     return sales_fact(spark, sf_dir, columns, spec)
 
 
+def fit_cleaning(spark: SparkSession, sf_dir: str,
+                 spec: SalesSpec = DEFAULT_SPEC) -> CleaningStats:
+    """Fills and bounds of both date-part variants (analysis and forecaster).
+
+    The joined fact is evaluated once and written to the shared folder; the
+    null counts, medians, modes and quartiles all read that file."""
+    full = with_date_features(sales_fact(spark, sf_dir, None, spec), spec, "strict", "all")
+    path = scratch_path(spark, f"cleaning-{uuid.uuid4().hex}")
+    full.write.parquet(path)
+    full = spark.read.parquet(path)
+    st = CleaningStats()
+    filled = impute(full, spec, st)
+    st.bounds = iqr_bounds(filled, list(spec.capped))
+    st.fitted = True
+    return st
+
+
 def cleaning_stats(spark: SparkSession, sf_dir: str,
                    spec: SalesSpec = DEFAULT_SPEC) -> CleaningStats:
-    """Fitted once per folder; both date-part variants (analysis and
-    forecaster) use the columns they have.
-
-    One pass over the full fact (every date part of both variants) finds the
-    columns with gaps and their fill values; the quartiles of the capped
-    measures then run on the narrowest fact that has them (line items and
-    parts only), since every statistic is column-wise.
-    """
-    key = sf_dir.rstrip("/")
-    if key not in _FITTED:
-        st = CleaningStats()
-        full = with_date_features(sales_fact(spark, sf_dir, None, spec), spec, "strict", "all")
-        impute(full, spec, st)
-        st.fitted = True  # reuse the fills below instead of recomputing them
-        capped = list(spec.capped)
-        narrow = impute(sales_fact(spark, sf_dir, capped, spec), spec, st)
-        st.bounds = iqr_bounds(narrow, capped)
-        _FITTED[key] = st
-    return _FITTED[key]
+    return fitted_once(spark, sf_dir, ("cleaning", sf_dir.rstrip("/"), spec),
+                       lambda: fit_cleaning(spark, sf_dir, spec))
 
 
 def prepared_fact(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None,

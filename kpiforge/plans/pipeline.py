@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
+from functools import cache
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -20,6 +21,7 @@ from ..operators import ml, series
 from ..operators.clean import CleaningStats, parse_dates, prepare
 from ..session import scratch_path
 from ..sources import read_sales
+from ..sources.tables import fact_columns
 from ..sources.sinks import catalog, dataset_path, write_table
 from ..spec import DEFAULT_SPEC, SalesSpec
 from .charts import analysis_datasets, dashboard_datasets, top_features
@@ -70,35 +72,54 @@ def load(spark: SparkSession, source: str, kind: str = "star",
 
 def run_pipeline(spark: SparkSession, source: str, out_dir: str, kind: str = "star",
                  stages: Iterable[str] = STAGES, horizon: int = 6, fmt: str = "parquet",
-                 spec: SalesSpec = DEFAULT_SPEC) -> tuple[DataFrame, DataFrame]:
-    """Run the selected stages; returns (status, catalog) and writes both."""
+                 spec: SalesSpec = DEFAULT_SPEC,
+                 sales_model_options: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run the selected stages; returns (status, catalog) and writes both.
+    ``sales_model_options`` go to ``ml.fit_sales_model`` (depth, trees ...)."""
     run = Run(spark, out_dir, fmt)
     stages = set(stages)
-    raw = run.stash(load(spark, source, kind, spec), "raw")
-    stats = CleaningStats()
-    prepare(raw, spec, dates="coerce", extra_parts="all", stats=stats)   # fit once
-    # the analysis path raises on an unparseable date, the forecaster's
-    # path turns it into null (both as in the reference)
-    prepared = run.stash(prepare(raw, spec, dates="strict", stats=stats), "prepared")
-    fc_frame = run.stash(prepare(raw, spec, dates="coerce", extra_parts=True, stats=stats),
-                         "prepared_forecast")
+
+    # Frames are built by the first stage that needs them, inside that stage: a
+    # frame that cannot be built fails its stages only.
+    @cache
+    def raw():
+        return run.stash(load(spark, source, kind, spec), "raw")
+
+    @cache
+    def stats():
+        st = CleaningStats()
+        prepare(raw(), spec, dates="coerce", extra_parts="all", stats=st)   # fit once
+        return st
+
+    @cache
+    def prepared():
+        # the analysis raises on an unparseable date ...
+        return run.stash(prepare(raw(), spec, dates="strict", stats=stats()), "prepared")
+
+    @cache
+    def fc_frame():
+        # ... the forecaster turns it into null, and needs few columns
+        frame = prepare(raw(), spec, dates="coerce", extra_parts=True, stats=stats())
+        wide = set(frame.columns) & set(fact_columns(spec)) - {
+            spec.order_date, spec.category, spec.order_id, *spec.capped}
+        return run.stash(frame.drop(*wide), "prepared_forecast")
 
     if "analysis" in stages:
         def analysis():
-            for name, df in analysis_datasets(prepared, spec).items():
+            for name, df in analysis_datasets(prepared(), spec).items():
                 run.save("analysis", name, df)
         run.stage("analysis", analysis)
 
     if "sales_model" in stages:
         def sales_model():
-            m = ml.fit_sales_model(prepared, spec)
+            m = ml.fit_sales_model(prepared(), spec, **(sales_model_options or {}))
             run.save("model", "sales_model_metrics", m.metrics)
             run.save("model", "feature_importance", top_features(m.importance, 15))
         run.stage("sales_model", sales_model)
 
     if "forecast" in stages:
         def forecast():
-            f = run.stash(series.monthly_features(fc_frame, spec).drop("_n"),
+            f = run.stash(series.monthly_features(fc_frame(), spec).drop("_n"),
                           "monthly_features")
             fits = run.stash(ml.grouped_fits(f, series.future_features(f, horizon), [],
                                              list(_CANDIDATES)), "global_fits")
@@ -112,7 +133,7 @@ def run_pipeline(spark: SparkSession, source: str, out_dir: str, kind: str = "st
     if "category_forecast" in stages:
         def category_forecast():
             k = [spec.category]
-            f = run.stash(series.category_features(fc_frame, spec).drop("_n"),
+            f = run.stash(series.category_features(fc_frame(), spec).drop("_n"),
                           "category_features")
             fut = series.future_features(
                 f, horizon, k, series.CATEGORY_LAGS, series.CATEGORY_LAG_MEASURES,
@@ -123,7 +144,10 @@ def run_pipeline(spark: SparkSession, source: str, out_dir: str, kind: str = "st
             run.save("forecast", "category_model_scores", scores)
             run.save("forecast", "category_forecasts",
                      ml.history_plus_forecast(f, ml.selected_forecast(fits, k), k))
-            # categories without a model are reported, not silently dropped
+            # failed fits and categories without a model are reported
+            for r in fits.where("error is not null").select(*k, "fold", "error").collect():
+                run.status.append(("category_forecast", r[spec.category], False,
+                                   f"fold {r['fold']}: {r['error']}"))
             for r in (f.select(*k).distinct().join(scores.select(*k), k, "left_anti")
                       .collect()):
                 run.status.append(("category_forecast", r[spec.category], False,
@@ -133,7 +157,7 @@ def run_pipeline(spark: SparkSession, source: str, out_dir: str, kind: str = "st
     if "dashboards" in stages:
         def dashboards():
             # the dashboards read the raw lines, dates coerced (bad -> null)
-            for name, df in dashboard_datasets(parse_dates(raw, spec, "coerce"), spec).items():
+            for name, df in dashboard_datasets(parse_dates(raw(), spec, "coerce"), spec).items():
                 run.save("dashboards", name, df)
         run.stage("dashboards", dashboards)
 

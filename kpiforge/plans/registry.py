@@ -18,7 +18,7 @@ from ..operators import clean, kpi, ml, profile, series, stats
 from ..sources.tables import fact_columns
 from ..spec import DEFAULT_SPEC as S
 from . import oracle_sql as O
-from .frames import cleaning_stats, prepared_fact, raw_fact, with_gaps
+from .frames import cleaning_stats, fit_cleaning, fitted_once, prepared_fact, raw_fact, with_gaps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,10 +67,10 @@ def q_table_shape(spark, sf):
     return profile.shape(raw_fact(spark, sf))
 
 
-@register("sample_rows")
+@register("sample_rows", O.on_raw("SELECT * FROM fact ORDER BY row_id LIMIT 5"))
 def q_sample_rows(spark, sf):
-    """A peek at five order lines (which five is up to the engine: rows-only)."""
-    return profile.sample_rows(raw_fact(spark, sf), 5)
+    """The five order lines with the smallest row ids."""
+    return profile.sample_rows(raw_fact(spark, sf), 5, S.row_id)
 
 
 def _profile_sql() -> str:
@@ -138,7 +138,7 @@ SELECT * FROM (
   UNION ALL SELECT 'discount', q1_discount, q3_discount, q3_discount - q1_discount,
          lo_discount, hi_discount FROM quartiles, bounds)"""))
 def q_iqr_bounds(spark, sf):
-    st = cleaning_stats(spark, sf)
+    st = fit_cleaning(spark, sf)  # this report is the fit: never a remembered one
     rows = [(c, *[None if v is None else float(v) for v in
                   (q1, q3, None if q1 is None else q3 - q1, lo, hi)])
             for c, (q1, q3, lo, hi) in st.bounds.items()]
@@ -749,21 +749,14 @@ def q_regression_metrics(spark, sf):
                     F.round("r2", 9).alias("r2"))
 
 
-_FITS: dict[tuple, object] = {}
-
-
-def _memo(spark, key, make):
-    """Fits are reused by the queries that read them, within one application
-    (the cached frames point at that application's checkpoint files)."""
-    key = (spark.sparkContext.applicationId, *key)
-    if key not in _FITS:
-        _FITS[key] = make()
-    return _FITS[key]
+# An explicit choice of these queries, not of the operator: at its default depth
+# 30 and 256 bins a fit takes over four minutes on 6,000 lines already (README).
+SALES_MODEL = {"max_depth": 8, "max_bins": 32}
 
 
 def _sales_model(spark, sf):
-    return _memo(spark, ("sales_model", sf.rstrip("/")),
-                 lambda: ml.fit_sales_model(prepared_fact(spark, sf)))
+    return fitted_once(spark, sf, ("sales_model", sf.rstrip("/"), S),
+                       lambda: ml.fit_sales_model(prepared_fact(spark, sf), **SALES_MODEL))
 
 
 @register("sales_model_metrics")
@@ -786,7 +779,7 @@ def _global_fits(spark, sf):
         f = ml.materialize(series.monthly_features(_fc_frame(spark, sf)), single=True)
         fut = series.future_features(f, 6)
         return f, ml.materialize(ml.grouped_fits(f, fut, [], _CANDIDATES), single=True)
-    return _memo(spark, ("global_fits", sf.rstrip("/")), make)
+    return fitted_once(spark, sf, ("global_fits", sf.rstrip("/"), S), make)
 
 
 def _category_fits(spark, sf):
@@ -800,7 +793,7 @@ def _category_fits(spark, sf):
             series.CATEGORY_WINDOWS, with_std=False, require_full_window=True)
         fits = ml.grouped_fits(f, fut, k, ["gradient_boosting"], min_train=5, min_test=2)
         return f, ml.materialize(fits)
-    return _memo(spark, ("category_fits", sf.rstrip("/")), make)
+    return fitted_once(spark, sf, ("category_fits", sf.rstrip("/"), S), make)
 
 
 @register("model_comparison")

@@ -68,27 +68,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for a written table."""
     return os.path.join(checkpoint_dir(spark), name)
-
-
-def cluster_conf(input_bytes: int, shuffle_fraction: float = 0.3,
-                 advisory_mb: int = 128) -> dict[str, str]:
-    """Suggested settings for a cluster run over ``input_bytes`` of tables.
-
-    The largest shuffles here move a projection of the line items (a few of
-    their columns), roughly ``shuffle_fraction`` of the input; partitions are
-    sized so each reduce task holds about ``advisory_mb`` and AQE coalesces
-    the small ones and splits skewed ones at runtime.
-    """
-    mb = 1024 * 1024
-    parts = max(200, min(200_000, int(input_bytes * shuffle_fraction / (advisory_mb * mb))))
-    return {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{advisory_mb}m",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * advisory_mb}m",
-        "spark.sql.files.maxPartitionBytes": "256m",
-        "spark.sql.autoBroadcastJoinThreshold": str(16 * mb),
-    }

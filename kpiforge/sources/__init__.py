@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..spec import DEFAULT_SPEC, SalesSpec
 
@@ -14,12 +13,16 @@ def read_sales(spark: SparkSession, path: str, kind: str = "auto",
     """Order lines from a star-schema folder, a CSV export or a flat Parquet
     table (``kind="auto"`` decides from the path)."""
     from .csv import read_sales_csv
-    from .tables import sales_fact
+    from .tables import finite, sales_fact
     if kind == "auto":
-        if os.path.exists(os.path.join(path, "lineitem.parquet")):
+        # any store that Spark reads, not only local folders
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = ([f.getPath().getName() for f in fs.listStatus(at)]
+                 if fs.exists(at) and fs.getFileStatus(at).isDirectory() else [])
+        if "lineitem.parquet" in names:
             kind = "star"
-        elif path.lower().endswith(".csv") or (
-                os.path.isdir(path) and any(f.lower().endswith(".csv") for f in os.listdir(path))):
+        elif path.lower().endswith(".csv") or any(n.lower().endswith(".csv") for n in names):
             kind = "csv"
         else:
             kind = "parquet"
@@ -28,5 +31,7 @@ def read_sales(spark: SparkSession, path: str, kind: str = "auto",
     if kind == "csv":
         return read_sales_csv(spark, path)
     if kind == "parquet":
-        return spark.read.parquet(path)
+        flat = spark.read.parquet(path)
+        return flat.select(*[finite(f"`{c}`").alias(c) if t in ("double", "float")
+                             else F.col(f"`{c}`") for c, t in flat.dtypes])
     raise ValueError(f"unknown source kind {kind!r}")

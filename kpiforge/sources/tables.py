@@ -1,11 +1,11 @@
 """Parquet star-schema source: the driver tables flattened into order lines.
 
 ``sales_fact`` builds one row per line item with the order-line columns of
-``SalesSpec``. Only the dimension tables a query actually needs are joined, so
-a category report never shuffles the line items by order key. This relies on
-the TPC-H foreign-key integrity of the tables (every line has its order, every
-order its customer, every line its part); ``strict=True`` always joins all six
-tables and gives the literal inner-join semantics.
+``SalesSpec``: a literal inner join of all six tables, so every report sees the
+same population whatever columns it asks for. A caller that declares the
+foreign keys (``trust_keys=True``: every line has its order and part, every
+order its customer) gets only the joins its columns need; ``orphan_counts``
+verifies that declaration.
 """
 
 from __future__ import annotations
@@ -26,40 +26,32 @@ STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 
 
-# (application, folder, table) -> catalog table holding a bucketed copy
-_BUCKETED: dict[tuple[str, str, str], str] = {}
-BUCKET_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    if key in _BUCKETED:
-        return spark.table(_BUCKETED[key])
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bucket_star(spark: SparkSession, sf_dir: str, buckets: int,
-                prefix: str = "kpiforge") -> dict[str, str]:
-    """Write line items and orders once, bucketed and sorted by order key, to
-    the shared checkpoint folder, and read them from there for the rest of
-    the session. The line-items-to-orders join then needs no shuffle of the
-    line items: both sides are already hash-partitioned by order key into
-    the same buckets (only a re-keyed orders side, e.g. after meeting the
-    customers, is shuffled to match). Pick ``buckets`` so one bucket of line
-    items is a few hundred MB."""
-    from ..session import scratch_path
-    folder = sf_dir.rstrip("/")
-    tag = abs(hash(folder)) % 10 ** 8
-    out = {}
-    for name, col in BUCKET_KEYS.items():
-        table = f"{prefix}_{name}_{tag}_b{buckets}"
-        (spark.read.parquet(f"{folder}/{name}.parquet")
-         .write.mode("overwrite").bucketBy(buckets, col).sortBy(col)
-         .option("path", scratch_path(spark, f"bucketed/{table}"))
-         .saveAsTable(table))
-        _BUCKETED[(spark.sparkContext.applicationId, folder, name)] = table
-        out[name] = table
-    return out
+def file_listing(spark: SparkSession, folder: str,
+                 tables: Iterable[str] = STAR_TABLES) -> tuple:
+    """(path, length, modification time) of every file of the tables, through
+    Hadoop's file system: what a fit over these tables depends on."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{t}.parquet")
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            continue
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def finite(col: str) -> Column:
+    """A double column with NaN and infinities as null (gaps, as in pandas)."""
+    c = F.col(col)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -110,7 +102,7 @@ def fk_join_size(many: DataFrame, joined: DataFrame) -> int | None:
 def _fact_columns(spec: SalesSpec) -> dict[str, tuple[Column, set[str]]]:
     """Output column -> (expression, dimension tables it needs)."""
     li = lambda c: F.col(c)  # noqa: E731  (readability of the table below)
-    sales = li("l_extendedprice") * (F.lit(1) - li("l_discount"))
+    sales = finite("l_extendedprice") * (F.lit(1) - finite("l_discount"))
     return {
         spec.row_id: (F.concat_ws("-", li("l_orderkey"), li("l_partkey"),
                                   li("l_suppkey"), li("l_linenumber")), set()),
@@ -127,11 +119,11 @@ def _fact_columns(spec: SalesSpec) -> dict[str, tuple[Column, set[str]]]:
         spec.product_name: (F.col("p_name"), {"part"}),
         spec.category: (F.col("p_type"), {"part"}),
         spec.sub_category: (F.col("p_brand"), {"part"}),
-        spec.quantity: (li("l_quantity"), set()),
+        spec.quantity: (finite("l_quantity"), set()),
         # + 0.0 turns the -0.0 present in the data into 0.0
-        spec.discount: (li("l_discount") + F.lit(0.0), set()),
+        spec.discount: (finite("l_discount") + F.lit(0.0), set()),
         spec.sales: (sales.cast("decimal(18,4)"), set()),
-        spec.profit: ((sales - li("l_quantity") * F.col("p_retailprice"))
+        spec.profit: ((sales - finite("l_quantity") * finite("p_retailprice"))
                       .cast("decimal(18,4)"), {"part"}),
     }
 
@@ -146,11 +138,12 @@ def fact_columns(spec: SalesSpec = DEFAULT_SPEC) -> list[str]:
 
 def sales_fact(spark: SparkSession, sf_dir: str,
                columns: Iterable[str] | None = None,
-               spec: SalesSpec = DEFAULT_SPEC, strict: bool = False) -> DataFrame:
+               spec: SalesSpec = DEFAULT_SPEC, trust_keys: bool = False) -> DataFrame:
     """Flat order-line fact from the star schema (lazy).
 
-    ``columns`` limits the output (and therefore the joins) to what a query
-    needs; default is all order-line columns in ``SalesSpec`` order.
+    ``columns`` limits the output to what a query needs; default is all
+    order-line columns in ``SalesSpec`` order. ``trust_keys`` also limits the
+    joins (see the module docstring).
     """
     exprs = _fact_columns(spec)
     wanted = list(exprs) if columns is None else list(columns)
@@ -160,7 +153,7 @@ def sales_fact(spark: SparkSession, sf_dir: str,
     needs: set[str] = set()
     for c in wanted:
         needs |= exprs[c][1]
-    if strict:
+    if not trust_keys:
         needs = {"orders", "customer", "geo", "part"}
 
     lines = read_table(spark, sf_dir, "lineitem")

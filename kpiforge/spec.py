@@ -42,6 +42,11 @@ class SalesSpec:
     def dates(self) -> tuple[str, str]:
         return (self.order_date, self.ship_date)
 
+    def model_categoricals(self) -> tuple[str, ...]:
+        """Text columns with a bounded vocabulary: one-hot features."""
+        return (self.ship_mode, self.segment, self.region, self.state, self.category,
+                self.sub_category)
+
     def model_exclusions(self) -> tuple[str, ...]:
         """Columns never used as features of the row-level sales model."""
         return (self.sales, self.profit, self.order_id, self.order_date,

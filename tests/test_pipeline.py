@@ -1,18 +1,17 @@
-"""End-to-end runs, stage isolation, invariants and the streaming variant."""
+"""End-to-end runs, stage isolation and invariants."""
 
 import datetime as dt
 import os
 import tempfile
-import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from kpiforge.operators import kpi
+from kpiforge.operators import clean, kpi, ml, series
 from kpiforge.plans import registry
 from kpiforge.plans.frames import prepared_fact, raw_fact
-from kpiforge.plans.pipeline import Run, run_pipeline
-from kpiforge.streaming.monthly import monthly_trend_stream, start_monthly_trend
+from kpiforge.plans.pipeline import Run, run_analysis, run_forecast, run_pipeline
+from kpiforge.sources import read_sales
 
 from conftest import SF_SMALL
 
@@ -104,27 +103,6 @@ def test_sales_model_metrics_are_sane(spark):
     assert any(r["feature"].startswith("category_") for r in imp)
 
 
-def test_streaming_monthly_trend_matches_batch(spark):
-    src = tempfile.mkdtemp(prefix="stream-src-", dir="/tmp")
-    lines = raw_fact(spark, SF_SMALL, ["order_date", "sales", "profit", "order_id"])
-    # two arrivals of order lines
-    lines.where(F.col("order_date") < F.lit(dt.date(1998, 1, 1))).write.parquet(f"{src}/a")
-    q = start_monthly_trend(spark, f"{src}/*", lines.schema, "kpiforge_trend_test",
-                            checkpoint=tempfile.mkdtemp(prefix="stream-ck-", dir="/tmp"))
-    try:
-        q.processAllAvailable()
-        lines.where(F.col("order_date") >= F.lit(dt.date(1998, 1, 1))).write.parquet(f"{src}/b")
-        time.sleep(1)
-        q.processAllAvailable()
-        got = {r["month"]: (float(r["sales"]), r["order_count"])
-               for r in spark.table("kpiforge_trend_test").collect()}
-    finally:
-        q.stop()
-    want = {r["month"]: (r["sales"], r["order_count"]) for r in kpi.monthly_sales(lines).collect()}
-    assert got == want
-    assert monthly_trend_stream(lines).isStreaming is False
-
-
 def test_csv_export_gives_same_reports(spark):
     """A flat CSV export (reference-style headers, M/d/yyyy dates) run
     through the pipeline gives the same KPI tables as the star schema."""
@@ -210,3 +188,89 @@ def test_bench_prints_one_json_line():
     d = json.loads(lines[0])
     assert d["unit"] == "sec" and set(d["queries"]) == {"category_performance", "monthly_sales"}
     assert d["sf"] == 0.001 and "failed" not in d
+
+
+def _flat(spark, folder, bad_date=False):
+    """The small tables as one flat Parquet table with text dates."""
+    lines = raw_fact(spark, SF_SMALL)
+    for c in ("order_date", "ship_date"):
+        lines = lines.withColumn(c, F.date_format(c, "M/d/yyyy"))
+    if bad_date:
+        first = lines.agg(F.min("row_id")).first()[0]
+        lines = lines.withColumn("order_date", F.when(F.col("row_id") == first, "13/45/2016")
+                                 .otherwise(F.col("order_date")))
+    lines.write.parquet(folder)
+    return folder
+
+
+def test_run_forecast_survives_one_bad_date(spark, tmp_path):
+    src = _flat(spark, str(tmp_path / "flat"), bad_date=True)
+    status, _ = run_forecast(spark, src, str(tmp_path / "out"), kind="parquet")
+    ok = {r["stage"]: r["ok"] for r in status.collect() if r["key"] is None}
+    assert ok == {"forecast": True, "category_forecast": True}
+    assert spark.read.parquet(str(tmp_path / "out" / "_status")).count() == status.count()
+
+
+def test_run_analysis_isolates_one_bad_date(spark, tmp_path):
+    src = _flat(spark, str(tmp_path / "flat"), bad_date=True)
+    status, cat = run_analysis(spark, src, str(tmp_path / "out"), kind="parquet",
+                               sales_model_options={"max_depth": 3, "num_trees": 2, "max_bins": 32})
+    assert [r["ok"] for r in status.collect()] == [False, False]
+    assert cat.count() == 0 and spark.read.parquet(str(tmp_path / "out" / "_status")).count() == 2
+
+
+def test_run_analysis_with_the_sales_model(spark, tmp_path):
+    status, cat = run_analysis(spark, SF_SMALL, str(tmp_path / "out"),
+                               sales_model_options={"max_depth": 3, "num_trees": 3, "max_bins": 32})
+    assert all(r["ok"] for r in status.collect())
+    names = {r["name"] for r in cat.collect()}
+    assert {"sales_model_metrics", "feature_importance"} < names
+
+
+def test_sales_model_ignores_layout_and_beats_the_mean(spark):
+    """The same rows in 4 and 8 partitions give the same model; on a planted
+    signal it predicts better than the mean."""
+    rows = [(f"r{i}", ("a", "b", "c")[i % 3], float(i % 7), 100.0 * (i % 3) + (i % 7)) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id string, category string, quantity double, sales double")
+    fit = lambda d: ml.fit_sales_model(d, num_trees=5, max_depth=4, max_bins=32,
+                                       partitions=6).metrics.first()
+    a, b = fit(df.repartition(4)), fit(df.repartition(8))
+    assert a == b and a["r2"] > 0.9
+
+
+def test_free_text_is_not_one_hot_encoded(spark):
+    rows = [(f"r{i}", ("a", "b")[i % 2], f"note {i}", float(i % 5), float(i % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id string, category string, note string, quantity double, sales double")
+    m = ml.fit_sales_model(df, num_trees=2, max_depth=2, max_bins=32, partitions=2)
+    assert m.categorical == ["category"]
+
+
+def test_short_series_raises(spark):
+    f = spark.createDataFrame([(dt.date(2020, m, 1), float(m)) for m in range(1, 6)], "date date, sales double")
+    with pytest.raises(Exception, match="cannot make 5 time-series folds"):
+        series.ts_folds(f).collect()
+    with pytest.raises(Exception, match="cannot make 5 time-series folds"):
+        ml.grouped_fits(f.withColumn("x", F.lit(1.0)), None, [], ["linear_regression"]).collect()
+
+
+def test_a_poisoned_series_fails_alone(spark):
+    months = [dt.date(2018 + k // 12, k % 12 + 1, 1) for k in range(24)]
+    rows = [(c, d, float(i) if c == "good" or i != 20 else float("inf"), float(i))
+            for c in ("good", "poisoned") for i, d in enumerate(months)]
+    f = spark.createDataFrame(rows, "category string, date date, x double, sales double")
+    future = spark.createDataFrame([(c, 1, dt.date(2020, 1, 1), 24.0) for c in ("good", "poisoned")],
+                                   "category string, step bigint, date date, x double")
+    fits = ml.grouped_fits(f, future, ["category"], ["linear_regression"]).cache()
+    failed = {r["category"] for r in fits.where("error is not null").collect()}
+    assert failed == {"poisoned"}
+    done = ml.selected_forecast(fits, ["category"]).collect()
+    assert "good" in {r["category"] for r in done}
+
+
+def test_gaps_in_floating_input_are_null(spark, tmp_path):
+    src = str(tmp_path / "flat")
+    spark.createDataFrame([("a", float("nan")), ("b", float("inf")), ("c", 2.0), ("d", None)],
+                          "row_id string, quantity double").write.parquet(src)
+    got = {r["row_id"]: r["quantity"] for r in read_sales(spark, src).collect()}
+    assert got == {"a": None, "b": None, "c": 2.0, "d": None}
+    assert {r["quantity"] for r in clean.impute(read_sales(spark, src)).collect()} == {2.0}

@@ -3,6 +3,7 @@
 import io
 from contextlib import redirect_stdout
 
+import pytest
 from kpiforge.operators import kpi
 from kpiforge.plans import registry
 from kpiforge.sources.tables import sales_fact
@@ -19,7 +20,8 @@ def plan(df) -> str:
 
 def test_category_report_joins_only_parts(spark):
     df = kpi.category_performance(sales_fact(spark, SF_SMALL, ["category", "sales", "profit",
-                                                               "quantity", "order_id"]))
+                                                               "quantity", "order_id"],
+                                             trust_keys=True))
     p = plan(df)
     assert "part.parquet" in p and "orders.parquet" not in p and "customer.parquet" not in p
 
@@ -72,8 +74,8 @@ def test_join_pruning_is_exact_on_driver_tables(spark):
     from kpiforge.sources.tables import orphan_counts
     assert set(orphan_counts(spark, SF_SMALL).values()) == {0}
     cols = ["category", "sales", "profit", "quantity", "order_id"]
-    pruned = kpi.category_performance(sales_fact(spark, SF_SMALL, cols)).collect()
-    full = kpi.category_performance(sales_fact(spark, SF_SMALL, cols, strict=True)).collect()
+    pruned = kpi.category_performance(sales_fact(spark, SF_SMALL, cols, trust_keys=True)).collect()
+    full = kpi.category_performance(sales_fact(spark, SF_SMALL, cols)).collect()
     assert pruned == full
 
 
@@ -86,31 +88,86 @@ def test_line_items_are_never_the_broadcast_side(spark):
     cust = read_table(spark, SF_SMALL, "customer")
     joined = orders.join(cust, orders.o_custkey == cust.c_custkey)
     assert fk_join_size(orders, joined) >= estimated_bytes(orders)
-    p = plan(registry.QUERIES["segment_performance"](spark, SF_SMALL))
-    assert "BuildLeft" not in p
-
-
-def test_bucketed_line_items_join_orders_without_shuffling(spark):
-    """With line items and orders bucketed by order key, the big join keeps
-    both sides in place even when nothing is broadcast."""
+    df = registry.QUERIES["segment_performance"](spark, SF_SMALL)
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = []
+            for inner in lines[i + 1:]:
+                if depth(inner) <= depth(line):
+                    break
+                below.append(inner)
+            assert not any("l_orderkey" in x and "FileScan" in x for x in below), below
+
+
+def _shuffled(spark, name):
+    """Physical plan of a query with nothing broadcast."""
     import kpiforge.sources.tables as T
-    src = "/root/testdata/sf0.001"
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     limit = T.BROADCAST_LIMIT_BYTES
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     T.BROADCAST_LIMIT_BYTES = -1
     try:
-        base = registry.QUERIES["monthly_sales"](spark, src).collect()
-        T.bucket_star(spark, src, 4)
-        df = registry.QUERIES["monthly_sales"](spark, src)
-        buf = io.StringIO()
-        with redirect_stdout(buf):
-            df.explain()
-        p = buf.getvalue()
-        join = p.index("SortMergeJoin [l_orderkey")
-        scan = p.index("FileScan parquet spark_catalog.default.kpiforge_lineitem_")
-        assert join < scan and "Exchange" not in p[join:scan], p
-        assert df.collect() == base
+        return plan(registry.QUERIES[name](spark, SF_SMALL))
     finally:
         T.BROADCAST_LIMIT_BYTES = limit
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
-        T._BUCKETED.clear()
+
+
+@pytest.mark.parametrize("name", ["segment_performance", "category_hierarchy"])
+def test_lines_are_aggregated_before_they_are_expanded(spark, name):
+    tree = _shuffled(spark, name).split("\n\n(")[0].splitlines()
+    expand = [i for i, line in enumerate(tree) if "Expand" in line]
+    aggregates = [i for i, line in enumerate(tree) if "HashAggregate" in line]
+    joins = [i for i, line in enumerate(tree) if "SortMergeJoin" in line]
+    assert expand and max(expand) < max(aggregates) < min(joins), tree
+
+
+def test_order_values_exchange_between_join_and_order_totals(spark):
+    """A hot order is spread by the salt; the exchange above the order join
+    lets adaptive execution split that join."""
+    tree = _shuffled(spark, "dash_segment_aov").split("\n\n(")[0].splitlines()
+    join = min(i for i, line in enumerate(tree) if "SortMergeJoin" in line)
+    last = max(i for i, line in enumerate(tree[:join]) if "Exchange" in line)
+    assert "HashAggregate" in "".join(tree[last:join])
+
+
+@pytest.fixture
+def orphan_folder(spark, tmp_path):
+    """The small tables with a third of the orders missing."""
+    from kpiforge.sources.tables import STAR_TABLES
+    for t in STAR_TABLES:
+        df = spark.read.parquet(f"{SF_SMALL}/{t}.parquet")
+        if t == "orders":
+            df = df.where("o_orderkey % 3 <> 0")
+        df.write.parquet(str(tmp_path / f"{t}.parquet"))
+    return str(tmp_path)
+
+
+def test_reports_agree_with_orphan_lines(spark, orphan_folder):
+    """One population, whatever columns a report asks for."""
+    from kpiforge.sources.tables import orphan_counts
+    assert orphan_counts(spark, orphan_folder)["lineitem.l_orderkey"] > 0
+    total = lambda name, column: round(sum(
+        r[column] for r in registry.QUERIES[name](spark, orphan_folder).collect()), 4)
+    sales = {total(n, "sales") for n in ("category_performance", "segment_performance",
+                                         "monthly_sales", "shipping_performance")}
+    assert len(sales) == 1
+    assert {sales_fact(spark, orphan_folder, c).count() for c in (
+        None, ["quantity"], ["category"], ["segment", "sales"])} == {
+            sales_fact(spark, orphan_folder).count()}
+
+
+def test_changed_files_are_fitted_again(spark, orphan_folder):
+    before = {r["column"]: r["upper_bound"] for r in
+              registry.QUERIES["iqr_bounds"](spark, orphan_folder).collect()}
+    capped = lambda: registry.QUERIES["prepared_totals"](spark, orphan_folder).collect()
+    first = capped()
+    path = f"{orphan_folder}/lineitem.parquet"
+    lines = spark.createDataFrame(spark.read.parquet(path).toPandas())
+    lines.withColumn("l_quantity", lines.l_quantity * 1000).write.mode("overwrite").parquet(path)
+    spark.catalog.clearCache()
+    after = {r["column"]: r["upper_bound"] for r in
+             registry.QUERIES["iqr_bounds"](spark, orphan_folder).collect()}
+    assert after["quantity"] == 1000 * before["quantity"]
+    assert capped() != first
