@@ -24,9 +24,9 @@ any number are encoded once when huge. No identifier is needed.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -110,19 +110,25 @@ def _encode_chunks(tokenizer: Broadcast, chunk: int, overlap: int):
             out = []
             for i, is_last, start, text in zip(rows["i"], rows["is_last"], rows["start"], rows["part"]):
                 enc = tok.encode(text, add_special_tokens=False)
-                words = np.array([-1 if w is None else w for w in enc.word_ids], np.int64)
-                offs = np.array([o[0] for o in enc.offsets], np.int64)
-                begins = np.ones(len(words), bool)
-                begins[1:] = (words[1:] != words[:-1]) | (words[1:] < 0)
-                at = np.flatnonzero(begins)
-                pos = offs[at]
-                head = (pos < overlap) & (i > 0)
-                tail = (pos >= chunk) & (pos < len(text) - margin) & (not is_last)
-                out.append((len(words), pos[head] + start, at[head], pos[tail] + start, at[tail]))
+                n, at, words = len(enc), enc.token_to_chars, enc.token_to_word
+                # only tokens of the two overlaps are looked at one by one
+                head, tail = [], []
+                k = 0
+                while i > 0 and k < n and at(k)[0] < overlap:
+                    head.append(k)
+                    k += 1
+                k = n if is_last else bisect_left(range(n), chunk, key=lambda x: at(x)[0])
+                while k < n and at(k)[0] < len(text) - margin:
+                    tail.append(k)
+                    k += 1
+                head, tail = ([(at(k)[0] + start, k) for k in part
+                               if k == 0 or words(k) is None or words(k) != words(k - 1)]
+                              for part in (head, tail))
+                out.append((n, *([x[j] for x in part] for part in (head, tail) for j in (0, 1))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2),
                  pa.array([o[0] for o in out], pa.int64())]
-                + [pa.array([o[k].tolist() for o in out], pa.list_(pa.int64())) for k in (1, 2, 3, 4)],
+                + [pa.array([o[k] for o in out], pa.list_(pa.int64())) for k in (1, 2, 3, 4)],
                 ["key", "i", "is_last", "n", "head_pos", "head_n", "tail_pos", "tail_n"])
     return run
 
