@@ -81,7 +81,7 @@ def op8_substrings(spark: SparkSession, sf: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     scored = quality.quality_scores(docs, table(spark, sf, "labels"))
-    return scored.select("doc_id", (quality.fold_of("doc_id") == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(quality.fold_of("doc_id") == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op10_topk(spark: SparkSession, sf: str) -> DataFrame:
