@@ -6,13 +6,12 @@ Two shapes of work, two strategies:
   ``pyspark.ml`` Pipeline - StringIndexer/OneHotEncoder, standardized
   numerics, RandomForestRegressor - so training is a distributed tree
   aggregation over the executors.
-* The forecasters train on monthly feature tables: one row per month (per
-  category), i.e. tiny by construction whatever the input size, but many
-  fits (3 models x 5 folds + refits, and per category). Spark ML would spend
-  a driver-scheduled job per boosting iteration on a 60-row table, so each
-  fit is instead one ``applyInPandas`` group keyed by (series, model, fold):
-  the executors fit the groups in parallel with the small NumPy learners of
-  ``smallfit``, and selection / forecasting stay DataFrame operations.
+* A keyed panel of forecasters trains on monthly feature tables: one row per
+  month and key, i.e. short series whatever the input size, but many of them.
+  Each fit is one ``applyInPandas`` group keyed by (series, model, fold): the
+  executors fit the groups in parallel with the small NumPy learners of
+  ``smallfit``, and selection / forecasting stay DataFrame operations. The
+  single global series is fitted with ``pyspark.ml`` in ``forecast``.
   Feature tables are checkpointed to the shared checkpoint folder first
   (lineage cut, so a lost executor does not re-run the order-line
   aggregation).
@@ -421,10 +420,12 @@ def forecast_series(features: DataFrame, horizon: int = 3, keys: Sequence[str] =
     """One call from a feature table to (model summary, forecast).
 
     Global series: the three candidates are cross-validated and the best one
-    forecasts. Keyed panel (``keys=[category]``): one gradient-boosting model
-    per key, folds with < 5 train / < 2 test rows skipped. Lazy: nothing runs
-    until the results are used (materialize the features first when both
-    results are read)."""
+    forecasts; these fits run at the call. Keyed panel (``keys=[category]``):
+    one gradient-boosting model per key, folds with < 5 train / < 2 test rows
+    skipped; nothing runs until the results are used (materialize the features
+    first when both results are read)."""
+    from .forecast import CANDIDATES, series_fits
+
     keys = list(keys)
     if keys:
         fut = series.future_features(features, horizon, keys, series.CATEGORY_LAGS,
@@ -434,7 +435,5 @@ def forecast_series(features: DataFrame, horizon: int = 3, keys: Sequence[str] =
                             min_train=5, min_test=2)
     else:
         fut = series.future_features(features, horizon, step=step)
-        fits = grouped_fits(features, fut, [], list(models or ["random_forest",
-                                                              "gradient_boosting",
-                                                              "linear_regression"]))
+        fits = materialize(series_fits(features, fut, list(models or CANDIDATES)), single=True)
     return cv_summary(fits, keys), selected_forecast(fits, keys)

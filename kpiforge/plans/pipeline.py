@@ -18,6 +18,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import ml, series
+from ..operators.forecast import series_fits
 from ..operators.clean import CleaningStats, parse_dates, prepare
 from ..session import scratch_path
 from ..sources import read_sales
@@ -121,8 +122,8 @@ def run_pipeline(spark: SparkSession, source: str, out_dir: str, kind: str = "st
         def forecast():
             f = run.stash(series.monthly_features(fc_frame(), spec).drop("_n"),
                           "monthly_features")
-            fits = run.stash(ml.grouped_fits(f, series.future_features(f, horizon), [],
-                                             list(_CANDIDATES)), "global_fits")
+            fits = run.stash(series_fits(f, series.future_features(f, horizon)),
+                             "global_fits")
             run.save("forecast", "model_comparison", ml.cv_summary(fits))
             run.save("forecast", "global_feature_importance",
                      top_features(ml.selected_importance(fits), 10))
@@ -169,9 +170,6 @@ def run_pipeline(spark: SparkSession, source: str, out_dir: str, kind: str = "st
     return status, cat
 
 
-_CANDIDATES = ("random_forest", "gradient_boosting", "linear_regression")
-
-
 def run_analysis(spark: SparkSession, source: str, out_dir: str, kind: str = "star",
                  **kw) -> tuple[DataFrame, DataFrame]:
     """KPI tables and the row-level sales model."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_parts, day_lag
 from ..functions.measures import currency, dsum
-from ..operators import clean, kpi, ml, profile, series, stats
+from ..operators import clean, forecast, kpi, ml, profile, series, stats
 from ..sources.tables import fact_columns
 from ..spec import DEFAULT_SPEC as S
 from . import oracle_sql as O
@@ -769,16 +769,13 @@ def q_sales_model_importance(spark, sf):
     return _sales_model(spark, sf).importance.orderBy(F.col("importance").desc(), "feature")
 
 
-_CANDIDATES = ["random_forest", "gradient_boosting", "linear_regression"]
-
-
 def _global_fits(spark, sf):
     """Monthly features (checkpointed) and every fit of the three candidates:
     5 CV folds each plus a refit scoring the 6-step horizon."""
     def make():
         f = ml.materialize(series.monthly_features(_fc_frame(spark, sf)), single=True)
         fut = series.future_features(f, 6)
-        return f, ml.materialize(ml.grouped_fits(f, fut, [], _CANDIDATES), single=True)
+        return f, ml.materialize(forecast.series_fits(f, fut), single=True)
     return fitted_once(spark, sf, ("global_fits", sf.rstrip("/"), S), make)
 
 
