@@ -122,7 +122,7 @@ def predictor_fits(features: DataFrame, future: DataFrame, predictors: Mapping[s
     def each(df: DataFrame, *cols) -> DataFrame:
         told = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("prediction"))
                          for m, c in predictors.items()])
-        return df.select(*keys, *cols, F.explode(told).alias("p")).select(*keys, *cols, "p.*")
+        return df.select(*keys, *cols, F.explode(told).alias("_p")).select("*", "_p.*").drop("_p")
 
     folds = series.ts_folds(features, keys, n_splits, min_train, min_test).where("role = 'test'")
     tested = each(folds.join(features, [*keys, "date"]), "fold", "train_size", "test_size",

@@ -109,6 +109,16 @@ def one_hot_levels(df: DataFrame, cat_cols: Sequence[str]) -> DataFrame:
     return counts.select("feature", "level", slot.cast("bigint").alias("slot"), "rows")
 
 
+def one_hot_encoder(cat_cols: Sequence[str]) -> Pipeline:
+    """Encoder of ``cat_cols`` to vectors ``{column}__ohe``: one slot per level
+    of the fitted rows, alphabetically; any other level is all zeros."""
+    idx = [f"{c}__idx" for c in cat_cols]
+    return Pipeline(stages=[
+        StringIndexer(inputCols=list(cat_cols), outputCols=idx, handleInvalid="keep",
+                      stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=idx, outputCols=[f"{c}__ohe" for c in cat_cols], dropLast=True)])
+
+
 # --------------------------------------------------------------------------
 # Error metrics
 # --------------------------------------------------------------------------
@@ -176,13 +186,8 @@ def fit_sales_model(prepared: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
     train = data.where(~F.col("_is_test"))
     test = data.where(F.col("_is_test"))
     scaling = standardize_params(train, num)
-    idx = [f"{c}__idx" for c in cat]
     ohe = [f"{c}__ohe" for c in cat]
-    stages = []
-    if cat:
-        stages += [StringIndexer(inputCols=cat, outputCols=idx, handleInvalid="keep",
-                                 stringOrderType="alphabetAsc"),
-                   OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]
+    stages = one_hot_encoder(cat).getStages() if cat else []
     stages += [VectorAssembler(inputCols=[f"{c}__z" for c in num] + ohe,
                                outputCol="features"),
                RandomForestRegressor(labelCol="label", featuresCol="features",
@@ -380,9 +385,11 @@ def grouped_fits(features: DataFrame, future: DataFrame | None, keys: Sequence[s
             .applyInPandas(_fit_group_fn(feats, label, keys), schema))
 
 
+CANDIDATE_ORDER = ("random_forest", "gradient_boosting", "linear_regression")
+
+
 def cv_summary(fits: DataFrame, keys: Sequence[str] = (),
-               order: Sequence[str] = ("random_forest", "gradient_boosting",
-                                       "linear_regression")) -> DataFrame:
+               order: Sequence[str] = CANDIDATE_ORDER) -> DataFrame:
     """Per (keys, model): folds scored, mean RMSE, and whether it is the
     selected model (lowest mean RMSE, the earlier candidate on a tie)."""
     keys = list(keys)
@@ -395,10 +402,11 @@ def cv_summary(fits: DataFrame, keys: Sequence[str] = (),
     return s.withColumn("selected", rank == 1)
 
 
-def selected_forecast(fits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def selected_forecast(fits: DataFrame, keys: Sequence[str] = (),
+                      order: Sequence[str] = CANDIDATE_ORDER) -> DataFrame:
     """Horizon predictions of each series' selected model."""
     keys = list(keys)
-    best = cv_summary(fits, keys).where("selected").select(*keys, "model")
+    best = cv_summary(fits, keys, order).where("selected").select(*keys, "model")
     preds = fits.where((F.col("fold") == -1) & F.col("step").isNotNull())
     return (preds.join(best, keys + ["model"], "left_semi")
             .select(*keys, "model", "step", "date", month_label("date").alias("label"),

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_parts, day_lag
-from ..functions.measures import currency, dsum
+from ..functions.measures import currency, dsum, title_label
 from ..operators import clean, forecast, kpi, ml, profile, series, stats
 from ..sources.tables import fact_columns
 from ..spec import DEFAULT_SPEC as S
@@ -213,6 +214,20 @@ def q_date_features(spark, sf):
                     day_lag(S.ship_date, S.order_date).alias("ship_lag"))
 
 
+@register("text_dates", O.on_raw("""
+SELECT row_id, order_date, CASE WHEN order_id % 29 = 0 THEN NULL ELSE order_date END AS coerced_date
+FROM fact"""))
+def q_text_dates(spark, sf):
+    """Order dates as exported text, parsed strictly, and (some unreadable) coerced."""
+    f = raw_fact(spark, sf, [S.row_id, S.order_id, S.order_date])
+    text = F.date_format(S.order_date, "M/d/yyyy")
+    strict = clean.parse_dates(f.withColumn(S.order_date, text))
+    spoilt = strict.withColumn("_date", F.col(S.order_date)).withColumn(
+        S.order_date, F.when(F.col(S.order_id) % 29 == 0, F.lit("no date")).otherwise(text))
+    return clean.parse_dates(spoilt, dates="coerce").select(
+        S.row_id, F.col("_date").alias("order_date"), F.col(S.order_date).alias("coerced_date"))
+
+
 @register("ship_lag_profile", O.on_raw("""
 SELECT CAST(date_diff('day', order_date, ship_date) AS BIGINT) AS ship_lag,
        COUNT(*) AS line_count FROM fact GROUP BY 1 ORDER BY 1"""))
@@ -478,6 +493,33 @@ def q_dash_month_of_year(spark, sf):
 
 # Long forms for line/bar charts ------------------------------------------------
 
+@register("dash_trend_long", O.on_raw(f"""
+, m AS (SELECT strftime(order_date, '%Y-%m') AS month, {M('sales')} AS sales,
+       {M('profit')} AS profit FROM fact WHERE order_date IS NOT NULL GROUP BY 1)
+SELECT month, 'sales' AS metric, sales AS value, 'Sales' AS title FROM m
+UNION ALL SELECT month, 'profit', profit, 'Profit' FROM m"""))
+def q_dash_trend_long(spark, sf):
+    m = kpi.to_long(q_dash_monthly_trend(spark, sf), ["month"], ["sales", "profit"])
+    return m.withColumn("title", title_label("metric"))
+
+
+@register("top_subcategories", O.on_prepared(f"""
+SELECT category, sub_category, {M('sales')} AS sales, printf('$%.2f', {M('sales')}) AS sales_text
+FROM prepared WHERE category IS NOT NULL AND sub_category IS NOT NULL
+GROUP BY category, sub_category ORDER BY sales DESC, category, sub_category LIMIT 10"""))
+def q_top_subcategories(spark, sf):
+    top = kpi.top_k(q_subcategory_performance(spark, sf), 10, "sales", [S.category, S.sub_category])
+    return top.select(S.category, S.sub_category, "sales", currency("sales").alias("sales_text"))
+
+
+@register("top_states", O.on_prepared(f"""
+SELECT state, {M('sales')} AS sales, {M('profit')} AS profit
+FROM prepared WHERE state IS NOT NULL GROUP BY state ORDER BY sales DESC, state LIMIT 15"""))
+def q_top_states(spark, sf):
+    top = kpi.top_k(q_state_performance(spark, sf), 15, "sales", [S.state])
+    return top.select(S.state, "sales", "profit")
+
+
 @register("chart_monthly_long", O.on_prepared(f"""
 , m AS (SELECT strftime(order_date, '%Y-%m') AS month, {M('sales')} AS sales,
        {M('profit')} AS profit FROM prepared WHERE order_date IS NOT NULL GROUP BY 1)
@@ -631,7 +673,8 @@ def q_future_dates(spark, sf):
         .select((F.col("i") + 1).cast("bigint").alias("step"), "z.date", "z.calendar_date")
 
 
-def _future_sql(keys, lags, measures, windows, with_std, full_window, src) -> str:
+def _steps_sql(keys, lags, measures, windows, with_std, full_window, src) -> tuple[str, list]:
+    """CTEs up to ``steps`` (the horizon rows) and the names of their features."""
     k = "".join(f"{c}, " for c in keys)
     part = f"PARTITION BY {', '.join(keys)} " if keys else ""
     aggs = ["max(date) AS last_date", "avg(avg_discount) AS avg_discount"]
@@ -655,6 +698,13 @@ def _future_sql(keys, lags, measures, windows, with_std, full_window, src) -> st
 , last AS (SELECT {k}{', '.join(aggs)} FROM r {grp})
 , steps AS (SELECT last.*, i AS step, CAST(last_date + INTERVAL (30 * i) DAY AS DATE) AS date
             FROM last, range(1, 7) r(i))
+""", feats
+
+
+def _future_sql(keys, *args) -> str:
+    ctes, feats = _steps_sql(keys, *args)
+    k = "".join(f"{c}, " for c in keys)
+    return ctes + f"""
 SELECT {k}step, date, year(date) AS year, month(date) AS month, avg_discount,
        {', '.join(O.rounded(f) for f in feats)},
        round(sin(2 * pi() * month(date) / 12), 10) + 0.0 AS month_sin,
@@ -697,7 +747,7 @@ def q_train_test_split(spark, sf):
     return f.select(S.row_id, ml.is_test_row(S.row_id).alias("is_test"))
 
 
-def _std_sql() -> str:
+def _std_rows_sql() -> str:
     parts = []
     for c in _MODEL_NUM:
         x = f"CAST({c} AS DECIMAL(18,4))"
@@ -706,11 +756,11 @@ def _std_sql() -> str:
     COALESCE(NULLIF(sqrt(CAST(COUNT({x}) * SUM({x} * {x}) - SUM({x}) * SUM({x}) AS DOUBLE)
          / CAST(COUNT({x}) AS DOUBLE) / CAST(COUNT({x}) AS DOUBLE)), 0), 1.0) AS std
   FROM prepared WHERE NOT ({_TEST})""")
-    return O.on_prepared("SELECT feature, mean, round(std, 9) AS std FROM (\n"
-                         + "\nUNION ALL ".join(parts) + ")")
+    return "\nUNION ALL ".join(parts)
 
 
-@register("standardized_features", _std_sql())
+@register("standardized_features", O.on_prepared(
+    f"SELECT feature, mean, round(std, 9) AS std FROM ({_std_rows_sql()})"))
 def q_standardized_features(spark, sf):
     p = prepared_fact(spark, sf, [S.row_id, S.quantity, S.discount, S.order_date, S.ship_date])
     train = p.where(~ml.is_test_row(S.row_id))
@@ -720,22 +770,57 @@ def q_standardized_features(spark, sf):
         "feature", "mean", F.round("std", 9).alias("std"))
 
 
-def _one_hot_sql() -> str:
+def _levels_sql() -> str:
+    """Vocabulary ``l`` of the training rows: feature, level, slot, rows."""
     parts = " UNION ALL\n".join(
         f"SELECT '{c}' AS feature, {c} AS level, COUNT(*) AS rows FROM prepared "
         f"WHERE {c} IS NOT NULL AND NOT ({_TEST}) GROUP BY {c}" for c in _MODEL_CAT)
-    return O.on_prepared(f"""
-, l AS ({parts})
-SELECT feature, level, row_number() OVER (PARTITION BY feature ORDER BY level) - 1 AS slot, rows
-FROM l""")
+    return f"""
+, l AS (SELECT feature, level, row_number() OVER (PARTITION BY feature ORDER BY level) - 1 AS slot,
+               rows FROM ({parts}))"""
 
 
-@register("one_hot_counts", _one_hot_sql())
+@register("one_hot_counts", O.on_prepared(_levels_sql() + "\nSELECT * FROM l"))
 def q_one_hot_counts(spark, sf):
     p = prepared_fact(spark, sf, [S.row_id] + _MODEL_CAT)
     return ml.one_hot_levels(p.where(~ml.is_test_row(S.row_id)), _MODEL_CAT)
 
 
+def _scaled_sql() -> str:
+    z = ", ".join(f"""round((CAST({c} AS DOUBLE) - (SELECT mean FROM s WHERE feature = '{c}'))
+    / (SELECT std FROM s WHERE feature = '{c}'), 6) + 0.0 AS {c}""" for c in _MODEL_NUM)
+    return O.on_prepared(f", s AS ({_std_rows_sql()})\nSELECT row_id, {z} FROM prepared")
+
+
+@register("standardized_rows", _scaled_sql())
+def q_standardized_rows(spark, sf):
+    """Every order line's scaled numeric features (parameters of the training rows)."""
+    p = prepared_fact(spark, sf, [S.row_id, S.quantity, S.discount, S.order_date, S.ship_date])
+    params = ml.standardize_params(p.where(~ml.is_test_row(S.row_id)), _MODEL_NUM)
+    z = p.select(S.row_id, *ml.standardized(_MODEL_NUM, params))
+    return z.select(S.row_id, *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in _MODEL_NUM])
+
+
+def _encoded_sql() -> str:
+    joins = "\n".join(f"LEFT JOIN l AS l_{c} ON l_{c}.feature = '{c}' AND l_{c}.level = p.{c}"
+                      for c in _MODEL_CAT)
+    return O.on_prepared(_levels_sql() + f"""
+SELECT p.row_id, {', '.join(f"l_{c}.slot AS {c}" for c in _MODEL_CAT)}
+FROM prepared p
+{joins}""")
+
+
+@register("one_hot_rows", _encoded_sql())
+def q_one_hot_rows(spark, sf):
+    """The hot slot of every order line's encoded categoricals (null: all zeros,
+    a level the training rows do not hold)."""
+    p = prepared_fact(spark, sf, [S.row_id] + _MODEL_CAT)
+    encoder = ml.one_hot_encoder(_MODEL_CAT).fit(p.where(~ml.is_test_row(S.row_id)))
+    hot = encoder.transform(p)
+    slot = lambda c: F.array_position(vector_to_array(f"{c}__ohe"), F.lit(1.0))
+    return hot.select(S.row_id, *[F.when(slot(c) > 0, slot(c) - 1).alias(c) for c in _MODEL_CAT])
+
+
 @register("regression_metrics", O.on_prepared(O.GLOBAL_FEAT + """
 , e AS (SELECT sales - sales_lag_1 AS e, sales FROM feat_clean)
 SELECT COUNT(*) AS n, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse,
@@ -769,28 +854,37 @@ def q_sales_model_importance(spark, sf):
     return _sales_model(spark, sf).importance.orderBy(F.col("importance").desc(), "feature")
 
 
+def _global_rows(spark, sf):
+    """Monthly features (checkpointed: one row per month) and their horizon."""
+    f = fitted_once(spark, sf, ("global_rows", sf.rstrip("/"), S), lambda: ml.materialize(
+        series.monthly_features(_fc_frame(spark, sf)), single=True))
+    return f, series.future_features(f, 6)
+
+
 def _global_fits(spark, sf):
-    """Monthly features (checkpointed) and every fit of the three candidates:
-    5 CV folds each plus a refit scoring the 6-step horizon."""
-    def make():
-        f = ml.materialize(series.monthly_features(_fc_frame(spark, sf)), single=True)
-        fut = series.future_features(f, 6)
-        return f, ml.materialize(forecast.series_fits(f, fut), single=True)
-    return fitted_once(spark, sf, ("global_fits", sf.rstrip("/"), S), make)
+    """Monthly features and every fit of the three candidates: 5 CV folds each
+    plus a refit scoring the 6-step horizon."""
+    f, fut = _global_rows(spark, sf)
+    return f, fitted_once(spark, sf, ("global_fits", sf.rstrip("/"), S), lambda: ml.materialize(
+        forecast.series_fits(f, fut), single=True))
+
+
+def _category_rows(spark, sf):
+    """The same for each category."""
+    k = [S.category]
+    f = fitted_once(spark, sf, ("category_rows", sf.rstrip("/"), S), lambda: ml.materialize(
+        series.category_features(_fc_frame(spark, sf, k))))
+    return f, series.future_features(
+        f, 6, k, series.CATEGORY_LAGS, series.CATEGORY_LAG_MEASURES, series.CATEGORY_WINDOWS,
+        with_std=False, require_full_window=True)
 
 
 def _category_fits(spark, sf):
     """Per-category gradient boosting: folds with < 5 train or < 2 test rows
     are skipped; a category without a scored fold gets no model."""
-    def make():
-        k = [S.category]
-        f = ml.materialize(series.category_features(_fc_frame(spark, sf, k)))
-        fut = series.future_features(
-            f, 6, k, series.CATEGORY_LAGS, series.CATEGORY_LAG_MEASURES,
-            series.CATEGORY_WINDOWS, with_std=False, require_full_window=True)
-        fits = ml.grouped_fits(f, fut, k, ["gradient_boosting"], min_train=5, min_test=2)
-        return f, ml.materialize(fits)
-    return fitted_once(spark, sf, ("category_fits", sf.rstrip("/"), S), make)
+    f, fut = _category_rows(spark, sf)
+    return f, fitted_once(spark, sf, ("category_fits", sf.rstrip("/"), S), lambda: ml.materialize(
+        ml.grouped_fits(f, fut, [S.category], ["gradient_boosting"], min_train=5, min_test=2)))
 
 
 @register("model_comparison")
@@ -844,6 +938,158 @@ def q_category_history_plus_forecast(spark, sf):
     return ml.history_plus_forecast(f, ml.selected_forecast(fits, [S.category]), [S.category])
 
 
+# ---------------------------------------------------------------------------
+# Closed-form predictors through the same folds, selection and forecasts
+# (exact), and the columns of the fitted forecasts that depend on no fit
+# ---------------------------------------------------------------------------
+
+_PREDICTORS = {"last_month": "sales_lag_1", "mean_3": "sales_rolling_mean_3"}
+
+
+def _predictor_sql(keys: tuple[str, ...] = (), min_train: int = 0, min_test: int = 0) -> str:
+    """CTEs scores, summary and told (the selected predictor's horizon)."""
+    k = "".join(f"{c}, " for c in keys)
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    values = ", ".join(f"('{m}', {c})" for m, c in _PREDICTORS.items())
+    ordinal = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(_PREDICTORS))
+    on = f"USING ({', '.join([*keys, 'model'])})"
+    if keys:
+        steps, _ = _steps_sql(keys, series.CATEGORY_LAGS, series.CATEGORY_LAG_MEASURES,
+                              series.CATEGORY_WINDOWS, False, True, "feat_clean")
+    else:
+        steps, _ = _steps_sql(keys, series.GLOBAL_LAGS, series.GLOBAL_LAG_MEASURES,
+                              series.GLOBAL_WINDOWS, True, False, "feat_clean")
+    return (O.CATEGORY_FEAT if keys else O.GLOBAL_FEAT) + steps + f"""
+, numbered AS (SELECT *, row_number() OVER ({part} ORDER BY date) - 1 AS rn,
+                      count(*) OVER ({part}) AS cnt FROM feat_clean)
+, folds AS (SELECT numbered.*, fold, cnt // 6 AS t, cnt - (5 - fold) * (cnt // 6) AS start
+            FROM numbered, range(0, 5) f(fold) WHERE cnt // 6 >= 1)
+, tested AS (SELECT {k}fold, start, t, sales, model, prediction
+             FROM folds, LATERAL (VALUES {values}) p(model, prediction)
+             WHERE rn >= start AND rn < start + t AND start >= {min_train} AND t >= {min_test})
+, scores AS (SELECT {k}model, CAST(fold AS INTEGER) AS fold, CAST(start AS INTEGER) AS train_size,
+                    CAST(t AS INTEGER) AS test_size,
+                    sqrt(avg((sales - prediction) * (sales - prediction))) AS rmse
+             FROM tested GROUP BY ALL)
+, means AS (SELECT {k}model, CAST(count(rmse) AS INTEGER) AS folds_scored, avg(rmse) AS mean_rmse
+            FROM scores GROUP BY {k}model)
+, summary AS (SELECT *, row_number() OVER ({part} ORDER BY mean_rmse,
+                     CASE model {ordinal} END) = 1 AS selected FROM means)
+, told AS (SELECT {k}model, step, date, strftime(date, '%B %Y') AS label,
+                  prediction AS forecasted_sales
+           FROM (SELECT {k}step, date, model, prediction
+                 FROM steps, LATERAL (VALUES {values}) p(model, prediction)) AS ahead
+           JOIN (SELECT {k}model FROM summary WHERE selected) AS best {on}
+           WHERE prediction IS NOT NULL)
+"""
+
+
+_SUMMARY_SQL = ("model, folds_scored, round(mean_rmse, 2) AS mean_rmse, selected, "
+                "printf('$%.2f', round(mean_rmse, 2)) AS mean_rmse_text FROM summary")
+
+
+def _summary(fits: DataFrame, keys=()) -> DataFrame:
+    s = ml.cv_summary(fits, keys, tuple(_PREDICTORS)).withColumn("mean_rmse", F.round("mean_rmse", 2))
+    return s.withColumn("mean_rmse_text", currency("mean_rmse"))
+
+
+def _global_predictors(spark, sf):
+    f, fut = _global_rows(spark, sf)
+    return f, forecast.predictor_fits(f, fut, _PREDICTORS)
+
+
+def _category_predictors(spark, sf):
+    f, fut = _category_rows(spark, sf)
+    return f, forecast.predictor_fits(f, fut, _PREDICTORS, [S.category], min_train=5, min_test=2)
+
+
+@register("predictor_cv_scores", O.on_prepared(_predictor_sql() + """
+SELECT model, fold, train_size, test_size, round(rmse, 2) AS rmse FROM scores""", extra_parts=True))
+def q_predictor_cv_scores(spark, sf):
+    fits = _global_predictors(spark, sf)[1].where("fold >= 0")
+    return fits.select("model", "fold", "train_size", "test_size", F.round("rmse", 2).alias("rmse"))
+
+
+@register("predictor_comparison", O.on_prepared(_predictor_sql() + f"SELECT {_SUMMARY_SQL}",
+                                                extra_parts=True))
+def q_predictor_comparison(spark, sf):
+    return _summary(_global_predictors(spark, sf)[1])
+
+
+@register("predictor_forecast", O.on_prepared(_predictor_sql() + "SELECT * FROM told",
+                                              extra_parts=True))
+def q_predictor_forecast(spark, sf):
+    return _forecast(_global_predictors(spark, sf)[1])
+
+
+def _forecast(fits: DataFrame, keys=()) -> DataFrame:
+    return ml.selected_forecast(fits, keys, tuple(_PREDICTORS))
+
+
+@register("predictor_history_plus_forecast", O.on_prepared(_predictor_sql() + """
+SELECT date, sales, false AS forecast FROM feat_clean
+UNION ALL SELECT date, forecasted_sales, true FROM told""", extra_parts=True))
+def q_predictor_history_plus_forecast(spark, sf):
+    f, fits = _global_predictors(spark, sf)
+    return ml.history_plus_forecast(f, _forecast(fits))
+
+
+@register("category_predictor_comparison", O.on_prepared(
+    _predictor_sql(("category",), 5, 2) + f"SELECT category, {_SUMMARY_SQL}", extra_parts=True))
+def q_category_predictor_comparison(spark, sf):
+    return _summary(_category_predictors(spark, sf)[1], [S.category])
+
+
+@register("category_predictor_history_plus_forecast", O.on_prepared(
+    _predictor_sql(("category",), 5, 2) + """
+SELECT category, date, sales, false AS forecast FROM feat_clean
+WHERE category IN (SELECT category FROM told)
+UNION ALL SELECT category, date, forecasted_sales, true FROM told""", extra_parts=True))
+def q_category_predictor_history_plus_forecast(spark, sf):
+    f, fits = _category_predictors(spark, sf)
+    return ml.history_plus_forecast(f, _forecast(fits, [S.category]), [S.category])
+
+
+@register("model_cv_folds", O.on_prepared(_predictor_sql() + """
+SELECT m.model, s.fold, s.train_size, s.test_size, true AS scored
+FROM (SELECT DISTINCT fold, train_size, test_size FROM scores) s,
+     (VALUES ('random_forest'), ('gradient_boosting'), ('linear_regression')) m(model)""",
+                                          extra_parts=True))
+def q_model_cv_folds(spark, sf):
+    """The folds that the fitted candidates were scored on."""
+    fits = _global_fits(spark, sf)[1].where("fold >= 0")
+    return fits.select("model", "fold", "train_size", "test_size",
+                       F.col("rmse").isNotNull().alias("scored"))
+
+
+@register("category_models", O.on_prepared(_predictor_sql(("category",), 5, 2) + """
+SELECT category, CAST(count(DISTINCT fold) AS INTEGER) AS folds_scored,
+       count(fold) > 0 AS has_model
+FROM (SELECT DISTINCT category FROM feat_clean) LEFT JOIN scores USING (category)
+GROUP BY category""", extra_parts=True))
+def q_category_models(spark, sf):
+    """Which categories have a fitted model, from how many folds."""
+    return q_category_model_scores(spark, sf).drop("mean_rmse")
+
+
+@register("forecast_steps", O.on_prepared(_predictor_sql() + """
+SELECT step, date, label, true AS forecasted FROM told""", extra_parts=True))
+def q_forecast_steps(spark, sf):
+    """Steps, dates and labels of the fitted forecast."""
+    return q_sales_forecast(spark, sf).select(
+        "step", "date", "label", F.col("forecasted_sales").isNotNull().alias("forecasted"))
+
+
+@register("category_forecast_steps", O.on_prepared(_predictor_sql(("category",), 5, 2) + """
+SELECT category, 'gradient_boosting' AS model, step, date, label, true AS forecasted FROM told""",
+                                                   extra_parts=True))
+def q_category_forecast_steps(spark, sf):
+    """Steps, dates and labels of each category's fitted forecast."""
+    return q_category_forecast(spark, sf).select(
+        S.category, "model", "step", "date", "label",
+        F.col("forecasted_sales").isNotNull().alias("forecasted"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
