@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from kpiforge.operators import clean, kpi, ml, series
+from kpiforge.operators import clean, forecast, kpi, ml, series
 from kpiforge.plans import registry
 from kpiforge.plans.frames import prepared_fact, raw_fact
 from kpiforge.plans.pipeline import Run, run_analysis, run_forecast, run_pipeline
@@ -253,6 +253,60 @@ def test_short_series_raises(spark):
         ml.grouped_fits(f.withColumn("x", F.lit(1.0)), None, [], ["linear_regression"]).collect()
 
 
+def _planted(spark, n=48):
+    """A series that follows its feature x exactly, y is noise, z is never observed."""
+    rows = [(dt.date(2015 + k // 12, k % 12 + 1, 1), float(k), float(k * 37 % 11), None, 3.0 * k + 5)
+            for k in range(n)]
+    f = spark.createDataFrame(rows, "date date, x double, y double, z double, sales double")
+    ahead = spark.createDataFrame([(1, dt.date(2020, 1, 1), 48.0, 1.0), (2, dt.date(2020, 2, 1), None, 1.0)],
+                                  "step bigint, date date, x double, y double")
+    return f, ahead
+
+
+def test_series_fits_follow_a_planted_signal(spark):
+    f, ahead = _planted(spark)
+    fits = ml.materialize(forecast.series_fits(f, ahead, ["linear_regression", "random_forest"]))
+    scores = {r["model"]: r for r in ml.cv_summary(fits).collect()}
+    assert scores["linear_regression"]["selected"]
+    assert scores["linear_regression"]["mean_rmse"] < 1e-3
+    # a tree cannot extrapolate a trend, but is closer than the mean of its past
+    t = 8
+    naive = sum((sum((3.0 * (s + j) + 5 - (3.0 * (s - 1) / 2 + 5)) ** 2 for j in range(t)) / t) ** 0.5
+                for s in range(8, 48, t)) / 5
+    assert scores["random_forest"]["mean_rmse"] < naive
+    # the step that lacks an input has no prediction
+    told = ml.selected_forecast(fits).collect()
+    assert [r["step"] for r in told] == [1] and abs(told[0]["forecasted_sales"] - 149.0) < 1e-3
+    folds = fits.where("fold >= 0 and model = 'random_forest'").orderBy("fold").collect()
+    assert [(r["train_size"], r["test_size"]) for r in folds] == [(8, 8), (16, 8), (24, 8), (32, 8), (40, 8)]
+    weights = {r["feature"]: r["importance"] for r in fits.where("feature is not null").collect()}
+    assert set(weights) == {"x", "y"} and weights["x"] > weights["y"]
+
+
+def test_series_fits_short_series_and_failing_model(spark, monkeypatch):
+    f, ahead = _planted(spark, 5)
+    with pytest.raises(ValueError, match="cannot make 5 time-series folds"):
+        forecast.series_fits(f, ahead, ["linear_regression"])
+
+    def broken(bins):
+        raise RuntimeError("no such learner")
+    monkeypatch.setitem(forecast.CANDIDATES, "broken", broken)
+    f, ahead = _planted(spark, 12)
+    fits = ml.materialize(forecast.series_fits(f, ahead, ["broken", "linear_regression"]))
+    errors = fits.where("error is not null").collect()
+    assert {r["model"] for r in errors} == {"broken"} and len(errors) == 6
+    assert {r["model"] for r in ml.selected_forecast(fits).collect()} == {"linear_regression"}
+
+
+def test_predictors_choose_the_first_on_a_tie(spark):
+    f, ahead = _planted(spark)
+    told = {"b": "x", "a": "x"}
+    fits = forecast.predictor_fits(f, ahead, told)
+    assert [r["model"] for r in ml.cv_summary(fits, (), ("b", "a")).where("selected").collect()] == ["b"]
+    done = ml.selected_forecast(fits, (), ("b", "a")).collect()
+    assert [(r["step"], r["forecasted_sales"]) for r in done] == [(1, 48.0)]
+
+
 def test_a_poisoned_series_fails_alone(spark):
     months = [dt.date(2018 + k // 12, k % 12 + 1, 1) for k in range(24)]
     rows = [(c, d, float(i) if c == "good" or i != 20 else float("inf"), float(i))
