@@ -18,7 +18,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import ml, series
-from ..operators.forecast import series_fits
+from ..operators.forecast import CANDIDATES, series_fits
 from ..operators.clean import CleaningStats, parse_dates, prepare
 from ..session import scratch_path
 from ..sources import read_sales
@@ -74,9 +74,11 @@ def load(spark: SparkSession, source: str, kind: str = "star",
 def run_pipeline(spark: SparkSession, source: str, out_dir: str, kind: str = "star",
                  stages: Iterable[str] = STAGES, horizon: int = 6, fmt: str = "parquet",
                  spec: SalesSpec = DEFAULT_SPEC,
-                 sales_model_options: dict | None = None) -> tuple[DataFrame, DataFrame]:
+                 sales_model_options: dict | None = None,
+                 candidates: Iterable[str] = tuple(CANDIDATES)) -> tuple[DataFrame, DataFrame]:
     """Run the selected stages; returns (status, catalog) and writes both.
-    ``sales_model_options`` go to ``ml.fit_sales_model`` (depth, trees ...)."""
+    ``sales_model_options`` go to ``ml.fit_sales_model`` (depth, trees ...),
+    ``candidates`` are the models that the global forecast chooses from."""
     run = Run(spark, out_dir, fmt)
     stages = set(stages)
 
@@ -122,13 +124,15 @@ def run_pipeline(spark: SparkSession, source: str, out_dir: str, kind: str = "st
         def forecast():
             f = run.stash(series.monthly_features(fc_frame(), spec).drop("_n"),
                           "monthly_features")
-            fits = run.stash(series_fits(f, series.future_features(f, horizon)),
+            fits = run.stash(series_fits(f, series.future_features(f, horizon), list(candidates)),
                              "global_fits")
             run.save("forecast", "model_comparison", ml.cv_summary(fits))
             run.save("forecast", "global_feature_importance",
                      top_features(ml.selected_importance(fits), 10))
             run.save("forecast", "sales_forecast",
                      ml.history_plus_forecast(f, ml.selected_forecast(fits)))
+            for r in fits.where("error is not null").select("model", "fold", "error").collect():
+                run.status.append(("forecast", r["model"], False, f"fold {r['fold']}: {r['error']}"))
         run.stage("forecast", forecast)
 
     if "category_forecast" in stages:

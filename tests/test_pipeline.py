@@ -147,7 +147,7 @@ def test_one_call_forecast_and_source_detection(spark):
     f = ml.materialize(series.monthly_features(prepared_fact(
         spark, SF_SMALL, ["order_date", "sales", "profit", "quantity", "discount", "order_id"],
         extra_parts=True)), single=True)
-    summary, fc = ml.forecast_series(f, horizon=3)
+    summary, fc = ml.forecast_series(f, horizon=3, models=["linear_regression"])
     assert fc.count() == 3 and summary.where("selected").count() == 1
 
 
@@ -205,7 +205,8 @@ def _flat(spark, folder, bad_date=False):
 
 def test_run_forecast_survives_one_bad_date(spark, tmp_path):
     src = _flat(spark, str(tmp_path / "flat"), bad_date=True)
-    status, _ = run_forecast(spark, src, str(tmp_path / "out"), kind="parquet")
+    status, _ = run_forecast(spark, src, str(tmp_path / "out"), kind="parquet",
+                             candidates=["linear_regression"])
     ok = {r["stage"]: r["ok"] for r in status.collect() if r["key"] is None}
     assert ok == {"forecast": True, "category_forecast": True}
     assert spark.read.parquet(str(tmp_path / "out" / "_status")).count() == status.count()
