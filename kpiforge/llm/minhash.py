@@ -22,10 +22,10 @@ With 32 bands of 5 a pair at the similarity 0.8 is missed with probability
 
 Defined results: texts that are null or without words have an empty set, are
 linked with nothing and are their own component. A text with fewer words than a
-shingle has one element, its whole sequence. Rows with one identifier count as
-one document; rows without an identifier have no component of their own and
-take their class's (null if it has none). Ties between equal documents go to
-the smallest identifier.
+shingle has one element, its whole sequence. Rows without an identifier have no
+component of their own and take their class's (null if it has none). Ties
+between equal documents go to the smallest identifier; one row of each
+component is kept, also where rows repeat an identifier or have none.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,9 +126,14 @@ class Signer:
         return key.astype(np.int64)
 
 
+def digest(text: Column) -> Column:
+    """Of the text as it is: with the identifier, what tells rows apart."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str, per: int, bands: int,
                rows: int) -> DataFrame:
-    """(id, class, n_shingles, bands) of every row."""
+    """(id, digest of the text, class, n_shingles, bands) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(per, bands, rows)
         for part in text_slices(batches, "text"):
@@ -143,11 +148,13 @@ def signatures(df: DataFrame, id_col: str, text_col: str, per: int, bands: int,
                 n.append(len(h))
                 keys.append(signer.bands_of(h))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["id", "class", "n", "bands"])
+                [part.column(0), part.column(2), pa.array(cls, pa.binary()), pa.array(n, pa.int64()),
+                 pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "class", "n", "bands"])
 
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                    digest(F.col(text_col)).alias("digest"))
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType),
+                           T.StructField("digest", T.BinaryType()),
                            T.StructField("class", T.BinaryType()), T.StructField("n", T.LongType()),
                            T.StructField("bands", T.ArrayType(T.LongType()))])
     return src.mapInArrow(run, schema)
@@ -206,17 +213,20 @@ def _verify_chunks(per: int, percent: int):
     return run
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               words_per: int = WORDS_PER_SHINGLE, percent: int = PERCENT,
-               bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK_MEMBERS) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row of ``df``."""
+def _decided(df: DataFrame, id_col: str, text_col: str, words_per: int = WORDS_PER_SHINGLE,
+             percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
+             chunk: int = CHUNK_MEMBERS) -> DataFrame:
+    """(id, digest, n, component, kept) of every row of ``df``."""
     id_type = df.schema[id_col].dataType
-    signed = materialise(signatures(df, id_col, text_col, words_per, bands, rows), "signatures")
-    reps = (signed.filter(F.col("class").isNotNull())
-            .groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"),
-                                  F.first("bands").alias("bands"))
-            .filter("rep is not null"))
-    reps = materialise(reps, "classes")
+    signed = materialise(signatures(df, id_col, text_col, words_per, bands, rows)
+                         .withColumn("row", F.monotonically_increasing_id()), "signatures")
+    classes = materialise(
+        signed.filter(F.col("class").isNotNull()).groupBy("class")
+        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"),
+             F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .select("class", F.col("first.id").alias("rep"), F.col("first.row").alias("first"),
+                "n", "bands"), "classes")
+    reps = classes.filter("rep is not null")
     members = reps.select("rep", "n", F.explode("bands").alias("band"))
     buckets = (members.groupBy("band").agg(F.count("*").alias("c"),
                                            F.min(F.struct("rep", "n")).alias("hub"))
@@ -268,18 +278,42 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = first.select(F.col("node").alias("u"), F.col("label").alias("v"))
     final = components(known.unionByName(materialise(more, "links")))
 
-    label = (reps.select("class", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("class", F.coalesce("label", "rep").alias("label")))
-    out = signed.select("id", "class", "n").join(label, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("label"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"))
+    label = (classes.select("class", "rep", "first")
+             .join(final.withColumnRenamed("node", "rep"), "rep", "left")
+             .select("class", "first", F.coalesce("label", "rep").alias("label"),
+                     F.coalesce(F.col("label") == F.col("rep"), F.lit(True)).alias("stands")))
+    out = signed.select("id", "digest", "class", "n", "row").join(label, "class", "left")
+    alone = F.col("class").isNull()
+    return out.select("id", "digest", "n",
+                      F.when(alone, F.col("id")).otherwise(F.col("label")).alias("component"),
+                      (alone | (F.col("stands") & (F.col("row") == F.col("first")))).alias("kept"))
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               **options) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row of ``df``."""
+    return _decided(df, id_col, text_col, **options).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"), "kept")
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      **options) -> DataFrame:
-    """The rows of ``df`` that stay: one document of each component."""
-    gone = (near_dedup(df, id_col, text_col, **options).filter(~F.col("kept"))
-            .select(F.col(id_col).alias("__gone")).distinct())
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``df`` that stay: one of each component. Rows are told apart
+    by identifier and text; of those that agree in both, one stays."""
+    stay = materialise(
+        _decided(df, id_col, text_col, **options).groupBy("id", "digest")
+        .agg(F.bool_or("kept").alias("kept"), F.bool_and("kept").alias("all")).filter("kept")
+        .select(F.col("id").alias("stay_id"), F.col("digest").alias("stay_digest"), "all"), "stay")
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"),
+                      F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"))
+
+    def rows(wanted: DataFrame) -> DataFrame:
+        return whole.join(wanted, (F.col("digest") == F.col("stay_digest"))
+                          & F.col("id").eqNullSafe(F.col("stay_id")), "left_semi")
+
+    out = rows(stay.filter("all")).select("whole.*")
+    some = stay.filter("not all")
+    if some.isEmpty():
+        return out
+    return out.union(rows(some).dropDuplicates(["digest", "id"]).select("whole.*"))

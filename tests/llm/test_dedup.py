@@ -119,6 +119,20 @@ def test_near_edges(edge, empty):
     assert minhash.keep_one_of_each(edge).columns == edge.columns
 
 
+def test_near_decides_rows_not_ids(edge):
+    """A copy without an identifier goes alone; other rows without one stay."""
+    left = collections.Counter(r.text for r in minhash.keep_one_of_each(edge).collect())
+    rows = edge.collect()
+    no_words = [r.text for r in rows if not minhash.words_of(r.text)]
+    first = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0)):
+        if r.text not in no_words:
+            first.setdefault(tuple(minhash.words_of(r.text)), r.text)
+    assert left == collections.Counter(no_words) + collections.Counter(first.values())
+    assert left["a row without an identifier"] == 1
+    assert left == collections.Counter(r.text for r in minhash.keep_one_of_each(edge.repartition(5)).collect())
+
+
 def test_permutations_are_bijections():
     sample = np.random.default_rng(1).integers(0, 2 ** 32, 200_000, dtype=np.uint32)
     sample = np.unique(sample)
