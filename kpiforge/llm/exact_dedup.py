@@ -4,8 +4,8 @@ Texts are normalised, range-partitioned by sampled splitters on their leading
 bytes (then digest, then identifier), sorted externally inside each partition,
 and every row is compared in full with its neighbour. A group of copies of any
 size is cut by the identifier part of the key, so no task has to hold it; runs
-that cross a partition border are stitched afterwards from one row per border
-run (at most two per partition).
+that cross a border of partitions or Arrow batches are stitched afterwards from
+one row per border run (at most two per batch).
 
 Defined results: a null text counts as empty and a null identifier sorts last,
 so it stays only if its whole group has none. Of repeated rows with one
@@ -39,60 +39,30 @@ def normalised(text: Column) -> Column:
 
 def _mark_runs(id_col: str):
     """Arrow iterator over one sorted partition: rows with their run's first
-    identifier and length. Only the identifiers of the open run are held."""
+    identifier and length inside the batch. Nothing of a batch is held: runs
+    that go on in the next batch are stitched like those that go on in the
+    next partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        next_run = 0
-        held: list[pa.RecordBatch] = []
-        last = None
-
-        def emit(rows: pa.RecordBatch, starts: np.ndarray, closing: bool) -> pa.RecordBatch:
-            nonlocal next_run
+        part = TaskContext.get().partitionId() << 33
+        for at, rows in enumerate(b for b in batches if b.num_rows):
             n = rows.num_rows
+            text = rows.column(rows.schema.get_field_index(_NORM))
+            new = np.ones(n, bool)
+            new[1:] = ~pc.equal(text.slice(1), text.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
             sizes = np.diff(np.append(starts, n))
-            first = np.repeat(starts, sizes)
-            runs = np.repeat(np.arange(next_run, next_run + len(starts)), sizes)
-            head = first == np.arange(n)
-            border = head & ((runs == 0) | (closing & (runs == next_run + len(starts) - 1)))
-            next_run += len(starts)
+            runs = np.repeat(np.arange(len(starts)), sizes)
+            border = new & ((runs == 0) | (runs == len(starts) - 1))
             names = [c for c in rows.schema.names if c != _NORM]
-            text = rows.column(rows.schema.get_field_index(_NORM))
             edge = text.take(pa.array(np.arange(n), mask=~border))
             ids = rows.column(rows.schema.get_field_index(id_col))
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [rows.column(rows.schema.get_field_index(c)) for c in names]
-                + [ids.take(pa.array(first)), pa.array(np.repeat(sizes, sizes)),
-                   pa.array(head), pa.array(np.full(n, part)), pa.array(runs), edge],
+                + [ids.take(pa.array(np.repeat(starts, sizes))), pa.array(np.repeat(sizes, sizes)),
+                   pa.array(new), pa.array(np.full(n, part + at)), pa.array(runs), edge],
                 names + ["keep_id", "group_size", _HEAD, _PART, _RUN, _EDGE])
 
-        def joined() -> pa.RecordBatch:
-            return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            text = batch.column(batch.schema.get_field_index(_NORM))
-            same = np.empty(n, bool)
-            same[0] = bool(held) and text[0].as_py() == last
-            same[1:] = pc.equal(text.slice(1), text.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            last = text[n - 1].as_py()
-            starts = np.flatnonzero(~same)
-            if not len(starts):
-                held.append(batch)
-                continue
-            if starts[0]:
-                held.append(batch.slice(0, starts[0]))
-            if held:
-                yield emit(joined(), np.zeros(1, np.int64), False)
-            if len(starts) > 1:
-                yield emit(batch.slice(starts[0], starts[-1] - starts[0]),
-                           starts[:-1] - starts[0], False)
-            held = [batch.slice(starts[-1])]
-        if held:
-            yield emit(joined(), np.zeros(1, np.int64), True)
-
     return run
 
 
@@ -121,8 +91,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .agg(F.min("keep_id").alias("__keep"), F.sum("group_size").alias("__size"),
                   F.min(_PART).alias("__first"), F.count("*").alias("__n"))
              .filter("__n > 1").drop("__n"))
-    # at most two rows per partition of the sort: a proven bound
-    stitch = F.broadcast(border.select(_PART, _RUN, _EDGE).join(whole, _EDGE).drop(_EDGE))
+    # at most two small rows per Arrow batch; written, so that their size is
+    # known when the join below is planned
+    stitch = materialise(border.select(_PART, _RUN, _EDGE).join(whole, _EDGE).drop(_EDGE),
+                         "exact-stitch")
     out = runs.drop(_EDGE).join(stitch, [_PART, _RUN], "left")
     return (out.withColumn("keep_id", F.coalesce("__keep", "keep_id"))
             .withColumn("group_size", F.coalesce("__size", "group_size"))

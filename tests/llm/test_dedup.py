@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,40 @@ def test_exact_hot_group_crosses_partitions(spark):
         assert (r["keep_id"], r["group_size"], r["kept"]) == (min(ids), len(ids), r["doc_id"] == min(ids))
 
 
+def test_exact_holds_no_batch(monkeypatch):
+    """An open run goes out batch by batch; nothing waits for its end."""
+    monkeypatch.setattr(exact_dedup, "TaskContext", type("T", (), {
+        "get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 3})())}))
+    pulled, seen = [], 0
+
+    def source():
+        for k in range(6):
+            pulled.append(k)
+            yield pa.RecordBatch.from_pydict({"doc_id": [2 * k, 2 * k + 1], "__norm": ["hot", "hot"]})
+
+    for out in exact_dedup._mark_runs("doc_id")(source()):
+        seen += out.num_rows
+        assert 2 * len(pulled) == seen
+    assert seen == 12
+
+
+def test_exact_runs_cross_batches(spark):
+    rows = [(i, "hot text" if i % 3 else f"text {i % 50}") for i in range(600)] + [(None, "hot text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = exact_dedup.exact_dedup(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    groups = brute_exact(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        ids = groups[r["text"]]
+        first = min(i for i in ids if i is not None)
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (first, len(ids), r["doc_id"] == first)
+
+
 # -- near --------------------------------------------------------------------
 
 def brute_near(rows, per=4, percent=80):
