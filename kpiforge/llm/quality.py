@@ -1,8 +1,8 @@
 """Quality classifier: hashed word n-grams, logistic regression, FTRL.
 
 A text's words give two sequences: the lower-cased words and their shapes
-(runs of capitals, small letters, digits; other signs as they are; a word equal
-to the one before has the shape "same"). Word 1- and 2-grams and shape 1- to
+(runs of capitals, small letters, digits; other signs as they are; always of the
+whole word, however long; a word equal to the one before has the shape "same"). Word 1- and 2-grams and shape 1- to
 3-grams are hashed into ``2**BITS`` weights; each kind of n-gram counts with its
 share of the text's n-grams of that kind, so long and short texts compare.
 
@@ -36,19 +36,27 @@ BITS = 18
 SAMPLE_ROWS = 12_000
 EPOCHS = 4
 MEMO_WORDS = 100_000
+PIECE_CHARS = 1 << 16
 _SAME = np.uint64(0x9E3779B97F4A7C15)
 _ODD = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
+def shape_parts(word: str) -> Iterator[str]:
+    """The shape of the whole word, piece by piece."""
+    before = ""
+    for at in range(0, len(word), PIECE_CHARS):
+        out = []
+        for ch in word[at:at + PIECE_CHARS]:
+            kind = "9" if ch.isdigit() else ("X" if ch.isupper() else "x") if ch.isalpha() else ch
+            if kind != before:
+                out.append(kind)
+                before = kind
+        yield "".join(out)
+
+
 def shape(word: str) -> str:
     """Kinds of characters in order, repeats dropped; e.g. ``Abc!!`` is ``Xx!``."""
-    out, before = [], ""
-    for ch in word[:64]:
-        kind = "9" if ch.isdigit() else ("X" if ch.isupper() else "x") if ch.isalpha() else ch
-        if kind != before:
-            out.append(kind)
-            before = kind
-    return "".join(out)
+    return "".join(shape_parts(word))
 
 
 class Featuriser:
@@ -57,8 +65,10 @@ class Featuriser:
 
     def _hashes(self, word: bytes) -> tuple[int, int]:
         text = word.decode("utf-8", "replace")
-        return (xxhash.xxh64_intdigest(text.lower().encode(), 1),
-                xxhash.xxh64_intdigest(shape(text).encode(), 2))
+        shapes = xxhash.xxh64(seed=2)
+        for part in shape_parts(text):
+            shapes.update(part.encode())
+        return xxhash.xxh64_intdigest(text.lower().encode(), 1), shapes.intdigest()
 
     def sequences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.encode().split()

@@ -211,6 +211,22 @@ def test_quality_edges(spark, edge, empty):
     assert {r.score for r in quality.quality_scores(edge, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_reads_long_words_whole(spark):
+    """Tokens that differ only after their first 64 (or 70,000) characters."""
+    feat = quality.Featuriser()
+    for start in ("x" * 64, "字" * 70_000, "aB3-" * 20_000):
+        a, b = (feat.features(start + end)[-1].tolist() for end in ("abc", "!!1"))
+        assert a != b
+        assert feat._hashes((start + "!!1").encode())[1] == quality.xxhash.xxh64_intdigest(
+            quality.shape(start + "!!1").encode(), 2)
+    rnd = random.Random(3)
+    word = lambda y: "".join(rnd.choices("abcdef", k=70)) + ("ab" if y else "!1!1")
+    rows = [(i, word(i % 2), i % 2) for i in range(200)]
+    weights = quality.fit_quality(spark.createDataFrame(rows, "order long, text string, quality int"))
+    unseen = spark.createDataFrame([(i, word(i % 2)) for i in range(40)], "doc_id long, text string")
+    assert all(r.predicted == r.doc_id % 2 for r in quality.score_quality(unseen, weights).collect())
+
+
 def test_ftrl_learns_a_separable_problem():
     model, rnd = quality.Ftrl(), np.random.default_rng(1)
     for _ in range(300):
