@@ -7,8 +7,8 @@
 3. A target is whole copies of the source plus a remaining budget. Per source,
    the remaining budget is fitted on the length counts alone: every length
    first gives its proportional share of documents, then a bounded-knapsack
-   (subset-sum) dynamic program over the counts that are left comes as close to
-   the budget as any subset can (ties: below it).
+   (subset-sum) fit over the counts that are left comes as close to the budget
+   as any subset with that start can (ties: below it), whatever the lengths.
 4. The number of documents that a length gives is turned into a threshold on a
    seeded hash of the identifier: within a (source, length) group the documents
    with the smallest (hash, identifier) are taken. The threshold is found from
@@ -39,8 +39,8 @@ from .common import SPACE_RUN, materialise, without
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_COPIES = 3
-# The dynamic program's table has this many sums at most (a bit each); what a
-# budget has beyond is filled greedily from the longest documents down first.
+# The dynamic program's table has this many sums at most (a bit each); a larger
+# rest is filled greedily first and, if that is not exact, fitted by halves.
 DP_SUMS = 1 << 17
 
 
@@ -98,42 +98,58 @@ def with_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS,
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their sizes sum as
-    close to ``budget`` as the method gets (see module docstring)."""
+    close to ``budget`` as any subset with the proportional start can."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * budget // total if total else 0 for c in counts], np.int64)
-    rest = budget - int((lengths * take).sum())
-    left = counts - take
-    order = np.argsort(-lengths, kind="stable")
-    # greedy from the longest down until the rest fits the table
-    for i in order:
-        if rest <= DP_SUMS:
+    start = np.array([int(c) * budget // total if total else 0 for c in counts], np.int64)
+    rest = budget - int((lengths * start).sum())
+    left = counts - start
+    if rest <= DP_SUMS:
+        return start + _by_table(lengths, left, rest)
+    # greedy from the longest down until the rest fits the table: best if exact
+    more, open_ = np.zeros_like(start), rest
+    for i in np.argsort(-lengths, kind="stable"):
+        if open_ <= DP_SUMS:
             break
-        n = min(int(left[i]), (rest - DP_SUMS + int(lengths[i]) - 1) // int(lengths[i]),
-                rest // int(lengths[i]))
-        take[i] += n
-        left[i] -= n
-        rest -= n * int(lengths[i])
-    if rest <= 0 or rest > DP_SUMS:
+        length = int(lengths[i])
+        n = min(int(left[i]), (open_ - DP_SUMS + length - 1) // length, open_ // length)
+        more[i] = n
+        open_ -= n * length
+    if open_ <= DP_SUMS:
+        more += _by_table(lengths, left - more, open_)
+    if int((lengths * more).sum()) != rest:
+        more = _by_halves(lengths, left, rest)
+    return start + more
+
+
+def _items(lengths: np.ndarray, left: np.ndarray, rest: int) -> list[tuple[int, int]]:
+    """(index, number): each length's documents in powers of two. Sums above
+    twice the rest are further away than no document at all."""
+    items = []
+    for i in np.argsort(lengths, kind="stable"):
+        n, size = min(int(left[i]), 2 * rest // int(lengths[i])), 1
+        while n > 0:
+            items.append((int(i), min(size, n)))
+            n -= items[-1][1]
+            size *= 2
+    return items
+
+
+def _by_table(lengths: np.ndarray, left: np.ndarray, rest: int) -> np.ndarray:
+    """Bounded knapsack: bit s of a row says that sum s can be reached with the
+    items so far."""
+    take = np.zeros_like(left)
+    if rest <= 0:
         return take
-    # bounded knapsack: items are lengths times powers of two; bit s of a row
-    # says that sum s can be reached with the items so far. Sums above twice the
-    # rest are further away than no document at all.
     full = (1 << (2 * rest + 1)) - 1
     rows, items, reach = [1], [], 1
-    for i in np.argsort(lengths, kind="stable"):
-        length, n, size = int(lengths[i]), int(left[i]), 1
-        n = min(n, 2 * rest // length)
-        while n > 0 and not reach >> rest & 1:
-            k = min(size, n)
-            n -= k
-            size *= 2
-            grown = (reach | reach << (k * length)) & full
-            if grown != reach:
-                items.append((i, k))
-                rows.append(grown)
-                reach = grown
+    for i, k in _items(lengths, left, rest):
+        grown = (reach | reach << (k * int(lengths[i]))) & full
+        if grown != reach:
+            items.append((i, k))
+            rows.append(grown)
+            reach = grown
         if reach >> rest & 1:
             break
     at = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
@@ -148,6 +164,55 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     return take
 
 
+def _by_halves(lengths: np.ndarray, left: np.ndarray, rest: int) -> np.ndarray:
+    """The same for any rest. From a greedy choice, items are documents to add
+    or to put back; they are dealt into two halves, each with the sorted sums
+    it reaches, and the best pair of sums is looked up. Ends with all items or
+    at a sum that nothing can beat."""
+    take, gap = np.zeros_like(left), rest
+    for i in np.argsort(-lengths, kind="stable"):
+        take[i] = min(int(left[i]), gap // int(lengths[i]))
+        gap -= int(take[i] * lengths[i])
+    some = (left > 0) & (lengths <= 2 * rest)
+    step = int(np.gcd.reduce(lengths[some])) if some.any() else 1
+    below = rest % step
+    least = min(below, step - below)
+    add = _items(lengths, left - take, rest)
+    back = [(i, -n) for i, n in _items(lengths, take, rest)]
+    common = min(len(add), len(back))
+    items = [x for pair in zip(add, back) for x in pair] + add[common:] + back[common:]
+    sums = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+    made: list[list] = [[], []]
+    looked, best = 0, (gap, False, 0, 0)
+    for k, (i, n) in enumerate(items):
+        half = 0 if len(sums[0]) <= len(sums[1]) else 1
+        new = np.setdiff1d(sums[half] + n * int(lengths[i]), sums[half], assume_unique=True)
+        made[half].append((i, n, np.sort(new)))
+        sums[half] = np.union1d(sums[half], new)
+        size = len(sums[0]) + len(sums[1])
+        if size < 2 * looked and k + 1 < len(items):
+            continue
+        looked, (a, b) = size, sums
+        above = np.searchsorted(b, gap - a, "right")
+        for at in (above - 1, above):
+            ok = (at >= 0) & (at < len(b))
+            if ok.any():
+                x, y = a[ok], b[at[ok]]
+                j = int(np.argmin(np.abs(x + y - gap)))
+                total = int(x[j] + y[j])
+                best = min(best, (abs(total - gap), total > gap, int(x[j]), int(y[j])))
+        if best[0] == least and not (best[1] and below == least):
+            break
+    for half, at in enumerate(best[2:]):
+        # a sum first reached with an item is reached without it before
+        for i, n, new in reversed(made[half]):
+            j = int(np.searchsorted(new, at))
+            if j < len(new) and new[j] == at:
+                take[i] += n
+                at -= n * int(lengths[i])
+    return take
+
+
 def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     lengths, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
     source_size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])

@@ -84,6 +84,29 @@ def test_budget_is_the_best_subset():
         assert got == best
 
 
+def test_budget_above_the_table():
+    """Lengths and rests beyond DP_SUMS are fitted exactly too."""
+    fit = lambda ls, cs, b: int((mixing.fit_budget(np.array(ls), np.array(cs), b) * ls).sum())
+    assert fit([240_000, 260_000, 300_000], [1, 1, 1], 500_000) == 500_000
+    rnd = random.Random(9)
+    for _ in range(40):
+        step = rnd.choice((1, 7, 1000))
+        lengths = np.array(sorted(rnd.sample(range(mixing.DP_SUMS // step, 9 * mixing.DP_SUMS // step), 5))) * step
+        counts = np.array([rnd.randint(1, 3) for _ in lengths])
+        total = int((lengths * counts).sum())
+        budget = rnd.randint(0, total)
+        start = counts * budget // total
+        take = mixing.fit_budget(lengths, counts, budget)
+        assert (take >= start).all() and (take <= counts).all()
+        best = min((abs(s - budget), s) for s in (int((np.array(c) * lengths).sum()) for c in itertools.product(
+            *(range(a, b + 1) for a, b in zip(start, counts)))))[1]
+        assert int((take * lengths).sum()) == best
+    # many lengths: no sum is out of reach
+    many = np.array(rnd.sample(range(200_000, 900_000), 300))
+    for budget in (10_000_001, 77_777_777):
+        assert fit(many, np.ones(300, int), budget) == budget
+
+
 def test_repeated_rows_of_the_mix(docs):
     mixed = mixing.mix_sources(docs)
     words = sum(r.taken for r in mixed.collect())
