@@ -127,7 +127,8 @@ class Signer:
 
 
 def digest(text: Column) -> Column:
-    """Of the text as it is: with the identifier, what tells rows apart."""
+    """Of the text as it is (null as empty), as ``signatures`` makes it: with
+    the identifier, what tells rows apart."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
@@ -137,8 +138,9 @@ def signatures(df: DataFrame, id_col: str, text_col: str, per: int, bands: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(per, bands, rows)
         for part in text_slices(batches, "text"):
-            cls, n, keys = [], [], []
+            own, cls, n, keys = [], [], [], []
             for text in part.column(1).to_pylist():
+                own.append(hashlib.sha256((text or "").encode()).digest())
                 words = words_of(text)
                 if not words:
                     cls.append(None), n.append(0), keys.append(None)
@@ -148,11 +150,11 @@ def signatures(df: DataFrame, id_col: str, text_col: str, per: int, bands: int,
                 n.append(len(h))
                 keys.append(signer.bands_of(h))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(cls, pa.binary()), pa.array(n, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "class", "n", "bands"])
+                [part.column(0), pa.array(own, pa.binary()), pa.array(cls, pa.binary()),
+                 pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["id", "digest", "class", "n", "bands"])
 
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                    digest(F.col(text_col)).alias("digest"))
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType),
                            T.StructField("digest", T.BinaryType()),
                            T.StructField("class", T.BinaryType()), T.StructField("n", T.LongType()),
