@@ -74,7 +74,7 @@ def test_exact_holds_no_batch(monkeypatch):
 
     for out in exact_dedup._mark_runs("doc_id")(source()):
         seen += out.num_rows
-        assert 2 * len(pulled) == seen
+        assert out.num_rows == 2 and 2 * len(pulled) == seen
     assert seen == 12
 
 
