@@ -4,7 +4,7 @@ import pytest
 
 from kpiforge.plans.registry import ORACLE, QUERIES
 
-from conftest import SF_CHECK
+from sf_paths import SF_CHECK
 from oracle_check import compare, duck
 
 

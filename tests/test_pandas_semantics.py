@@ -12,7 +12,7 @@ import pytest
 from kpiforge.plans import registry
 from kpiforge.plans.frames import prepared_fact, raw_fact
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 Q = registry.QUERIES
 

@@ -13,7 +13,7 @@ from kpiforge.plans.frames import prepared_fact, raw_fact
 from kpiforge.plans.pipeline import Run, run_analysis, run_forecast, run_pipeline
 from kpiforge.sources import read_sales
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def test_pipeline_writes_every_dataset(spark):

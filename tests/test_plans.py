@@ -8,7 +8,7 @@ from kpiforge.operators import kpi
 from kpiforge.plans import registry
 from kpiforge.sources.tables import sales_fact
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def plan(df) -> str:
