@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licences, minhash, mixing, quality, suffix_dedup, token_count, topk, url_filter
+from . import (bpe, exact_dedup, importance, licences, minhash, mixing, quality, suffix_dedup,
+               suffix_tree_lm, token_count, topk, url_filter, variants)
 from .common import table
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
@@ -90,11 +91,90 @@ def op10_topk(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op11_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.importance_resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op12_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf, "documents"))
+
+
+def op13_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_tree_lm.lm_scores(table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_exact_dedup, op3_minhash, op4_licences, op5_bpe, op6_token_counts,
-    op7_mixing, op8_substrings, op9_quality, op10_topk)}
+    op7_mixing, op8_substrings, op9_quality, op10_topk, op11_importance, op12_variants,
+    op13_lm_scores)}
+
+# The table of the unsigned crc32, and the checksum of a text's UTF-8 bytes.
+CRC_TABLE = """
+crc_rows(i, c, k) AS (
+  SELECT i, CAST(i AS BIGINT), 0 FROM range(256) AS r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1
+  FROM crc_rows WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS crc FROM crc_rows WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    return (f"xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen({text})), "
+            f"lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))), "
+            "lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295)")
+
+
+LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op11_importance": rf"""
+WITH RECURSIVE {CRC_TABLE},
+t AS (SELECT doc_id, FALSE AS wanted, text FROM documents
+      UNION ALL SELECT NULL, TRUE, text FROM benchmark),
+w AS (SELECT doc_id, wanted, unnest(regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+      FROM t),
+f AS (SELECT doc_id, wanted, word, count(*) AS n FROM w GROUP BY ALL),
+b AS (SELECT word, {crc_sql('word')} % 10000 AS bucket FROM (SELECT DISTINCT word FROM f), crc_table),
+c AS (SELECT i AS bucket, coalesce(sum(n) FILTER (NOT wanted), 0) AS s,
+             coalesce(sum(n) FILTER (wanted), 0) AS t
+      FROM range(10000) AS r(i) LEFT JOIN (SELECT * FROM f JOIN b USING (word)) ON bucket = i GROUP BY i),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * ((sum(s) OVER ())::DOUBLE + 10000)
+        / ((CAST(s AS DOUBLE) + 1) * ((sum(t) OVER ())::DOUBLE + 10000)))) AS BIGINT) AS gain FROM c),
+d AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight
+      FROM f JOIN b USING (word) JOIN g USING (bucket) WHERE NOT wanted GROUP BY doc_id),
+a AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8)
+          AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM documents LEFT JOIN d USING (doc_id)),
+r AS (SELECT *, n_features >= 20 AS open,
+        row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k,
+        count(*) FILTER (n_features >= 20) OVER () AS n FROM a)
+SELECT doc_id, n_features, weight, score, CASE WHEN open AND k <= 10 * n // 100 THEN k END AS rank FROM r""",
+    "op12_variants": rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all({LOWER_SQL}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run
+        FROM documents) WHERE length(run) >= 5 GROUP BY doc_id, run),
+h AS (SELECT run, n, {crc_sql("(doc_id || ':' || run)")} AS h FROM r, crc_table),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                  ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 5
+      GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+v AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM x),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM v a JOIN v b
+    ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON w.word = v.less
+  UNION SELECT w.word, v.word, v.n FROM v JOIN w ON w.word = v.less),
+best AS (SELECT word, count(*) AS n_near, min({{'k': -near_n, 'near': encode(near)}}) AS best
+         FROM near GROUP BY word),
+told AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near,
+           CASE WHEN -best.k >= 2 * n THEN decode(best.near) END AS form,
+           CASE WHEN -best.k >= 2 * n THEN -best.k END AS form_n FROM w LEFT JOIN best USING (word)),
+walk(word, top) AS (SELECT word, word FROM told
+  UNION ALL SELECT walk.word, told.form FROM walk JOIN told ON told.word = walk.top WHERE told.form IS NOT NULL),
+root AS (SELECT walk.word, walk.top AS root FROM walk JOIN told ON told.word = walk.top WHERE told.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM told JOIN root USING (word)""",
     "op2_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t
            FROM documents)
