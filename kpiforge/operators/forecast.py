@@ -1,16 +1,18 @@
-"""Forecasters of one series, and closed-form predictors of any number of series.
+"""Forecasters of one series or a panel, and closed-form predictors.
 
 ``series_fits`` cross-validates and refits the candidate models of a single
-series with ``pyspark.ml``: a fixed number of fits (models x (folds + 1)),
-submitted from a bounded pool of threads so that Spark runs their many small
-jobs side by side. A panel of many short series goes through
-``ml.grouped_fits``, where each fit is one task; the caller chooses by calling
-one or the other, never the size of the data.
+series: tree ensembles with ``pyspark.ml`` (a fixed number of fits, models x
+(folds + 1), submitted from a bounded pool of threads so that Spark runs their
+many small jobs side by side), linear regression from product sums.
+
+``linear_fits`` does the latter for any number of series at once, as a plan of
+built-in functions. ``panel_fits`` runs ``series_fits`` for each series of a
+panel that is declared small. The caller chooses by the call, never the size.
 
 ``predictor_fits`` scores predictors that are a feature column themselves (last
 month, trailing mean): the baselines a fitted model has to beat.
 
-All of them return the rows of ``ml.GROUPED_SCHEMA``, which ``ml.cv_summary``,
+All of them return the rows of ``ml.FIT_SCHEMA``, which ``ml.cv_summary``,
 ``ml.selected_forecast`` and ``ml.selected_importance`` read.
 """
 
@@ -22,26 +24,27 @@ from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ml, series
+from . import leastsq, ml, series
 
-CANDIDATES: dict[str, Callable] = {
+LINEAR = "linear_regression"
+ENSEMBLES: dict[str, Callable] = {
     "random_forest": lambda bins: RandomForestRegressor(
         numTrees=100, maxDepth=30, maxBins=bins, featureSubsetStrategy="all", seed=42),
     "gradient_boosting": lambda bins: GBTRegressor(
         maxIter=100, maxDepth=3, stepSize=0.1, maxBins=bins, featureSubsetStrategy="all",
         checkpointInterval=-1, seed=42),
-    "linear_regression": lambda bins: LinearRegression(regParam=0.0),
 }
+CANDIDATES = (*ENSEMBLES, LINEAR)
 
 
 def _result(df: DataFrame, keys: Sequence[str] = (), **known) -> DataFrame:
-    """``df`` (and literal columns) in the layout of ``ml.GROUPED_SCHEMA``."""
+    """``df`` (and literal columns) in the layout of ``ml.FIT_SCHEMA``."""
     cols = []
-    for part in ml.GROUPED_SCHEMA.split(", "):
+    for part in ml.FIT_SCHEMA.split(", "):
         name, kind = part.split()
         c = F.col(name) if name in df.columns else F.lit(known.get(name))
         cols.append(c.cast(kind).alias(name))
@@ -51,7 +54,7 @@ def _result(df: DataFrame, keys: Sequence[str] = (), **known) -> DataFrame:
 def _fit(name: str, fold: int, train: DataFrame, other: DataFrame, used: list[str],
          bins: int) -> DataFrame:
     """One fit: the score of a fold, or (fold -1) the horizon and importances."""
-    model = CANDIDATES[name](bins).setFeaturesCol("_x").setLabelCol("_y").fit(train)
+    model = ENSEMBLES[name](bins).setFeaturesCol("_x").setLabelCol("_y").fit(train)
     size = {"model": name, "fold": fold, "train_size": train.count()}
     scored = model.transform(other)
     if fold >= 0:
@@ -67,9 +70,9 @@ def _fit(name: str, fold: int, train: DataFrame, other: DataFrame, used: list[st
     return out
 
 
-def series_fits(features: DataFrame, future: DataFrame, models: Sequence[str] = tuple(CANDIDATES),
-                label: str = "sales", n_splits: int = series.N_SPLITS,
-                threads: int = 8) -> DataFrame:
+def series_fits(features: DataFrame, future: DataFrame, models: Sequence[str] = CANDIDATES,
+                label: str = "sales", n_splits: int = series.N_SPLITS, min_train: int = 0,
+                min_test: int = 0, threads: int = 8) -> DataFrame:
     """Fold scores and horizon predictions of each model for one series.
 
     ``features`` is one row per month, so every fit reads one small partition;
@@ -84,7 +87,8 @@ def series_fits(features: DataFrame, future: DataFrame, models: Sequence[str] =
                           .withColumn("_rn", F.row_number().over(
                               Window.partitionBy().orderBy("date")) - 1), single=True)
     n, *seen = base.agg(F.count(F.lit(1)), *[F.count(c) for c in names]).first()
-    folds = ml.fold_bounds(n, n_splits)
+    folds = [b for b in ml.fold_bounds(n, n_splits)
+             if b[1] >= min_train and b[2] - b[1] >= min_test]
     used = [c for c, k in zip(names, seen) if k]
     assemble = VectorAssembler(inputCols=used, outputCol="_x")
     rows = ml.materialize(assemble.transform(base).select("date", "_rn", "_x", "_y"), single=True)
@@ -103,9 +107,62 @@ def series_fits(features: DataFrame, future: DataFrame, models: Sequence[str] =
                            test_size=0, error=f"{type(e).__name__}: {e}"[:500])
 
     tasks = [(m, f) for f in [(-1, n, n), *reversed(folds)]
-             for m in sorted(models, key=lambda m: m != "gradient_boosting")]
+             for m in sorted(models, key=lambda m: m != "gradient_boosting") if m != LINEAR]
     with ThreadPoolExecutor(max_workers=threads) as pool:
         parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(work), tasks))
+    if LINEAR in models:
+        parts.append(linear_fits(features, future, (), label, n_splits, min_train, min_test))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def linear_fits(features: DataFrame, future: DataFrame, keys: Sequence[str] = (),
+                label: str = "sales", n_splits: int = series.N_SPLITS, min_train: int = 0,
+                min_test: int = 0) -> DataFrame:
+    """Fold scores and horizon values of a linear regression per series: one plan
+    of built-in functions, whatever the number of series. A horizon row that
+    misses a feature of its model gets no value; a series with a number that is
+    not finite gives a row with its error."""
+    keys = list(keys)
+    names = series.feature_columns(features, keys)
+    absent = [F.lit(None).cast("double").alias(c) for c in names if c not in future.columns]
+    future = future.select("*", *absent)
+    models = leastsq.linear_models(features, keys, label, n_splits, min_train, min_test)
+    rows = features.select(*keys, "date", *names, F.col(label).cast("double").alias("_y"))
+    folds = series.ts_folds(features, keys, n_splits, min_train, min_test).where("role = 'test'")
+    tested = (folds.select(*keys, "date", F.col("fold").cast("int").alias("fold"))
+              .join(rows, [*keys, "date"]).join(models, [*keys, "fold"]))
+    e = F.col("_y") - leastsq.predicted(names)
+    scores = (tested.select(*keys, "fold", "train_size", "test_size", e.alias("_e"))
+              .groupBy(*keys, "fold", "train_size", "test_size")
+              .agg(F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse")))
+    ahead = (future.withColumn("fold", F.lit(-1)).join(models, [*keys, "fold"])
+             .withColumn("prediction", leastsq.predicted(names)).where("prediction is not null"))
+    odd = [F.isnan(c) | (F.abs(c) == float("inf")) for c in (F.col(n).cast("double") for n in [*names, label])]
+    broken = (features.where(reduce(Column.__or__, odd)).groupBy(*keys)
+              .agg(F.count(F.lit(1)).alias("train_size")).where("train_size > 0"))
+    parts = (_result(scores, keys, model=LINEAR), _result(ahead, keys, model=LINEAR, fold=-1),
+             _result(broken, keys, model=LINEAR, fold=-1, error="ValueError: numbers that are not finite"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def panel_fits(features: DataFrame, future: DataFrame, key: str,
+               models: Sequence[str] = ("gradient_boosting",), min_train: int = 0,
+               min_test: int = 0, most_series: int = 32, **options) -> DataFrame:
+    """``series_fits`` for every series of a panel with at most ``most_series``
+    keys (more raise: such panels are for ``linear_fits``). A series too short
+    for its folds has no rows; one without a scored fold has no model."""
+    found = features.groupBy(key).agg(F.count(F.lit(1)).alias("n")).limit(most_series + 1).collect()
+    if len(found) > most_series:
+        raise ValueError(f"more than {most_series} series: use linear_fits")
+    parts = []
+    for r in found:
+        bounds = ml.fold_bounds(r["n"]) if r["n"] > series.N_SPLITS else []
+        if any(b[1] >= min_train and b[2] - b[1] >= min_test for b in bounds):
+            own = [df.where(F.col(key) == r[key]).drop(key) for df in (features, future)]
+            parts.append(series_fits(*own, models, min_train=min_train, min_test=min_test, **options)
+                         .select(F.lit(r[key]).alias(key), "*"))
+    if not parts:
+        return features.sparkSession.createDataFrame([], f"{key} string, {ml.FIT_SCHEMA}")
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -6,12 +6,10 @@ Two shapes of work, two strategies:
   ``pyspark.ml`` Pipeline - StringIndexer/OneHotEncoder, standardized
   numerics, RandomForestRegressor - so training is a distributed tree
   aggregation over the executors.
-* A keyed panel of forecasters trains on monthly feature tables: one row per
-  month and key, i.e. short series whatever the input size, but many of them.
-  Each fit is one ``applyInPandas`` group keyed by (series, model, fold): the
-  executors fit the groups in parallel with the small NumPy learners of
-  ``smallfit``, and selection / forecasting stay DataFrame operations. The
-  single global series is fitted with ``pyspark.ml`` in ``forecast``.
+* Forecasters train on monthly feature tables: one row per month and key, i.e.
+  short series whatever the input size. They live in ``forecast``: ``pyspark.ml``
+  ensembles for one series, linear regressions of any number of series as one
+  plan of built-in functions. Selection / forecasting are DataFrame operations.
   Feature tables are checkpointed to the shared checkpoint folder first
   (lineage cut, so a lost executor does not re-run the order-line
   aggregation).
@@ -249,141 +247,14 @@ def history_plus_forecast(history: DataFrame, fc: DataFrame,
 
 
 # --------------------------------------------------------------------------
-# Grouped path: every (series, model, fold) fit is one applyInPandas group
+# Selection among fitted models
 # --------------------------------------------------------------------------
 
-GROUPED_SCHEMA = ("model string, fold int, train_size int, test_size int, rmse double, "
-                  "step bigint, date date, prediction double, feature string, "
-                  "importance double, error string")
-
-
-def _fit_group_fn(feats: list[str], label: str, keys: list[str]):
-    import numpy as np
-    import pandas as pd
-    from pyspark import cloudpickle
-
-    from . import smallfit
-
-    # Ship the small fitting helpers with the task instead of requiring this
-    # package to be installed on every executor.
-    cloudpickle.register_pickle_by_value(smallfit)
-    MODELS = smallfit.MODELS
-
-    cols = keys + ["model", "fold", "train_size", "test_size", "rmse", "step", "date",
-                   "prediction", "feature", "importance", "error"]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            return fit_one(pdf)
-        except Exception as e:  # one series' failure must not end the others
-            head = {k: pdf[k].iloc[0] for k in keys}
-            row = dict.fromkeys(cols) | head | {
-                "model": pdf["_model"].iloc[0], "fold": int(pdf["_fold"].iloc[0]),
-                "train_size": int((pdf["_role"] == "train").sum()), "test_size": 0,
-                "error": f"{type(e).__name__}: {e}"[:500]}
-            return typed(pd.DataFrame([row], columns=cols))
-
-    def typed(out: pd.DataFrame) -> pd.DataFrame:
-        for c in ("rmse", "prediction", "importance"):
-            out[c] = out[c].astype("float64")
-        out["step"] = out["step"].astype("Int64")
-        return out
-
-    def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        train = pdf[pdf["_role"] == "train"].sort_values("date")
-        other = pdf[pdf["_role"] != "train"].sort_values(["step", "date"])
-        # a feature never observed for this series (too short for that lag)
-        # is not a feature of its model
-        use = [c for c in feats if train[c].notna().any()]
-        X = train[use].to_numpy(dtype=float)
-        y = train[label].to_numpy(dtype=float)
-        model = MODELS[pdf["_model"].iloc[0]]().fit(X, y)
-        head = {k: pdf[k].iloc[0] for k in keys}
-        fold = int(pdf["_fold"].iloc[0])
-        base = dict(head, model=pdf["_model"].iloc[0], fold=fold, train_size=len(train),
-                    test_size=0, rmse=None, step=None, date=None, prediction=None,
-                    feature=None, importance=None, error=None)
-        if fold >= 0:
-            pred = model.predict(other[use].to_numpy(dtype=float))
-            err = other[label].to_numpy(dtype=float) - pred
-            rows = [dict(base, test_size=len(other), rmse=float(np.sqrt(np.mean(err ** 2))),
-                         step=None, date=None, prediction=None)]
-        else:
-            # a horizon row missing a model feature (a rolling window longer
-            # than the remaining history) cannot be scored: like the original,
-            # that series gets no forecast rather than a guessed input
-            complete = len(other) > 0 and not other[use].isna().to_numpy().any()
-            pred = model.predict(other[use].to_numpy(dtype=float)) if complete else []
-            rows = [dict(base, test_size=0, rmse=None, step=int(s), date=d, prediction=float(p))
-                    for s, d, p in zip(other["step"], other["date"], pred)]
-            if model.importances is not None:
-                imp = model.importances(len(use))
-                rows += [dict(base, test_size=0, rmse=None, step=None, date=None,
-                              prediction=None, feature=c, importance=float(v))
-                         for c, v in zip(use, imp)]
-        return typed(pd.DataFrame(rows, columns=cols))
-    return fit
-
-
-def grouped_fits(features: DataFrame, future: DataFrame | None, keys: Sequence[str],
-                 models: Sequence[str], label: str = "sales", n_splits: int = series.N_SPLITS,
-                 min_train: int = 0, min_test: int = 0) -> DataFrame:
-    """Cross-validation scores (fold >= 0) and refit-on-all predictions for the
-    horizon rows (fold = -1) of every model for every series, as one Spark job.
-
-    Rows are replicated once per fold they take part in (a series of n months
-    yields about 3.5 n fold rows per model); the groups are (keys, model,
-    fold), each a few dozen rows, fitted in parallel by the executors.
-    """
-    keys = list(keys)
-    feats = series.feature_columns(features, keys)
-    w = Window.partitionBy(*keys).orderBy("date") if keys else Window.orderBy("date")
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    base = features.select(*keys, "date", *feats, F.col(label).cast("double").alias(label),
-                           (F.row_number().over(w) - 1).alias("_rn"),
-                           F.count(F.lit(1)).over(whole).alias("_n"))
-    t = series.fold_size(F.col("_n"), n_splits, keys)
-    cv = base.withColumn("_t", t).where(F.col("_t") >= 1).withColumn(
-        "_fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    start = F.col("_n") - (F.lit(n_splits) - F.col("_fold")) * F.col("_t")
-    cv = (cv.withColumn("_role", F.when(F.col("_rn") < start, F.lit("train"))
-                        .when(F.col("_rn") < start + F.col("_t"), F.lit("test")))
-          .where(F.col("_role").isNotNull()
-                 & (start >= F.lit(min_train)) & (F.col("_t") >= F.lit(min_test)))
-          .select(*keys, "date", *feats, label, "_fold", "_role",
-                  F.lit(None).cast("bigint").alias("step")))
-    if keys and (min_train or min_test):
-        # only series with at least one scored fold get a final model
-        scored = cv.select(*keys).distinct()
-        base = base.join(scored, keys, "left_semi")
-    refit = base.select(*keys, "date", *feats, label, F.lit(-1).alias("_fold"),
-                        F.lit("train").alias("_role"), F.lit(None).cast("bigint").alias("step"))
-    parts = [cv, refit]
-    if future is not None:
-        fut = future
-        if keys and (min_train or min_test):
-            fut = fut.join(base.select(*keys).distinct(), keys, "left_semi")
-        parts.append(fut.select(*keys, "date", *[F.col(c).cast("double") if c in fut.columns
-                                                 else F.lit(None).cast("double").alias(c)
-                                                 for c in feats],
-                                F.lit(None).cast("double").alias(label), F.lit(-1).alias("_fold"),
-                                F.lit("score").alias("_role"), "step"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = rows.withColumn("_model", F.explode(F.array(*[F.lit(m) for m in models])))
-    key_schema = ", ".join(f"{k} string" for k in keys)
-    schema = (key_schema + ", " if keys else "") + GROUPED_SCHEMA
-    # The rows are few but every group is a model fit: spread the groups over
-    # an explicit number of partitions (AQE would coalesce a small shuffle into
-    # one task and run every fit serially). groupBy reuses this partitioning.
-    spark = features.sparkSession
-    n = max(spark.sparkContext.defaultParallelism,
-            int(spark.conf.get("spark.sql.shuffle.partitions")))
-    group = [*keys, "_model", "_fold"]
-    return (rows.repartition(n, *group).groupBy(*group)
-            .applyInPandas(_fit_group_fn(feats, label, keys), schema))
-
+# Fold scores (fold >= 0), horizon predictions and importances (fold -1) of any
+# forecaster, after the keys of its series.
+FIT_SCHEMA = ("model string, fold int, train_size int, test_size int, rmse double, "
+              "step bigint, date date, prediction double, feature string, "
+              "importance double, error string")
 
 CANDIDATE_ORDER = ("random_forest", "gradient_boosting", "linear_regression")
 
@@ -429,18 +300,20 @@ def forecast_series(features: DataFrame, horizon: int = 3, keys: Sequence[str] =
 
     Global series: the three candidates are cross-validated and the best one
     forecasts; these fits run at the call. Keyed panel (``keys=[category]``):
-    one gradient-boosting model per key, folds with < 5 train / < 2 test rows
-    skipped; nothing runs until the results are used (materialize the features
-    first when both results are read)."""
-    from .forecast import CANDIDATES, series_fits
+    a linear regression per key, folds with < 5 train / < 2 test rows skipped;
+    nothing runs until the results are used. ``models`` of a panel other than
+    the linear one are fitted key by key (``forecast.panel_fits``)."""
+    from .forecast import CANDIDATES, LINEAR, linear_fits, panel_fits, series_fits
 
     keys = list(keys)
     if keys:
         fut = series.future_features(features, horizon, keys, series.CATEGORY_LAGS,
                                      series.CATEGORY_LAG_MEASURES, series.CATEGORY_WINDOWS,
                                      with_std=False, require_full_window=True, step=step)
-        fits = grouped_fits(features, fut, keys, list(models or ["gradient_boosting"]),
-                            min_train=5, min_test=2)
+        if models is None or list(models) == [LINEAR]:
+            fits = linear_fits(features, fut, keys, min_train=5, min_test=2)
+        else:
+            fits = materialize(panel_fits(features, fut, *keys, models, min_train=5, min_test=2))
     else:
         fut = series.future_features(features, horizon, step=step)
         fits = materialize(series_fits(features, fut, list(models or CANDIDATES)), single=True)

@@ -218,3 +218,117 @@ def rounded(col: str) -> str:
     if col in ("month_sin", "month_cos"):
         return f"round({col}, 10) + 0.0 AS {col}"   # + 0.0: no -0.0
     return col
+
+
+# ---------------------------------------------------------------------------
+# Least squares from product sums: the same elimination, as recursive SQL
+# ---------------------------------------------------------------------------
+
+def _swept(m: str, k: str) -> str:
+    return (f"list_transform({m}, lambda r, i: list_transform(r, lambda x, j: "
+            f"CASE WHEN i = {k} AND j = {k} THEN 1.0::DOUBLE / {m}[{k}][{k}] "
+            f"WHEN i = {k} THEN x / {m}[{k}][{k}] WHEN j = {k} THEN -x / {m}[{k}][{k}] "
+            f"ELSE x - r[{k}] * {m}[{k}][j] / {m}[{k}][{k}] END))")
+
+
+def _total(items: str, start: str = "0.0::DOUBLE") -> str:
+    return f"list_reduce(list_prepend({start}, {items}), lambda a, c: a + c)"
+
+
+def linear_cte(keys: tuple[str, ...], feats: list[str], min_train: int = 0, min_test: int = 0) -> str:
+    """numbered (rn, cnt) -> linear (keys, fold, train_size, test_size,
+    intercept, coefs) and inputs (keys, rn, date, sales, xs)."""
+    p = len(feats)
+    y = p + 1
+    k = "".join(f"{c}, " for c in keys)
+    using = f"USING ({', '.join(keys)})" if keys else "ON true"
+    over = f"(PARTITION BY {', '.join(keys)})" if keys else "()"
+    cols = [*feats, "sales"]
+    same = "".join(f" AND a.{c} = b.{c}" for c in keys)
+    ak = "".join(f"a.{c}, " for c in keys)
+
+    def share(a: str, b: str) -> str:
+        cell = f"b[{a} + 1][{b} + 1]"
+        return f"CASE WHEN abs({cell}) > 1e-6 THEN {cell} ELSE 0.0::DOUBLE END"
+
+    def own(a: str) -> str:
+        less = _total(f"list_transform(rest, lambda w: ({share(a, 'w')}) * g[w + 1][{y} + 1])")
+        return f"(b[{a} + 1][{y} + 1] - {less})"
+
+    return f"""
+, inputs AS (SELECT {k}rn, cnt, date, sales,
+    [{', '.join(f'CAST({c} AS DOUBLE)' for c in cols)}] AS xs,
+    [{', '.join(f'max(abs(CAST({c} AS DOUBLE))) OVER {over}' for c in cols)}] AS units FROM numbered)
+, scaled AS (SELECT {k}rn, cnt, units, list_prepend(CAST(1e10 AS HUGEINT),
+    list_transform(range(1, {p + 2}), lambda q: CASE WHEN xs[q] IS NOT NULL AND units[q] > 0
+      THEN CAST(floor(xs[q] / units[q] * 1e10 + 0.5) AS HUGEINT) ELSE 0::HUGEINT END)) AS z FROM inputs)
+, long AS (SELECT {k}rn, i, z[i + 1] AS v FROM scaled, range(0, {p + 2}) r(i))
+, ends AS (SELECT * FROM (SELECT DISTINCT {k}cnt, fold, cnt - (5 - fold) * (cnt // 6) AS train_size,
+    cnt // 6 AS test_size FROM numbered, range(0, 5) f(fold))
+  WHERE test_size >= 1 AND train_size >= {min_train} AND test_size >= {min_test})
+, wanted AS (SELECT * FROM ends UNION ALL SELECT DISTINCT {k}cnt, -1, cnt, 0 FROM ends)
+, sums AS (SELECT {ak}fold, a.i, b.i AS j, (CAST(SUM(a.v * b.v) // 1000000000000 AS DOUBLE) * 1e12::DOUBLE
+    + CAST(SUM(a.v * b.v) % 1000000000000 AS DOUBLE)) / (1e10::DOUBLE * 1e10::DOUBLE) AS s
+  FROM wanted JOIN long a {using} JOIN long b ON a.rn = b.rn{same}
+  WHERE a.rn < train_size GROUP BY {ak}fold, a.i, b.i)
+, lines AS (SELECT {k}fold, i, list(s ORDER BY j) AS line FROM sums GROUP BY {k}fold, i)
+, mats AS (SELECT {k}fold, list(line ORDER BY i) AS m0 FROM lines GROUP BY {k}fold)
+, centred AS (SELECT {k}fold, m0, {_swept('m0', '1')} AS m, units
+  FROM mats JOIN (SELECT DISTINCT {k}units FROM scaled) {using})
+, ready AS (SELECT {k}fold, m, units,
+    list_transform(range(1, {p + 3}), lambda q: CASE WHEN m[q][q] > 1e-12 * m0[q][q] THEN m[q][q] END) AS vars,
+    list_transform(list_sort(list_transform(range(1, {p + 1}), lambda q:
+      {{'u': -coalesce(units[q], 0.0), 'k': q}})), lambda o: o.k) AS ord FROM centred)
+, swept({k}fold, n, m, used, units, vars, ord) AS (
+  SELECT {k}fold, 1, m, []::BIGINT[], units, vars, ord FROM ready
+  UNION ALL SELECT {k}fold, n + 1, CASE WHEN take THEN {_swept('m', 'k')} ELSE m END,
+    CASE WHEN take THEN list_append(used, k - 1) ELSE used END, units, vars, ord
+  FROM (SELECT *, ord[n] + 1 AS k, coalesce(m[ord[n] + 1][ord[n] + 1] > 1e-10 * vars[ord[n] + 1], false) AS take
+        FROM swept WHERE n <= {p}))
+, basis AS (SELECT {k}fold, m AS b, used, units, list_filter(range(1, {p + 1}), lambda q:
+    vars[q + 1] IS NOT NULL AND NOT list_contains(used, q)) AS rest FROM swept WHERE n = {p + 1})
+, grams AS (SELECT *, list_transform(range(0, {p + 2}), lambda i: list_transform(range(0, {p + 2}), lambda j:
+    CASE WHEN list_contains(rest, i) AND (list_contains(rest, j) OR j = {y}) THEN
+      {_total(f"list_transform(used, lambda q: 1.0::DOUBLE / (units[q] * units[q]) * ({share('q', 'i')}) * (CASE WHEN j = {y} THEN b[q + 1][{y} + 1] ELSE {share('q', 'j')} END))")}
+      + CASE WHEN i = j THEN 1.0::DOUBLE / (units[i] * units[i]) ELSE 0.0 END ELSE 0.0 END)) AS g FROM basis)
+, shortest({k}fold, n, b, used, units, rest, g) AS (
+  SELECT {k}fold, 1, b, used, units, rest, g FROM grams
+  UNION ALL SELECT {k}fold, n + 1, b, used, units, rest, {_swept('g', 'k')}
+  FROM (SELECT *, rest[n] + 1 AS k FROM shortest WHERE n <= len(rest)))
+, linear AS (SELECT {k}wanted.fold, train_size, test_size, {own('0')} * units[{y}] AS intercept,
+    list_transform(range(1, {p + 1}), lambda q: CASE WHEN units[q] IS NOT NULL THEN
+      CASE WHEN units[q] > 0 THEN (CASE WHEN list_contains(used, q) THEN {own('q')}
+        WHEN list_contains(rest, q) THEN g[q + 1][{y} + 1] ELSE 0.0 END) * units[{y}] / units[q]
+      ELSE 0.0 END END) AS coefs
+  FROM shortest JOIN wanted USING ({k}fold) WHERE n = len(rest) + 1)
+"""
+
+
+def linear_prediction(p: int) -> str:
+    terms = (f"list_transform(range(1, {p + 1}), lambda q: "
+             "CASE WHEN coefs[q] IS NULL THEN 0.0 ELSE coefs[q] * xs[q] END)")
+    return _total(terms, "intercept")
+
+
+def linear_scores_cte(keys: tuple[str, ...], p: int) -> str:
+    """-> scores (keys, fold, train_size, test_size, rmse) and told (horizon)."""
+    k = "".join(f"{c}, " for c in keys)
+    on = f"USING ({', '.join(keys)})" if keys else "ON true"
+    feats = category_feature_list() if keys else global_feature_list()
+    ahead = ", ".join(f"CAST({c} AS DOUBLE)" for c in feats if not c.startswith("month_"))
+    return f"""
+, tried AS (SELECT {k}fold, train_size, test_size, sales, {linear_prediction(p)} AS prediction
+  FROM linear JOIN inputs {on}
+  WHERE fold >= 0 AND rn >= train_size AND rn < train_size + test_size)
+, linear_scores AS (SELECT {k}CAST(fold AS INTEGER) AS fold, CAST(train_size AS INTEGER) AS train_size,
+    CAST(test_size AS INTEGER) AS test_size, sqrt(avg((sales - prediction) * (sales - prediction))) AS rmse
+  FROM tried GROUP BY {k}fold, train_size, test_size)
+, linear_told AS (SELECT {k}step, date, strftime(date, '%B %Y') AS label, {linear_prediction(p)} AS forecasted_sales
+  FROM linear JOIN (SELECT {k}step, date, [{ahead}, sin(2 * pi() * month(date) / 12),
+    cos(2 * pi() * month(date) / 12)] AS xs FROM steps) {on} WHERE fold = -1)
+"""
+
+
+def digits(col: str) -> str:
+    """Six significant digits: what rounding in sums and products cannot reach."""
+    return f"CAST(printf('%.5e', {col}) AS DOUBLE)"

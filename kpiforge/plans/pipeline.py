@@ -18,7 +18,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import ml, series
-from ..operators.forecast import CANDIDATES, series_fits
+from ..operators.forecast import CANDIDATES, linear_fits, series_fits
 from ..operators.clean import CleaningStats, parse_dates, prepare
 from ..session import scratch_path
 from ..sources import read_sales
@@ -75,7 +75,7 @@ def run_pipeline(spark: SparkSession, source: str, out_dir: str, kind: str = "st
                  stages: Iterable[str] = STAGES, horizon: int = 6, fmt: str = "parquet",
                  spec: SalesSpec = DEFAULT_SPEC,
                  sales_model_options: dict | None = None,
-                 candidates: Iterable[str] = tuple(CANDIDATES)) -> tuple[DataFrame, DataFrame]:
+                 candidates: Iterable[str] = CANDIDATES) -> tuple[DataFrame, DataFrame]:
     """Run the selected stages; returns (status, catalog) and writes both.
     ``sales_model_options`` go to ``ml.fit_sales_model`` (depth, trees ...),
     ``candidates`` are the models that the global forecast chooses from."""
@@ -143,8 +143,7 @@ def run_pipeline(spark: SparkSession, source: str, out_dir: str, kind: str = "st
             fut = series.future_features(
                 f, horizon, k, series.CATEGORY_LAGS, series.CATEGORY_LAG_MEASURES,
                 series.CATEGORY_WINDOWS, with_std=False, require_full_window=True)
-            fits = run.stash(ml.grouped_fits(f, fut, k, ["gradient_boosting"],
-                                             min_train=5, min_test=2), "category_fits")
+            fits = run.stash(linear_fits(f, fut, k, min_train=5, min_test=2), "category_fits")
             scores = ml.cv_summary(fits, k)
             run.save("forecast", "category_model_scores", scores)
             run.save("forecast", "category_forecasts",

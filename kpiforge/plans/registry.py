@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_parts, day_lag
 from ..functions.measures import currency, dsum, title_label
-from ..operators import clean, forecast, kpi, ml, profile, series, stats
+from ..operators import clean, forecast, kpi, leastsq, ml, profile, series, stats
 from ..sources.tables import fact_columns
 from ..spec import DEFAULT_SPEC as S
 from . import oracle_sql as O
@@ -880,11 +880,10 @@ def _category_rows(spark, sf):
 
 
 def _category_fits(spark, sf):
-    """Per-category gradient boosting: folds with < 5 train or < 2 test rows
+    """A linear regression per category: folds with < 5 train or < 2 test rows
     are skipped; a category without a scored fold gets no model."""
     f, fut = _category_rows(spark, sf)
-    return f, fitted_once(spark, sf, ("category_fits", sf.rstrip("/"), S), lambda: ml.materialize(
-        ml.grouped_fits(f, fut, [S.category], ["gradient_boosting"], min_train=5, min_test=2)))
+    return f, forecast.linear_fits(f, fut, [S.category], min_train=5, min_test=2)
 
 
 @register("model_comparison")
@@ -906,38 +905,17 @@ def q_forecast_feature_importance(spark, sf):
     return imp.orderBy(F.col("importance").desc(), "feature")
 
 
-@register("category_model_scores")
-def q_category_model_scores(spark, sf):
-    f, fits = _category_fits(spark, sf)
-    s = ml.cv_summary(fits, [S.category]).drop("selected", "model")
-    cats = f.select(S.category).distinct()
-    return (cats.join(s, S.category, "left")
-            .select(S.category, F.coalesce("folds_scored", F.lit(0)).alias("folds_scored"),
-                    "mean_rmse", (F.coalesce("folds_scored", F.lit(0)) > 0).alias("has_model")))
-
-
 @register("sales_forecast")
 def q_sales_forecast(spark, sf):
     return ml.selected_forecast(_global_fits(spark, sf)[1])
 
 
-@register("category_forecast")
-def q_category_forecast(spark, sf):
-    return ml.selected_forecast(_category_fits(spark, sf)[1], [S.category])
-
-
 @register("history_plus_forecast")
 def q_history_plus_forecast(spark, sf):
     f, fits = _global_fits(spark, sf)
     return ml.history_plus_forecast(f, ml.selected_forecast(fits))
 
 
-@register("category_history_plus_forecast")
-def q_category_history_plus_forecast(spark, sf):
-    f, fits = _category_fits(spark, sf)
-    return ml.history_plus_forecast(f, ml.selected_forecast(fits, [S.category]), [S.category])
-
-
 # ---------------------------------------------------------------------------
 # Closed-form predictors through the same folds, selection and forecasts
 # (exact), and the columns of the fitted forecasts that depend on no fit
@@ -1062,16 +1040,6 @@ def q_model_cv_folds(spark, sf):
                        F.col("rmse").isNotNull().alias("scored"))
 
 
-@register("category_models", O.on_prepared(_predictor_sql(("category",), 5, 2) + """
-SELECT category, CAST(count(DISTINCT fold) AS INTEGER) AS folds_scored,
-       count(fold) > 0 AS has_model
-FROM (SELECT DISTINCT category FROM feat_clean) LEFT JOIN scores USING (category)
-GROUP BY category""", extra_parts=True))
-def q_category_models(spark, sf):
-    """Which categories have a fitted model, from how many folds."""
-    return q_category_model_scores(spark, sf).drop("mean_rmse")
-
-
 @register("forecast_steps", O.on_prepared(_predictor_sql() + """
 SELECT step, date, label, true AS forecasted FROM told""", extra_parts=True))
 def q_forecast_steps(spark, sf):
@@ -1080,9 +1048,123 @@ def q_forecast_steps(spark, sf):
         "step", "date", "label", F.col("forecasted_sales").isNotNull().alias("forecasted"))
 
 
-@register("category_forecast_steps", O.on_prepared(_predictor_sql(("category",), 5, 2) + """
-SELECT category, 'gradient_boosting' AS model, step, date, label, true AS forecasted FROM told""",
-                                                   extra_parts=True))
+# ---------------------------------------------------------------------------
+# Linear regressions from product sums: coefficients, folds and forecasts of
+# the global series and of every category, against the same elimination in SQL
+# ---------------------------------------------------------------------------
+
+_BY_CATEGORY = ("category",)
+
+
+def _linear_sql(keys: tuple[str, ...], body: str, min_train: int = 0, min_test: int = 0) -> str:
+    feats = O.category_feature_list() if keys else O.global_feature_list()
+    ctes = (_predictor_sql(keys, min_train, min_test) + O.linear_cte(keys, feats, min_train, min_test)
+            + O.linear_scores_cte(keys, len(feats)))
+    return O.on_prepared(ctes + body, extra_parts=True).replace("WITH fact", "WITH RECURSIVE fact", 1)
+
+
+def _digits(c: str) -> Column:
+    return F.when(F.col(c).isNotNull(), F.format_string("%.5e", c)).cast("double").alias(c)
+
+
+def _terms_sql(keys: tuple[str, ...]) -> str:
+    k = "".join(f"{c}, " for c in keys)
+    names = O.category_feature_list() if keys else O.global_feature_list()
+    return f"""
+SELECT {k}CAST(fold AS INTEGER) AS fold, term, {O.digits('coefficient')} AS coefficient
+FROM (SELECT {k}fold, 'intercept' AS term, intercept AS coefficient FROM linear
+      UNION ALL SELECT {k}fold, {names!r}[i], coefs[i] FROM linear, range(1, {len(names) + 1}) r(i))
+WHERE coefficient IS NOT NULL"""
+
+
+@register("linear_coefficients", _linear_sql((), _terms_sql(())))
+def q_linear_coefficients(spark, sf):
+    """Terms of the linear candidate in every fold (-1: all rows)."""
+    f, _ = _global_rows(spark, sf)
+    rows = leastsq.coefficient_rows(leastsq.linear_models(f), f)
+    return rows.select("fold", "term", _digits("coefficient"))
+
+
+@register("linear_cv_scores", _linear_sql((), f"""
+SELECT fold, train_size, test_size, {O.digits('rmse')} AS rmse FROM linear_scores"""))
+def q_linear_cv_scores(spark, sf):
+    f, fut = _global_rows(spark, sf)
+    fits = forecast.linear_fits(f, fut).where("fold >= 0")
+    return fits.select("fold", "train_size", "test_size", _digits("rmse"))
+
+
+@register("linear_forecast", _linear_sql((), f"""
+SELECT step, date, label, {O.digits('forecasted_sales')} AS forecasted_sales FROM linear_told"""))
+def q_linear_forecast(spark, sf):
+    f, fut = _global_rows(spark, sf)
+    return ml.selected_forecast(forecast.linear_fits(f, fut)).select(
+        "step", "date", "label", _digits("forecasted_sales"))
+
+
+@register("category_linear_coefficients", _linear_sql(_BY_CATEGORY, _terms_sql(_BY_CATEGORY), 5, 2))
+def q_category_linear_coefficients(spark, sf):
+    f, _ = _category_rows(spark, sf)
+    models = leastsq.linear_models(f, [S.category], min_train=5, min_test=2)
+    return leastsq.coefficient_rows(models, f, [S.category]).select(
+        S.category, "fold", "term", _digits("coefficient"))
+
+
+@register("category_linear_scores", _linear_sql(_BY_CATEGORY, f"""
+SELECT category, fold, train_size, test_size, {O.digits('rmse')} AS rmse FROM linear_scores""", 5, 2))
+def q_category_linear_scores(spark, sf):
+    return _category_fits(spark, sf)[1].where("fold >= 0").select(
+        S.category, "fold", "train_size", "test_size", _digits("rmse"))
+
+
+_CATEGORY_SCORES = """
+SELECT category, CAST(count(rmse) AS INTEGER) AS folds_scored, avg(rmse) AS mean_rmse,
+       count(rmse) > 0 AS has_model
+FROM (SELECT DISTINCT category FROM feat_clean) LEFT JOIN linear_scores USING (category) GROUP BY category"""
+
+
+@register("category_model_scores", _linear_sql(_BY_CATEGORY, f"""
+SELECT * REPLACE ({O.digits('mean_rmse')} AS mean_rmse) FROM ({_CATEGORY_SCORES})""", 5, 2))
+def q_category_model_scores(spark, sf):
+    f, fits = _category_fits(spark, sf)
+    s = ml.cv_summary(fits, [S.category]).drop("selected", "model")
+    cats = f.select(S.category).distinct()
+    return (cats.join(s, S.category, "left")
+            .select(S.category, F.coalesce("folds_scored", F.lit(0)).alias("folds_scored"),
+                    _digits("mean_rmse"), (F.coalesce("folds_scored", F.lit(0)) > 0).alias("has_model")))
+
+
+@register("category_models", _linear_sql(_BY_CATEGORY, f"""
+SELECT * EXCLUDE (mean_rmse) FROM ({_CATEGORY_SCORES})""", 5, 2))
+def q_category_models(spark, sf):
+    """Which categories have a fitted model, from how many folds."""
+    return q_category_model_scores(spark, sf).drop("mean_rmse")
+
+
+def _category_told(spark, sf) -> tuple[DataFrame, DataFrame]:
+    f, fits = _category_fits(spark, sf)
+    return f, ml.selected_forecast(fits, [S.category])
+
+
+@register("category_forecast", _linear_sql(_BY_CATEGORY, f"""
+SELECT category, 'linear_regression' AS model, step, date, label,
+       {O.digits('forecasted_sales')} AS forecasted_sales FROM linear_told""", 5, 2))
+def q_category_forecast(spark, sf):
+    return _category_told(spark, sf)[1].select(
+        S.category, "model", "step", "date", "label", _digits("forecasted_sales"))
+
+
+@register("category_history_plus_forecast", _linear_sql(_BY_CATEGORY, f"""
+SELECT category, date, sales, false AS forecast FROM feat_clean
+WHERE category IN (SELECT category FROM linear_told)
+UNION ALL SELECT category, date, {O.digits('forecasted_sales')}, true FROM linear_told""", 5, 2))
+def q_category_history_plus_forecast(spark, sf):
+    f, told = _category_told(spark, sf)
+    told = told.withColumn("forecasted_sales", _digits("forecasted_sales"))
+    return ml.history_plus_forecast(f, told, [S.category])
+
+
+@register("category_forecast_steps", _linear_sql(_BY_CATEGORY, """
+SELECT category, 'linear_regression' AS model, step, date, label, true AS forecasted FROM linear_told""", 5, 2))
 def q_category_forecast_steps(spark, sf):
     """Steps, dates and labels of each category's fitted forecast."""
     return q_category_forecast(spark, sf).select(

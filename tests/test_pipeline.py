@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from kpiforge.operators import clean, forecast, kpi, ml, series
+from kpiforge.operators import clean, forecast, kpi, leastsq, ml, series
 from kpiforge.plans import registry
 from kpiforge.plans.frames import prepared_fact, raw_fact
 from kpiforge.plans.pipeline import Run, run_analysis, run_forecast, run_pipeline
@@ -251,7 +251,7 @@ def test_short_series_raises(spark):
     with pytest.raises(Exception, match="cannot make 5 time-series folds"):
         series.ts_folds(f).collect()
     with pytest.raises(Exception, match="cannot make 5 time-series folds"):
-        ml.grouped_fits(f.withColumn("x", F.lit(1.0)), None, [], ["linear_regression"]).collect()
+        leastsq.linear_models(f.withColumn("x", F.lit(1.0))).collect()
 
 
 def _planted(spark, n=48):
@@ -291,7 +291,7 @@ def test_series_fits_short_series_and_failing_model(spark, monkeypatch):
 
     def broken(bins):
         raise RuntimeError("no such learner")
-    monkeypatch.setitem(forecast.CANDIDATES, "broken", broken)
+    monkeypatch.setitem(forecast.ENSEMBLES, "broken", broken)
     f, ahead = _planted(spark, 12)
     fits = ml.materialize(forecast.series_fits(f, ahead, ["broken", "linear_regression"]))
     errors = fits.where("error is not null").collect()
@@ -315,7 +315,7 @@ def test_a_poisoned_series_fails_alone(spark):
     f = spark.createDataFrame(rows, "category string, date date, x double, sales double")
     future = spark.createDataFrame([(c, 1, dt.date(2020, 1, 1), 24.0) for c in ("good", "poisoned")],
                                    "category string, step bigint, date date, x double")
-    fits = ml.grouped_fits(f, future, ["category"], ["linear_regression"]).cache()
+    fits = forecast.linear_fits(f, future, ["category"])
     failed = {r["category"] for r in fits.where("error is not null").collect()}
     assert failed == {"poisoned"}
     done = ml.selected_forecast(fits, ["category"]).collect()

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kpiforge.functions.dates import parse_date
-from kpiforge.operators import clean, kpi, ml, series, stats
+from kpiforge.operators import clean, forecast, kpi, ml, series, stats
 from kpiforge.sources.csv import read_sales_csv
 
 LINE = ("row_id string, order_id string, order_date date, ship_date date, "
@@ -178,8 +178,9 @@ def test_small_category_gets_no_model(spark):
         rows.append(dict(category="tiny", order_date=dt.date(2000 + i // 12, i % 12 + 1, 1),
                          sales=50.0 + i, profit=5.0, quantity=1.0))
     f = series.category_features(lines(spark, rows))
-    fits = ml.grouped_fits(f, None, ["category"], ["gradient_boosting"],
-                           min_train=5, min_test=2)
+    ahead = series.future_features(f, 3, ["category"], series.CATEGORY_LAGS, series.CATEGORY_LAG_MEASURES,
+                                   series.CATEGORY_WINDOWS, with_std=False, require_full_window=True)
+    fits = forecast.linear_fits(f, ahead, ["category"], min_train=5, min_test=2)
     s = {r["category"]: r for r in ml.cv_summary(fits, ["category"]).collect()}
     # tiny: 14 months -> 8 feature rows -> t = 1 < 2 test rows: every fold skipped
     assert "tiny" not in s and s["big"]["folds_scored"] == 5
@@ -233,33 +234,6 @@ def test_latin1_csv(spark):
     assert rows[0]["customer_name"] == "José"
 
 
-def test_planted_linear_series_recovered():
-    from kpiforge.operators.smallfit import GradientBoosting, LinearLeastSquares
-    rng = np.random.default_rng(0)
-    X = rng.normal(size=(40, 3))
-    y = 2.0 * X[:, 0] - 3.0 * X[:, 2] + 5.0
-    lin = LinearLeastSquares().fit(X, y)
-    assert np.allclose(lin.coef, [2.0, 0.0, -3.0]) and lin.intercept == pytest.approx(5.0)
-    # underdetermined: the minimum-norm least-squares solution
-    Xs, ys = X[:2], y[:2]
-    m = LinearLeastSquares().fit(Xs, ys)
-    ref = np.linalg.lstsq(Xs - Xs.mean(0), ys - ys.mean(), rcond=None)[0]
-    assert np.allclose(m.coef, ref)
-    gb = GradientBoosting().fit(X, y)
-    assert np.sqrt(np.mean((gb.predict(X) - y) ** 2)) < np.std(y) / 5
-
-
-def test_forest_is_deterministic_and_importances_sum_to_one():
-    from kpiforge.operators.smallfit import RandomForest
-    rng = np.random.default_rng(1)
-    X = rng.normal(size=(30, 4))
-    y = X[:, 1] * 3 + rng.normal(scale=0.1, size=30)
-    a, b = RandomForest(20).fit(X, y), RandomForest(20).fit(X, y)
-    assert np.array_equal(a.predict(X), b.predict(X))
-    imp = a.importances(4)
-    assert imp.sum() == pytest.approx(1.0) and int(np.argmax(imp)) == 1
-
-
 def test_exact_quantiles_match_pandas_with_heavy_ties(spark):
     rng = np.random.default_rng(7)
     vals = np.concatenate([np.full(3000, 5.0), rng.normal(size=1000).round(2)])
@@ -357,7 +331,7 @@ def test_forecast_needs_full_trailing_windows(spark, n, expected):
     horizon cannot be formed, so no forecast; 30 months leave 18."""
     months = [(2000 + i // 12, i % 12 + 1) for i in range(n)]
     f = series.monthly_features(_series_frame(spark, months))
-    fits = ml.grouped_fits(f, series.future_features(f, 3), [], ["linear_regression"])
+    fits = forecast.linear_fits(f, series.future_features(f, 3))
     assert ml.selected_forecast(fits).count() == expected
 
 
