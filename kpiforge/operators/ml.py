@@ -155,10 +155,35 @@ class SalesModel:
         return self.pipeline.transform(self.features(df))
 
 
+def sales_encoding(num: Sequence[str], cat: Sequence[str]) -> Pipeline:
+    """Scaled numerics (``{column}__z``) and one-hot categoricals as one vector."""
+    stages = one_hot_encoder(cat).getStages() if cat else []
+    return Pipeline(stages=[*stages, VectorAssembler(
+        inputCols=[f"{c}__z" for c in num] + [f"{c}__ohe" for c in cat], outputCol="features")])
+
+
+def feature_names(encoded: DataFrame, column: str = "features") -> list[str]:
+    """Names of an assembled vector's slots, read from the attributes that the
+    fitted stages left in its schema: the column, or ``{column}_{level}``."""
+    found = {}
+    for group in encoded.schema[column].metadata["ml_attr"]["attrs"].values():
+        for attr in group:
+            name = attr["name"]
+            if "__ohe_" in name:
+                name = "_".join(name.split("__ohe_", 1))
+            found[attr["idx"]] = name.removesuffix("__z")
+    return [found[i] for i in range(len(found))]
+
+
+# Rows of one partition of the sales model's training table. Partitions follow
+# the number of rows, not cores or file splits.
+MODEL_ROWS = 1 << 20
+
+
 def fit_sales_model(prepared: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
                     num_trees: int = 100, max_depth: int = 30, seed: int = 42,
-                    test_buckets: int = 5, partitions: int = 64,
-                    max_bins: int = 256,
+                    test_buckets: int = 5, partitions: int | None = None,
+                    max_bins: int = 256, node_memory_mb: int = 1024,
                     categorical: Sequence[str] | None = None) -> SalesModel:
     """Random forest on the cleaned order lines: hash 80/20 split on the row
     id, numerics standardized with train statistics, categoricals one-hot
@@ -166,47 +191,39 @@ def fit_sales_model(prepared: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
 
     Trees grow to ``max_depth`` (30 is the most that Spark allows; level-wise
     training cost grows with the depth, lower values are the caller's choice);
-    every feature is tried at each split. Bagging is seeded per partition, so
-    rows are dealt by the hash of their id into ``partitions`` parts and ordered
-    in them: the model depends neither on cores nor on file splits. Only
-    ``categorical`` columns (default: the spec's roles) are one-hot encoded, so
-    a free-text column's vocabulary never comes to the driver.
+    every feature is tried at each split. Rows carry the number of their node
+    (checkpointed every ten levels), so deep trees are not sent to the tasks;
+    ``node_memory_mb`` bounds the statistics of the nodes that one pass splits.
+    Bagging is seeded per partition, so rows are dealt by the hash of their id
+    into parts whose number follows the rows, and ordered in them: the model
+    depends neither on cores nor on file splits. Only ``categorical`` columns
+    (default: the spec's roles) are one-hot encoded, so a free-text column's
+    vocabulary never comes to the driver.
     """
     spark = prepared.sparkSession
     num, cat = model_inputs(prepared, spec)
     declared = spec.model_categoricals() if categorical is None else categorical
     cat = [c for c in cat if c in declared]
     label = spec.sales
+    parts = partitions or max(8, -(-prepared.count() // MODEL_ROWS))
     data = materialize(
         prepared.select(spec.row_id, *num, *cat, F.col(label).cast("double").alias("label"),
                         is_test_row(spec.row_id, test_buckets).alias("_is_test"))
-        .repartition(partitions, F.col(spec.row_id)).sortWithinPartitions(spec.row_id))
+        .repartition(parts, F.col(spec.row_id)).sortWithinPartitions(spec.row_id))
     train = data.where(~F.col("_is_test"))
     test = data.where(F.col("_is_test"))
     scaling = standardize_params(train, num)
-    ohe = [f"{c}__ohe" for c in cat]
-    stages = one_hot_encoder(cat).getStages() if cat else []
-    stages += [VectorAssembler(inputCols=[f"{c}__z" for c in num] + ohe,
-                               outputCol="features"),
-               RandomForestRegressor(labelCol="label", featuresCol="features",
-                                     numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                     maxBins=max_bins,
-                                     featureSubsetStrategy="all", subsamplingRate=1.0)]
+    forest = RandomForestRegressor(
+        labelCol="label", featuresCol="features", numTrees=num_trees, maxDepth=max_depth, seed=seed,
+        maxBins=max_bins, featureSubsetStrategy="all", subsamplingRate=1.0, cacheNodeIds=True,
+        checkpointInterval=10, maxMemoryInMB=node_memory_mb)
     z = standardized(num, scaling, "__z")
-    model = Pipeline(stages=stages).fit(train.select("*", *z))
+    model = Pipeline(stages=[*sales_encoding(num, cat).getStages(), forest]).fit(train.select("*", *z))
     pred = model.transform(test.select("*", *z))
     m = regression_metrics(pred, "label", "prediction").first()
     metrics = spark.createDataFrame([tuple(m)], "n bigint, mae double, rmse double, r2 double")
-
-    # Named importances: numeric name, or "<column>_<level>" per one-hot slot.
-    names = list(num)
-    if cat:
-        for c, labels in zip(cat, model.stages[0].labelsArray):
-            names += [f"{c}_{lv}" for lv in labels]
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    if len(names) != len(imp):
-        names = [f"feature_{i}" for i in range(len(imp))]
-    importance = spark.createDataFrame(list(zip(names, [float(v) for v in imp])),
+    weights = model.stages[-1].featureImportances.toArray().tolist()
+    importance = spark.createDataFrame(list(zip(feature_names(pred), map(float, weights), strict=True)),
                                        "feature string, importance double")
     return SalesModel(model, num, cat, scaling, metrics, importance)
 

@@ -264,3 +264,40 @@ def future_features(features: DataFrame, horizon: int, keys: Sequence[str] = (),
                         F.year("date").cast("bigint").alias("year"),
                         F.month("date").cast("bigint").alias("month"),
                         "avg_discount", *feats, s.alias("month_sin"), c.alias("month_cos"))
+
+
+def recursive_forecast(monthly: DataFrame, horizon: int, rules: dict[str, Sequence[float]],
+                       keys: Sequence[str] = (), step: str = "30d") -> DataFrame:
+    """(keys, model, step, date, forecasted_sales): every rule run forward, each
+    step's value being the next step's last month.
+
+    A rule is the weights of the last months, the latest first: ``[1.0]`` repeats
+    the last month, ``[1/3] * 3`` is the trailing mean. A series needs as many
+    months as its rule has weights. Only the months that the longest rule looks
+    at are kept per series; the steps are a fold over them inside the row, so the
+    horizon costs no shuffle and the number of series has no bound.
+    """
+    keys = list(keys)
+    most = max(map(len, rules.values()))
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(F.col("date").desc())
+    tail = (monthly.withColumn("_rd", F.row_number().over(w)).where(F.col("_rd") <= most)
+            .groupBy(*keys).agg(F.max("date").alias("_last"), F.transform(
+                F.array_sort(F.collect_list(F.struct("_rd", F.col("sales").cast("double").alias("v")))),
+                lambda x: x["v"]).alias("_tail")))
+    told = F.array(*[F.struct(F.lit(m).alias("model"), F.array(*[F.lit(float(x)) for x in weights]).alias("w"))
+                     for m, weights in rules.items()])
+
+    def ahead(state: Column, _: Column) -> Column:
+        terms = F.zip_with(F.slice(state["tail"], 1, F.size("w")), "w", lambda x, c: x * c)
+        value = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+        return F.struct(F.concat(F.array(value), state["tail"]).alias("tail"),
+                        F.array_append(state["told"], value).alias("told"))
+
+    start = F.struct(F.col("_tail").alias("tail"), F.array().cast("array<double>").alias("told"))
+    run = (tail.select(*keys, "_last", "_tail", F.explode(told).alias("_r")).select("*", "_r.*")
+           .where(F.size("_tail") >= F.size("w"))
+           .withColumn("_told", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, ahead)["told"]))
+    steps = run.select(*keys, "model", F.posexplode(F.arrays_zip(
+        future_dates(F.col("_last"), horizon, step).alias("date"), F.col("_told").alias("sales"))).alias("_i", "_s"))
+    return steps.select(*keys, "model", (F.col("_i") + 1).cast("bigint").alias("step"), F.col("_s.date").alias("date"),
+                        F.col("_s.sales").alias("forecasted_sales"))

@@ -844,6 +844,20 @@ def _sales_model(spark, sf):
                        lambda: ml.fit_sales_model(prepared_fact(spark, sf), **SALES_MODEL))
 
 
+@register("sales_model_features", O.on_prepared(_levels_sql() + f"""
+SELECT row_number() OVER (ORDER BY c, slot) - 1 AS slot, name AS feature
+FROM (SELECT i AS c, 0 AS slot, {_MODEL_NUM!r}[i] AS name FROM range(1, {len(_MODEL_NUM) + 1}) r(i)
+      UNION ALL SELECT 100 + list_position({_MODEL_CAT!r}, feature), slot, feature || '_' || level FROM l)"""))
+def q_sales_model_features(spark, sf):
+    """The slots of the sales model's input, as its fitted stages name them."""
+    p = prepared_fact(spark, sf)
+    num, cat = ml.model_inputs(p)
+    p = p.select(S.row_id, *cat, *[F.col(c).cast("double").alias(f"{c}__z") for c in num])
+    encoder = ml.sales_encoding(num, cat).fit(p.where(~ml.is_test_row(S.row_id)))
+    names = ml.feature_names(encoder.transform(p))
+    return spark.createDataFrame(list(enumerate(names)), "slot bigint, feature string")
+
+
 @register("sales_model_metrics")
 def q_sales_model_metrics(spark, sf):
     return _sales_model(spark, sf).metrics
@@ -1028,6 +1042,44 @@ def q_category_predictor_history_plus_forecast(spark, sf):
     return ml.history_plus_forecast(f, _forecast(fits, [S.category]), [S.category])
 
 
+_RULES = {"last_month": [1.0], "mean_3": [1 / 3] * 3, "mean_6": [1 / 6] * 6, "year_ago": [0.0] * 11 + [1.0]}
+
+
+def _recursive_sql(keys: tuple[str, ...] = ()) -> str:
+    k = "".join(f"{c}, " for c in keys)
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    rules = ", ".join(f"('{m}', [{', '.join(f'{x!r}::DOUBLE' for x in w)}])" for m, w in _RULES.items())
+    body = f"""
+, latest AS (SELECT *, row_number() OVER ({part}ORDER BY date DESC) AS rd FROM ms)
+, tails AS (SELECT {k}max(date) AS last, list(sales ORDER BY rd) AS tail FROM latest WHERE rd <= 12
+            GROUP BY {', '.join(keys) if keys else 'ALL'})
+, walk({k}model, w, last, step, tail) AS (
+  SELECT {k}model, w, last, 0, tail FROM tails, (VALUES {rules}) r(model, w) WHERE len(tail) >= len(w)
+  UNION ALL SELECT {k}model, w, last, step + 1, list_prepend(list_reduce(list_prepend(0.0::DOUBLE,
+    list_transform(range(1, len(w) + 1), lambda i: tail[i] * w[i])), lambda a, b: a + b), tail)
+  FROM walk WHERE step < 6)
+SELECT {k}model, CAST(step AS BIGINT) AS step, CAST(last + INTERVAL (30 * step) DAY AS DATE) AS date,
+       round(tail[1], 2) AS forecasted_sales FROM walk WHERE step > 0"""
+    return O.on_prepared(O.monthly_cte(keys) + body, extra_parts=True).replace("WITH fact", "WITH RECURSIVE fact", 1)
+
+
+def _recursive(spark, sf, keys=()):
+    m = series.monthly_series(_fc_frame(spark, sf, list(keys)), list(keys))
+    told = series.recursive_forecast(m, 6, _RULES, keys)
+    return told.withColumn("forecasted_sales", F.round("forecasted_sales", 2))
+
+
+@register("recursive_forecast", _recursive_sql())
+def q_recursive_forecast(spark, sf):
+    """Closed-form rules run forward, each step fed with the one before."""
+    return _recursive(spark, sf)
+
+
+@register("category_recursive_forecast", _recursive_sql(("category",)))
+def q_category_recursive_forecast(spark, sf):
+    return _recursive(spark, sf, [S.category])
+
+
 @register("model_cv_folds", O.on_prepared(_predictor_sql() + """
 SELECT m.model, s.fold, s.train_size, s.test_size, true AS scored
 FROM (SELECT DISTINCT fold, train_size, test_size FROM scores) s,
