@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, text_slices
-from .tally import tally
+from .tally import HELD_WORDS, tally
 
 LEAST_LENGTH = 5
 LEAST_COUNT = 3
@@ -53,7 +53,7 @@ SEED_MODULUS = 97
 SHORTEST_GRAM, LONGEST_GRAM = 2, 8
 # Inner nodes of the gram trie per gram length, at most; a gram is extended
 # only while at least LEAST_CUT grams share it.
-NODES = 1 << 17
+NODES = 1 << 18
 LEAST_CUT = 32
 START, STOP = "^", "$"
 
@@ -67,36 +67,43 @@ def runs_of(text: str | None) -> list[bytes]:
     return (text or "").encode("latin-1", "replace").translate(_LETTERS).split()
 
 
-def seeded(runs: Counter[bytes], ident, least_length: int = LEAST_LENGTH) -> Counter[bytes]:
-    """The runs of one document after its seeded deletions."""
-    out: Counter[bytes] = Counter()
-    begin = None if ident is None else crc32(f"{ident}:".encode())
+def seeded(runs: dict[bytes, int], ident: str | None, plain: bool, total: dict[bytes, int],
+           least_length: int = LEAST_LENGTH) -> None:
+    """Add the runs of one document, after its seeded deletions, to ``total``.
+    ``plain`` runs are ASCII: their bytes are their UTF-8."""
+    begin, get = crc32(f"{ident}:".encode()), total.get
     for run, n in runs.items():
         if len(run) < least_length:
             continue
-        if begin is not None:
-            h = crc32(run if run.isascii() else run.decode("latin-1").encode(), begin)
+        if ident is not None:
+            h = crc32(run if plain or run.isascii() else run.decode("latin-1").encode(), begin)
             if not h % SEED_MODULUS:
                 at = h % len(run)
                 run = run[:at] + run[at + 1:]
                 if len(run) < least_length:
                     continue
-        out[run] += n
-    return out
+        total[run] = get(run, 0) + n
 
 
 def seeded_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
     """(word, n): words of all texts with their occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def texts():
-            for part in text_slices(batches, "text"):
-                for ident, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    yield seeded(Counter(runs_of(text)), ident, least_length)
-        for batch in tally(texts(), pa.binary()):
-            words = [w.decode("latin-1") for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column(1)],
-                                             ["word", "n"])
+        total: dict[bytes, int] = {}
+
+        def sums() -> pa.RecordBatch:
+            words = [w.decode("latin-1") for w in total]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
+        for part in text_slices(batches, "text"):
+            for ident, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                seeded(Counter(runs_of(text)), ident, text is None or text.isascii(), total, least_length)
+                if len(total) >= HELD_WORDS:
+                    yield sums()
+                    total.clear()
+        if total:
+            yield sums()
 
     return (df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
             .mapInArrow(run, "word string, n long")
@@ -131,17 +138,16 @@ class GramTrie:
     def affected(self, text: str, grams: list[tuple[int, int]], longest: int) -> int:
         """The most grams that one edit can take away. Inserting before a place
         changes no more than replacing the character before it."""
-        worst, tails = 0, self.tails
-        for i in range(len(text) - 1):
-            hit = 0
-            for start, end in grams:
-                if start > i:
-                    # hidden by a new gram that reaches over the edit
-                    hit += end - i <= longest and text[i + 1:end - 1] in tails
-                else:
-                    hit += end > i
-            worst = max(worst, hit)
-        return worst
+        tails, hit = self.tails, [0] * len(text)
+        for start, end in grams:
+            for i in range(start, end):
+                hit[i] += 1
+            for i in range(max(0, end - longest), start):
+                # hidden by a new gram that reaches over the edit
+                if text[i + 1:end - 1] in tails:
+                    hit[i] += 1
+        hit.pop()              # the last mark stays
+        return max(hit)
 
     def keys(self, text: str, longest: int) -> list[tuple[str, int]]:
         """(gram, start) of the grams that go into the index: the rarest ones,
