@@ -33,6 +33,14 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the next like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(col, UPPER, UPPER.lower())

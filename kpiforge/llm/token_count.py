@@ -1,6 +1,11 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-A text of at most ``chunk_chars`` characters is encoded as it is. A longer one
+A text of at most ``chunk_chars`` characters is cut once into special tokens and
+pre-tokens, as the library cuts it, and counted from a bounded memory of
+pre-tokens; the library counts those not met before. The cut is made by a
+pattern of the same meaning; characters that the two do not put into the same
+class (compared once, character by character) send a text to the library as a
+whole. A longer one
 is cut into chunks that overlap, the chunks are dealt out over the cluster and
 encoded with offsets, and neighbouring chunks are spliced at a proven common
 boundary.
@@ -24,19 +29,103 @@ any number are encoded once when huge. No identifier is needed.
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import added, append, materialise, text_slices, without
+from .common import added, append, free_name, materialise, text_slices, without
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 9
+# Pre-tokens remembered per Python worker and generation, and the longest kept.
+MEMO_WORDS = 150_000
+MEMO_CHARS = 64
+# Code points whose class is compared; all others go to the library.
+COMPARED = (range(0x0, 0xD800), range(0xE000, 0x10000), range(0x1F000, 0x1FB00))
+
+
+def _ranges(codes: Iterable[int]) -> str:
+    """A character set's inside for code points in order."""
+    spans: list[list[int]] = []
+    for c in codes:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+
+
+def pre_token_pattern() -> str:
+    """The byte-level pre-tokens of the library, with letters, digits and white
+    space written out."""
+    kinds = []
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        of = regex.compile(kind).match
+        kinds.append(_ranges(c for codes in COMPARED for c in codes if of(chr(c))))
+    letter, digit, space = kinds
+    return (f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+"
+            f"|[{space}]+(?![^{space}])|[{space}]+")
+
+
+def odd_characters(tokenizer, pattern: str) -> str:
+    """A character set (for a pattern) of code points that the library's cut and
+    ours may treat differently: each is tried next to a letter, a digit, a sign
+    and white space, before and after it."""
+    cut = re.compile(pattern)
+    odd = set()
+    for codes in COMPARED:
+        for at in range(codes.start, codes.stop, 4096):
+            some = range(at, min(at + 4096, codes.stop))
+            block = [f"a{c}a 1{c}1 {c}{c} !{c}! \t{c}\n" for c in map(chr, some)]
+            text, size = "".join(block), len(block[0])
+            own = {m.end() for m in cut.finditer(text)}
+            theirs = {span[1] for _, span in tokenizer.pre_tokenizer.pre_tokenize_str(text)}
+            odd |= {some[(e - 1) // size] for e in own ^ theirs}
+    return f"[^{_ranges(c for codes in COMPARED for c in codes if c not in odd)}]"
+
+
+class _Memo(dict):
+    """Pre-token -> its number of tokens; a miss is asked of the library. Words
+    of the older generation are taken over when met again."""
+
+    def __init__(self, tokenizer, older: dict):
+        self.tokenizer, self.older = tokenizer, older
+
+    def __missing__(self, word: str) -> int:
+        n = self.older.get(word)
+        if n is None:
+            n = len(self.tokenizer.encode(word, add_special_tokens=False))
+        if len(word) <= MEMO_CHARS:
+            self[word] = n
+        return n
+
+
+class _Counter:
+    """Counts texts in one Python worker."""
+
+    def __init__(self, tokenizer, special: list[str], pattern: str, odd: str):
+        self.tokenizer, self.memo = tokenizer, _Memo(tokenizer, {})
+        self.cut, self.odd = re.compile(pattern), re.compile(odd)
+        # cheap to look for: beyond the Latin letters
+        self.far = re.compile("[^\x00-\u024f]" if not self.odd.search("".join(map(chr, range(0x250)))) else "")
+        longest = sorted(special, key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, longest))) if special else None
+
+    def count(self, text: str) -> int:
+        if self.far.search(text) and self.odd.search(text):
+            return len(self.tokenizer.encode(text, add_special_tokens=False))
+        if len(self.memo) > MEMO_WORDS:
+            self.memo = _Memo(self.tokenizer, dict(self.memo))
+        parts = self.special.split(text) if self.special else [text]
+        get, cut = self.memo.__getitem__, self.cut.findall
+        return len(parts) - 1 + sum(sum(map(get, cut(part))) for part in parts if part)
 
 
 class TokenizerFile:
@@ -49,13 +138,21 @@ class TokenizerFile:
         if spec.get("normalizer") or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) \
                 or pre.get("add_prefix_space") or (spec.get("post_processor") or {}).get("type"):
             raise ValueError("splicing is proven for plain byte-level tokenizers only")
-        self.text, self._made = text, None
+        self.text, self._made, self._counter = text, None, None
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.pattern = pre_token_pattern()
+        self.odd = odd_characters(self.get(), self.pattern)
         self.margin = 2 + max([0, *(len(t["content"]) for t in spec["added_tokens"])])
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("special tokens that take their surroundings cannot be spliced")
 
     def __getstate__(self):
-        return {"text": self.text, "margin": self.margin, "_made": None}
+        return self.__dict__ | {"_made": None, "_counter": None}
+
+    def counter(self) -> _Counter:
+        if self._counter is None:
+            self._counter = _Counter(self.get(), self.special, self.pattern, self.odd)
+        return self._counter
 
     def get(self):
         if self._made is None:
@@ -76,11 +173,10 @@ def read_tokenizer(df: DataFrame, path: str) -> Broadcast:
 
 def _count_small(tokenizer: Broadcast, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer.value.get()
+        count = tokenizer.value.counter().count
         for part in text_slices(batches, text_col, 1 << 20):
             texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-            got = tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-            yield append(part, n_tokens=pa.array([len(e) for e in got], pa.int64()))
+            yield append(part, n_tokens=pa.array([count(t) if t else 0 for t in texts], pa.int64()))
     return run
 
 
@@ -168,19 +264,20 @@ def count_tokens(df: DataFrame, tokenizer: Broadcast, text_col: str = "text",
     small = sized.filter(~is_huge)
     small = small.mapInArrow(_count_small(tokenizer, text_col),
                              added(small, ("n_tokens", T.LongType())))
-    huge = sized.filter(is_huge).withColumn("__key", F.sha2(text.cast("binary"), 256))
-    texts = materialise(huge.select("__key", F.col(text_col).alias("text")).groupBy("__key")
+    key = free_name(sized, "key")
+    huge = sized.filter(is_huge).withColumn(key, F.sha2(text.cast("binary"), 256))
+    texts = materialise(huge.select(F.col(key).alias("key"), F.col(text_col).alias("text")).groupBy("key")
                         .agg(F.first("text").alias("text")), "token-texts")
     done, chunk, overlap = None, chunk_chars, overlap_chars
     while True:
         counts = materialise(_splice(texts, tokenizer, chunk, overlap), "token-counts")
         good = counts.filter("n_tokens is not null")
         done = good if done is None else done.unionByName(good)
-        failed = counts.filter("n_tokens is null").select(F.col("key").alias("__key"))
+        failed = counts.filter("n_tokens is null").select("key")
         if failed.isEmpty():
             break
-        texts = materialise(texts.join(failed, "__key", "left_semi"), "token-texts")
+        texts = materialise(texts.join(failed, "key", "left_semi"), "token-texts")
         overlap, chunk = overlap * 4, chunk * 4
-    huge = (huge.join(done.withColumnRenamed("key", "__key"), "__key").drop("__key"))
+    huge = huge.join(done.withColumnRenamed("key", key), key)
     columns = [F.col(f"`{c}`") for c in rows.columns] + [F.col("n_bytes"), F.col("n_tokens")]
     return small.select(*columns).unionByName(huge.select(*columns))
