@@ -6,26 +6,30 @@ coordinates: shingles go through the first once, and coordinate k is the
 minimum of the second over the values shifted (circularly, mod 2**32) by k.
 Signatures are cut into bands; documents that share a band are candidates.
 
-1. Equal word sequences form one class; its smallest identifier stands for it.
-2. In every band bucket all members are compared with the smallest one (hub),
-   on whole shingle sets. Links give first components.
+1. Equal word sequences form one class, numbered for the later steps: links are
+   between classes, so rows may repeat an identifier or have none. Its smallest
+   identifier stands for it.
+2. In every band bucket all members are compared with one of them (hub), on
+   whole shingle sets. Members stream by their hub, whose text goes once to each
+   chunk of them. Links give first components.
 3. What is left are pairs in one bucket, neither of them its hub, in different
-   components. Buckets that hold such pairs are cut into chunks, members of the
-   bucket's largest component apart from the rest, and every chunk of the rest
-   meets every chunk once. No pair is lost, no list of pairs is made, and a
-   bucket of any size is spread over tasks. A pair is compared in the first
-   band that it shares.
-4. Components of all links.
+   components. Buckets that hold such pairs are cut into chunks, by members and
+   by shingles, members of the bucket's largest component apart from the rest,
+   and every chunk of the rest meets every chunk once. No pair is lost, no list
+   of pairs is made, and a bucket of any size is spread over tasks. A pair is
+   compared in the first band that it shares.
+4. Components of all links; the smallest identifier of a component's classes
+   names it.
 
 With 32 bands of 5 a pair at the similarity 0.8 is missed with probability
 (1 - 0.8**5)**32 = 3e-6, one at 0.85 with 2e-8.
 
 Defined results: texts that are null or without words have an empty set, are
 linked with nothing and are their own component. A text with fewer words than a
-shingle has one element, its whole sequence. Rows without an identifier have no
-component of their own and take their class's (null if it has none). Ties
-between equal documents go to the smallest identifier; one row of each
-component is kept, also where rows repeat an identifier or have none.
+shingle has one element, its whole sequence. Rows without an identifier are
+linked like all others and take their component's identifier (null if none of it
+has one). Ties between equal documents go to the smallest identifier; one row of
+each component is kept, also where rows repeat an identifier or have none.
 """
 
 from __future__ import annotations
@@ -48,6 +52,7 @@ PERCENT = 80
 BANDS, ROWS = 32, 5
 # Texts of two chunks meet in one task; larger chunks copy fewer texts.
 CHUNK_MEMBERS = 512
+CHUNK_SHINGLES = 1 << 18
 MEMO_WORDS = 150_000
 _STEP = 2048
 _ODD = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
@@ -162,27 +167,28 @@ def signatures(df: DataFrame, id_col: str, text_col: str, per: int, bands: int,
     return src.mapInArrow(run, schema)
 
 
-def _verify_pairs(per: int, percent: int):
-    """(hub, rep, hub_text, text) rows, hubs together -> linked (u, v)."""
+def _verify_hubs(per: int, percent: int):
+    """(hub, chunk, node, text) rows, each hub's chunks together and the hub
+    itself first -> linked (u, v)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub_set = None, set()
+        hub_set: set = set()
         for part in text_slices(batches, "text"):
-            hubs, reps = part.column(0), part.column(1)
-            keep = []
-            for i, (hub, hub_text, text) in enumerate(zip(
-                    hubs.to_pylist(), part.column(2), part.column(3))):
-                if hub != last or i == 0:
-                    last, hub_set = hub, shingle_set(words_of(hub_text.as_py()), per)
-                keep.append(similar(hub_set, shingle_set(words_of(text.as_py()), per), percent))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([hubs.filter(mask), reps.filter(mask)], ["u", "v"])
+            u, v = [], []
+            for hub, node, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3)):
+                own = shingle_set(words_of(text.as_py()), per)
+                if node == hub:
+                    hub_set = own
+                elif similar(hub_set, own, percent):
+                    u.append(hub)
+                    v.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
     return run
 
 
 def _verify_chunks(per: int, percent: int):
     """One meeting of two chunks of a bucket -> links between components."""
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["rep", "label", "chunk", "text", "bands", "band"]).to_pylist()
+        rows = table.select(["node", "label", "chunk", "text", "bands", "band"]).to_pylist()
         sets = [shingle_set(words_of(r["text"]), per) for r in rows]
         size = np.array([len(s) for s in sets])
         keys = np.array([r["bands"] for r in rows], np.int64)
@@ -208,61 +214,66 @@ def _verify_chunks(per: int, percent: int):
                 u, v = root(rows[a]["label"]), root(rows[k]["label"])
                 if u != v and similar(sets[a], sets[k], percent):
                     parent[max(u, v)] = min(u, v)
-                    out_u.append(rows[a]["rep"])
-                    out_v.append(rows[k]["rep"])
-        kind = table.schema.field("rep").type
-        return pa.table({"u": pa.array(out_u, kind), "v": pa.array(out_v, kind)})
+                    out_u.append(rows[a]["node"])
+                    out_v.append(rows[k]["node"])
+        return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
     return run
 
 
 def _decided(df: DataFrame, id_col: str, text_col: str, words_per: int = WORDS_PER_SHINGLE,
              percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
-             chunk: int = CHUNK_MEMBERS) -> DataFrame:
+             chunk: int = CHUNK_MEMBERS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """(id, digest, n, component, kept) of every row of ``df``."""
-    id_type = df.schema[id_col].dataType
     signed = materialise(signatures(df, id_col, text_col, words_per, bands, rows)
                          .withColumn("row", F.monotonically_increasing_id()), "signatures")
     classes = materialise(
         signed.filter(F.col("class").isNotNull()).groupBy("class")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"),
+        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "digest")).alias("first"),
              F.first("n").alias("n"), F.first("bands").alias("bands"))
-        .select("class", F.col("first.id").alias("rep"), F.col("first.row").alias("first"),
-                "n", "bands"), "classes")
-    reps = classes.filter("rep is not null")
-    members = reps.select("rep", "n", F.explode("bands").alias("band"))
+        .withColumn("node", F.monotonically_increasing_id()), "classes")
+    members = classes.select("node", "n", F.explode("bands").alias("band"))
     buckets = (members.groupBy("band").agg(F.count("*").alias("c"),
-                                           F.min(F.struct("rep", "n")).alias("hub"))
-               .filter("c > 1").select("band", F.col("hub.rep").alias("hub"),
+                                           F.min(F.struct("node", "n")).alias("hub"))
+               .filter("c > 1").select("band", F.col("hub.node").alias("hub"),
                                        F.col("hub.n").alias("hub_n")))
     met = materialise(members.join(buckets, "band"), "buckets")
+    # the text of the row that stands for a class, once per class
+    wanted = (classes.select("node", F.col("first.digest").alias("digest"))
+              .join(met.select("node").distinct(), "node", "left_semi"))
     texts = materialise(
-        df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-        .join(met.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "bucket-texts")
+        df.select(digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
+        .join(wanted, "digest").select("node", "text").dropDuplicates(["node"]), "bucket-texts")
 
     # 2. every member against its bucket's hub
-    pairs = (met.filter("rep <> hub")
-             .filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-             .select("hub", "rep").distinct())
-    shown = (pairs.join(texts, "rep")
-             .join(texts.select(F.col("rep").alias("hub"), F.col("text").alias("hub_text")), "hub")
-             .select("hub", "rep", "hub_text", "text"))
-    edge_type = T.StructType([T.StructField("u", id_type), T.StructField("v", id_type)])
-    links = materialise(shown.mapInArrow(_verify_pairs(words_per, percent), edge_type), "links")
+    pairs = materialise(
+        met.filter("node <> hub")
+        .filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+        .select("hub", "node").distinct(), "hub-pairs")
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / chunk).cast("long").alias("chunks"))
+    dealt = pairs.join(sizes, "hub").select(
+        "hub", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node")
+    own = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"),
+                       F.col("hub").alias("node"))
+    order = ["hub", "chunk", F.col("node") != F.col("hub")]
+    shown = (dealt.unionByName(own).join(texts, "node").select("hub", "chunk", "node", "text")
+             .repartition("hub", "chunk").sortWithinPartitions(*order))
+    links = materialise(shown.mapInArrow(_verify_hubs(words_per, percent), "u long, v long"), "links")
     first = materialise(components(links), "components")
 
     # 3. pairs of a bucket without its hub, in different components
-    rest = (met.filter("rep <> hub").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("band", "rep", F.coalesce("label", "rep").alias("label")))
-    per_label = rest.groupBy("band", "label").agg(F.count("*").alias("c"))
+    rest = (met.filter("node <> hub").join(first, "node", "left")
+            .select("band", "node", "n", F.coalesce("label", "node").alias("label")))
+    per_label = rest.groupBy("band", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    parts = lambda c, s: F.greatest(F.ceil(c / chunk), F.ceil(s / chunk_shingles))
     open_ = (per_label.groupBy("band")
-             .agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"),
-                  F.count("*").alias("labels"))
+             .agg(F.max(F.struct("c", "label", "s")).alias("most"), F.sum("c").alias("c"),
+                  F.sum("s").alias("s"), F.count("*").alias("labels"))
              .filter("labels > 1")
              .select("band", F.col("most.label").alias("major"),
-                     F.ceil((F.col("all") - F.col("most.c")) / chunk).alias("minors"),
-                     F.ceil(F.col("most.c") / chunk).alias("majors")))
+                     parts(F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s")).alias("minors"),
+                     parts(F.col("most.c"), F.col("most.s")).alias("majors")))
     is_minor = F.col("label") != F.col("major")
-    spread = F.xxhash64("rep", "band")
+    spread = F.xxhash64("node", "band")
     at = F.when(is_minor, F.pmod(spread, F.col("minors"))).otherwise(
         F.col("minors") + F.pmod(spread, F.col("majors")))
     meet = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
@@ -274,21 +285,22 @@ def _decided(df: DataFrame, id_col: str, text_col: str, words_per: int = WORDS_P
     none = F.array().cast("array<struct<i:bigint,j:bigint>>")
     placed = (rest.join(open_, "band").withColumn("chunk", at)
               .withColumn("meet", F.explode(F.concat(lower, F.coalesce(upper, none))))
-              .select("band", "rep", "label", "chunk", "meet.i", "meet.j"))
-    more = (placed.join(texts, "rep").join(reps.select("rep", "bands"), "rep")
-            .groupBy("band", "i", "j").applyInArrow(_verify_chunks(words_per, percent), edge_type))
+              .select("band", "node", "label", "chunk", "meet.i", "meet.j"))
+    more = (placed.join(texts, "node").join(classes.select("node", "bands"), "node")
+            .groupBy("band", "i", "j").applyInArrow(_verify_chunks(words_per, percent), "u long, v long"))
     known = first.select(F.col("node").alias("u"), F.col("label").alias("v"))
     final = components(known.unionByName(materialise(more, "links")))
 
-    label = (classes.select("class", "rep", "first")
-             .join(final.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("class", "first", F.coalesce("label", "rep").alias("label"),
-                     F.coalesce(F.col("label") == F.col("rep"), F.lit(True)).alias("stands")))
-    out = signed.select("id", "digest", "class", "n", "row").join(label, "class", "left")
+    label = materialise(classes.select("class", "node", "first").join(final, "node", "left")
+                        .select("class", "first", F.coalesce("label", "node").alias("label")), "labels")
+    stands = label.groupBy("label").agg(F.min("first").alias("best"))
+    told = label.join(stands, "label").select("class", F.col("best.id").alias("component"),
+                                              F.col("best.row").alias("best"))
+    out = signed.select("id", "digest", "class", "n", "row").join(told, "class", "left")
     alone = F.col("class").isNull()
     return out.select("id", "digest", "n",
-                      F.when(alone, F.col("id")).otherwise(F.col("label")).alias("component"),
-                      (alone | (F.col("stands") & (F.col("row") == F.col("first")))).alias("kept"))
+                      F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"),
+                      (alone | (F.col("row") == F.col("best"))).alias("kept"))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
