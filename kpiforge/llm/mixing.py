@@ -236,17 +236,20 @@ def _join(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> D
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 source_col: str = "source", weights: Sequence[float] = WEIGHTS,
-                max_copies: int = MAX_COPIES, seed: int = 17) -> DataFrame:
-    """``df`` with ``size``, ``source_size``, ``target`` and ``taken`` (words
+                max_copies: int = MAX_COPIES, seed: int = 17,
+                carry: Sequence[str] | None = None) -> DataFrame:
+    """``df`` (its columns ``carry``, default all) with ``size``, ``source_size``, ``target`` and ``taken`` (words
     the mix takes; ``taken / size`` is the document's number of copies)."""
     result = ("size", "source_size", "target", "taken")
     rows = without(df, set(result) - {id_col, text_col, source_col})
-    sized = rows.withColumns({
-        "__source": F.col(source_col), "__size": word_count(F.col(text_col)),
-        "__h": F.xxhash64(F.lit(seed), F.col(id_col)), "__id": F.col(id_col)})
-    # the small columns are read several times: written once
-    small = materialise(sized.select(F.col("__source").alias("source"), F.col("__size").alias("size"),
-                                     F.col("__h").alias("h"), F.col("__id").alias("id")), "mix-sizes")
+    carried = [c for c in rows.columns if carry is None or c in carry]
+    # texts are looked at once: what is returned is written with the sizes, its
+    # columns in one so that no name can clash
+    sized = materialise(rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("whole"), F.col(source_col).alias("source"),
+        word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
+        F.col(id_col).alias("id")), "mix-rows")
+    small = sized.drop("whole")
     key = ["source", "size"]
     counts = small.groupBy(*key).agg(F.count("*").alias("n"))
     per = with_targets(small.groupBy("source").agg(F.sum("size").alias("source_size")),
@@ -273,27 +276,22 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select(*key, F.col("h").alias("h_max"), F.col("id").alias("id_max")))
     edge = materialise(edge, "mix-thresholds")
     plan = (_join(fitted, edge, key, "left")
-            .select(F.col("source").alias("__p_source"), F.col("size").alias("__p_size"),
-                    F.col("n").alias("__p_n"), F.col("source_size").alias("__p_total"),
-                    F.col("target").alias("__p_target"), F.col("copies").alias("__p_copies"),
-                    F.col("take").alias("__p_take"), F.col("h_max").alias("__h_max"),
-                    F.col("id_max").alias("__id_max")))
-    below = (F.col("__h") < F.col("__h_max")) | ((F.col("__h") == F.col("__h_max")) & F.coalesce(
-        F.col("__id") <= F.col("__id_max"), F.col("__id").isNull()))
-    more = (F.when(F.col("__p_take") >= F.col("__p_n"), F.lit(1))
-            .when(F.col("__p_take") <= 0, F.lit(0))
+            .select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("n"),
+                    "source_size", "target", "copies", "take", "h_max", "id_max"))
+    below = (F.col("h") < F.col("h_max")) | ((F.col("h") == F.col("h_max")) & F.coalesce(
+        F.col("id") <= F.col("id_max"), F.col("id").isNull()))
+    more = (F.when(F.col("take") >= F.col("n"), F.lit(1))
+            .when(F.col("take") <= 0, F.lit(0))
             .otherwise(F.coalesce(below.cast("int"), F.lit(0))))
-    joined = sized.join(plan, F.col("__source").eqNullSafe(F.col("__p_source"))
-                        & (F.col("__size") == F.col("__p_size")))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in rows.columns], F.col("__size").alias("size"),
-        F.col("__p_total").alias("source_size"), F.col("__p_target").alias("target"),
-        (F.col("__size") * (F.col("__p_copies") + more)).alias("taken"))
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source"))
+                        & (F.col("size") == F.col("p_size")))
+    return joined.select(*[F.col(f"whole.`{c}`") for c in carried], "size", "source_size", "target",
+                         (F.col("size") * (F.col("copies") + more)).alias("taken"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The mix itself: each document as often as the mix takes it."""
     copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return (mixed.withColumn("__copies", copies).filter("__copies > 0")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-            .drop("__copies", "__copy"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in mixed.columns]).alias("whole")
+    return (mixed.select(whole, copies.alias("copies")).filter("copies > 0")
+            .select("whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*"))

@@ -69,7 +69,7 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix_sources(table(spark, sf, "documents").select("doc_id", "text", "source"), carry=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
