@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, materialise, without
+from .common import ascii_lower, free_name, materialise, without
 
 # Fixed values: (verdict, host, path); the first "/" parts host and path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
@@ -127,17 +127,18 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules=RULES, order: int = O
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     judged = (rows.withColumns({"host": host, "path": path})
               .withColumns({"rule": rule, "verdict": verdict}))
+    key = free_name(judged, "url_key")
     # a url's judgement depends on the url alone: equal urls are scored once
     urls = materialise(
         judged.filter(F.length(F.col(url_col)) > 0)
-        .groupBy(F.col(url_col).alias("__url"), F.col("verdict").alias("ruled"))
+        .groupBy(F.col(url_col).alias("url_key"), F.col("verdict").alias("ruled"))
         .agg(F.count("*").alias("rows"))
         # a url becomes some fifty n-grams: spread the few bytes of urls first
-        .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__url")
+        .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url_key")
         .withColumn("id", F.monotonically_increasing_id())
-        .withColumn("held", F.pmod(F.xxhash64(F.lit(5), "__url"), F.lit(HOLD_OUT)) == 0), "urls")
+        .withColumn("held", F.pmod(F.xxhash64(F.lit(5), "url_key"), F.lit(HOLD_OUT)) == 0), "urls")
     grams = urls.select("id", "ruled", "held", "rows",
-                        F.explode(ngrams(F.col("__url"), order)).alias("gram"))
+                        F.explode(ngrams(F.col("url_key"), order)).alias("gram"))
     learnt = lambda what: F.sum(F.when((F.col("ruled") == what) & ~F.col("held"),
                                        F.col("rows")).otherwise(F.lit(0)))
     counts = grams.groupBy("gram").agg(learnt("allow").alias("n_allow"),
@@ -148,11 +149,11 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules=RULES, order: int = O
     scored = materialise(
         grams.select("id", "gram").join(models, "gram").select("id", unit.alias("unit"))
         .groupBy("id").agg((F.sum("unit") / (F.count("*") * F.lit(float(UNITS)))).alias("score"))
-        .join(urls.select("id", "__url", "ruled", "held"), "id"), "url-scores")
+        .join(urls.select("id", "url_key", "ruled", "held"), "id"), "url-scores")
     held = scored.filter("held and ruled is not null").select("score", F.col("ruled").alias("verdict"))
     threshold = calibrated(held).scalar()
-    out = (judged.withColumn("__url", F.col(url_col))
-           .join(scored.select("__url", "score"), "__url", "left").drop("__url"))
+    found = scored.select(F.col("url_key").alias(key), "score")
+    out = judged.withColumn(key, F.col(url_col)).join(found, key, "left").drop(key)
     score = F.coalesce(F.col("score"), F.lit(0.0))
     by_model = F.when(score >= threshold, F.lit("allow")).otherwise(F.lit("block"))
     return (out.withColumn("verdict", F.coalesce(F.col("verdict"), by_model))
