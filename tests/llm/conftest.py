@@ -24,8 +24,11 @@ def docs(spark):
 DOC_SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
               # clashing names: results must replace them
               "KEPT string, group_size string, token_ids string, size string, score string, "
-              "n_tokens string, labels string, `odd name` string, __norm string")
-CLASH = ("x",) * 7 + ("kept as it is", "y")
+              "n_tokens string, labels string, `odd name` string, __norm string, "
+              # names that operators use inside
+              "key string, whole string, h string, id string, copies string, url_key string, "
+              "node string, row string, bucket string, `range` string")
+CLASH = ("x",) * 7 + ("kept as it is", "y") + tuple(f"own {k}" for k in range(10))
 
 
 def doc(i, text, source="s"):

@@ -168,6 +168,26 @@ def test_near_decides_rows_not_ids(edge):
     assert left == collections.Counter(r.text for r in minhash.keep_one_of_each(edge.repartition(5)).collect())
 
 
+def test_near_links_texts_not_identifiers(spark):
+    """One identifier on two texts: near copies of both are linked. Near copies
+    without an identifier are linked too, and go."""
+    a = [f"a{k}" for k in range(40)]
+    b = [f"b{k}" for k in range(40)]
+    c = [f"c{k}" for k in range(40)]
+    rows = [(1, a), (1, b), (2, a[:-1]), (3, b[:-1]), (None, c), (None, c[:-1]), (None, a[1:]), (None, ["alone"] * 9)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.text: r for r in minhash.near_dedup(df).join(df, "doc_id").collect()}
+    assert {got[" ".join(w)].component_id for w in (a, b, a[:-1], b[:-1])} == {1}
+    left = collections.Counter(r.text.split()[0] for r in minhash.keep_one_of_each(df).collect())
+    assert left == {"a0": 1, "b0": 1, "c0": 1, "alone": 1}
+
+
+def test_near_hubs_and_chunks_of_few_shingles(docs):
+    want = {r.doc_id: tuple(r) for r in minhash.near_dedup(docs).collect()}
+    got = {r.doc_id: tuple(r) for r in minhash.near_dedup(docs, chunk=2, chunk_shingles=200).collect()}
+    assert got == want
+
+
 def test_permutations_are_bijections():
     sample = np.random.default_rng(1).integers(0, 2 ** 32, 200_000, dtype=np.uint32)
     sample = np.unique(sample)
@@ -240,6 +260,25 @@ def test_substrings_of_repetitive_text(spark):
     check_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_substrings_of_extreme_identifiers(spark):
+    """The largest identifier is one like all others; rows without one come last."""
+    text = "".join(chr(97 + k * k % 26) + str(k) for k in range(60))
+    ids = [2 ** 63 - 1, None, -2 ** 63, 5]
+    df = spark.createDataFrame([(i, f"{k}{k} {text}") for k, i in enumerate(ids)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.substring_dedup(df).collect()}
+    assert got[-2 ** 63] == 0 and set(got) == set(ids)
+    assert all(got[i] >= len(text) for i in ids if i != -2 ** 63)
+    one = spark.createDataFrame([(2 ** 63 - 1, text), (None, text)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.substring_dedup(one).collect()}
+    assert got == {2 ** 63 - 1: 0, None: len(text)}
+    assert not spark.catalog.listTables()
+
+
+def test_blocks_stop_growing():
+    assert suffix_dedup.plan(10 ** 14)[0] == suffix_dedup.MOST_BLOCK_BYTES
+    assert suffix_dedup.plan(10 ** 9)[0] == suffix_dedup.BLOCK_BYTES
+
+
 def test_suffix_sort_orders_suffixes():
     rnd = random.Random(5)
     buf = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(2000)) + b"a" * 300, np.uint8)

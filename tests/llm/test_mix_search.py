@@ -56,6 +56,8 @@ def test_mix_query_tables(docs):
 def test_mix_edges(edge, empty):
     check_mix(edge.filter("doc_id is null or doc_id <> 8"))
     assert mixing.mix_sources(edge).count() == edge.count()
+    own = lambda df: sorted(map(str, df.select("doc_id", "h", "id", "whole", "copies", "`odd name`").collect()))
+    assert own(mixing.mix_sources(edge)) == own(edge)
     assert mixing.mix_sources(empty).count() == 0
 
 

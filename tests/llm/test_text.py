@@ -115,6 +115,7 @@ def test_token_count_edges(edge, empty, tokenizer):
     assert len(got) == edge.count()
     for r in got:
         assert (r.n_bytes, r.n_tokens) == (len((r.text or "").encode()), count(tokenizer, r.text))
+        assert r.key == "own 0"
     assert token_count.count_tokens(empty, tok).count() == 0
 
 
@@ -322,9 +323,10 @@ def test_urls_match_brute_force(spark, sf):
 
 
 def test_url_edges(spark):
-    rows = [(i, u, "x") for i, u in enumerate(URLS + URLS[:3])] + [(None, URLS[0], "x")]
-    df = spark.createDataFrame(rows, "page_id long, url string, VERDICT string")
+    rows = [(i, u, "x", "own") for i, u in enumerate(URLS + URLS[:3])] + [(None, URLS[0], "x", "own")]
+    df = spark.createDataFrame(rows, "page_id long, url string, VERDICT string, url_key string")
     assert len(check_urls(df)) == len(rows)
+    assert {r.url_key for r in url_filter.filter_urls(df).collect()} == {"own"}
     got = url_filter.filter_urls(df.limit(0))
     assert got.count() == 0 and got.columns.count("verdict") == 1 and "VERDICT" not in got.columns
 
