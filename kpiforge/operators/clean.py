@@ -22,7 +22,7 @@ from pyspark.sql.types import DecimalType, NumericType, StringType
 
 from ..functions.dates import date_parts, day_lag, parse_date
 from ..spec import DEFAULT_SPEC, SalesSpec
-from .stats import column_modes, quantiles
+from .stats import column_modes, exact_quantiles, quantiles
 
 IQR_K = 1.5
 
@@ -36,6 +36,10 @@ class CleaningStats:
     bounds: dict[str, tuple[float, float, float, float]] = field(default_factory=dict)
     fitted: bool = False   # True once computed; a fitted instance is reused as is
 
+    def fills(self) -> tuple:
+        """What imputation depends on."""
+        return tuple(sorted(self.medians.items())), tuple(sorted(self.modes.items()))
+
 
 def _lit_like(value, dtype) -> Column:
     """A literal of the column's type (decimal bounds rounded HALF_UP)."""
@@ -127,10 +131,12 @@ def impute(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
 
 
 def iqr_bounds(df: DataFrame, cols: list[str], k: float = IQR_K,
-               method: str = "exact") -> dict[str, tuple]:
+               method: str = "exact", brackets: dict | None = None) -> dict[str, tuple]:
     """column -> (q1, q3, lower, upper) with lower = q1 - k*iqr, upper = q3 + k*iqr.
-    ``method="approx"`` trades exactness for a single sketch pass."""
-    q = quantiles(df, {c: [0.25, 0.75] for c in cols}, method)
+    ``method="approx"`` trades exactness for a single sketch pass; ``brackets``
+    of kept sketches save the exact method its first one."""
+    wanted = {c: [0.25, 0.75] for c in cols}
+    q = exact_quantiles(df, wanted, brackets=brackets) if brackets else quantiles(df, wanted, method)
     out = {}
     for c in cols:
         q1, q3 = q[c][0.25], q[c][0.75]

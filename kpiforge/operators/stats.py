@@ -11,8 +11,8 @@ a single task holding every distinct value. The functions here never do that:
   Brackets exclude their ends once those are known not to hold the rank, so a
   hot value holding a third of all rows is cut off in one round. Each pass is
   one scan with map-side partial aggregation.
-* ``column_modes`` counts values per column with partial aggregation and keeps
-  the top value with a TakeOrderedAndProject (top-1 per partition).
+* ``column_modes`` keeps bounded counters per task (Misra-Gries) and recounts
+  only the values that may be the mode.
 
 Results are small Python values (``Decimal`` for decimal columns, exact);
 callers fold them into plans as literals.
@@ -21,11 +21,18 @@ callers fold them into plans as literals.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..session import checkpoint_dir
+from ..sources.tables import sized_broadcast
 
 SKETCH_ACCURACY = 20000
 # (value, count) pairs per wanted rank that the last step may bring to the driver
@@ -39,6 +46,13 @@ def _num(v):
     return float(v)
 
 
+def _as_type(v: float, kind: T.DataType):
+    """A sketch's number as a value of the column."""
+    if isinstance(kind, T.DecimalType):
+        return Decimal(v).quantize(Decimal(1).scaleb(-kind.scale))
+    return round(v) if isinstance(kind, T.IntegralType) else v
+
+
 def interpolate(lo, hi, frac: float):
     """Linear interpolation between neighbouring order statistics
     (pandas ``quantile`` default, SQL ``percentile_cont``). Exact for
@@ -81,37 +95,49 @@ class _Target:
         return cond
 
 
+def _first_brackets(df: DataFrame, targets: Mapping[str, Sequence[float]], accuracy: int,
+                    eps: float) -> dict[str, tuple[int, list]]:
+    """Column -> (non-null rows, sketch values below and above every p)."""
+    first = []
+    for i, (c, ps) in enumerate(targets.items()):
+        probs = [x for p in ps for x in (max(0.0, p - eps), min(1.0, p + eps))]
+        # one sketch per column serves all of its probabilities
+        first += [F.count(F.col(c)).alias(f"n{i}"),
+                  F.percentile_approx(F.col(c), probs, accuracy).alias(f"s{i}")]
+    row = df.agg(*first).first()
+    return {c: (int(row[f"n{i}"]), list(row[f"s{i}"] or [])) for i, c in enumerate(targets)}
+
+
 def exact_quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
-                    accuracy: int = SKETCH_ACCURACY,
-                    final_limit: int = FINAL_LIMIT) -> dict[str, dict[float, float | None]]:
+                    accuracy: int = SKETCH_ACCURACY, final_limit: int = FINAL_LIMIT,
+                    brackets: Mapping[str, tuple[int, Sequence[float]]] | None = None,
+                    ) -> dict[str, dict[float, float | None]]:
     """Exact linear-interpolation quantiles of several columns, distributed.
 
     ``targets`` maps column -> probabilities. Returns column -> {p: value}
-    (None for a column without non-null values).
+    (None for a column without non-null values). ``brackets`` (of the same rows,
+    from kept sketches: ``partials.sketched_ranks``) saves the first pass;
+    whatever they hold, the counts that follow make the result exact.
     """
     cols = list(targets)
     if not cols:
         return {}
     eps = 4.0 / accuracy
+    for p in (p for ps in targets.values() for p in ps):
+        if not 0.0 <= p <= 1.0:
+            raise ValueError(f"probability out of range: {p}")
     # Pass 1: non-null counts and a first sketch bracket around every p.
-    first = []
-    for i, c in enumerate(cols):
-        probs = []
-        for p in targets[c]:
-            if not 0.0 <= p <= 1.0:
-                raise ValueError(f"probability out of range: {p}")
-            probs += [max(0.0, p - eps), min(1.0, p + eps)]
-        # one sketch per column serves all of its probabilities
-        first += [F.count(F.col(c)).alias(f"n{i}"),
-                  F.percentile_approx(F.col(c), probs, accuracy).alias(f"s{i}")]
-    row0 = df.agg(*first).first()
+    if brackets is None:
+        begin = _first_brackets(df, targets, accuracy, eps)
+    else:
+        begin = {c: (n, [_as_type(v, df.schema[c].dataType) for v in vs]) for c, (n, vs) in brackets.items()}
 
     # (column, rank) -> target; probabilities needing the same rank share it
     wanted: dict[tuple[str, int], _Target] = {}
     plan: dict[str, dict[float, tuple[int, int, float]]] = {}
     proposals: dict[int, tuple] = {}
-    for i, c in enumerate(cols):
-        n = int(row0[f"n{i}"])
+    for c in cols:
+        n, sketched = begin[c]
         plan[c] = {}
         for j, p in enumerate(targets[c]):
             if n == 0:
@@ -122,7 +148,7 @@ def exact_quantiles(df: DataFrame, targets: Mapping[str, Sequence[float]],
                 if (c, r) not in wanted:
                     t = wanted[(c, r)] = _Target(c, r)
                     t.inside = n
-                    proposals[id(t)] = tuple(row0[f"s{i}"][2 * j:2 * j + 2])
+                    proposals[id(t)] = tuple(sketched[2 * j:2 * j + 2])
     tlist = list(wanted.values())
 
     before = None
@@ -253,28 +279,99 @@ def exact_medians(df: DataFrame, cols: Iterable[str], **kw) -> dict[str, float |
     return {c: q[c][0.5] for c in q}
 
 
-def column_modes(df: DataFrame, cols: Iterable[str]) -> dict[str, object]:
+# Values that one task keeps per column; a value held by more than a
+# (COUNTERS + 1)-th of the rows is always among them.
+COUNTERS = 4096
+
+
+def merge_counters(held: dict, more: Iterable[tuple[object, int]], counters: int) -> int:
+    """Misra-Gries: add ``more`` to the counters and, above their number, take
+    the first count that has no place off all of them. Returns that count: how
+    far every count may since be too low."""
+    for v, n in more:
+        held[v] = held.get(v, 0) + n
+    if len(held) <= counters:
+        return 0
+    off = sorted(held.values(), reverse=True)[counters]
+    for v in [v for v, n in held.items() if n <= off]:
+        del held[v]
+    for v in held:
+        held[v] -= off
+    return off
+
+
+def heavy_hitters(df: DataFrame, cols: Sequence[str], counters: int = COUNTERS) -> DataFrame:
+    """(c, v, n): per task and column its counters (null ``v``: how far the
+    task's counts may be too low). Columns of one type; nulls are not counted."""
+    kind = df.schema[cols[0]].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, off = [{} for _ in cols], [0] * len(cols)
+        for batch in batches:
+            for i, col in enumerate(batch.columns):
+                some = pc.value_counts(col.drop_null())
+                off[i] += merge_counters(held[i], zip(some.field(0).to_pylist(), some.field(1).to_pylist()),
+                                         counters)
+        for i, c in enumerate(cols):
+            v, n = [None, *held[i]], [off[i], *held[i].values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c] * len(v)), pa.array(v, to_arrow_type(kind)), pa.array(n, pa.int64())], ["c", "v", "n"])
+
+    schema = T.StructType([T.StructField("c", T.StringType()), T.StructField("v", kind),
+                           T.StructField("n", T.LongType())])
+    return df.select(*cols).mapInArrow(run, schema)
+
+
+def _pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(c, v) of every non-null value."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])).alias("p")
+    return df.select(pairs).select("p.c", "p.v").where(F.col("v").isNotNull())
+
+
+def _most(counts: DataFrame) -> dict[str, tuple[object, int]]:
+    """(c, v, n) -> column: (its most frequent value, the smallest on a tie; n)."""
+    best = counts.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("b"))
+    return {r["c"]: (r["b"]["v"], -r["b"]["n"]) for r in best.collect()}
+
+
+def column_modes(df: DataFrame, cols: Iterable[str], counters: int = COUNTERS) -> dict[str, object]:
     """Most frequent non-null value per column; ties -> smallest value
     (pandas ``mode()[0]``).
 
-    One scan per value type: rows are exploded to (column, value) pairs,
-    counted with partial aggregation, and each column's winner is a
-    ``min_by`` over (-count, value) - also partially aggregated, so neither a
-    hot value nor a high-cardinality column is gathered in one task."""
+    One scan per value type keeps a bounded Misra-Gries summary per task and
+    column; only these meet. If no task ran out of counters the sums are the
+    counts. Else the values that may be the mode are counted exactly in a second
+    scan, and the winner stands if it has more rows than any value that is in no
+    summary can have: the shuffles then hold a few values, however many a column
+    has. Only a column without such a frequent value is counted in full, with
+    partial aggregation."""
     cols = list(cols)
     by_type: dict[str, list[str]] = {}
     for c in cols:
         by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
     out: dict[str, object] = {c: None for c in cols}
     for group in by_type.values():
-        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v"))
-                                    for c in group])).alias("p")
-        counts = (df.select(pairs).select("p.c", "p.v").where(F.col("v").isNotNull())
-                  .groupBy("c", "v").count())
-        best = counts.groupBy("c").agg(
-            F.min_by("v", F.struct((-F.col("count")).alias("n"), F.col("v"))).alias("mode"))
-        for r in best.collect():
-            out[r["c"]] = r["mode"]
+        checkpoint_dir(df.sparkSession)
+        told = heavy_hitters(df, group, counters).groupBy("c", "v").agg(F.sum("n").alias("n")).checkpoint()
+        off = {r["c"]: r["n"] for r in told.where("v is null").collect()}
+        first = _most(told.where("v is not null"))
+        out |= {c: v for c, (v, _) in first.items() if not off[c]}
+        # counts may be too low by ``off``: these may still beat the first
+        open_ = {c: first.get(c, (None, 0))[1] - low for c, low in off.items() if low}
+        sure = [c for c, least in open_.items() if least > 0]
+        if sure:
+            least = F.coalesce(*[F.when(F.col("c") == c, F.lit(open_[c])) for c in sure])
+            # fewer than rows / (first - off) values a column
+            maybe = told.where(F.col("v").isNotNull() & (F.col("n") >= least)).select("c", "v")
+            maybe = sized_broadcast(maybe, size=64 * maybe.count())
+            exact = _pairs(df, sure).join(maybe, ["c", "v"]).groupBy("c", "v").agg(F.count("*").alias("n"))
+            for c, (v, n) in _most(exact).items():
+                if n > off[c]:
+                    out[c] = v
+                    open_.pop(c)
+        if open_:
+            counts = _pairs(df, list(open_)).groupBy("c", "v").agg(F.count("*").alias("n"))
+            out |= {c: v for c, (v, _) in _most(counts).items()}
     return out
 
 

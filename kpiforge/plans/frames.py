@@ -12,22 +12,25 @@ files are fitted again.
 from __future__ import annotations
 
 import uuid
+from hashlib import md5
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import CleaningStats, impute, iqr_bounds, prepare, with_date_features
-from ..sources.tables import file_listing, sales_fact
+from ..operators.partials import FilePartials
+from ..sources.tables import STAR_TABLES, file_listing, sales_fact
 from ..session import scratch_path
 from ..spec import DEFAULT_SPEC, SalesSpec
 
 
-def fitted_once(spark: SparkSession, sf_dir: str, what: tuple, make):
-    """``make()``, remembered on ``spark`` for the same files."""
+def fitted_once(spark: SparkSession, sf_dir: str, what: tuple, make, fresh: bool = False):
+    """``make()``, remembered on ``spark`` for the same files (``fresh``: made
+    anew, and remembered)."""
     kept = spark.__dict__.setdefault("_kpiforge_fits", {})
     files = file_listing(spark, sf_dir)
-    if kept.get(what, (None,))[0] != files:
+    if fresh or kept.get(what, (None,))[0] != files:
         kept[what] = (files, make())
     return kept[what][1]
 
@@ -54,10 +57,27 @@ def fit_cleaning(spark: SparkSession, sf_dir: str,
     return st
 
 
-def cleaning_stats(spark: SparkSession, sf_dir: str,
-                   spec: SalesSpec = DEFAULT_SPEC) -> CleaningStats:
+def cleaning_stats(spark: SparkSession, sf_dir: str, spec: SalesSpec = DEFAULT_SPEC,
+                   fresh: bool = False) -> CleaningStats:
     return fitted_once(spark, sf_dir, ("cleaning", sf_dir.rstrip("/"), spec),
-                       lambda: fit_cleaning(spark, sf_dir, spec))
+                       lambda: fit_cleaning(spark, sf_dir, spec), fresh)
+
+
+def line_partials(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str], aggregate,
+                  frame=lambda lines: lines, depends_on: object = (),
+                  spec: SalesSpec = DEFAULT_SPEC) -> tuple[DataFrame, list[str]]:
+    """``aggregate`` of the order lines, kept per file of line items in the
+    shared folder: (partial rows, files read this time). A change of any other
+    table, or of ``depends_on``, makes all of them anew."""
+    store = FilePartials(spark, scratch_path(spark, f"partials/{name}-{md5(sf_dir.rstrip('/').encode()).hexdigest()}"))
+    others = file_listing(spark, sf_dir, [t for t in STAR_TABLES if t != "lineitem"])
+    columns = list(columns)
+    lines = [f for f in file_listing(spark, sf_dir, ["lineitem"])
+             if not f[0].rpartition("/")[2].startswith(("_", "."))]
+    return store.refresh(
+        lines,
+        lambda paths: frame(sales_fact(spark, sf_dir, columns, spec, line_files=paths)),
+        aggregate, (others, depends_on, spec))
 
 
 def prepared_fact(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None,

@@ -16,6 +16,7 @@ from functools import cache
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import ml, series
 from ..operators.forecast import CANDIDATES, linear_fits, series_fits
@@ -148,14 +149,19 @@ def run_pipeline(spark: SparkSession, source: str, out_dir: str, kind: str = "st
             run.save("forecast", "category_model_scores", scores)
             run.save("forecast", "category_forecasts",
                      ml.history_plus_forecast(f, ml.selected_forecast(fits, k), k))
-            # failed fits and categories without a model are reported
-            for r in fits.where("error is not null").select(*k, "fold", "error").collect():
-                run.status.append(("category_forecast", r[spec.category], False,
-                                   f"fold {r['fold']}: {r['error']}"))
-            for r in (f.select(*k).distinct().join(scores.select(*k), k, "left_anti")
-                      .collect()):
-                run.status.append(("category_forecast", r[spec.category], False,
-                                   "not enough rows for cross-validation"))
+            # failed fits and categories without a model are rows of a dataset:
+            # there may be as many as categories
+            failed = fits.where("error is not null").select(
+                *k, F.concat(F.lit("fold "), "fold", F.lit(": "), "error").alias("message"))
+            short = (f.select(*k).distinct().join(scores.select(*k), k, "left_anti")
+                     .join(failed.select(*k), k, "left_anti")
+                     .withColumn("message", F.lit("not enough rows for cross-validation")))
+            open_ = run.stash(failed.unionByName(short), "category_status")
+            run.save("forecast", "category_status", open_)
+            n = open_.count()
+            if n:
+                run.status.append(("category_forecast", "category_status", False,
+                                   f"{n} fits or categories without a model"))
         run.stage("category_forecast", category_forecast)
 
     if "dashboards" in stages:

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_parts, day_lag
 from ..functions.measures import currency, dsum, title_label
-from ..operators import clean, forecast, kpi, leastsq, ml, profile, series, stats
+from ..operators import clean, forecast, kpi, leastsq, ml, partials, profile, series, stats
 from ..sources.tables import fact_columns
 from ..spec import DEFAULT_SPEC as S
 from . import oracle_sql as O
-from .frames import cleaning_stats, fit_cleaning, fitted_once, prepared_fact, raw_fact, with_gaps
+from .frames import cleaning_stats, fitted_once, line_partials, prepared_fact, raw_fact, with_gaps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,15 +139,54 @@ SELECT * FROM (
   UNION ALL SELECT 'discount', q1_discount, q3_discount, q3_discount - q1_discount,
          lo_discount, hi_discount FROM quartiles, bounds)"""))
 def q_iqr_bounds(spark, sf):
-    st = fit_cleaning(spark, sf)  # this report is the fit: never a remembered one
+    # this report is the fit: never a remembered one, but the next queries use it
+    return _bounds_frame(spark, cleaning_stats(spark, sf, fresh=True).bounds)
+
+
+def _bounds_frame(spark, bounds) -> DataFrame:
     rows = [(c, *[None if v is None else float(v) for v in
                   (q1, q3, None if q1 is None else q3 - q1, lo, hi)])
-            for c, (q1, q3, lo, hi) in st.bounds.items()]
+            for c, (q1, q3, lo, hi) in bounds.items()]
     return spark.createDataFrame(
         rows, "column string, q1 double, q3 double, iqr double, lower_bound double, "
               "upper_bound double")
 
 
+@register("iqr_bounds_by_file", ORACLE["iqr_bounds"])
+def q_iqr_bounds_by_file(spark, sf):
+    """The same bounds, the ranks bracketed from sketches kept per file."""
+    st, cols = cleaning_stats(spark, sf), list(S.capped)
+    sketches, _ = line_partials(spark, sf, "quantiles", fact_columns(S),
+                                lambda df: partials.quantile_partials(df, cols),
+                                lambda df: clean.impute(df, S, st), st.fills())
+    ranks = partials.sketched_ranks(sketches, {c: (0.25, 0.75) for c in cols})
+    lines = clean.impute(raw_fact(spark, sf, fact_columns(S)), S, st)
+    return _bounds_frame(spark, clean.iqr_bounds(lines, cols, brackets=ranks))
+
+
+@register("monthly_series_by_file", O.on_raw(O.monthly_cte(("category",)).replace("FROM prepared", "FROM fact") + """
+SELECT category, year, month, date, sales, profit, quantity, avg_discount, order_count FROM ms"""))
+def q_monthly_series_by_file(spark, sf):
+    """Months of the raw lines by category, from sums kept per file."""
+    cols = [S.order_date, S.category, S.sales, S.profit, S.quantity, S.discount, S.order_id]
+    kept, _ = line_partials(spark, sf, "months", cols, lambda df: partials.monthly_partials(df, [S.category]))
+    return series.public(partials.merged_months(kept, [S.category]))
+
+
+@register("segment_distinct_rollup", O.on_raw("""
+SELECT segment, year(order_date) AS year, COUNT(DISTINCT customer_id) AS customer_id,
+       COUNT(DISTINCT order_id) AS order_id
+FROM fact WHERE order_date IS NOT NULL GROUP BY segment, year(order_date)"""))
+def q_segment_distinct_rollup(spark, sf):
+    """Customers and orders of every segment and year, united from sketches kept
+    per file, month and segment (exact up to 65,536 different ones)."""
+    ids = [S.customer_id, S.order_id]
+    kept, _ = line_partials(spark, sf, "distinct", [S.order_date, S.segment, *ids],
+                            lambda df: partials.distinct_partials(df.where(F.col(S.order_date).isNotNull()),
+                                                                  [S.segment], ids, S.order_date))
+    return partials.distinct_rollup(kept, [S.segment, "year"], ids)
+
+
 def _capped_totals_sql() -> str:
     parts = []
     for c in O.CAPPED:
