@@ -167,6 +167,24 @@ def signatures(df: DataFrame, id_col: str, text_col: str, per: int, bands: int,
     return src.mapInArrow(run, schema)
 
 
+def _different_texts(df: DataFrame, text_col: str) -> DataFrame:
+    """(digest, text), every text once per task: copies of one text, however
+    many, are not sent to one place."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for part in text_slices(batches, "text"):
+            own = [hashlib.sha256((t or "").encode()).digest() for t in part.column(0).to_pylist()]
+            new = []
+            for d in own:
+                new.append(d not in seen)
+                seen.add(d)
+            mask = pa.array(new, pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own, pa.binary()).filter(mask), part.column(0).filter(mask)], ["digest", "text"])
+
+    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "digest binary, text string")
+
+
 def _verify_hubs(per: int, percent: int):
     """(hub, chunk, node, text) rows, each hub's chunks together and the hub
     itself first -> linked (u, v)."""
@@ -240,9 +258,8 @@ def _decided(df: DataFrame, id_col: str, text_col: str, words_per: int = WORDS_P
     # the text of the row that stands for a class, once per class
     wanted = (classes.select("node", F.col("first.digest").alias("digest"))
               .join(met.select("node").distinct(), "node", "left_semi"))
-    texts = materialise(
-        df.select(digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
-        .join(wanted, "digest").select("node", "text").dropDuplicates(["node"]), "bucket-texts")
+    texts = materialise(_different_texts(df, text_col).join(wanted, "digest")
+                        .dropDuplicates(["digest"]).select("node", "text"), "bucket-texts")
 
     # 2. every member against its bucket's hub
     pairs = materialise(
