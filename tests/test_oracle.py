@@ -23,8 +23,7 @@ def test_only_fits_have_no_oracle(spark):
     models = set(QUERIES) - set(ORACLE)
     assert models == {
         "sales_model_metrics", "sales_model_importance", "model_comparison", "model_cv_scores",
-        "forecast_feature_importance", "category_model_scores", "sales_forecast",
-        "category_forecast", "history_plus_forecast", "category_history_plus_forecast"}
+        "forecast_feature_importance", "sales_forecast", "history_plus_forecast"}
 
 
 def test_entry_smoke(spark):
