@@ -10,9 +10,8 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from kpiforge.llm import importance, queries, suffix_tree_lm, variants
+from kpiforge.llm import importance, quality, queries, suffix_tree_lm, variants
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -276,3 +275,75 @@ def test_new_queries_return_their_columns(spark, sf):
     assert queries.op12_variants(spark, sf).columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert queries.op13_lm_scores(spark, sf).columns == [
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
+# -- quality classifier ------------------------------------------------------
+
+M64 = (1 << 64) - 1
+ODD = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+
+
+def plain_features(text):
+    """Kinds of hashed n-grams, as whole numbers."""
+    import xxhash
+    own, shapes = [], []
+    for w in (text or "").encode().split():
+        word, kinds = w.decode(), []
+        for ch in word:
+            kind = "9" if ch.isdigit() else ("X" if ch.isupper() else "x") if ch.isalpha() else ch
+            if kinds[-1:] != [kind]:
+                kinds.append(kind)
+        own.append(xxhash.xxh64_intdigest(word.lower().encode(), 1))
+        shapes.append(0x9E3779B97F4A7C15 if own[-2:-1] == own[-1:] else
+                      xxhash.xxh64_intdigest("".join(kinds).encode(), 2))
+    out = []
+    for kind, (seq, n) in enumerate(((own, 1), (own, 2), (shapes, 1), (shapes, 2), (shapes, 3))):
+        grams = []
+        for i in range(len(seq) - n + 1):
+            h = kind + 1
+            for j in range(n):
+                h = (h ^ seq[i + j]) * ODD[j] & M64
+                h ^= h >> 29
+            grams.append((h * ODD[2] & M64) >> 46)
+        if grams:
+            out.append(grams)
+    return out
+
+
+def plain_ftrl(rows, epochs=4, alpha=2.0, beta=0.1, l1=1e-4, l2=1e-4):
+    """Follow the regularised leader on dictionaries, one coordinate at a time."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for values, label in rows:
+            x = [*sorted(values.items()), ("bias", 1.0)]
+            w = [weight(i) for i, _ in x]
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(a * v for a, (_, v) in zip(w, x))))))
+            for (i, v), a in zip(x, w):
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * a
+                n[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def test_quality_equals_plain_learning_and_scoring(spark, sf, docs):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = []
+    for r in sorted(quality.training_sample(docs, labels, 60).collect(), key=lambda r: r.order):
+        values = collections.defaultdict(float)
+        for grams in plain_features(r.text):
+            for g in grams:
+                values[g] += 1.0 / len(grams)
+        rows.append(({i: float(np.float32(v)) for i, v in values.items()}, r.quality))
+    w = plain_ftrl(rows)
+    scored = quality.quality_scores(docs, labels, 60).collect()
+    assert len(scored) == docs.count() and len({r.predicted for r in scored}) == 2
+    for r in scored:
+        s = w["bias"] + sum(sum(w.get(g, 0.0) for g in grams) / len(grams) for grams in plain_features(r.text))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-s)), abs=1e-4)
+        assert r.predicted == int(r.score >= 0.5)
