@@ -152,12 +152,34 @@ def test_topk_edges(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_reads_few_exact_vectors(spark, monkeypatch):
+    rnd = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rnd.normal(size=16)]) for i in range(3000)]
+    rows += [(i, rows[1][1]) for i in range(3000, 4000)]      # a quarter are copies of one vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fetched, fetch = [], topk.fetch
+
+    def counted(wanted, *files):
+        fetched.append(wanted.count())
+        return fetch(wanted, *files)
+    monkeypatch.setattr(topk, "fetch", counted)
+    check_top(df, block_rows=512, seed_blocks=2)
+    assert 200 * 20 <= sum(fetched) < 0.05 * 200 * len(rows)
+
+
+def test_topk_copies_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.5])] * 30 + [(20, [1.0, 0.5])] * 3 + [(i, [1.0, 0.5]) for i in range(1, 60)]
+    rows += [(7, [1.0, 0.5])] * 25 + [(i, [-1.0, 2.0 ** 18]) for i in range(60, 70)]
+    check_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=16)
+
+
 def test_bounds_hold():
     rnd = np.random.default_rng(5)
     values, asked = rnd.integers(-50, 50, (300, 16)).astype(float), rnd.integers(-50, 50, (20, 16)).astype(float)
-    low, high = topk.ApproximationFile(values, bits=3).bounds(asked)
-    exact = asked @ values.T
-    assert (low <= exact).all() and (exact <= high).all()
+    for scale in (1.0, 2.0 ** 20):
+        middle, reach = topk.Cells.of(values * scale, bits=3).bounds(asked * scale)
+        exact = (asked * scale) @ (values * scale).T
+        assert (middle - reach[:, None] <= exact).all() and (exact <= middle + reach[:, None]).all()
 
 
 # -- pipeline ----------------------------------------------------------------
