@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kpiforge.operators import forecast, leastsq, ml
+from kpiforge.operators import forecast, leastsq, ml, series
 
 
 def _frame(spark, blocks, names):
@@ -82,3 +82,36 @@ def test_ensembles_of_a_small_panel(spark):
     assert set(told) == {"a", "b"} and all(abs(v - 50) < 60 for v in told.values())
     with pytest.raises(ValueError, match="more than 2 series"):
         forecast.panel_fits(df, ahead, "category", most_series=2)
+
+
+def _months(spark, seed, n, size):
+    """Features of a made-up series whose lags are nearly copies of each other."""
+    rng = np.random.default_rng(seed)
+    days = np.array([31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31])[np.arange(n) % 12]
+    sales, profit, quantity = (np.round(days * size * k * (1 + 1e-3 * rng.standard_normal(n)), 2)
+                               for k in (1.2e7, 1.1e6, 6e3))
+    rows = [(2000 + i // 12, i % 12 + 1, dt.date(2000 + i // 12, i % 12 + 1, 1), *map(float, v))
+            for i, v in enumerate(zip(sales, profit, quantity, 0.05 + 1e-5 * rng.standard_normal(n)))]
+    m = spark.createDataFrame(rows, "year bigint, month bigint, date date, sales double, profit double, "
+                                    "quantity double, avg_discount double")
+    m = m.withColumn("order_count", F.lit(1)).withColumn("_sales_dec", F.col("sales").cast("decimal(28,4)"))
+    m = series.add_rolling(series.add_lags(m, series.GLOBAL_LAGS, series.GLOBAL_LAG_MEASURES),
+                           series.GLOBAL_WINDOWS, True)
+    return series.add_cyclical(m).where("date >= '2001-01-01'")
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
+def test_pivots_lost_to_rounding_leave_a_least_squares_solution(spark, seed):
+    """More features than rows, each nearly a sum of others: every fold is still
+    fitted as closely as its rows allow, and none divides by zero."""
+    f = ml.materialize(_months(spark, seed, 30, 360), single=True)
+    names = series.feature_columns(f)
+    rows = f.orderBy("date").collect()
+    X = np.array([[r[c] for c in names] for r in rows], float)
+    y = np.array([r["sales"] for r in rows])
+    models = leastsq.linear_models(f).collect()
+    assert len(models) == 6
+    for r in models:
+        n = r["train_size"]
+        told = X[:n] @ np.array(r["coefficients"]) + r["intercept"]
+        assert np.sqrt(np.mean((told - y[:n]) ** 2)) < 1e-4 * y[:n].std()
