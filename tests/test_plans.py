@@ -4,7 +4,9 @@ import io
 from contextlib import redirect_stdout
 
 import pytest
-from kpiforge.operators import kpi
+from pyspark.sql import functions as F
+
+from kpiforge.operators import forecast, kpi
 from kpiforge.plans import registry
 from kpiforge.sources.tables import sales_fact
 
@@ -171,3 +173,26 @@ def test_changed_files_are_fitted_again(spark, orphan_folder):
              registry.QUERIES["iqr_bounds"](spark, orphan_folder).collect()}
     assert after["quantity"] == 1000 * before["quantity"]
     assert capped() != first
+
+
+def test_category_steps_come_from_boosted_fits(spark, monkeypatch):
+    """The steps are those of gradient boosting per category, not of another model."""
+    asked = []
+
+    def fits(features, future, key, models=("gradient_boosting",), **limits):
+        asked.append(tuple(models))
+        made = forecast.linear_fits(features, future, [key], **limits)
+        return made.withColumn("model", F.lit(models[0]))
+
+    monkeypatch.setattr(registry.forecast, "panel_fits", fits)
+    kept = spark.__dict__.setdefault("_kpiforge_fits", {})
+    before = dict(kept)
+    try:
+        for k in [k for k in kept if k[0] == "category_boosted"]:
+            del kept[k]
+        rows = registry.QUERIES["category_forecast_steps"](spark, SF_SMALL).collect()
+    finally:
+        kept.clear()
+        kept.update(before)
+    assert asked == [("gradient_boosting",)]
+    assert rows and {r["model"] for r in rows} == {"gradient_boosting"}
