@@ -6,9 +6,10 @@ from contextlib import redirect_stdout
 import pytest
 from pyspark.sql import functions as F
 
-from kpiforge.operators import forecast, kpi
-from kpiforge.plans import registry
-from kpiforge.sources.tables import sales_fact
+from kpiforge.operators import clean, forecast, kpi
+from kpiforge.plans import frames, registry
+from kpiforge.sources.tables import STAR_TABLES, sales_fact
+from kpiforge.spec import DEFAULT_SPEC as S
 
 from sf_paths import SF_SMALL
 
@@ -196,3 +197,50 @@ def test_category_steps_come_from_boosted_fits(spark, monkeypatch):
         kept.update(before)
     assert asked == [("gradient_boosting",)]
     assert rows and {r["model"] for r in rows} == {"gradient_boosting"}
+
+
+def test_the_cleaning_fit_writes_only_what_it_reads(spark):
+    """Complete columns are told by their tables: no names, dates or ids are joined and written."""
+    st = frames.fit_cleaning(spark, SF_SMALL)
+    assert set(spark.read.parquet(st.lines).columns) == set(S.capped)
+    assert not any(st.null_counts.values()) and {"row_id", "customer_name", "ship_lag"} <= set(st.null_counts)
+    assert not st.medians and not st.modes
+
+
+def test_the_cleaning_fit_fills_gaps_as_over_all_columns(spark, tmp_path):
+    """Nulls in dimension and line columns: the same statistics as from the whole fact."""
+    odd = {"customer": ("c_mktsegment", "c_custkey"), "orders": ("o_orderdate", "o_orderkey"),
+           "lineitem": ("l_quantity", "l_partkey"), "part": ("p_name", "p_partkey")}
+    for t in STAR_TABLES:
+        df = spark.read.parquet(f"{SF_SMALL}/{t}.parquet")
+        if t in odd:
+            col, key = odd[t]
+            df = df.withColumn(col, F.when(F.col(key) % 5 != 0, F.col(col)))
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    got = frames.fit_cleaning(spark, str(tmp_path))
+    full = clean.with_date_features(sales_fact(spark, str(tmp_path)), S, "strict", "all").cache()
+    want = clean.CleaningStats()
+    want.bounds = clean.iqr_bounds(clean.impute(full, S, want), list(S.capped))
+    assert got.null_counts == want.null_counts and got.null_counts["order_year"] > 0
+    assert (got.medians, got.modes, got.bounds) == (want.medians, want.modes, want.bounds)
+
+
+@pytest.mark.parametrize("name", ["iqr_capped_totals", "iqr_bounds_by_file"])
+def test_bounds_reports_reread_the_fitted_lines(spark, name, monkeypatch):
+    """Exact passes scan the lines that the fit wrote; the star is not joined for each."""
+    joins = []
+    monkeypatch.setattr(registry, "raw_fact", lambda *a, **k: joins.append(a))
+    assert len(registry.QUERIES[name](spark, SF_SMALL).collect()) == 4 and not joins
+
+
+def test_order_values_keep_one_row_for_an_order(spark):
+    """No task's table holds more groups than orders: lines are not told apart by a salt."""
+    p = plan(registry.QUERIES["dash_segment_aov"](spark, SF_SMALL))
+    assert "xxhash64(sales" not in p and "_salt" not in p
+
+
+@pytest.mark.parametrize("name", ["category_performance", "subcategory_performance"])
+def test_order_groups_are_dealt_by_the_size_of_the_lines(spark, name, monkeypatch):
+    monkeypatch.setattr(frames, "LINE_BYTES", 1 << 10)
+    parts = frames.line_partitions(spark, SF_SMALL)
+    assert parts > 50 and f", {parts}), REPARTITION_BY_NUM" in plan(registry.QUERIES[name](spark, SF_SMALL))
