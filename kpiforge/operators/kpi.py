@@ -31,6 +31,13 @@ def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df if cond is None else df.where(cond)
 
 
+def spread(df: DataFrame, partitions: int | None, *keys: str | Column) -> DataFrame:
+    """``df`` dealt by ``keys`` into ``partitions`` (None: as it lies). Tables of
+    nearly as many groups as lines are then built apart from the join before them,
+    in tasks whose number follows the input and not the merged sizes of a shuffle."""
+    return df if partitions is None else df.repartition(partitions, *keys)
+
+
 def distinct_count(col: str, exact: bool = True) -> Column:
     """Distinct non-null values: exact (a (group, value) aggregate, shuffles
     one row per distinct pair) or HyperLogLog++ (one pass, a fixed-size
@@ -94,8 +101,9 @@ def recent_growth(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC, n: int = 5) ->
 # --------------------------------------------------------------------------
 
 def category_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
-                         exact: bool = True) -> DataFrame:
-    out = (keyed(df, [spec.category]).groupBy(spec.category)
+                         exact: bool = True, partitions: int | None = None) -> DataFrame:
+    lines = spread(keyed(df, [spec.category]), partitions, spec.category, spec.order_id)
+    out = (lines.groupBy(spec.category)
            .agg(*_money(spec), money_sum(spec.quantity).alias("quantity"),
                 distinct_count(spec.order_id, exact).alias("order_count"))
            .withColumn("profit_margin", margin_pct()))
@@ -103,9 +111,9 @@ def category_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
 
 
 def subcategory_performance(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC,
-                            exact: bool = True) -> DataFrame:
+                            exact: bool = True, partitions: int | None = None) -> DataFrame:
     keys = [spec.category, spec.sub_category]
-    out = (keyed(df, keys).groupBy(*keys)
+    out = (spread(keyed(df, keys), partitions, *keys, spec.order_id).groupBy(*keys)
            .agg(*_money(spec), money_sum(spec.quantity).alias("quantity"),
                 distinct_count(spec.order_id, exact).alias("order_count"))
            .withColumn("profit_margin", margin_pct()))
