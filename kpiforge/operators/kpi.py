@@ -19,8 +19,6 @@ from ..functions.measures import MONEY, dsum, growth_pct, margin_pct, money_sum,
 from ..spec import DEFAULT_SPEC, SalesSpec
 
 
-ORDER_SALTS = 16
-
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Drop rows whose group key is null (pandas ``groupby`` default)."""
@@ -271,15 +269,10 @@ def dash_segment_aov(df: DataFrame, spec: SalesSpec = DEFAULT_SPEC) -> DataFrame
     """Average order value per segment: order totals first, then their mean.
 
     Level one is keyed by (segment, order); lines with a null order id drop
-    out there, as in pandas. Lines are summed by (segment, order, salt) first:
-    a hot order is spread, and the exchange lets adaptive execution split the
-    order join below."""
-    salted = (keyed(df, [spec.segment, spec.order_id])
-              .groupBy(spec.segment, spec.order_id,
-                       F.pmod(F.xxhash64(spec.sales), F.lit(ORDER_SALTS)).alias("_salt"))
-              .agg(dsum(spec.sales).alias("_part")))
-    orders = (salted.groupBy(spec.segment, spec.order_id)
-              .agg(F.sum("_part").alias("_order_sales")))
+    out there, as in pandas. A task sums the lines of an order that it holds
+    before any exchange, so a hot order leaves it as one row."""
+    orders = (keyed(df, [spec.segment, spec.order_id]).groupBy(spec.segment, spec.order_id)
+              .agg(dsum(spec.sales).alias("_order_sales")))
     return (orders.groupBy(spec.segment)
             .agg(F.try_divide(F.sum("_order_sales").cast("double"),
                               F.count(F.lit(1)).cast("double"))
