@@ -6,20 +6,30 @@ is a suffix of what stands before it.
 
 1. Words of the training texts are counted; ``N`` tokens, ``V`` different ones.
    The root's distribution is the smoothed one: (c + 0.1) / (N + 0.1 (V + 1)).
-2. Words with at least ``floor`` occurrences (N / 2**SHARE_BITS, 4 at least; so
-   at most 2**SHARE_BITS of them) get numbers and every text is written once as
-   its number sequence, with the other words and their counts aside.
-3. Level by level, runs of one word more are counted over all training texts,
-   where both shorter runs reach the floor, and those that reach it themselves
-   are kept: as many as words at most, which bounds what is sent to the tasks.
+2. Words with at least N / 2**SHIP_BITS occurrences (so at most 2**SHIP_BITS of
+   them) get numbers and every text is written once as its number sequence, the
+   other words and their counts aside; these meet their counts in a join.
+3. Every run of up to ``depth`` + 1 words with at least ``LEAST_FLOOR`` training
+   occurrences is listed, whatever the size of the corpus. Level by level, runs
+   whose shorter runs may be listed are counted in SLOT_BITS slots by their key;
+   a run whose slot stays below the floor is below it, too. The others are then
+   counted by their keys, each count in one bucket of keys. The slots spare
+   rows and decide nothing.
 4. A context keeps its own next-word distribution: counts less a discount, the
    rest spread as its suffix has it (so each sums to one). It becomes a state if
    the likelihood ratio of its counts against its suffix's distribution is
    beyond chance (mean and three deviations of the chi-square law), and then
-   all its suffixes are states too.
-5. The score is the root's score of all tokens plus, where a longer state
-   applies, the log ratio. Numbered words are scored where the text is; the
-   others meet their counts in a join by word, pre-aggregated per text.
+   all its suffixes are states too. Counts, distributions and states are tables
+   that joins and groups derive from each other.
+5. A text's score is the root's score of all tokens and a sum over its runs: a
+   state adds the log weight that it leaves to its suffix, and a listed run
+   after a state the log ratio of its probability to its suffix's instead.
+   Weights of runs with at least N / 2**SHIP_BITS occurrences go to the tasks;
+   all others meet the texts that hold them bucket by bucket.
+
+A run's key is 64 bits of a polynomial over its words' xxhash64. Two of k runs
+share one with a chance of k * k / 2**65 (under 1e-4 for 50 million runs), and
+their counts would then be added; words are counted and met as they are.
 
 Defined results: a null or empty text has one token, its end. A row without
 identifier is neither learnt from nor held out. Repeated rows are learnt and
@@ -30,12 +40,12 @@ An empty table gives an empty result. Only identifier and text are read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,94 +53,63 @@ from .common import materialise, text_slices
 from .tally import tally
 
 DEPTH = 3
-SHARE_BITS = 18
+SHIP_BITS = 18
 LEAST_FLOOR = 4
 PSEUDO = 0.1
 DISCOUNT = 0.5
 FOLDS, HELD_OUT = 10, 0
 END = b" "          # no word holds a space
 BLOCK_TOKENS = 1 << 18
-HELD_RUNS = 1 << 19
+HELD_RUNS = 1 << 18
 IDS_BYTES = 1 << 20
+SLOT_BITS = 28
+RANGE_BITS = 5                          # slots are added up in 2**RANGE_BITS ranges
+BUCKET_TOKENS = 1 << 23
+MAP_BITS = 15                           # bits of one of Spark's bitmaps
+HASH_SEED = 42                          # of Spark's xxhash64
+STEP = np.uint64(0x9E3779B97F4A7C15)    # a run's key: its context's * STEP + its last word's
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-@dataclass
-class Level:
-    """Runs of k + 1 words that reach the floor: key (number of the first k
-    words' run) << 32 | last word, sorted; the run's number is its place."""
-    keys: np.ndarray
-    counts: np.ndarray
-    suffix: np.ndarray = None      # number of the run without its first word
-    value: np.ndarray = None       # log10 of the last word's probability over the root's
-    state: np.ndarray = None       # per context (run of level k - 1): is it a state
-    back: np.ndarray = None        # per context: log10 weight of what it leaves to its suffix
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Numbers of the runs, -1 where there is none."""
-        out = np.full(len(word), -1, np.int64)
-        ok = np.flatnonzero((context >= 0) & (word >= 0))
-        if len(ok) and len(self.keys):
-            key = context[ok] << 32 | word[ok]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            out[ok] = np.where(self.keys[at] == key, at, -1)
-        return out
-
-
-def fit_level(levels: list[Level], counts: np.ndarray, root: np.ndarray, level: Level) -> None:
-    """Fill in ``level`` from the ones before it (``counts`` and ``root``
-    probabilities of the words)."""
-    context, word = level.keys >> 32, level.keys & 0xFFFFFFFF
-    before = levels[-1].counts if levels else counts
-    if levels:
-        last = levels[-1]
-        level.suffix = last.find(last.suffix[context], word)
-        above = root[word] * 10.0 ** last.value[level.suffix]
-    else:
-        level.suffix, above = word, root[word]
-    n, size = before[context].astype(float), len(before)
-    own = (level.counts - DISCOUNT) / n
-    level.value = np.log10(own / root[word])
-    known = np.bincount(context, level.counts, size)
-    left = np.maximum(1 - np.bincount(context, own, size), 1e-12)
-    upper = np.maximum(1 - np.bincount(context, above, size), 1e-12)
-    level.back = np.log10(left / upper)
-    # likelihood ratio against the suffix, what is not listed as one more cell
-    gain = np.bincount(context, level.counts * np.log(level.counts / n / above), size)
-    other = np.maximum(before - known, 0)
-    gain += other * np.log(np.maximum(other / np.maximum(before, 1), 1e-300) / upper) * (other > 0)
-    cells = np.bincount(context, minlength=size)
-    level.state = (cells > 0) & (2 * gain > cells + 3 * np.sqrt(2 * cells))
-
-
-def close_states(levels: list[Level]) -> None:
-    """Suffixes of states are states."""
-    for k in range(len(levels) - 1, 0, -1):
-        runs = np.flatnonzero(levels[k].state)       # contexts: runs of level k - 1
-        levels[k - 1].state[levels[k - 1].suffix[runs]] = True
-
-
-def walk(ids: np.ndarray, starts: np.ndarray, levels: list[Level], depth: int):
-    """Blocks of a number sequence of whole texts (``starts``: is it a text's
-    first token) -> (from, to, per level the run that ends before each token).
-    A block sees as many tokens before it as a context may hold."""
-    for at in range(0, len(ids), BLOCK_TOKENS):
-        low, to = max(0, at - depth), min(len(ids), at + BLOCK_TOKENS)
-        word, first = ids[low:to].astype(np.int64), starts[low:to]
-        run, before, ends = word, [], []
-        for k in range(depth):
-            prev = np.full(len(run), -1, np.int64)
-            prev[1:] = run[:-1]
-            prev[first] = -1
-            before.append(prev)
-            if k < len(levels):
-                run = levels[k].find(prev, word)
-                ends.append(run)
-        cut = slice(at - low, None)
-        yield at, to, word[cut], [b[cut] for b in before], [e[cut] for e in ends]
+def word_keys(words: Iterable[bytes]) -> np.ndarray:
+    """What Spark's xxhash64 gives, unsigned."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, HASH_SEED) for w in words), np.uint64)
+
+
+def steps(length: int) -> tuple[np.uint64, np.uint64]:
+    """What a first word is multiplied by in a run's key, and what undoes it."""
+    by = pow(int(STEP), length - 1, 1 << 64)
+    return np.uint64(by), np.uint64(pow(by, -1, 1 << 64))
+
+
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys' slots are set (a slot for each bit of ``bitmap``)."""
+    at = slots(keys, (len(bitmap) * 8).bit_length() - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def walk(words: np.ndarray, starts: np.ndarray, most: int):
+    """Blocks of the word keys of whole texts (``starts``: is it a text's first
+    token) -> (from, to, per length 2.. ``most`` the runs that end at each
+    token: is there one, its key, its context's, its suffix's). A block sees as
+    many tokens before it as a run may hold."""
+    for at in range(0, len(words), BLOCK_TOKENS):
+        low, to = max(0, at - most + 1), min(len(words), at + BLOCK_TOKENS)
+        last, first = words[low:to], starts[low:to]
+        key, there, cut, runs = last, np.ones(to - low, bool), slice(at - low, None), []
+        for _ in range(2, most + 1):
+            context, before = np.zeros_like(key), np.zeros_like(there)
+            context[1:], before[1:] = key[:-1], there[:-1]
+            there, suffix, key = before & ~first, key, context * STEP + last
+            runs.append((there[cut], key[cut], context[cut], suffix[cut]))
+        yield at, to, runs
 
 
 def flattened(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,16 +123,26 @@ def flattened(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, starts, offsets
 
 
-class _Number(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
+def hashed(batch: pa.RecordBatch, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word keys of all rows, first-token marks, offsets) of the columns
+    ``ids`` and ``rare``; ``numbers``: the numbered words' keys."""
+    ids, starts, offsets = flattened(batch.column("ids"))
+    words = numbers[np.maximum(ids, 0)]
+    odd = np.flatnonzero(ids < 0)
+    if len(odd):
+        rare = batch.column("rare")
+        first = rare.offsets.to_numpy().astype(np.int64)
+        row = np.searchsorted(offsets, odd, "right") - 1
+        keys = word_keys(rare.flatten().field("word").to_pylist())
+        words[odd] = keys[(first - first[0])[row] - 1 - ids[odd]]
+    return words, starts, offsets
 
 
 class Counted:
     """Word counts of the training texts: ``table`` (word, n), sums, and the
     numbered words."""
 
-    def __init__(self, training: DataFrame, share_bits: int):
+    def __init__(self, training: DataFrame, share_bits: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def texts():
                 for part in text_slices(batches, "text"):
@@ -167,160 +156,386 @@ class Counted:
         self.table = materialise(training.select("text").mapInArrow(run, "word binary, n long")
                                  .groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
         self.tokens, self.different = (x or 0 for x in self.table.agg(F.sum("n"), F.count("*")).first())
-        self.floor = max(LEAST_FLOOR, -(-self.tokens >> share_bits))
-        # at most 2**share_bits words, and the end
-        rows = (self.table.filter((F.col("n") >= self.floor) | (F.col("word") == END))
+        self.floor = max(LEAST_FLOOR, -(-self.tokens >> share_bits) if share_bits is not None else 0)
+        self.shipped = max(LEAST_FLOOR, -(-self.tokens >> SHIP_BITS))
+        # at most 2**SHIP_BITS words, and the end
+        rows = (self.table.filter((F.col("n") >= self.shipped) | (F.col("word") == END))
                 .orderBy(F.col("n").desc(), "word").collect())
         self.words = [bytes(r["word"]) for r in rows] or [END]
         self.counts = np.array([r["n"] for r in rows] or [0], np.int64)
+        self.keys = word_keys(self.words)
+        self.slot_bits = min(SLOT_BITS, max(16, self.tokens.bit_length() + 2))
+        self.bucket_bits = max(5, (self.tokens // BUCKET_TOKENS).bit_length())
 
     def root(self, counts):
         return (counts + PSEUDO) / (self.tokens + PSEUDO * (self.different + 1))
 
 
 def numbered(texts: DataFrame, counted: Counted) -> DataFrame:
-    """(row, id, trains, held_out, n_tokens, ids, rare: other words and counts)."""
+    """(row, id, trains, held_out, n_tokens, ids, rare: other words and counts,
+    known and base: of the numbered words). The k-th of a text's other words
+    stands as -k in ``ids``."""
     shipped = texts.sparkSession.sparkContext.broadcast(
-        _Number((w, i) for i, w in enumerate(counted.words)))
+        ({w: i for i, w in enumerate(counted.words)}, np.log10(counted.root(counted.counts)), counted.counts > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shipped.value
-        end = number[END]
+        number, base_of, seen = shipped.value
         for part in text_slices(batches, "text"):
-            packed, rare, sizes, offsets = [], [], [], [0]
+            packed, rare, sizes, offsets, known, base = [], [], [], [0], [], []
             for text in part.column(4).to_pylist():
                 words = words_of(text)
-                ids = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
-                packed.append(np.append(ids, np.int32(end)).tobytes())
-                other = Counter(words[i] for i in np.flatnonzero(ids < 0).tolist())
-                rare.extend(other.items())
-                sizes.append(len(words) + 1)
+                words.append(END)
+                other: dict[bytes, int] = {}
+                ids = np.array([number[w] if w in number else -1 - other.setdefault(w, len(other))
+                                for w in words], np.int32)
+                packed.append(ids.tobytes())
+                times = np.bincount(-1 - ids[ids < 0], minlength=len(other)).tolist()
+                rare.extend(zip(other, times))
+                sizes.append(len(words))
                 offsets.append(len(rare))
+                ids = ids[ids >= 0]
+                known.append(int(seen[ids].sum()))
+                base.append(float(base_of[ids].sum()))
             pairs = pa.StructArray.from_arrays(
                 [pa.array([w for w, _ in rare], pa.binary()), pa.array([n for _, n in rare], pa.int64())],
                 ["word", "n"])
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:4], pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
-                ["row", "id", "trains", "held_out", "n_tokens", "ids", "rare"])
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs),
+                 pa.array(known, pa.int64()), pa.array(base, pa.float64())], schema.names)
 
     schema = T.StructType([*texts.schema.fields[:4], T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids", T.BinaryType()),
                            T.StructField("rare", T.ArrayType(T.StructType([
-                               T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])))])
+                               T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))),
+                           T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType())])
     return texts.mapInArrow(run, schema)
 
 
-def count_runs(coded: DataFrame, levels: list[Level], floor: int) -> Level:
-    """The next level: runs of one word more than the last level's."""
-    depth = len(levels) + 1
-    shipped = coded.sparkSession.sparkContext.broadcast(levels)
+def bitmap_of(keyed: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each slot, set where ``keyed`` has a key."""
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    rows = (keyed.groupBy(F.shiftright(slot, MAP_BITS).alias("part"))
+            .agg(F.bitmap_construct_agg(slot.bitwiseAND((1 << MAP_BITS) - 1)).alias("bits")).collect())
+    out = np.zeros(1 << bits - 3, np.uint8)
+    size = 1 << MAP_BITS - 3
+    for r in rows:
+        out[r["part"] * size:(r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(told: bytes, size: int, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(pa.decompress(told, size * np.dtype(kind).itemsize, codec="zstd"), kind)
+
+
+def cut_points(keys: np.ndarray, bits: int, of: int = 64) -> list[int]:
+    """Where each of 2**bits buckets, by the first of ``of`` bits, begins and
+    ends in sorted keys."""
+    edges = np.arange(1, 1 << bits, dtype=keys.dtype) << keys.dtype.type(of - bits)
+    return [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+
+
+def count_slots(coded: DataFrame, counted: Counted, bitmap: np.ndarray, length: int) -> np.ndarray:
+    """Slots that reach the floor with all training runs of ``length`` words
+    whose shorter runs are marked in ``bitmap``."""
+    bits, floor, numbers = counted.slot_bits, counted.floor, counted.keys
+    range_bits = bits - RANGE_BITS
+    small = np.uint8 if floor < 256 else np.int32
+    shipped = coded.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
         held, held_n, size = [], [], 0
 
         def merged():
-            keys, back = np.unique(np.concatenate(held), return_inverse=True)
-            return keys, np.bincount(back, np.concatenate(held_n)).astype(np.int64)
-
-        for batch in batches:
-            ids, starts, _ = flattened(batch.column(0))
-            for _, _, word, before, ends in walk(ids, starts, known, depth):
-                ok = (before[-1] >= 0) & (word >= 0)
-                if ends:                       # the run without its first word, too
-                    ok &= ends[-1] >= 0
-                keys, n = np.unique(before[-1][ok] << 32 | word[ok], return_counts=True)
-                held.append(keys)
-                held_n.append(n)
-                size += len(keys)
-                if size > 2 * HELD_RUNS:
-                    keys, n = merged()
-                    if len(keys) > HELD_RUNS:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-                        held, held_n, size = [], [], 0
-                    else:
-                        held, held_n, size = [keys], [n], len(keys)
+            found, back = np.unique(np.concatenate(held), return_inverse=True)
+            return found, np.minimum(np.bincount(back, np.concatenate(held_n)), floor).astype(small)
+
+        def out(found, n):
+            ends = cut_points(found, RANGE_BITS, bits)
+            some = [(b, x, y) for b, (x, y) in enumerate(zip(ends, ends[1:])) if y > x]
+            steps = [np.diff(found[x:y], prepend=np.int32(b << range_bits)) for b, x, y in some]
+            widths = [4 if s.max() > 0xFFFF else 2 if s.max() > 0xFF else 1 for s in steps]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([b for b, _, _ in some], pa.int32()), pa.array(widths, pa.int32()),
+                 pa.array([s.astype(f"u{w}").tobytes() for s, w in zip(steps, widths)], pa.binary()),
+                 pa.array([n[x:y].tobytes() for _, x, y in some], pa.binary())],
+                ["bucket", "width", "steps", "n"])
+
+        for whole in batches:
+            for batch in text_slices([whole], "ids", IDS_BYTES):
+                words, starts, _ = hashed(batch, numbers)
+                for _, _, runs in walk(words, starts, length):
+                    there, key, context, suffix = runs[-1]
+                    ok = np.flatnonzero(there)
+                    ok = ok[marked(known, context[ok])]
+                    ok = ok[marked(known, suffix[ok])]
+                    found, n = np.unique(slots(key[ok], bits).astype(np.int32), return_counts=True)
+                    held.append(found)
+                    held_n.append(np.minimum(n, floor).astype(small))
+                    size += len(found)
+                    if size > 8 * HELD_RUNS:     # 8 bytes each at most
+                        found, n = merged()
+                        if len(found) > 4 * HELD_RUNS:
+                            yield out(found, n)
+                            held, held_n, size = [], [], 0
+                        else:
+                            held, held_n, size = [found], [n], len(found)
         if size:
-            keys, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-    # at most tokens / floor rows, as many as there can be numbered words
-    rows = (coded.filter("trains").select("ids").mapInArrow(run, "key long, n long")
-            .groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor)
-            .orderBy("key").collect())
-    return Level(np.array([r["key"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64))
-
-
-def suffix_tree(coded: DataFrame, counted: Counted, depth: int = DEPTH) -> list[Level]:
-    """The tree's levels; the first holds the contexts of one word."""
-    levels: list[Level] = []
-    root = counted.root(counted.counts)
-    while len(levels) < depth:
-        level = count_runs(coded, levels, counted.floor)
-        if not len(level.keys):
-            break
-        fit_level(levels, counted.counts, root, level)
-        levels.append(level)
-    close_states(levels)
-    return levels
-
-
-def score_texts(coded: DataFrame, counted: Counted, levels: list[Level]) -> DataFrame:
-    """(row, id, held_out, n_tokens, known, base, gain) from numbered words."""
+            yield out(*merged())
+
+    def add(told: pa.Table) -> pa.Table:
+        total = np.zeros(1 << range_bits, np.int64)
+        for width, steps, n in zip(*(told.column(c).to_pylist() for c in ("width", "steps", "n"))):
+            total[np.cumsum(np.frombuffer(steps, f"u{width}"), dtype=np.int64)] += np.frombuffer(n, small)
+        bits = np.packbits(total >= floor, bitorder="little")
+        return pa.table({"bucket": pa.array(told.column("bucket").to_pylist()[:1], pa.int32()),
+                         "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    rows = (coded.filter("trains").select("ids", "rare")
+            .mapInArrow(run, "bucket int, width int, steps binary, n binary")
+            .groupBy("bucket").applyInArrow(add, "bucket int, bits binary").collect())
+    out = np.zeros(1 << bits - 3, np.uint8)
+    size = 1 << range_bits - 3
+    for r in rows:
+        out[r["bucket"] * size:(r["bucket"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def count_runs(coded: DataFrame, counted: Counted, bitmap: np.ndarray, depth: int) -> DataFrame:
+    """(length, key, context, suffix, n) of all training runs of 2 to depth + 1
+    words that reach the floor; the others' keys need not be in ``bitmap``."""
+    floor, numbers, bucket_bits = counted.floor, counted.keys, counted.bucket_bits
+    shipped = coded.sparkSession.sparkContext.broadcast(bitmap)
+
+    def merged(parts):
+        key, context, suffix, n = (np.concatenate(x) for x in zip(*parts))
+        key, at, back = np.unique(key, return_index=True, return_inverse=True)
+        return key, context[at], suffix[at], np.bincount(back, n).astype(np.int64)
+
+    def out(length, parts):
+        key, context, suffix, n = merged(parts)
+        first, last = (key - suffix) * steps(length)[1], key - context * STEP
+        ends = cut_points(key, bucket_bits)
+        told = []
+        for b, (x, y) in enumerate(zip(ends, ends[1:])):
+            if y > x:       # equal contexts, and so first words, stand together
+                by = x + np.argsort(context[x:y])
+                told.append((b, length, y - x, packed(np.diff(context[by], prepend=np.uint64(0))),
+                             packed(first[by]) if length > 2 else None,
+                             packed(last[by]), packed(n[by].astype(np.int32))))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*told), kinds)],
+                                          ["bucket", "length", "size", "context", "first", "last", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shipped.value
+        held = {m: [] for m in range(2, depth + 2)}
+        for whole in batches:
+            for batch in text_slices([whole], "ids", IDS_BYTES):
+                words, starts, _ = hashed(batch, numbers)
+                for _, _, runs in walk(words, starts, depth + 1):
+                    for m, (there, key, context, suffix) in enumerate(runs, 2):
+                        ok = np.flatnonzero(there)
+                        for k in (key, context, suffix):
+                            ok = ok[marked(known, k[ok])]
+                        if len(ok):
+                            held[m].append(merged([(key[ok], context[ok], suffix[ok], np.ones(len(ok), np.int64))]))
+                for m, parts in held.items():
+                    if sum(len(p[0]) for p in parts) > 2 * HELD_RUNS:
+                        parts[:] = [merged(parts)]
+                        if len(parts[0][0]) > HELD_RUNS:
+                            yield out(m, parts)
+                            parts.clear()
+        for m, parts in held.items():
+            if parts:
+                yield out(m, parts)
+
+    def add(told: pa.Table) -> pa.Table:
+        parts = {}
+        for r in told.to_pylist():
+            context = np.cumsum(unpacked(r["context"], r["size"]), dtype=np.uint64)
+            first = unpacked(r["first"], r["size"]) if r["first"] else context
+            last = unpacked(r["last"], r["size"])
+            key = context * STEP + last
+            parts.setdefault(r["length"], []).append(
+                (key, context, key - first * steps(r["length"])[0], unpacked(r["n"], r["size"], np.int32)))
+        tables = [pa.table([np.zeros(0, np.int64)] * 5, ["length", "key", "context", "suffix", "n"])]
+        for m, some in parts.items():
+            *keys, n = merged(some)
+            listed = n >= floor
+            tables.append(pa.table([np.full(int(listed.sum()), m), *(k[listed].view(np.int64) for k in keys),
+                                    n[listed]], ["length", "key", "context", "suffix", "n"]))
+        return pa.concat_tables(tables)
+
+    return (coded.filter("trains").select("ids", "rare")
+            .mapInArrow(run, "bucket int, length int, size int, context binary, first binary, last binary, n binary")
+            .groupBy("bucket").applyInArrow(add, "length long, key long, context long, suffix long, n long"))
+
+
+def suffix_tree(coded: DataFrame, counted: Counted, depth: int = DEPTH) -> DataFrame:
+    """(key, n, weight) of the runs that add to a text's score, the parts that
+    a run has as a state and after one as rows of their own."""
+    words = (counted.table.filter(F.col("n") >= counted.floor)
+             .groupBy(F.xxhash64("word").alias("key")).agg(F.sum("n").alias("n")))
+    bitmap = bitmap_of(words, counted.slot_bits)
+    for length in range(2, depth + 2):
+        bitmap |= count_slots(coded, counted, bitmap, length)
+    runs = materialise(count_runs(coded, counted, bitmap, depth), "lm-runs")
+
+    # a context's and a suffix's row are there: they are as frequent as the run
+    counts = words.unionByName(runs.select("key", "n"))
+    owned = (runs.join(counts.select(F.col("key").alias("context"), F.col("n").alias("before")), "context")
+             .withColumn("own", (F.col("n") - DISCOUNT) / F.col("before")))
+    chances = (words.select(F.col("key").alias("suffix"), counted.root(F.col("n")).alias("above"),
+                            F.lit(None).cast("long").alias("shorter"))
+               .unionByName(owned.select(F.col("key").alias("suffix"), F.col("own").alias("above"),
+                                         F.col("context").alias("shorter"))))
+    cells = materialise(owned.join(chances, "suffix"), "lm-cells")
+
+    # likelihood ratio against the suffix, what is not listed as one more cell
+    other = F.greatest(F.col("before") - F.col("known"), F.lit(0))
+    upper = F.greatest(1 - F.col("all_above"), F.lit(1e-12))
+    gain = F.col("gain") + F.when(other > 0, other * F.log(other / F.col("before") / upper)).otherwise(0.0)
+    contexts = (cells.groupBy("context")
+                .agg(F.max("length").alias("length"), F.max("shorter").alias("shorter"),
+                     F.max("before").alias("before"), F.sum("n").alias("known"),
+                     F.sum("own").alias("all_own"), F.sum("above").alias("all_above"), F.count("*").alias("cells"),
+                     F.sum(F.col("n") * F.log(F.col("n") / F.col("before") / F.col("above"))).alias("gain"))
+                .select("context", "length", "shorter", "before",
+                        F.log10(F.greatest(1 - F.col("all_own"), F.lit(1e-12)) / upper).alias("back"),
+                        (2 * gain > F.col("cells") + 3 * F.sqrt(2 * F.col("cells"))).alias("state")))
+    contexts = materialise(contexts, "lm-contexts")
+
+    # suffixes of states are states
+    levels, told = [], contexts.filter(F.lit(False)).select("context")
+    for length in range(depth + 1, 1, -1):
+        level = (contexts.filter(F.col("length") == length)
+                 .join(told.withColumn("told", F.lit(True)), "context", "left")
+                 .filter(F.col("state") | F.col("told").isNotNull()))
+        levels.append(level.select("context", "before", "back"))
+        told = level.select(F.col("shorter").alias("context")).distinct()
+    states = levels[0]
+    for level in levels[1:]:
+        states = states.unionByName(level)
+    ratio = F.log10(F.col("own") / F.col("above"))
+    weights = (states.select(F.col("context").alias("key"), F.col("before").alias("n"), F.col("back").alias("weight"))
+               .unionByName(cells.join(states.select("context", "back"), "context")
+                            .select("key", "n", (ratio - F.col("back")).alias("weight"))))
+    return materialise(weights, "lm-weights")
+
+
+def looked_up(keys: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Weights of ``wanted`` keys, 0 where there is none (``keys``: sorted)."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, weights[at], 0.0)
+
+
+def sorted_weights(told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(told.column("key").to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
+    return keys, np.bincount(at, told.column("weight").to_numpy(), len(keys))
+
+
+def text_gains(coded: DataFrame, counted: Counted, weights: DataFrame, depth: int) -> DataFrame:
+    """(row, gain) in parts: what a text's runs add to its root score."""
+    numbers, bucket_bits = counted.keys, counted.bucket_bits
+    frequent = F.col("n") >= counted.shipped      # at most 2**SHIP_BITS of each length
+    rest = weights.filter(~frequent)
+    near = weights.filter(frequent).select("key", "weight").toArrow()
     shipped = coded.sparkSession.sparkContext.broadcast(
-        (levels, np.log10(counted.root(counted.counts)), counted.counts > 0))
+        (*sorted_weights(near), bitmap_of(rest, counted.slot_bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, base_of, seen = shipped.value
+        near_keys, near_weights, far = shipped.value
+        near_bits = np.zeros(1 << 13, np.uint8)
+        at = slots(near_keys, 16)
+        np.bitwise_or.at(near_bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        word_weights = looked_up(near_keys, near_weights, numbers)
+        turn = 0
         for whole in batches:
             for batch in text_slices([whole], "ids", IDS_BYTES):
-                ids, starts, offsets = flattened(batch.column(4))
-                base, known = np.where(ids >= 0, base_of[ids], 0.0), (ids >= 0) & seen[ids]
-                gain = np.zeros(len(ids))
-                for at, to, _, before, ends in walk(ids, starts, levels, len(levels)):
-                    now = gain[at:to]
-                    for level, context, run_ in zip(levels, before, ends):
-                        on = np.flatnonzero(context >= 0)
-                        on = on[level.state[context[on]]]
-                        listed = run_[on] >= 0
-                        a, b = on[listed], on[~listed]
-                        now[a] = level.value[run_[a]]
-                        now[b] += level.back[context[b]]
-                sums = [np.add.reduceat(x, offsets[:-1]) for x in (known.astype(np.int64), base, gain)]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:4], *map(pa.array, sums)],
-                    ["row", "id", "held_out", "n_tokens", "known", "base", "gain"])
-
-    src = coded.select("row", "id", "held_out", "n_tokens", "ids")
-    schema = T.StructType([*src.schema.fields[:4], T.StructField("known", T.LongType()),
-                           T.StructField("base", T.DoubleType()), T.StructField("gain", T.DoubleType())])
-    return src.mapInArrow(run, schema)
+                words, starts, offsets = hashed(batch, numbers)
+                texts = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+                gain, text_parts, key_parts = np.zeros(batch.num_rows), [], []
+                for at, to, runs in walk(words, starts, depth + 1):
+                    text = texts[at:to]
+                    for there, key in [(np.ones(to - at, bool), words[at:to]), *(r[:2] for r in runs)]:
+                        ok = np.flatnonzero(there)
+                        now = ok[marked(near_bits, key[ok])]
+                        gain += np.bincount(text[now], looked_up(near_keys, near_weights, key[now]), len(gain))
+                        now = ok[marked(far, key[ok])]
+                        text_parts.append(text[now])
+                        key_parts.append(key[now])
+                text, key = np.concatenate(text_parts), np.concatenate(key_parts)
+                row = batch.column("row").to_numpy().astype(np.int64)
+                bucket = slots(key, bucket_bits)
+                by = np.lexsort((text, bucket))
+                text, key, ends = text[by], key[by], np.searchsorted(bucket[by], np.arange((1 << bucket_bits) + 1))
+                told = [(turn & (1 << bucket_bits) - 1, row.tobytes(), None, gain.tobytes())]
+                turn += 1
+                for b, (x, y) in enumerate(zip(ends, ends[1:])):
+                    if y > x:
+                        some, times = np.unique(text[x:y], return_counts=True)
+                        told.append((b, row[some].tobytes(), times.astype(np.int32).tobytes(), key[x:y].tobytes()))
+                kinds = [pa.int64(), *[pa.binary()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*told), kinds)],
+                                                 ["bucket", "rows", "times", "told"])
+
+    def meet(told: pa.Table, here: pa.Table) -> pa.Table:
+        keys, values = sorted_weights(here)
+        rows, gains = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for r, times, found in zip(*(told.column(c).to_pylist() for c in ("rows", "times", "told"))):
+            row = np.frombuffer(r, np.int64)
+            if times is None:
+                gains.append(np.frombuffer(found, np.float64))
+            else:
+                at = np.repeat(np.arange(len(row)), np.frombuffer(times, np.int32))
+                gains.append(np.bincount(at, looked_up(keys, values, np.frombuffer(found, np.uint64)), len(row)))
+            rows.append(row)
+        row, back = np.unique(np.concatenate(rows), return_inverse=True)
+        return pa.table({"row": row, "gain": np.bincount(back, np.concatenate(gains), len(row))})
+
+    sent = coded.select("row", "ids", "rare").mapInArrow(run, "bucket long, rows binary, times binary, told binary")
+    dealt = rest.select(F.shiftrightunsigned("key", 64 - bucket_bits).alias("bucket"), "key", "weight")
+    return (sent.groupBy("bucket").cogroup(dealt.groupBy("bucket"))
+            .applyInArrow(meet, "row long, gain double"))
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
-              share_bits: int = SHARE_BITS, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+              share_bits: int | None = None, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of
-    every row of ``df``: log10 probabilities of the whole text."""
+    every row of ``df``: log10 probabilities of the whole text. Every run with
+    ``LEAST_FLOOR`` training occurrences counts; ``share_bits`` asks for a
+    coarser tree, of runs with at least 1 / 2**share_bits of all tokens."""
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % folds
     texts = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
              .select(F.monotonically_increasing_id().alias("row"), "id",
                      F.coalesce(fold != held_out, F.lit(False)).alias("trains"),
                      F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "text"))
     counted = Counted(texts.filter("trains"), share_bits)
-    coded = materialise(numbered(texts, counted), "lm-texts")
-    levels = suffix_tree(coded, counted, depth)
-    told = score_texts(coded, counted, levels)
+    coded = materialise(numbered(texts, counted), "lm-texts", compression="zstd")
+    weights = suffix_tree(coded, counted, depth)
     rare = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-    counts = counted.table.filter(F.col("n") < counted.floor)
+    counts = counted.table.filter(F.col("n") < counted.shipped)
     n = F.coalesce(F.col("n"), F.lit(0))
     most = counted.tokens + PSEUDO * (counted.different + 1)
-    others = (rare.join(counts.hint("merge"), "word", "left").groupBy("row")
-              .agg(F.sum(F.col("times") * F.log10((n + PSEUDO) / F.lit(most))).alias("rare_base"),
-                   F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known")))
-    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    return (told.join(others, "row", "left")
+    others = (rare.join(counts.hint("merge"), "word", "left")
+              .select("row", (F.col("times") * F.log10((n + PSEUDO) / F.lit(most))).alias("more_base"),
+                      F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("more_known"),
+                      F.lit(0.0).alias("gain"))
+              .unionByName(text_gains(coded, counted, weights, depth)
+                           .select("row", F.lit(0.0).alias("more_base"), F.lit(0).cast("long").alias("more_known"),
+                                   "gain"))
+              .groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more_base", "more_known", "gain")]))
+    base = F.col("base") + F.col("more_base")
+    return (coded.select("row", "id", "held_out", "n_tokens", "known", "base").join(others, "row")
             .select(F.col("id").alias(id_col), "held_out", "n_tokens",
-                    (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+                    (F.col("known") + F.col("more_known")).alias("n_known"),
                     F.lit(counted.tokens).cast("long").alias("train_tokens"),
                     base.alias("base_score"), (base + F.col("gain")).alias("score")))

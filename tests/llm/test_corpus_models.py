@@ -3,6 +3,7 @@ brute force."""
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -243,6 +244,39 @@ def test_scores_of_the_tables(docs, depth, share_bits):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def check_default_scores(df):
+    """The registered query's tree lists every run of four occurrences."""
+    rows = df.select("doc_id", "text").collect()
+    train = [tokens(r.text) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 10]
+    tree = BruteTree(train, 3, 4)
+    got = {r.doc_id: r for r in suffix_tree_lm.lm_scores(df).collect()}
+    for text, ids in itertools.groupby(sorted(rows, key=lambda r: (r.text or "", r.doc_id)), lambda r: r.text):
+        words = tokens(text)
+        base, score = sum(math.log10(tree.root(w)) for w in words), tree.score(words, 3)
+        for r in ids:
+            assert got[r.doc_id].base_score == pytest.approx(base, abs=1e-5, rel=1e-9)
+            assert got[r.doc_id].score == pytest.approx(score, abs=1e-5, rel=1e-9)
+    return tree
+
+
+def test_large_corpora_keep_runs_of_four(spark):
+    """Beyond 2**20 tokens a share of 1 / 2**18 is more than four occurrences."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10]
+    rows = [(i, "again " * 60_000) for i in ids[:20]]
+    rows += [(i, f"one two three four {k}") for k, i in enumerate(ids[20:24])]
+    rows += [(i, "one two three four") for i in range(100) if i not in ids]
+    tree = check_default_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert tree.n > 1 << 20 and tree.kept[3][(b"one", b"two", b"three", b"four")] == 4
+
+
+def test_runs_that_are_not_sent_to_the_tasks(docs, monkeypatch):
+    """Few words and runs are sent; the others meet the texts in buckets, and full slots spare nothing."""
+    monkeypatch.setattr(suffix_tree_lm, "SHIP_BITS", 6)
+    monkeypatch.setattr(suffix_tree_lm, "SLOT_BITS", 16)
+    monkeypatch.setattr(suffix_tree_lm, "BUCKET_TOKENS", 300)
+    check_default_scores(docs)
+
+
 def test_distributions_sum_to_one(docs):
     train = [tokens(r.text) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 10]
     tree = BruteTree(train, 3, 4)
