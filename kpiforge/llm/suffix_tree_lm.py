@@ -8,7 +8,7 @@ is a suffix of what stands before it.
    The root's distribution is the smoothed one: (c + 0.1) / (N + 0.1 (V + 1)).
 2. Words with at least N / 2**SHIP_BITS occurrences (so at most 2**SHIP_BITS of
    them) get numbers and every text is written once as its number sequence, the
-   other words and their counts aside; these meet their counts in a join.
+   keys of its other words aside; these meet their counts bucket by bucket.
 3. Every run of up to ``depth`` + 1 words with at least ``LEAST_FLOOR`` training
    occurrences is listed, whatever the size of the corpus. Level by level, runs
    whose shorter runs may be listed are counted in SLOT_BITS slots by their key;
@@ -29,7 +29,13 @@ is a suffix of what stands before it.
 
 A run's key is 64 bits of a polynomial over its words' xxhash64. Two of k runs
 share one with a chance of k * k / 2**65 (under 1e-4 for 50 million runs), and
-their counts would then be added; words are counted and met as they are.
+their counts would then be added. Words are counted as they are; those without
+a number are met by their xxhash64 in a bucket of their crc32, so two of k words
+share a place with a chance of k * k / 2**70 (less with more than 32 buckets).
+
+What a step shuffles and sends to the tasks is dropped with its end, and tables
+that no later step reads are deleted: the disk holds the texts, one step and its
+results.
 
 Defined results: a null or empty text has one token, its end. A row without
 identifier is neither learnt from nor held out. Repeated rows are learnt and
@@ -39,21 +45,21 @@ An empty table gives an empty result. Only identifier and text are read.
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, text_slices
-from .tally import tally
+from .common import discard, materialise, shuffles_dropped, text_slices
 
 DEPTH = 3
-SHIP_BITS = 18
+SHIP_BITS = 20
 LEAST_FLOOR = 4
 PSEUDO = 0.1
 DISCOUNT = 0.5
@@ -61,17 +67,28 @@ FOLDS, HELD_OUT = 10, 0
 END = b" "          # no word holds a space
 BLOCK_TOKENS = 1 << 18
 HELD_RUNS = 1 << 18
+HELD_BYTES = 1 << 25                    # of words that a task counts at a time
+SENT_KEYS = 1 << 21                     # of rare runs that a task packs at a time
+SENT_TEXTS = 1 << 16
 IDS_BYTES = 1 << 20
 SLOT_BITS = 28
 RANGE_BITS = 5                          # slots are added up in 2**RANGE_BITS ranges
 BUCKET_TOKENS = 1 << 23
 MAP_BITS = 15                           # bits of one of Spark's bitmaps
+CHECK_BITS = 16
 HASH_SEED = 42                          # of Spark's xxhash64
 STEP = np.uint64(0x9E3779B97F4A7C15)    # a run's key: its context's * STEP + its last word's
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, how many each has)."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, offsets = found.flatten(), np.zeros(len(found) + 1, np.int64)
+    np.cumsum(pc.list_value_length(found).to_numpy(), out=offsets[1:])
+    there = pc.not_equal(pc.binary_length(words), 0)
+    before = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(there.to_numpy(zero_copy_only=False), out=before[1:])
+    return words.filter(there).cast(pa.binary()), np.diff(before[offsets])
 
 
 def word_keys(words: Iterable[bytes]) -> np.ndarray:
@@ -128,30 +145,45 @@ def hashed(batch: pa.RecordBatch, numbers: np.ndarray) -> tuple[np.ndarray, np.n
     ``ids`` and ``rare``; ``numbers``: the numbered words' keys."""
     ids, starts, offsets = flattened(batch.column("ids"))
     words = numbers[np.maximum(ids, 0)]
-    odd = np.flatnonzero(ids < 0)
-    if len(odd):
-        rare = batch.column("rare")
-        first = rare.offsets.to_numpy().astype(np.int64)
-        row = np.searchsorted(offsets, odd, "right") - 1
-        keys = word_keys(rare.flatten().field("word").to_pylist())
-        words[odd] = keys[(first - first[0])[row] - 1 - ids[odd]]
+    words[ids < 0] = joined(batch.column("rare"), np.uint64)
     return words, starts, offsets
 
 
+def joined(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def cells_of(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Binary cells of ``values``, cut at ``offsets``."""
+    ends = (offsets * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1,
+                                 [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 class Counted:
     """Word counts of the training texts: ``table`` (word, n), sums, and the
     numbered words."""
 
     def __init__(self, training: DataFrame, share_bits: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def texts():
-                for part in text_slices(batches, "text"):
-                    words: Counter[bytes] = Counter()
-                    for text in part.column(0).to_pylist():
-                        words.update(words_of(text))
-                        words[END] += 1
-                    yield words
-            yield from tally(texts(), pa.binary())
+            held, size, ends = [], 0, 0
+
+            def out():
+                found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+                return pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())]),
+                     pa.concat_arrays([found.field("counts"), pa.array([ends], pa.int64())])], ["word", "n"])
+
+            for part in text_slices(batches, "text"):
+                words, _ = words_of(part.column(0))
+                held.append(words)
+                size += words.nbytes
+                ends += part.num_rows
+                if size > HELD_BYTES:
+                    yield out()
+                    held, size, ends = [], 0, 0
+            if ends:
+                yield out()
 
         self.table = materialise(training.select("text").mapInArrow(run, "word binary, n long")
                                  .groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
@@ -160,56 +192,61 @@ class Counted:
         self.shipped = max(LEAST_FLOOR, -(-self.tokens >> SHIP_BITS))
         # at most 2**SHIP_BITS words, and the end
         rows = (self.table.filter((F.col("n") >= self.shipped) | (F.col("word") == END))
-                .orderBy(F.col("n").desc(), "word").collect())
-        self.words = [bytes(r["word"]) for r in rows] or [END]
-        self.counts = np.array([r["n"] for r in rows] or [0], np.int64)
-        self.keys = word_keys(self.words)
+                .orderBy(F.col("n").desc(), "word").toArrow())
+        known = rows.num_rows > 0
+        self.words = rows.column("word").combine_chunks() if known else pa.array([END], pa.binary())
+        self.counts = rows.column("n").to_numpy() if known else np.zeros(1, np.int64)
+        self.keys = word_keys(self.words.to_pylist())
         self.slot_bits = min(SLOT_BITS, max(16, self.tokens.bit_length() + 2))
-        self.bucket_bits = max(5, (self.tokens // BUCKET_TOKENS).bit_length())
+        self.bucket_bits = min(CHECK_BITS, max(5, (self.tokens // BUCKET_TOKENS).bit_length()))
 
     def root(self, counts):
         return (counts + PSEUDO) / (self.tokens + PSEUDO * (self.different + 1))
 
 
 def numbered(texts: DataFrame, counted: Counted) -> DataFrame:
-    """(row, id, trains, held_out, n_tokens, ids, rare: other words and counts,
-    known and base: of the numbered words). The k-th of a text's other words
-    stands as -k in ``ids``."""
+    """(row, id, trains, held_out, n_tokens, ids, rare and checks: keys and
+    crc32 bits of other words, known and base: of the numbered words). Another
+    word stands as -1 in ``ids``."""
     shipped = texts.sparkSession.sparkContext.broadcast(
-        ({w: i for i, w in enumerate(counted.words)}, np.log10(counted.root(counted.counts)), counted.counts > 0))
+        (counted.words, np.log10(counted.root(counted.counts)), counted.counts > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, base_of, seen = shipped.value
+        numbers, base_of, seen = shipped.value
+        end = pc.index(numbers, pa.scalar(END, pa.binary())).as_py()
         for part in text_slices(batches, "text"):
-            packed, rare, sizes, offsets, known, base = [], [], [], [0], [], []
-            for text in part.column(4).to_pylist():
-                words = words_of(text)
-                words.append(END)
-                other: dict[bytes, int] = {}
-                ids = np.array([number[w] if w in number else -1 - other.setdefault(w, len(other))
-                                for w in words], np.int32)
-                packed.append(ids.tobytes())
-                times = np.bincount(-1 - ids[ids < 0], minlength=len(other)).tolist()
-                rare.extend(zip(other, times))
-                sizes.append(len(words))
-                offsets.append(len(rare))
-                ids = ids[ids >= 0]
-                known.append(int(seen[ids].sum()))
-                base.append(float(base_of[ids].sum()))
-            pairs = pa.StructArray.from_arrays(
-                [pa.array([w for w, _ in rare], pa.binary()), pa.array([n for _, n in rare], pa.int64())],
-                ["word", "n"])
+            words, sizes = words_of(part.column(4))
+            coded = words.dictionary_encode()
+            different, at = coded.dictionary, coded.indices.to_numpy()
+            number = pc.fill_null(pc.index_in(different, value_set=numbers), -1).to_numpy()
+            other = np.flatnonzero(number < 0)
+            odd = different.take(pa.array(other)).to_pylist()
+            keys, checks = np.zeros(len(number), np.uint64), np.zeros(len(number), np.uint16)
+            keys[other] = word_keys(odd)
+            checks[other] = np.fromiter((zlib.crc32(w) >> 32 - CHECK_BITS for w in odd), np.uint16, len(odd))
+            offsets = np.zeros(len(sizes) + 1, np.int64)
+            np.cumsum(sizes + 1, out=offsets[1:])
+            ids = np.full(offsets[-1], end, np.int32)
+            inside = np.ones(len(ids), bool)
+            inside[offsets[1:] - 1] = False
+            ids[inside] = number[at]
+            rare = at[number[at] < 0]
+            text = np.repeat(np.arange(len(sizes)), sizes + 1)
+            rare_ends = np.zeros(len(sizes) + 1, np.int64)
+            np.cumsum(np.bincount(text[ids < 0], minlength=len(sizes)), out=rare_ends[1:])
+            text, own = text[ids >= 0], ids[ids >= 0]
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:4], pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs),
-                 pa.array(known, pa.int64()), pa.array(base, pa.float64())], schema.names)
+                [*part.columns[:4], pa.array(sizes + 1, pa.int64()), cells_of(ids, offsets),
+                 cells_of(keys[rare], rare_ends), cells_of(checks[rare], rare_ends),
+                 pa.array(np.bincount(text, seen[own], len(sizes)).astype(np.int64)),
+                 pa.array(np.bincount(text, base_of[own], len(sizes)))], schema.names)
 
     schema = T.StructType([*texts.schema.fields[:4], T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids", T.BinaryType()),
-                           T.StructField("rare", T.ArrayType(T.StructType([
-                               T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))),
+                           *[T.StructField(c, T.BinaryType()) for c in ("ids", "rare", "checks")],
                            T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType())])
-    return texts.mapInArrow(run, schema)
+    out = materialise(texts.mapInArrow(run, schema), "lm-texts", compression="zstd")
+    shipped.destroy()
+    return out
 
 
 def bitmap_of(keyed: DataFrame, bits: int) -> np.ndarray:
@@ -232,6 +269,31 @@ def unpacked(told: bytes, size: int, kind=np.uint64) -> np.ndarray:
     return np.frombuffer(pa.decompress(told, size * np.dtype(kind).itemsize, codec="zstd"), kind)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Compressed whole numbers, byte by byte: small ones leave planes of zeros."""
+    return packed(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T))
+
+
+def from_planes(told: bytes, size: int, kind=np.uint64) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(unpacked(told, size * width, np.uint8).reshape(width, size).T).view(kind).ravel()
+
+
+def named(keys: np.ndarray, numbers: np.ndarray, order: np.ndarray) -> tuple[bytes, bytes]:
+    """Word keys as numbers from 1 and the keys of words without one, which
+    stand as 0 (``order`` sorts ``numbers``, the numbered words' keys)."""
+    at = order[np.minimum(np.searchsorted(numbers, keys, sorter=order), len(order) - 1)]
+    there = numbers[at] == keys
+    return planes(np.where(there, at + 1, 0).astype(np.uint32)), keys[~there].tobytes()
+
+
+def keys_named(told: bytes, odd: bytes, size: int, numbers: np.ndarray) -> np.ndarray:
+    at = from_planes(told, size, np.uint32).astype(np.int64)
+    keys = numbers[np.maximum(at - 1, 0)]
+    keys[at == 0] = np.frombuffer(odd, np.uint64)
+    return keys
+
+
 def cut_points(keys: np.ndarray, bits: int, of: int = 64) -> list[int]:
     """Where each of 2**bits buckets, by the first of ``of`` bits, begins and
     ends in sorted keys."""
@@ -299,6 +361,7 @@ def count_slots(coded: DataFrame, counted: Counted, bitmap: np.ndarray, length:
     rows = (coded.filter("trains").select("ids", "rare")
             .mapInArrow(run, "bucket int, width int, steps binary, n binary")
             .groupBy("bucket").applyInArrow(add, "bucket int, bits binary").collect())
+    shipped.destroy()
     out = np.zeros(1 << bits - 3, np.uint8)
     size = 1 << range_bits - 3
     for r in rows:
@@ -309,8 +372,9 @@ def count_slots(coded: DataFrame, counted: Counted, bitmap: np.ndarray, length:
 def count_runs(coded: DataFrame, counted: Counted, bitmap: np.ndarray, depth: int) -> DataFrame:
     """(length, key, context, suffix, n) of all training runs of 2 to depth + 1
     words that reach the floor; the others' keys need not be in ``bitmap``."""
-    floor, numbers, bucket_bits = counted.floor, counted.keys, counted.bucket_bits
+    floor, bucket_bits = counted.floor, counted.bucket_bits
     shipped = coded.sparkSession.sparkContext.broadcast(bitmap)
+    words_shipped = coded.sparkSession.sparkContext.broadcast((counted.keys, np.argsort(counted.keys)))
 
     def merged(parts):
         key, context, suffix, n = (np.concatenate(x) for x in zip(*parts))
@@ -325,15 +389,14 @@ def count_runs(coded: DataFrame, counted: Counted, bitmap: np.ndarray, depth: in
         for b, (x, y) in enumerate(zip(ends, ends[1:])):
             if y > x:       # equal contexts, and so first words, stand together
                 by = x + np.argsort(context[x:y])
-                told.append((b, length, y - x, packed(np.diff(context[by], prepend=np.uint64(0))),
-                             packed(first[by]) if length > 2 else None,
-                             packed(last[by]), packed(n[by].astype(np.int32))))
-        kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*told), kinds)],
-                                          ["bucket", "length", "size", "context", "first", "last", "n"])
+                told.append((b, length, y - x, planes(np.diff(context[by], prepend=np.uint64(0))),
+                             *(named(first[by], *words_shipped.value) if length > 2 else (None, None)),
+                             *named(last[by], *words_shipped.value), planes(n[by].astype(np.int32))))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*told), kinds)], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
+        known, numbers = shipped.value, words_shipped.value[0]
         held = {m: [] for m in range(2, depth + 2)}
         for whole in batches:
             for batch in text_slices([whole], "ids", IDS_BYTES):
@@ -358,12 +421,13 @@ def count_runs(coded: DataFrame, counted: Counted, bitmap: np.ndarray, depth: in
     def add(told: pa.Table) -> pa.Table:
         parts = {}
         for r in told.to_pylist():
-            context = np.cumsum(unpacked(r["context"], r["size"]), dtype=np.uint64)
-            first = unpacked(r["first"], r["size"]) if r["first"] else context
-            last = unpacked(r["last"], r["size"])
+            numbers, size = words_shipped.value[0], r["size"]
+            context = np.cumsum(from_planes(r["context"], size), dtype=np.uint64)
+            first = keys_named(r["first"], r["odd_first"], size, numbers) if r["first"] else context
+            last = keys_named(r["last"], r["odd_last"], size, numbers)
             key = context * STEP + last
             parts.setdefault(r["length"], []).append(
-                (key, context, key - first * steps(r["length"])[0], unpacked(r["n"], r["size"], np.int32)))
+                (key, context, key - first * steps(r["length"])[0], from_planes(r["n"], size, np.int32)))
         tables = [pa.table([np.zeros(0, np.int64)] * 5, ["length", "key", "context", "suffix", "n"])]
         for m, some in parts.items():
             *keys, n = merged(some)
@@ -372,9 +436,14 @@ def count_runs(coded: DataFrame, counted: Counted, bitmap: np.ndarray, depth: in
                                     n[listed]], ["length", "key", "context", "suffix", "n"]))
         return pa.concat_tables(tables)
 
-    return (coded.filter("trains").select("ids", "rare")
-            .mapInArrow(run, "bucket int, length int, size int, context binary, first binary, last binary, n binary")
-            .groupBy("bucket").applyInArrow(add, "length long, key long, context long, suffix long, n long"))
+    columns = ["bucket", "length", "size", "context", "first", "odd_first", "last", "odd_last", "n"]
+    fields = ", ".join([f"{c} int" for c in columns[:3]] + [f"{c} binary" for c in columns[3:]])
+    out = materialise(coded.filter("trains").select("ids", "rare").mapInArrow(run, fields)
+                      .groupBy("bucket").applyInArrow(add, "length long, key long, context long, suffix long, n long"),
+                      "lm-runs")
+    shipped.destroy()
+    words_shipped.destroy()
+    return out
 
 
 def suffix_tree(coded: DataFrame, counted: Counted, depth: int = DEPTH) -> DataFrame:
@@ -385,7 +454,7 @@ def suffix_tree(coded: DataFrame, counted: Counted, depth: int = DEPTH) -> DataF
     bitmap = bitmap_of(words, counted.slot_bits)
     for length in range(2, depth + 2):
         bitmap |= count_slots(coded, counted, bitmap, length)
-    runs = materialise(count_runs(coded, counted, bitmap, depth), "lm-runs")
+    runs = count_runs(coded, counted, bitmap, depth)
 
     # a context's and a suffix's row are there: they are as frequent as the run
     counts = words.unionByName(runs.select("key", "n"))
@@ -426,7 +495,10 @@ def suffix_tree(coded: DataFrame, counted: Counted, depth: int = DEPTH) -> DataF
     weights = (states.select(F.col("context").alias("key"), F.col("before").alias("n"), F.col("back").alias("weight"))
                .unionByName(cells.join(states.select("context", "back"), "context")
                             .select("key", "n", (ratio - F.col("back")).alias("weight"))))
-    return materialise(weights, "lm-weights")
+    weights = materialise(weights, "lm-weights")
+    for done in (runs, cells, contexts):
+        discard(done)
+    return weights
 
 
 def looked_up(keys: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -442,27 +514,58 @@ def sorted_weights(told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(at, told.column("weight").to_numpy(), len(keys))
 
 
-def text_gains(coded: DataFrame, counted: Counted, weights: DataFrame, depth: int) -> DataFrame:
-    """(row, gain) in parts: what a text's runs add to its root score."""
+def text_parts(coded: DataFrame, counted: Counted, weights: DataFrame, depth: int) -> DataFrame:
+    """(row, more_base, more_known, gain): what a text's words without a number
+    add to its root score and known words, and what its runs add."""
     numbers, bucket_bits = counted.keys, counted.bucket_bits
     frequent = F.col("n") >= counted.shipped      # at most 2**SHIP_BITS of each length
     rest = weights.filter(~frequent)
     near = weights.filter(frequent).select("key", "weight").toArrow()
     shipped = coded.sparkSession.sparkContext.broadcast(
         (*sorted_weights(near), bitmap_of(rest, counted.slot_bits)))
+    most = counted.tokens + PSEUDO * (counted.different + 1)
+    columns = {"bucket": pa.int64(), "batch": pa.int64(), "texts": pa.int32(), "word": pa.bool_(),
+               "size": pa.int32(), "keys": pa.binary(), "times": pa.binary(), "told": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near_keys, near_weights, far = shipped.value
-        near_bits = np.zeros(1 << 13, np.uint8)
-        at = slots(near_keys, 16)
+        near_bits = np.zeros(1 << 20, np.uint8)
+        at = slots(near_keys, 23)
         np.bitwise_or.at(near_bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        word_weights = looked_up(near_keys, near_weights, numbers)
-        turn = 0
+        rows, gains, met, size = [], [], {False: [], True: []}, 0
+
+        def out():
+            row, gain = np.concatenate(rows), np.concatenate(gains)
+            batch = int(row[0])
+            told = [(batch & (1 << bucket_bits) - 1, batch, len(row), None, 0, None, row.tobytes(), gain.tobytes())]
+            for word, parts in met.items():
+                text, key, bucket = (np.concatenate(x) for x in zip(*parts))
+                by = np.lexsort((key, bucket)) if word else np.argsort(key)
+                text, key, bucket = text[by], key[by], bucket[by]
+                ends = np.searchsorted(bucket, np.arange((1 << bucket_bits) + 1))
+                for b, (x, y) in enumerate(zip(ends, ends[1:])):
+                    if y > x:
+                        first = np.flatnonzero(np.diff(key[x:y], prepend=~key[x:x + 1]))
+                        told.append((b, batch, len(row), word, len(first),
+                                     planes(np.diff(key[x:y][first], prepend=np.uint64(0))),
+                                     packed(np.diff(first, append=y - x).astype(np.int32)), text[x:y].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*told), columns.values())],
+                                              list(columns))
+
         for whole in batches:
             for batch in text_slices([whole], "ids", IDS_BYTES):
+                if rows and (size > SENT_KEYS or sum(map(len, rows)) + batch.num_rows > SENT_TEXTS):
+                    yield out()
+                    rows, gains, met, size = [], [], {False: [], True: []}, 0
+                before = sum(map(len, rows))
                 words, starts, offsets = hashed(batch, numbers)
                 texts = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-                gain, text_parts, key_parts = np.zeros(batch.num_rows), [], []
+                gain = np.zeros(batch.num_rows)
+
+                def meets(word, text, key, bucket):
+                    met[word].append(((text + before).astype(np.int32), key, bucket.astype(np.uint16)))
+                    return len(key)
+
                 for at, to, runs in walk(words, starts, depth + 1):
                     text = texts[at:to]
                     for there, key in [(np.ones(to - at, bool), words[at:to]), *(r[:2] for r in runs)]:
@@ -470,41 +573,56 @@ def text_gains(coded: DataFrame, counted: Counted, weights: DataFrame, depth: in
                         now = ok[marked(near_bits, key[ok])]
                         gain += np.bincount(text[now], looked_up(near_keys, near_weights, key[now]), len(gain))
                         now = ok[marked(far, key[ok])]
-                        text_parts.append(text[now])
-                        key_parts.append(key[now])
-                text, key = np.concatenate(text_parts), np.concatenate(key_parts)
-                row = batch.column("row").to_numpy().astype(np.int64)
-                bucket = slots(key, bucket_bits)
-                by = np.lexsort((text, bucket))
-                text, key, ends = text[by], key[by], np.searchsorted(bucket[by], np.arange((1 << bucket_bits) + 1))
-                told = [(turn & (1 << bucket_bits) - 1, row.tobytes(), None, gain.tobytes())]
-                turn += 1
-                for b, (x, y) in enumerate(zip(ends, ends[1:])):
-                    if y > x:
-                        some, times = np.unique(text[x:y], return_counts=True)
-                        told.append((b, row[some].tobytes(), times.astype(np.int32).tobytes(), key[x:y].tobytes()))
-                kinds = [pa.int64(), *[pa.binary()] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*told), kinds)],
-                                                 ["bucket", "rows", "times", "told"])
+                        size += meets(False, text[now], key[now], slots(key[now], bucket_bits))
+                rare = joined(batch.column("rare"), np.uint64)
+                counts = pc.binary_length(batch.column("rare")).to_numpy() // 8
+                size += meets(True, np.repeat(np.arange(batch.num_rows), counts), rare,
+                              joined(batch.column("checks"), np.uint16) >> np.uint16(CHECK_BITS - bucket_bits))
+                rows.append(batch.column("row").to_numpy().astype(np.int64))
+                gains.append(gain)
+        if rows:
+            yield out()
 
     def meet(told: pa.Table, here: pa.Table) -> pa.Table:
-        keys, values = sorted_weights(here)
-        rows, gains = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for r, times, found in zip(*(told.column(c).to_pylist() for c in ("rows", "times", "told"))):
-            row = np.frombuffer(r, np.int64)
-            if times is None:
-                gains.append(np.frombuffer(found, np.float64))
+        values = {word: sorted_weights(here.filter(pc.equal(here.column("word"), word))) for word in (False, True)}
+        out = {}
+        for r in told.select(["batch", "texts", "word", "size", "keys", "times", "told"]).to_pylist():
+            sums = out.setdefault(r["batch"], [None, *np.zeros((3, r["texts"]))])
+            if r["word"] is None:
+                sums[0] = r["times"]
+                sums[3] += np.frombuffer(r["told"])
+                continue
+            key = np.cumsum(from_planes(r["keys"], r["size"]), dtype=np.uint64)
+            times = unpacked(r["times"], r["size"], np.int32)
+            found = looked_up(*values[r["word"]], key)
+            add = lambda x: np.bincount(np.frombuffer(r["told"], np.int32), np.repeat(x, times), r["texts"])  # noqa: E731, B023
+            if r["word"]:
+                sums[1] += add(np.log10((found + PSEUDO) / most))
+                sums[2] += add(found > 0)
             else:
-                at = np.repeat(np.arange(len(row)), np.frombuffer(times, np.int32))
-                gains.append(np.bincount(at, looked_up(keys, values, np.frombuffer(found, np.uint64)), len(row)))
-            rows.append(row)
-        row, back = np.unique(np.concatenate(rows), return_inverse=True)
-        return pa.table({"row": row, "gain": np.bincount(back, np.concatenate(gains), len(row))})
-
-    sent = coded.select("row", "ids", "rare").mapInArrow(run, "bucket long, rows binary, times binary, told binary")
-    dealt = rest.select(F.shiftrightunsigned("key", 64 - bucket_bits).alias("bucket"), "key", "weight")
+                sums[3] += add(found)
+        return pa.table([pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.binary()),
+                         *[pa.array([packed(x[k]) for x in out.values()], pa.binary()) for k in (1, 2, 3)]],
+                        ["batch", "rows", *sums_of])
+
+    def add_up(told: pa.Table) -> pa.Table:
+        row = np.frombuffer(next(x for x in told.column("rows").to_pylist() if x is not None), np.int64)
+        base, known, gain = (sum(unpacked(x, len(row), np.float64) for x in told.column(c).to_pylist())
+                             for c in sums_of)
+        return pa.table([row, base, np.rint(known).astype(np.int64), gain], ["row", *sums_of])
+
+    sums_of = ["more_base", "more_known", "gain"]
+    sent = coded.select("row", "ids", "rare", "checks").mapInArrow(
+        run, "bucket long, batch long, texts int, word boolean, size int, keys binary, times binary, told binary")
+    dealt = (rest.select(F.shiftrightunsigned("key", 64 - bucket_bits).alias("bucket"), F.lit(False).alias("word"),
+                         "key", "weight")
+             .unionByName(counted.table.filter(F.col("n") < counted.shipped)
+                          .select(F.shiftright(F.crc32("word"), 32 - bucket_bits).alias("bucket"),
+                                  F.lit(True).alias("word"), F.xxhash64("word").alias("key"),
+                                  F.col("n").cast("double").alias("weight"))))
     return (sent.groupBy("bucket").cogroup(dealt.groupBy("bucket"))
-            .applyInArrow(meet, "row long, gain double"))
+            .applyInArrow(meet, "batch long, rows binary, more_base binary, more_known binary, gain binary")
+            .groupBy("batch").applyInArrow(add_up, "row long, more_base double, more_known long, gain double"))
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
@@ -518,21 +636,10 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
              .select(F.monotonically_increasing_id().alias("row"), "id",
                      F.coalesce(fold != held_out, F.lit(False)).alias("trains"),
                      F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "text"))
-    counted = Counted(texts.filter("trains"), share_bits)
-    coded = materialise(numbered(texts, counted), "lm-texts", compression="zstd")
-    weights = suffix_tree(coded, counted, depth)
-    rare = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-    counts = counted.table.filter(F.col("n") < counted.shipped)
-    n = F.coalesce(F.col("n"), F.lit(0))
-    most = counted.tokens + PSEUDO * (counted.different + 1)
-    others = (rare.join(counts.hint("merge"), "word", "left")
-              .select("row", (F.col("times") * F.log10((n + PSEUDO) / F.lit(most))).alias("more_base"),
-                      F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("more_known"),
-                      F.lit(0.0).alias("gain"))
-              .unionByName(text_gains(coded, counted, weights, depth)
-                           .select("row", F.lit(0.0).alias("more_base"), F.lit(0).cast("long").alias("more_known"),
-                                   "gain"))
-              .groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more_base", "more_known", "gain")]))
+    with shuffles_dropped(df.sparkSession):
+        counted = Counted(texts.filter("trains"), share_bits)
+        coded = numbered(texts, counted)
+        others = text_parts(coded, counted, suffix_tree(coded, counted, depth), depth)
     base = F.col("base") + F.col("more_base")
     return (coded.select("row", "id", "held_out", "n_tokens", "known", "base").join(others, "row")
             .select(F.col("id").alias(id_col), "held_out", "n_tokens",

@@ -304,6 +304,43 @@ def test_scores_edges(spark, edge, empty):
     assert [(r.held_out, r.n_known, r.train_tokens, r.score) for r in got.collect()] == [(True, 0, 0, 0.0)]
 
 
+def test_scores_keep_no_tables_that_nothing_reads(spark, docs):
+    """Before the result is asked for, only what it is derived from lies on the disk."""
+    import glob
+
+    from kpiforge.llm import common
+    from kpiforge.session import checkpoint_dir
+    found = lambda: set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file://')}/llm/lm-*"))
+    name, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", found()
+    kept = spark.conf.get(name, None)
+    scored = suffix_tree_lm.lm_scores(docs)
+    left = sorted(path.split("/")[-1].rsplit("-", 1)[0] for path in found() - before)
+    assert left == ["lm-texts", "lm-weights", "lm-words"]
+    assert spark.conf.get(name, None) == kept
+    with common.shuffles_dropped(spark):
+        assert spark.conf.get(name) == "true"
+    assert scored.count() == docs.count()
+
+
+def test_words_of_texts():
+    import pyarrow as pa
+    texts = ["", None, " a  B\x0b\x0cc\r\n", "\u00c9 x\u00a0y", "one", "\t", "d\x1ce \x85"]
+    words, sizes = suffix_tree_lm.words_of(pa.array(["left out", *texts], pa.string()).slice(1))
+    want = [tokens(t)[:-1] for t in texts]
+    assert words.to_pylist() == [w for t in want for w in t]
+    assert sizes.tolist() == [len(t) for t in want]
+
+
+def test_packed_words_and_numbers():
+    import numpy as np
+    numbers = np.array([9 << 60, 5, 7 << 50], np.uint64)
+    keys = np.array([5, 6, 9 << 60, 7 << 50, 5, 1 << 63], np.uint64)
+    told = suffix_tree_lm.named(keys, numbers, np.argsort(numbers))
+    assert suffix_tree_lm.keys_named(*told, len(keys), numbers).tolist() == keys.tolist()
+    some = np.array([3, 1 << 30, 0], np.int32)
+    assert suffix_tree_lm.from_planes(suffix_tree_lm.planes(some), 3, np.int32).tolist() == some.tolist()
+
+
 def test_new_queries_return_their_columns(spark, sf):
     assert queries.op11_importance(spark, sf).columns == ["doc_id", "n_features", "weight", "score", "rank"]
     assert queries.op12_variants(spark, sf).columns == ["word", "form", "root", "n", "n_near", "form_n"]
